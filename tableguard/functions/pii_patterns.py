@@ -25,6 +25,16 @@ class Detector:
     pattern: str
     group: int = 0       # 0: whole match is the span; 1: suffix value group
     check: str | None = None   # "luhn" or "alnum" (letters and digits)
+    prefix: str | None = None  # context detectors: the keyword part, kept on redaction
+    hints: tuple = ()          # lower-case substrings; a match needs one of them
+
+
+    def chain_pattern(self) -> str:
+        """Pattern for ``regexp_replace``: group 1 is kept, the rest replaced."""
+        if self.group == 0:
+            return self.pattern
+        value = self.pattern[len("(?i)") + len(self.prefix):]
+        return f"(?i)({self.prefix}){value}"
 
     @property
     def score(self) -> float:
@@ -44,7 +54,40 @@ _NUM = r"(?:[ _-]?(?:number|num|no\.?|id|#))?"    # "account number", "acct no."
 def _ctx(label: str, keywords: str, value: str, strict: bool = False,
          check: str | None = None) -> Detector:
     sep = _SEP_STRICT if strict else _SEP
-    return Detector(label, "C", f"(?i){_LEAD}(?:{keywords}){_NUM}{sep}({value})", 1, check)
+    prefix = f"{_LEAD}(?:{keywords}){_NUM}{sep}"
+    return Detector(label, "C", f"(?i){prefix}({value})", 1, check, prefix, _keyword_hints(keywords))
+
+
+def _keyword_hints(keywords: str) -> tuple:
+    """Literal lower-case prefix of every top-level keyword alternative.
+
+    Each match of a context pattern contains one of its keywords, so a text
+    without any of these substrings cannot match; an empty prefix disables the
+    shortcut for the detector.
+    """
+    alts, depth, cur = [], 0, ""
+    for ch in keywords:
+        if ch == "|" and depth == 0:
+            alts.append(cur)
+            cur = ""
+            continue
+        depth += ch == "("
+        depth -= ch == ")"
+        cur += ch
+    alts.append(cur)
+    hints = []
+    for alt in alts:
+        lit = ""
+        for ch in alt:
+            if ch in "[(\\?*+{.|":
+                if ch in "?*{":
+                    lit = lit[:-1]
+                break
+            lit += ch
+        if not lit:
+            return ()
+        hints.append(lit.lower())
+    return tuple(hints)
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -56,25 +99,26 @@ _TIME = r"[0-2]?[0-9]:[0-5][0-9](?::[0-5][0-9])?"
 # Order matters twice: it is the order of the redaction chain (earlier wins on
 # overlapping text) and the listing order of spans.
 DETECTORS: list[Detector] = [
-    Detector("url", "P", r"(?:https?|ftp)://[^ \t\r\n<>\"'`]+"),
-    Detector("email", "P", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    Detector("date_time", "P", _DATE_ISO + r"[T ]" + _TIME + r"(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"),
+    Detector("url", "P", r"(?:https?|ftp)://[^ \t\r\n<>\"'`]+", hints=("://",)),
+    Detector("email", "P", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", hints=("@",)),
+    Detector("date_time", "P", _DATE_ISO + r"[T ]" + _TIME + r"(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?", hints=(":",)),
     Detector("iban", "P", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
     Detector("credit_debit_card", "P",
              r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{13,19}", 0, "luhn"),
-    Detector("ipv6", "P", f"(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?:{_HEX}{{1,4}}:){{1,6}}:(?:{_HEX}{{1,4}}:){{0,5}}{_HEX}{{1,4}}"),
+    Detector("ipv6", "P", f"(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?:{_HEX}{{1,4}}:){{1,6}}:(?:{_HEX}{{1,4}}:){{0,5}}{_HEX}{{1,4}}", hints=(":",)),
     Detector("mac_address", "P", f"{_HEX}{{2}}(?:[:-]{_HEX}{{2}}){{5}}"),
     Detector("ipv4", "P", f"(?:{_OCTET}\\.){{3}}{_OCTET}"),
     Detector("phone_number", "P",
              r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"),
-    Detector("ssn", "P", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    Detector("ssn", "P", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", hints=("-",)),
     Detector("street_address", "P",
              r"[0-9]{1,5}(?: [A-Z][a-z]+){1,3} (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd"
              r"|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Terrace|Square|Sq)\.?"),
-    Detector("po_box", "P", r"(?i)P\.? ?O\.? ?Box [0-9]{1,8}"),
+    Detector("po_box", "P", r"(?i)P\.? ?O\.? ?Box [0-9]{1,8}", hints=("box",)),
     Detector("coordinate", "P", r"[+-]?[0-9]{1,2}\.[0-9]{4,}, ?[+-]?[0-9]{1,3}\.[0-9]{4,}"),
     Detector("vehicle_identifier", "P", r"[A-HJ-NPR-Z0-9]{17}", 0, "alnum"),
-    Detector("api_key", "P", r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}"),
+    Detector("api_key", "P", r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}",
+             hints=("akia", "_", "sk-")),
     # context detectors: keyword, optional separator, value
     _ctx("secret_key", r"secret|secret[_ -]?key|client[_ -]?secret|token|auth[_ -]?token"
          r"|access[_ -]?token|private[_ -]?key", r"[A-Za-z0-9_/+.-]{16,}", strict=True),
@@ -113,7 +157,7 @@ DETECTORS: list[Detector] = [
     _ctx("certificate_license_number", r"certificate|license|licence", r"[A-Z0-9-]{4,20}", strict=True),
     # plain dates and times last, so longer date-times win in the chain
     Detector("date", "P", f"{_DATE_ISO}|{_DATE_SLASH}"),
-    Detector("time", "P", _TIME + r"(?: ?[AaPp][Mm])?"),
+    Detector("time", "P", _TIME + r"(?: ?[AaPp][Mm])?", hints=(":",)),
 ]
 
 PATTERN_LABELS = sorted({d.label for d in DETECTORS})

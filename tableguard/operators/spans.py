@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableguard.plans.layout import spread
 from tableguard.functions.pii_labels import DEFAULT_THRESHOLD, GROUP_OF, validate_labels
 from tableguard.functions.pii_patterns import (
     SCORE_CHECK_FAIL,
@@ -49,69 +50,125 @@ def _score(d: Detector, value: Column) -> Column:
     return F.when(check_passes(value, d.check), F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL))
 
 
-def _match_starts(pieces: Column, matches: Column) -> Column:
-    """0-based character start of every whole match, as array<int>.
-
-    start_i = len(piece_0..piece_i) + len(match_0..match_{i-1}); a running sum
-    folded with ``aggregate`` inside the row.
-    """
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches,
-                       lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(m).alias("m")))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
-        pairs, zero,
-        lambda acc, x: F.struct((acc["pos"] + x["p"] + x["m"]).alias("pos"),
-                                F.concat(acc["starts"], F.array(acc["pos"] + x["p"])).alias("starts")),
-        lambda acc: acc["starts"])
-
-
-def detector_spans(text: Column, matches: Column, d: Detector) -> Column:
-    """Spans of one detector given its precomputed whole-match array."""
-    pattern = F.lit(d.pattern)
-    pieces = F.split(text, d.pattern, -1)
-    starts = _match_starts(pieces, matches)
-    values = F.regexp_extract_all(text, pattern, F.lit(d.group)) if d.group else matches
-
-    def one(m, i):
-        v = values[i] if d.group else m
-        start = starts[i] + F.char_length(m) - F.char_length(v)
-        return F.struct(start.cast("int").alias("start"),
-                        (start + F.char_length(v)).cast("int").alias("end"),
-                        F.lit(d.label).alias("label"),
-                        _score(d, v).alias("score"),
-                        v.alias("value"))
-
-    spans = F.transform(matches, one)
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPAN_ARRAY))
-
-
 def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None,
                detectors: list[Detector] | None = None) -> DataFrame:
     """Add ``out_col`` = array of all pattern/context spans found in ``text_col``.
 
-    Two projections: first every detector's match array (one regex scan each),
-    then offsets only where something matched.  Catalyst keeps the two apart
-    because the match arrays are referenced more than once and are not cheap.
+    Three projections, each small to build and analyse:
+
+    1. ``lower(text)`` once (for the keyword shortcuts);
+    2. per detector, the whole matches (one regex scan, skipped when no hint
+       occurs) and, for context detectors that matched, the value group;
+    3. one generic expression over ``array(struct(detector_no, matches,
+       values))``: a ``locate`` scan gives each match's start -- the next
+       match begins at the first occurrence of its text after the previous
+       match's end, exact since no pattern looks around -- and the value, a
+       suffix of the match, gives the span.
+
+    Catalyst keeps the projections apart because the costly columns are
+    referenced more than once.
     """
     labels = validate_labels(labels)
     dets = detectors if detectors is not None else detectors_for(labels)
+    relax_constraint_propagation(df.sparkSession)
     text = F.col(text_col)
-    tmp = [f"__m{i}" for i in range(len(dets))]
-    staged = df.select("*", *[F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)).alias(t)
-                             for t, d in zip(tmp, dets)])
-    parts = [detector_spans(text, F.col(t), d) for t, d in zip(tmp, dets)]
-    spans = F.flatten(F.array(*parts)) if parts else F.array().cast(SPAN_ARRAY)
+    if not dets:
+        return df.withColumn(out_col, F.array().cast(SPAN_ARRAY))
+    lowered = df.select("*", F.lower(text).alias("__lt"))
+    mcols = [f"__m{i}" for i in range(len(dets))]
+    staged = lowered.select("*", *[gated(F.col("__lt"), d,
+                                         F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
+                                         F.array().cast("array<string>")).alias(t)
+                                   for t, d in zip(mcols, dets)])
+    vcols = {i: f"__v{i}" for i, d in enumerate(dets) if d.group}
+    staged = staged.select("*", *[
+        F.when(F.size(F.col(mcols[i])) > 0,
+               F.regexp_extract_all(text, F.lit(dets[i].pattern), F.lit(dets[i].group)))
+        .alias(v) for i, v in vcols.items()])
+    per_det = F.array(*[F.struct(F.lit(i).alias("d"), F.col(mcols[i]).alias("ms"),
+                                 (F.col(vcols[i]) if i in vcols else F.col(mcols[i])).alias("vs"))
+                        for i in range(len(dets))])
+    labels_arr = F.array(*[F.lit(d.label) for d in dets])
+    base_score = F.array(*[F.lit(d.score) for d in dets])
+    luhn_arr = F.array(*[F.lit(d.check == "luhn") for d in dets])
+    alnum_arr = F.array(*[F.lit(d.check == "alnum") for d in dets])
+
+    def det_spans(x):
+        pairs = F.zip_with(x["ms"], x["vs"], lambda m, v: F.struct(m.alias("m"), v.alias("v")))
+        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_ARRAY).alias("out"))
+
+        def step(acc, p):
+            m, v = p["m"], p["v"]
+            at = F.call_function("locate", m, text, acc["pos"] + 1) - 1       # 0-based start of the whole match
+            start = at + F.char_length(m) - F.char_length(v)
+            d = x["d"]
+            luhn = F.call_function("luhn_check", F.regexp_replace(v, "[^0-9]", ""))
+            alnum = v.rlike("[A-Z]") & v.rlike("[0-9]")
+            score = (F.when(F.element_at(luhn_arr, d + 1), F.when(luhn, F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL)))
+                     .when(F.element_at(alnum_arr, d + 1), F.when(alnum, F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL)))
+                     .otherwise(F.element_at(base_score, d + 1)))
+            span = F.struct(start.cast("int").alias("start"),
+                            (start + F.char_length(v)).cast("int").alias("end"),
+                            F.element_at(labels_arr, d + 1).alias("label"), score.cast("double").alias("score"),
+                            v.alias("value"))
+            return F.struct((at + F.char_length(m)).alias("pos"),
+                            F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+    nonempty = F.filter(per_det, lambda x: F.size(x["ms"]) > 0)
+    spans = F.flatten(F.transform(nonempty, det_spans))
     return staged.withColumn(out_col, F.when(text.isNull(), F.array().cast(SPAN_ARRAY))
-                             .otherwise(spans)).drop(*tmp)
+                             .otherwise(spans)).drop("__lt", *mcols, *vcols.values())
+
+
+def gated(lowered: Column, d: Detector, value: Column, otherwise: Column) -> Column:
+    """``value`` only where the lower-cased text holds one of the detector's hints.
+
+    A hint is a substring every match contains, so the shortcut never changes
+    a result; it skips the regex scan on texts that cannot match.
+    """
+    if not d.hints:
+        return value
+    cond = None
+    for h in d.hints:
+        c = lowered.contains(h)
+        cond = c if cond is None else (cond | c)
+    return F.when(cond, value).otherwise(otherwise)
+
+
+def relax_constraint_propagation(spark) -> None:
+    """Turn off Catalyst constraint propagation for this session.
+
+    Span detection builds projections with dozens of large regex expressions;
+    inferring filter constraints over them grows quadratically with their size
+    (the optimizer, not the job, then dominates).  Constraint propagation only
+    adds IS NOT NULL-style filters; turning it off changes no result.
+    """
+    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
 def detect_spans(df: DataFrame, id_col: str, text_col: str, labels=None) -> DataFrame:
     """One row per detected span: ``(id, start, end, label, score, value)``."""
-    staged = with_spans(df.select(id_col, text_col), text_col, "__spans", labels)
-    return (staged.select(id_col, F.explode("__spans").alias("s"))
+    staged = with_spans(spread(df.select(id_col, text_col)), text_col, "__spans", labels)
+    return (explode_rows(staged.select(id_col, "__spans"), "__spans", "s")
             .select(id_col, "s.start", "s.end", "s.label", "s.score", "s.value"))
 
 
+def explode_rows(df: DataFrame, array_col: str, alias: str) -> DataFrame:
+    """``explode`` that keeps the array's expression where it was computed.
+
+    An inner ``explode`` makes Catalyst infer ``size(array) > 0`` and push that
+    filter below the projection, which inlines the whole span expression (every
+    regex) into the filter and evaluates it twice or more.  ``explode_outer``
+    plus a null check on the generated column gives the same rows without it.
+    """
+    keep = [c for c in df.columns if c != array_col]
+    return (df.select(*keep, F.explode_outer(array_col).alias(alias))
+            .where(F.col(alias).isNotNull()))
+
+
 def filter_spans(spans: DataFrame, threshold: float = DEFAULT_THRESHOLD, labels=None) -> DataFrame:
     """Keep spans with ``score >= threshold`` and a configured label.
 
@@ -201,13 +258,14 @@ def pii_inventory(df: DataFrame, columns: list[str], threshold: float = DEFAULT_
     groups = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.lit(GROUP_OF[lab]))])
     parts = []
     for c in columns:
-        staged = with_spans(df.select(F.col(c).cast("string").alias("__t")), "__t", "__s", labels)
+        staged = with_spans(spread(df.select(F.col(c).cast("string").alias("__t"))), "__t", "__s", labels)
         kept = filter_span_array(F.col("__s"), threshold, labels)
         per_label = F.transform(
             F.array_distinct(F.transform(kept, lambda s: s["label"])),
             lambda lab: F.struct(lab.alias("label"),
                                  F.size(F.filter(kept, lambda s: s["label"] == lab)).alias("n")))
-        parts.append(staged.select(F.lit(c).alias("column"), F.explode(per_label).alias("x")))
+        parts.append(explode_rows(staged.select(F.lit(c).alias("column"), per_label.alias("__pl")),
+                                  "__pl", "x"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -22,6 +22,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide regex projections make constraint inference quadratic (see operators.spans)
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
