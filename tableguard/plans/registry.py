@@ -38,4 +38,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tableguard.plans import (  # noqa: F401
         queries_pii,
+        queries_shaping,
     )
