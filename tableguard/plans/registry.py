@@ -39,4 +39,5 @@ def load_all() -> None:
     from tableguard.plans import (  # noqa: F401
         queries_pii,
         queries_shaping,
+        queries_sql,
     )
