@@ -40,4 +40,5 @@ def load_all() -> None:
         queries_pii,
         queries_shaping,
         queries_sql,
+        queries_names,
     )
