@@ -41,4 +41,5 @@ def load_all() -> None:
         queries_shaping,
         queries_sql,
         queries_names,
+        queries_logs,
     )
