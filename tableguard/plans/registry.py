@@ -42,4 +42,5 @@ def load_all() -> None:
         queries_sql,
         queries_names,
         queries_logs,
+        queries_text,
     )
