@@ -25,10 +25,11 @@ TRIM_CHARS = " \t\n\r\x00\x0b"
 # One token per match, in scanning order: an escaped character, a quoted
 # string (doubled quote or backslash escapes inside; may run to the end), a
 # line comment (-- or #, with its newline), a block comment (may run to the
-# end), a statement separator, or any other single character.  Java and RE2
+# end), a statement separator, a run of characters that start none of these,
+# or any other single character.  Java and RE2
 # read it the same way.
 TOKEN_RE = (r"(?s)(?:\\.|'(?:\\.|''|[^'\\])*'?|\"(?:\\.|\"\"|[^\"\\])*\"?|--[^\n]*\n?|#[^\n]*\n?"
-            r"|/\*.*?(?:\*/|\z)|;|.)")
+            r"|/\*.*?(?:\*/|\z)|;|[^'\"\\;#/-]+|.)")
 
 _NOT_WORD = "[^A-Za-z0-9_]"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableguard.plans.joins import checked_broadcast
+from tableguard.plans.layout import spread
 
 # --- fixed values: must equal the reference's limits ---
 DEFAULT_LIMIT = 100        # latest rows shown; <= 0 means this
@@ -38,7 +39,7 @@ def parse_log(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     null fields.  Blank lines are dropped.
     """
     line = F.col(line_col)
-    nonblank = df.where(F.btrim(line, F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
+    nonblank = (spread(df) if not df.isStreaming else df).where(F.btrim(line, F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
     valid = F.json_object_keys(line).isNotNull()
     parsed = nonblank.select(F.col(id_col).alias("id"), valid.alias("valid"),
                              F.from_json(line, LOG_SCHEMA).alias("__e"))

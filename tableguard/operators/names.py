@@ -15,6 +15,7 @@ from tableguard.functions.names import (
     normalize_name,
 )
 from tableguard.plans.joins import checked_broadcast
+from tableguard.plans.layout import spread
 
 
 def _filter_struct(flt: str):
@@ -47,7 +48,7 @@ def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter
     use two equi-joins (canonical, leaf) instead, which scale to any size.
     """
     mode = normalize_mode(mode)
-    n = names.withColumn("__n", normalize_name(F.col(name_col)))
+    n = spread(names).withColumn("__n", normalize_name(F.col(name_col)))
     f = filters.withColumn("__f", normalize_name(F.col(filter_col)))
     if mode == "exact":
         by_c = n.join(f, F.col("__n.canonical") == F.col("__f.canonical"))
@@ -101,9 +102,9 @@ def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: Dat
     runs only on candidate pairs, and a window per target (small groups: at
     most the candidates of one target) keeps the k best.
     """
-    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
-                     normalize_name(F.col(name_col)).alias("__n"),
-                     F.monotonically_increasing_id().alias("__nid"))
+    n = spread(names).select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
+                             normalize_name(F.col(name_col)).alias("__n"),
+                             F.monotonically_increasing_id().alias("__nid"))
     t = targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
                        F.monotonically_increasing_id().alias("__tid"))
     pairs = _candidates(n, t, max_distance)
@@ -126,9 +127,9 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
     k go on to the next, wider round.  The last band covers every length, so
     the result equals a search over all names.
     """
-    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
-                     normalize_name(F.col(name_col)).alias("__n"),
-                     F.monotonically_increasing_id().alias("__nid")).cache()
+    n = spread(names).select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
+                             normalize_name(F.col(name_col)).alias("__n"),
+                             F.monotonically_increasing_id().alias("__nid")).cache()
     f = (filters.where(F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
          .select(F.col(filter_col).alias("filter"), normalize_name(F.col(filter_col)).alias("__f")))
     nc = n.select(F.col("__n.canonical").alias("__key")).distinct()

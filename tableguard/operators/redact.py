@@ -22,6 +22,7 @@ from tableguard.functions.pii_patterns import (
     redaction_token,
 )
 from tableguard.operators.spans import check_passes, gated
+from tableguard.plans.layout import spread
 
 
 def chain_detectors(labels=None, threshold: float = DEFAULT_THRESHOLD) -> list[tuple[Detector, bool]]:
@@ -108,7 +109,7 @@ def redact_columns(df: DataFrame, columns: list[str] | None = None, labels=None,
     if bad:
         raise ValueError(f"not string columns: {sorted(bad)}")
     low = {c: f"__lt{i}" for i, c in enumerate(targets)}
-    staged = df.select("*", *[F.lower(F.col(c)).alias(low[c]) for c in targets])
+    staged = spread(df).select("*", *[F.lower(F.col(c)).alias(low[c]) for c in targets])
     return staged.select(*[redact_text(F.col(c), labels, threshold, F.col(low[c])).alias(c)
                            if c in low else F.col(c) for c in df.columns])
 
@@ -126,7 +127,7 @@ def redact_enabled(df: DataFrame, source_col: str, enabled: DataFrame, columns:
     flags = (enabled.select(F.col("source").alias("__src"),
                             (F.col("pii_enabled") == F.lit(True)).alias("__on"))
              .groupBy("__src").agg(F.max("__on").alias("__on")))
-    joined = df.join(checked_broadcast(flags), df[source_col] == F.col("__src"), "left")
+    joined = spread(df).join(checked_broadcast(flags), df[source_col] == F.col("__src"), "left")
     on = F.coalesce(F.col("__on"), F.lit(False))
     string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     targets = set(string_cols if columns is None else columns) - {source_col}

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableguard.plans.layout import spread
 from tableguard.functions.statements import (
     KEYWORD_ERROR,
     KEYWORD_HINT,
@@ -29,7 +30,7 @@ def with_statements(df: DataFrame, sql_col: str, out_col: str = "statements") ->
     Tokens are staged in their own columns so the lambdas below read them as
     plain attributes instead of re-running the tokenizer per element.
     """
-    tok = df.select("*", F.regexp_extract_all(F.col(sql_col), F.lit(TOKEN_RE), F.lit(0)).alias("__tok"))
+    tok = spread(df).select("*", F.regexp_extract_all(F.col(sql_col), F.lit(TOKEN_RE), F.lit(0)).alias("__tok"))
     mapped = tok.select("*", F.transform("__tok", token_text).alias("__txt"))
     n = F.size("__tok")
     semis = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),

@@ -13,6 +13,8 @@ def spread(df: DataFrame) -> DataFrame:
     input already has far more splits than cores and is left alone, so no
     shuffle is added where it would cost anything at scale.
     """
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
