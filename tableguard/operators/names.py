@@ -156,7 +156,8 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
         found = keep if found is None else found.unionByName(keep)
         if last:
             break
-        pending = pending.join(done, "__tid", "left_anti").cache()
+        # reliable checkpoint (spark.checkpoint.dir): the rounds do not stack lineage
+        pending = pending.join(done, "__tid", "left_anti").checkpoint(eager=True)
         if pending.limit(1).count() == 0:
             break
         band *= 2

@@ -77,3 +77,16 @@ def test_span_and_chain_agree_on_documents(spark):
     spans = filter_spans(detect_spans(docs, "doc_id", "text", labels))
     c = {r.doc_id: r.text for r in redact_spans(docs, "doc_id", "text", spans).collect()}
     assert a == b == c
+
+
+def test_dictionary_spans(spark):
+    from tableguard.operators.dictionary import dictionary_spans
+
+    df = spark.createDataFrame([(1, "I live in London, near New  York; london again."), (2, None), (3, "")],
+                               "id long, text string")
+    terms = spark.createDataFrame([("city", "London"), ("city", "new york"), ("country", "Spain")],
+                                  "label string, term string")
+    got = sorted((r.id, r.start, r.end, r.label, r.value) for r in dictionary_spans(df, "id", "text", terms).collect())
+    assert got == [(1, 10, 16, "city", "London"), (1, 23, 32, "city", "New  York"), (1, 34, 40, "city", "london")]
+    empty = spark.createDataFrame([], "label string, term string")
+    assert dictionary_spans(df, "id", "text", empty).count() == 0
