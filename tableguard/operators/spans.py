@@ -250,25 +250,21 @@ def pii_inventory(df: DataFrame, columns: list[str], threshold: float = DEFAULT_
                   labels=None) -> DataFrame:
     """Counts per (column, label): rows holding the label and spans found.
 
-    Per row, spans are counted per distinct label inside the row, so the
-    aggregate sees one small record per (row, column, label) and combines
-    map-side before its single shuffle.
+    One scan: the columns are stacked into ``(column, value)`` records (a
+    fixed-size explode), detection runs once over them, spans are counted per
+    distinct label inside each record, and the aggregate combines map-side
+    before its single shuffle.
     """
     labels = validate_labels(labels)
     groups = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.lit(GROUP_OF[lab]))])
-    parts = []
-    for c in columns:
-        staged = with_spans(spread(df.select(F.col(c).cast("string").alias("__t"))), "__t", "__s", labels)
-        kept = filter_span_array(F.col("__s"), threshold, labels)
-        per_label = F.transform(
-            F.array_distinct(F.transform(kept, lambda s: s["label"])),
-            lambda lab: F.struct(lab.alias("label"),
-                                 F.size(F.filter(kept, lambda s: s["label"] == lab)).alias("n")))
-        parts.append(explode_rows(staged.select(F.lit(c).alias("column"), per_label.alias("__pl")),
-                                  "__pl", "x"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    stacked = spread(df).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("__t")) for c in columns])).alias("__x"))
+    staged = with_spans(stacked.select("__x.column", "__x.__t"), "__t", "__s", labels)
+    kept = filter_span_array(F.col("__s"), threshold, labels)
+    per_label = F.transform(
+        F.array_distinct(F.transform(kept, lambda s: s["label"])),
+        lambda lab: F.struct(lab.alias("label"), F.size(F.filter(kept, lambda s: s["label"] == lab)).alias("n")))
+    out = explode_rows(staged.select("column", per_label.alias("__pl")), "__pl", "x")
     return (out.groupBy("column", F.col("x.label").alias("label"))
             .agg(F.count(F.lit(1)).alias("rows"), F.sum("x.n").cast("long").alias("spans"))
             .select("column", groups[F.col("label")].alias("grp"), "label", "rows", "spans"))
