@@ -194,7 +194,7 @@ ACCEPTANCE = {
         "CROSS JOIN (VALUES (-1), (0), (1)) AS d(k) "
         "JOIN supplier s ON floor(s.s_acctbal / 20) = floor(p.p_retailprice / 20) + d.k "
         "AND s.s_acctbal BETWEEN p.p_retailprice - 10 AND p.p_retailprice + 10 "
-        "WHERE p.p_size < 10 GROUP BY p.p_partkey", None),
+        "WHERE p.p_retailprice IS NOT NULL GROUP BY p.p_partkey", None),
     "sql_aggregate": (
         "SELECT count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price, "
         "min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem", None),
@@ -243,14 +243,14 @@ ACCEPTANCE = {
         "SELECT p_partkey, p_retailprice * 2 AS doubled, round(p_retailprice / 4, 2) AS quarter, "
         "abs(p_size - 25) AS dist, p_size % 7 AS m7 FROM part WHERE p_size > 0", None),
     "sql_json_functions": (
-        "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'click'",
+        "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events WHERE props IS NOT NULL",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events "
-        "WHERE event_type = 'click'"),
+        "WHERE props IS NOT NULL"),
     "sql_array_functions": (
         "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS dims, CAST(element_at(embedding, 1) AS DOUBLE) AS first "
-        "FROM embeddings WHERE label = 1",
+        "FROM embeddings WHERE embedding IS NOT NULL",
         "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, CAST(embedding[1] AS DOUBLE) AS first "
-        "FROM embeddings WHERE label = 1"),
+        "FROM embeddings WHERE embedding IS NOT NULL"),
 }
 
 
