@@ -38,27 +38,70 @@ def match_names(df: DataFrame, col: str, flt: str, mode: str = "contains") -> Da
     return df.where(name_matches(norm, fs, mode, glob))
 
 
+def _trigrams(col):
+    """Distinct 3-character substrings (the whole value when shorter)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(col) - 2, F.lit(1))),
+                                        lambda i: F.substring(col, i, 3)))
+
+
+def _filter_key(fpart, mode: str):
+    """Three literal characters every match of this filter part must show, or null."""
+    lit = F.regexp_extract(fpart, r"^([^*?\[\\]*)", 1) if mode == "glob" else fpart
+    return F.when(F.char_length(lit) >= 3, F.substring(lit, 1, 3))
+
+
 def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter_col: str,
                      mode: str = "contains") -> DataFrame:
-    """All (filter row, name row) pairs that match, for many filters at once.
-
-    The filter list is joined with a checked broadcast; the match predicate is
-    evaluated per pair inside the broadcast nested-loop join, so each name row
-    meets every filter exactly once and nothing is shuffled.  Exact matches
-    use two equi-joins (canonical, leaf) instead, which scale to any size.
+    """All (name row, filter row) pairs that match, for many filters at once.
+
+    No pair is tested unless it can match.  Exact mode is two equi-joins
+    (canonical, leaf).  Other modes block on three literal characters every
+    match must contain: a filter's first trigram joined with every trigram of
+    the name (contains), or with the name's first three characters (prefix,
+    glob with a literal start).  Candidates from both sides are verified with
+    the exact predicate and de-duplicated.  Only filter sides without such a
+    key (under three characters, a glob starting with a wildcard) are tested
+    against every name, with a size-checked broadcast.  A blank filter
+    matches every name, by definition.
     """
     mode = normalize_mode(mode)
-    n = spread(names).withColumn("__n", normalize_name(F.col(name_col)))
-    f = filters.withColumn("__f", normalize_name(F.col(filter_col)))
+    n = (spread(names).withColumn("__n", normalize_name(F.col(name_col)))
+         .withColumn("__nid", F.monotonically_increasing_id()))
+    blank = F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) == F.lit("")
+    f = (filters.withColumn("__f", normalize_name(F.col(filter_col)))
+         .withColumn("__fid", F.monotonically_increasing_id()).withColumn("__blank", blank))
+    internal = ["__n", "__nid", "__f", "__fid", "__blank", "__rc", "__rl", "__k", "__kc", "__kl"]
+    everything = n.crossJoin(checked_broadcast(f.where("__blank")))     # blank filter: all names
     if mode == "exact":
-        by_c = n.join(f, F.col("__n.canonical") == F.col("__f.canonical"))
-        by_l = n.join(f, F.col("__n.leaf") == F.col("__f.leaf"))
-        return by_c.unionByName(by_l).dropDuplicates().drop("__n", "__f")
-    f = f.withColumn("__rc", glob_regex_col(F.col("__f.canonical"))).withColumn(
-        "__rl", glob_regex_col(F.col("__f.leaf")))
+        fx = f.where(~F.col("__blank"))
+        by_c = n.join(fx, F.col("__n.canonical") == F.col("__f.canonical"))
+        by_l = n.join(fx, F.col("__n.leaf") == F.col("__f.leaf"))
+        pairs = by_c.unionByName(by_l).dropDuplicates(["__nid", "__fid"])
+        return pairs.unionByName(everything).drop(*[c for c in internal if c in pairs.columns])
+    f = (f.where(~F.col("__blank"))
+         .withColumn("__rc", glob_regex_col(F.col("__f.canonical")))
+         .withColumn("__rl", glob_regex_col(F.col("__f.leaf")))
+         .withColumn("__kc", _filter_key(F.col("__f.canonical"), mode))
+         .withColumn("__kl", _filter_key(F.col("__f.leaf"), mode)))
+    if mode == "contains":
+        name_keys = {"c": _trigrams(F.col("__n.canonical")), "l": _trigrams(F.col("__n.leaf"))}
+    else:
+        name_keys = {"c": F.array(F.substring(F.col("__n.canonical"), 1, 3)),
+                     "l": F.array(F.substring(F.col("__n.leaf"), 1, 3))}
+    parts = []
+    for side, fkey in (("c", "__kc"), ("l", "__kl")):
+        keyed_names = n.select("*", F.explode(name_keys[side]).alias("__k"))
+        parts.append(keyed_names.join(f.where(F.col(fkey).isNotNull()).withColumnRenamed(fkey, "__k"), "__k")
+                     .drop("__k", "__kc" if side == "l" else "__kl"))
+        parts.append(n.join(checked_broadcast(f.where(F.col(fkey).isNull()).drop("__kc", "__kl")), how="cross"))
+    cols = parts[1].columns
+    cand = parts[0].select(*cols)
+    for p in parts[1:]:
+        cand = cand.unionByName(p.select(*cols))
     cond = name_matches(F.col("__n"), F.col("__f"), mode, (F.col("__rc"), F.col("__rl")))
-    blank = F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) == F.lit("")
-    return n.join(checked_broadcast(f), cond | blank, "inner").drop("__n", "__f", "__rc", "__rl")
+    matched = cand.where(cond).dropDuplicates(["__nid", "__fid"])
+    out_cols = [c for c in matched.columns if c not in internal]
+    return matched.select(*out_cols).unionByName(everything.select(*out_cols))
 
 
 def near_names(df: DataFrame, name_col: str, type_col: str, target: str, k: int = NEAR_MATCHES) -> DataFrame:

@@ -49,3 +49,16 @@ def test_children(spark):
     got = sorted(tuple(r) for r in filter_with_children(parents, "name", children, "parent", "name",
                                                          "trg_users_insert", "exact").collect())
     assert got == [("users", "trg_users_insert")]
+
+
+def test_many_filters_equal_single_filter(spark):
+    from tableguard.operators.names import match_names_join
+
+    names = spark.createDataFrame(NAMES + [("main.users_old", "table"), ("[dbo].[Audit_Logs]", "table")],
+                                  "name string, type string")
+    flts = ["us", "user", "user*", "*log*", "act", "main.users", "  ", "x", "ers", "audit_logs"]
+    fdf = spark.createDataFrame([(f,) for f in flts], "f string")
+    for mode in ("contains", "prefix", "glob", "exact"):
+        got = sorted((r.name, r.f) for r in match_names_join(names, "name", fdf, "f", mode).collect())
+        want = sorted((r.name, f) for f in flts for r in match_names(names, "name", f, mode).collect())
+        assert got == want, mode
