@@ -14,8 +14,6 @@ priorities (greedy counted repeats pick the *last* separator), applied with
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,4 +140,4 @@ def redact_long_text(df: DataFrame, id_col: str, text_col: str, max_len: int = D
     return redact_spans(texts, id_col, text_col, kept)
 
 
-__all__ = ["chunk_pattern", "chunk_array", "chunk_text", "chunk_roundtrip", "redact_long_text", "re"]
+__all__ = ["chunk_pattern", "chunk_array", "chunk_text", "chunk_roundtrip", "redact_long_text"]

@@ -44,12 +44,6 @@ def check_passes(value: Column, check: str) -> Column:
     raise ValueError(f"unknown check {check}")
 
 
-def _score(d: Detector, value: Column) -> Column:
-    if d.check is None:
-        return F.lit(d.score)
-    return F.when(check_passes(value, d.check), F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL))
-
-
 def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None,
                detectors: list[Detector] | None = None) -> DataFrame:
     """Add ``out_col`` = array of all pattern/context spans found in ``text_col``.
@@ -270,10 +264,6 @@ def pii_inventory(df: DataFrame, columns: list[str], threshold: float = DEFAULT_
             .select("column", groups[F.col("label")].alias("grp"), "label", "rows", "spans"))
 
 
-def redaction_token_col(label: Column) -> Column:
-    return F.concat(F.lit("[REDACTED_"), label, F.lit("]"))
-
-
 __all__ = [
     "SPAN_ARRAY", "with_spans", "detect_spans", "filter_spans", "filter_span_array",
     "resolve_overlaps", "apply_spans", "redact_with_spans", "redact_spans", "pii_inventory",
