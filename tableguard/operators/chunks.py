@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableguard.operators.spans import (
-    detect_spans,
     explode_rows,
     filter_spans,
     redact_spans,
+    with_spans,
 )
 from tableguard.plans.layout import spread
 
@@ -127,15 +127,16 @@ def redact_long_text(df: DataFrame, id_col: str, text_col: str, max_len: int = D
 
     per_row = staged.select(id_col, F.transform("__c", window).alias("__w"))
     windows = explode_rows(per_row, "__w", "w").select(id_col, "w.*")
-    windows = windows.withColumn("__wid", F.struct(id_col, "chunk_no"))
-    spans = (detect_spans(windows.select("__wid", "window"), "__wid", "window", labels)
-             .withColumnRenamed("start", "w_s").withColumnRenamed("end", "w_e"))
-    meta = windows.select("__wid", id_col, "start", "clen", "wstart")
-    located = (spans.join(meta, "__wid")
-               .where((F.col("wstart") + F.col("w_s") >= F.col("start"))
-                      & (F.col("wstart") + F.col("w_s") < F.col("start") + F.col("clen")))
-               .select(id_col, (F.col("wstart") + F.col("w_s")).alias("start"),
-                       (F.col("wstart") + F.col("w_e")).alias("end"), "label", "score", "value"))
+    # detect on the window rows themselves, so each span keeps its window's
+    # offsets at hand (no join back to the windows)
+    found = with_spans(windows, "window", "__sp", labels)
+    spans = explode_rows(found.select(id_col, "start", "clen", "wstart", "__sp"), "__sp", "s")
+    w_s, w_e = F.col("s.start"), F.col("s.end")
+    located = (spans.where((F.col("wstart") + w_s >= F.col("start"))
+                           & (F.col("wstart") + w_s < F.col("start") + F.col("clen")))
+               .select(id_col, (F.col("wstart") + w_s).alias("start"), (F.col("wstart") + w_e).alias("end"),
+                       F.col("s.label").alias("label"), F.col("s.score").alias("score"),
+                       F.col("s.value").alias("value")))
     kept = filter_spans(located, threshold, labels)
     return redact_spans(texts, id_col, text_col, kept)
 

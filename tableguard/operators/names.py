@@ -192,7 +192,7 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
                               name_distance(F.col("__n"), F.col("__f")).alias("score")).where(
             F.col("score") <= band)
         w = Window.partitionBy("__tid").orderBy("score", "type", "name")
-        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).cache()
+        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint(eager=True)
         done = top.groupBy("__tid").count().where(F.col("count") >= k).select("__tid")
         last = band >= span
         keep = top if last else top.join(done, "__tid", "left_semi")
