@@ -3,7 +3,7 @@
     python scripts/plan_report.py [sf_dir] > PLANS.md
 
 Counts shuffles, broadcasts, join strategies, windows, Python nodes and
-whole-stage-codegen stages, as planned for one run.
+as planned for one run.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ def main():
     spark = get_spark()
     qs = entry.queries()
     cols = ["ShuffleExchange", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin", "BroadcastNestedLoopJoin",
-            "CartesianProduct", "Window", "TakeOrderedAndProject", "MapInPandas", "codegen"]
+            "CartesianProduct", "Window", "TakeOrderedAndProject", "MapInPandas"]
     print(f"# Physical plans at {sf}\n")
     print("Physical plans as planned (AQE may still turn a sort-merge join into a broadcast join at run"
           " time).  Shuffle counts include the round-robin spreading of single-file inputs, which is skipped"
-          " when a scan already has more splits than cores; `codegen` counts whole-stage-codegen stages.\n")
+          " when a scan already has more splits than cores.\n")
     print("| key | " + " | ".join(cols) + " |")
     print("| --- |" + " --- |" * len(cols))
     for k in sorted(qs):

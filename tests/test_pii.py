@@ -90,3 +90,16 @@ def test_dictionary_spans(spark):
     assert got == [(1, 10, 16, "city", "London"), (1, 23, 32, "city", "New  York"), (1, 34, 40, "city", "london")]
     empty = spark.createDataFrame([], "label string, term string")
     assert dictionary_spans(df, "id", "text", empty).count() == 0
+
+
+def test_long_text_values_across_chunk_edges(spark):
+    from tableguard.operators.chunks import redact_long_text
+
+    text = ("word " * 9) + "x john.doe@example.com and 10.1.2.3 " + ("more " * 20) + "last a@b.co"
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
+    labels = ["email", "ipv4"]
+    want = redact_columns(df, labels=labels).where("id = 1").first().text
+    for m in (30, 47, 50, 64):       # the email straddles some of these chunk edges
+        got = redact_long_text(df, "id", "text", m, labels).where("id = 1").first().text
+        assert got == want, m
+    assert "@" not in want
