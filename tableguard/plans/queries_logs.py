@@ -17,6 +17,7 @@ from tableguard.operators.logs import (
 from tableguard.plans.registry import register, table
 from tableguard.session import scratch_path
 from tableguard.sources.logs import read_json_log, read_log_lines, stream_json_log
+from tableguard.streaming.logs import stream_level_counts
 
 
 def log_lines(spark, sf_dir):
@@ -154,10 +155,12 @@ def q_log_tail_stream(spark, sf_dir):
     """Level counts per hour from a streaming read of the log folder."""
     path = _write_lines(spark, sf_dir, "logstream")
     parsed = stream_json_log(spark, path)
-    counts = level_counts(parsed)
+    counts = stream_level_counts(parsed, "1 hour")
     name = f"log_counts_{uuid.uuid4().hex[:8]}"
     ckpt = scratch_path(spark, f"ckpt-{name}")
-    q = (counts.writeStream.outputMode("complete").format("memory").queryName(name)
+    # update mode: each micro-batch emits the hours it changed; the files land
+    # in one batch here, so every (level, hour) appears once with its count
+    q = (counts.writeStream.outputMode("update").format("memory").queryName(name)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name)
