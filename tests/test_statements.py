@@ -148,3 +148,15 @@ def test_run_script_last_result_and_partial_failure(spark):
     with pytest.raises(Exception):
         run_script(spark, "SELECT 1 as val LIMIT 1; SELECT * FROM non_existent_table LIMIT 1; SELECT 2 as val LIMIT 1")
     assert run_script(spark, "  ;  ") is None
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+PIECES = ["SELECT ", "a", " ", ";", "'", "''", '"', '""', "\\", "--", "#", "/*", "*/", "\n", "x;y", "é", "\t"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_property_split_matches_straight_line(spark, script):
+    assert _split(spark, [script]).get(0, []) == straight_split(script)
