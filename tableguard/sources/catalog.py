@@ -30,6 +30,20 @@ def register_source(spark: SparkSession, name: str, spec: dict) -> list[str]:
     return views
 
 
+def register_sources(spark: SparkSession, config: dict) -> dict[str, list[str]]:
+    """Register a set of sources: ``{"connections": {name: spec}}`` or a single
+    ``{"default": spec}`` / ``{"url": ...}`` (then named ``default``)."""
+    if "connections" in config:
+        conns = config["connections"]
+    elif "default" in config:
+        conns = {"default": config["default"]}
+    else:
+        conns = {"default": config}
+    if not conns:
+        raise ValueError("no connections configured")
+    return {name: register_source(spark, name, spec) for name, spec in conns.items()}
+
+
 def source_flags(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
     """``(source, pii_enabled)``: only an explicit ``True`` turns redaction on."""
     rows = [(n, spec.get("pii_enabled") is True) for n, spec in sources.items()]
