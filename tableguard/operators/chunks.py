@@ -100,33 +100,42 @@ def chunk_roundtrip(chunks: DataFrame, texts: DataFrame, id_col: str, text_col:
                     .alias("equal")))
 
 
-def redact_long_text(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,
-                     labels=None, threshold: float = 0.6) -> DataFrame:
-    """Chunk, detect on each chunk's window, redact the original text.
+def chunk_windows(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,
+                  before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER) -> DataFrame:
+    """``(id, chunk_no, start, clen, wstart, window)``: every chunk with context.
 
-    Each chunk is looked at with ``WINDOW_BEFORE`` characters of the previous
-    chunk and ``WINDOW_AFTER`` of the next, so a value cut by a chunk edge is
-    still seen whole; a span belongs to the chunk it starts in.  Spans are
-    mapped back to text offsets and applied by :func:`redact_spans` (spans
-    grouped per id, joined back to the texts).  Offsets are characters
-    throughout.
+    The window is the chunk plus ``before`` characters of the text ahead of it
+    and ``after`` behind it, cut from the text inside its own row (no join).
     """
     texts = df.select(id_col, text_col)
-    # windows are cut from the text inside its own row: no join of chunks to texts
-    staged = spread(texts).select(id_col, text_col,
-                                  chunk_array(F.col(text_col), max_len).alias("__c"))
+    staged = spread(texts).select(id_col, text_col, chunk_array(F.col(text_col), max_len).alias("__c"))
     staged = staged.select(id_col, text_col, "__c", _starts(F.col("__c")).alias("__s"))
     text = F.col(text_col)
 
     def window(c, i):
         start = F.element_at(F.col("__s"), i + 1)
-        ws = F.greatest(start - WINDOW_BEFORE, F.lit(0))
+        ws = F.greatest(start - before, F.lit(0))
         return F.struct(i.alias("chunk_no"), start.alias("start"), F.char_length(c).alias("clen"),
                         ws.alias("wstart"),
-                        F.substring(text, ws + 1, start - ws + F.char_length(c) + WINDOW_AFTER).alias("window"))
+                        F.substring(text, ws + 1, start - ws + F.char_length(c) + after).alias("window"))
 
     per_row = staged.select(id_col, F.transform("__c", window).alias("__w"))
-    windows = explode_rows(per_row, "__w", "w").select(id_col, "w.*")
+    return explode_rows(per_row, "__w", "w").select(id_col, "w.*")
+
+
+def redact_long_text(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,
+                     labels=None, threshold: float = 0.6) -> DataFrame:
+    """Chunk, detect on each chunk's window, redact the original text.
+
+    Each chunk is looked at with ``WINDOW_BEFORE`` characters of the previous
+    chunk and ``WINDOW_AFTER`` of the next, so a value cut by a chunk edge is
+    still seen whole; a span belongs to the chunk it starts in.  Spans are
+    mapped back to text offsets and applied by :func:`redact_spans` (spans
+    grouped per id, joined back to the texts).  Offsets are characters
+    throughout.
+    """
+    texts = df.select(id_col, text_col)
+    windows = chunk_windows(df, id_col, text_col, max_len)
     # detect on the window rows themselves, so each span keeps its window's
     # offsets at hand (no join back to the windows)
     found = with_spans(windows, "window", "__sp", labels)

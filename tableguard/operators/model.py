@@ -63,14 +63,21 @@ def _predictor(factory: Callable[[], Predictor]) -> Predictor:
 
 
 def model_spans(df: DataFrame, id_col: str, text_col: str, predictor_factory: Callable[[], Predictor],
-                labels: list[str], batch_rows: int | None = None) -> DataFrame:
+                labels: list[str], batch_rows: int | None = None, max_len: int | None = None) -> DataFrame:
     """``(id, start, end, label, score, value)`` from the predictor, per row.
 
     Runs as ``mapInPandas`` over the input partitions (spread over the cores
     when the input is under-split); no shuffle.  A failing prediction fails the
     task (and so the job) instead of returning the text unredacted.
+
+    With ``max_len`` the model never sees more than ``max_len`` characters:
+    texts are cut into chunks of ``max_len - 300`` characters, each seen with
+    100 characters before and 200 after; a span is kept by the chunk it starts
+    in and mapped back to text offsets, so values on chunk edges are found once.
     """
     labels = list(labels)
+    if max_len is not None:
+        return _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, batch_rows, max_len)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pred = _predictor(predictor_factory)
@@ -86,3 +93,33 @@ def model_spans(df: DataFrame, id_col: str, text_col: str, predictor_factory: Ca
 
     src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     return src.mapInPandas(run, SPAN_ROW_SCHEMA).withColumnRenamed("id", id_col)
+
+
+def _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, batch_rows, max_len):
+    from tableguard.operators.chunks import WINDOW_AFTER, WINDOW_BEFORE, chunk_windows
+
+    chunk_len = max_len - WINDOW_BEFORE - WINDOW_AFTER
+    if chunk_len < 1:
+        raise ValueError(f"max_len must exceed {WINDOW_BEFORE + WINDOW_AFTER}")
+    windows = chunk_windows(df, id_col, text_col, chunk_len).select(
+        F.col(id_col).cast("long").alias("id"), "start", "clen", "wstart", F.col("window").alias("text"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pred = _predictor(predictor_factory)
+        for pdf in batches:
+            step = batch_rows or max(len(pdf), 1)
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                texts = part["text"].tolist()
+                results = pred.predict_batch(texts, labels)
+                rows = []
+                for i, st, cl, ws, t, spans in zip(part["id"].tolist(), part["start"].tolist(),
+                                                   part["clen"].tolist(), part["wstart"].tolist(), texts, results):
+                    for s in spans:
+                        g = int(ws) + int(s["start"])
+                        if st <= g < st + cl:           # the chunk this span starts in keeps it
+                            rows.append((int(i), g, int(ws) + int(s["end"]), s["label"], float(s["score"]),
+                                         s.get("text", t[s["start"]:s["end"]])))
+                yield pd.DataFrame(rows, columns=["id", "start", "end", "label", "score", "value"])
+
+    return windows.mapInPandas(run, SPAN_ROW_SCHEMA).withColumnRenamed("id", id_col)

@@ -54,7 +54,9 @@ def email_predictor():
 
 @register("model_spans", lambda: duck_spans("documents", "doc_id", "text", ["email"]))
 def q_model_spans(spark, sf_dir):
-    return model_spans(table(spark, sf_dir, "documents"), "doc_id", "text", email_predictor, ["email"], 256)
+    # the model sees at most 1800 characters at a time, as a 512-token model needs
+    return model_spans(table(spark, sf_dir, "documents"), "doc_id", "text", email_predictor, ["email"], 256,
+                       max_len=1800)
 
 
 def _stream_sql() -> str:

@@ -103,3 +103,17 @@ def test_long_text_values_across_chunk_edges(spark):
         got = redact_long_text(df, "id", "text", m, labels).where("id = 1").first().text
         assert got == want, m
     assert "@" not in want
+
+
+def test_windowed_model_spans_edges(spark):
+    from tableguard.operators.model import model_spans
+    from tableguard.plans.queries_text import email_predictor
+
+    text = ("word " * 9) + "x john.doe@example.com " + ("more " * 40) + "end a@b.co"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    whole = sorted((r.start, r.end) for r in model_spans(df, "id", "text", email_predictor, ["email"]).collect())
+    for m in (350, 360, 420):        # chunks of 50..120 characters, some cutting the first email
+        got = sorted((r.start, r.end) for r in
+                     model_spans(df, "id", "text", email_predictor, ["email"], max_len=m).collect())
+        assert got == whole, m
+    assert [text[s:e] for s, e in whole] == ["john.doe@example.com", "a@b.co"]
