@@ -117,3 +117,31 @@ def test_windowed_model_spans_edges(spark):
                      model_spans(df, "id", "text", email_predictor, ["email"], max_len=m).collect())
         assert got == whole, m
     assert [text[s:e] for s, e in whole] == ["john.doe@example.com", "a@b.co"]
+
+
+def test_keyword_index_is_exact():
+    """Gate words are single words (no non-word character inside, so a match
+    cannot hide another keyword's boundary) and every context detector keeps one."""
+    from tableguard.functions.pii_patterns import DETECTORS, keyword_index, word_hints
+
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    for d in DETECTORS:
+        if d.kind == "C":
+            ws = word_hints(d)
+            assert ws and all(w and all(word(c) for c in w) for w in ws), d.label
+            assert all(any(h.startswith(w) for w in ws) for h in d.hints), d.label
+    assert keyword_index().startswith("(?i)")
+
+
+def test_keyword_gate_matches_ungated(spark):
+    from tableguard.functions.pii_patterns import DETECTORS
+    from tableguard.operators.spans import with_spans
+
+    texts = ["national idfa: ABCDEF123456", "android idfa=1234567890ab", "blood pin: 1234", "10.0.0.1age: 5", "x age 42, cvv 123 (pin 9876)", "AGE: 7", "date of birth 2001-02-03",
+             "license plate AB-123 and plate XY1", "s/n: ABC-12345", "Kage 5", "password= hunter22"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    ungated = [d.__class__(d.label, d.kind, d.pattern, d.group, d.check, d.prefix, ()) for d in DETECTORS]
+    a = {r.id: sorted(tuple(s) for s in r.spans) for r in with_spans(df, "text", "spans").collect()}
+    b = {r.id: sorted(tuple(s) for s in r.spans) for r in with_spans(df, "text", "spans", detectors=ungated).collect()}
+    assert a == b
+    assert any(s[2] == "pin" for s in a[2]) and any(s[2] == "device_identifier" for s in a[0])
