@@ -178,35 +178,3 @@ def detectors_for(labels=None) -> list[Detector]:
 
 def redaction_token(label: str) -> str:
     return f"[REDACTED_{label}]"
-
-
-def _escape(lit: str) -> str:
-    return "".join("\\" + c if c in r".^$|?*+()[]{}\\/" else c for c in lit)
-
-
-def word_hints(d: Detector) -> tuple:
-    """The first word of each hint of a context detector.
-
-    A hint of one word holds no non-word character, so in the combined scan
-    it can never swallow another keyword that needs a boundary in front.
-    """
-    out = []
-    for h in d.hints:
-        w = ""
-        for ch in h:
-            if not (ch.isascii() and (ch.isalnum() or ch == "_")):
-                break
-            w += ch
-        out.append(w)
-    return tuple(sorted(set(out))) if all(out) else ()
-
-
-def keyword_index() -> str:
-    """One regex that finds the first word of every context keyword at a word
-    boundary.  Alternatives run longest first, so at any position the longest
-    word wins and every shorter one matching there is a prefix of it; the gate
-    tests ``startswith``.  Words hold no non-word character, so a match never
-    hides another keyword's boundary.
-    """
-    words = sorted({w for d in DETECTORS if d.kind == "C" for w in word_hints(d)}, key=lambda w: (-len(w), w))
-    return f"(?i){_LEAD}(" + "|".join(words) + ")"

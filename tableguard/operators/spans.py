@@ -16,11 +16,7 @@ from pyspark.sql import types as T
 
 from tableguard.plans.layout import spread
 from tableguard.functions.pii_labels import DEFAULT_THRESHOLD, GROUP_OF, validate_labels
-from functools import reduce
-
 from tableguard.functions.pii_patterns import (
-    keyword_index,
-    word_hints,
     SCORE_CHECK_FAIL,
     SCORE_CHECK_PASS,
     Detector,
@@ -72,18 +68,12 @@ def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None
     text = F.col(text_col)
     if not dets:
         return df.withColumn(out_col, F.array().cast(SPAN_ARRAY))
-    # lower-cased text (pattern hints) and the context keywords found at a word
-    # boundary (one regex pass), each computed once
-    kw_pattern = keyword_index()
-    lowered = df.select("*", F.lower(text).alias("__lt"),
-                        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(kw_pattern), F.lit(1)),
-                                                     F.lower)).alias("__kw"))
+    # lower-cased text once, for the hint shortcuts of every detector
+    lowered = df.select("*", F.lower(text).alias("__lt"))
     mcols = [f"__m{i}" for i in range(len(dets))]
-    staged = lowered.select("*", *[(keyword_gated(F.col("__kw"), d, F.regexp_extract_all(
-                                        text, F.lit(d.pattern), F.lit(0)), F.array().cast("array<string>"))
-                                    if d.kind == "C" else
-                                    gated(F.col("__lt"), d, F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
-                                          F.array().cast("array<string>"))).alias(t)
+    staged = lowered.select("*", *[gated(F.col("__lt"), d,
+                                         F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
+                                         F.array().cast("array<string>")).alias(t)
                                    for t, d in zip(mcols, dets)])
     vcols = {i: f"__v{i}" for i, d in enumerate(dets) if d.group}
     staged = staged.select("*", *[
@@ -124,7 +114,7 @@ def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None
     nonempty = F.filter(per_det, lambda x: F.size(x["ms"]) > 0)
     spans = F.flatten(F.transform(nonempty, det_spans))
     return staged.withColumn(out_col, F.when(text.isNull(), F.array().cast(SPAN_ARRAY))
-                             .otherwise(spans)).drop("__lt", "__kw", *mcols, *vcols.values())
+                             .otherwise(spans)).drop("__lt", *mcols, *vcols.values())
 
 
 def gated(lowered: Column, d: Detector, value: Column, otherwise: Column) -> Column:
@@ -142,17 +132,6 @@ def gated(lowered: Column, d: Detector, value: Column, otherwise: Column) -> Col
     return F.when(cond, value).otherwise(otherwise)
 
 
-def keyword_gated(found: Column, d: Detector, value: Column, otherwise: Column) -> Column:
-    """``value`` only where one of the context detector's keywords was found at a
-    word boundary (``found`` holds the longest keyword matched at each spot, so
-    a shorter keyword shows up as its prefix)."""
-    words = word_hints(d)
-    if not words:
-        return value
-    cond = F.exists(found, lambda f: reduce(lambda a, b: a | b, [f.startswith(w) for w in words]))
-    return F.when(cond, value).otherwise(otherwise)
-
-
 def relax_constraint_propagation(spark) -> None:
     """Turn off Catalyst constraint propagation for this session.
 
