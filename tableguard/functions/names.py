@@ -101,6 +101,19 @@ def name_matches(name: Column, flt: Column, mode: str, glob_regex: tuple[Column,
     return F.regexp_like(nc, rc) | F.regexp_like(nl, rl)
 
 
-def name_distance(name: Column, flt: Column) -> Column:
-    """min(levenshtein of canonical names, levenshtein of leaves)."""
-    return F.least(F.levenshtein(flt["canonical"], name["canonical"]), F.levenshtein(flt["leaf"], name["leaf"]))
+def name_distance(name: Column, flt: Column, threshold: int | None = None) -> Column:
+    """min(levenshtein of canonical names, levenshtein of leaves).
+
+    With ``threshold`` each distance stops early once it exceeds the
+    threshold; such pairs get ``threshold + 1`` (callers keep ``<= threshold``).
+    """
+    if threshold is None:
+        return F.least(F.levenshtein(flt["canonical"], name["canonical"]),
+                       F.levenshtein(flt["leaf"], name["leaf"]))
+    far = F.lit(threshold + 1)
+
+    def lev(a, b):
+        d = F.levenshtein(a, b, threshold)
+        return F.when(d < 0, far).otherwise(d)
+
+    return F.least(lev(flt["canonical"], name["canonical"]), lev(flt["leaf"], name["leaf"]))

@@ -152,7 +152,7 @@ def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: Dat
                        F.monotonically_increasing_id().alias("__tid"))
     pairs = _candidates(n, t, max_distance)
     scored = pairs.select("target", "name", "type", F.col("__n.canonical").alias("normalized_name"),
-                          name_distance(F.col("__n"), F.col("__f")).alias("score"), "__tid")
+                          name_distance(F.col("__n"), F.col("__f"), max_distance).alias("score"), "__tid")
     scored = scored.where(F.col("score") <= max_distance)
     w = Window.partitionBy("__tid").orderBy("score", "type", "name")
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -189,7 +189,7 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
     while True:
         pairs = _candidates(n, pending, band)
         scored = pairs.select("__tid", "name", "type", F.col("__n.canonical").alias("normalized_name"),
-                              name_distance(F.col("__n"), F.col("__f")).alias("score")).where(
+                              name_distance(F.col("__n"), F.col("__f"), band).alias("score")).where(
             F.col("score") <= band)
         w = Window.partitionBy("__tid").orderBy("score", "type", "name")
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint(eager=True)
