@@ -69,3 +69,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def cluster_settings(total_cores: int, input_bytes: int, target_partition_bytes: int = 128 << 20) -> dict:
+    """Settings for a large cluster run, sized from the cores and the input.
+
+    * scans split at ``target_partition_bytes`` (128 MB), so a task's text fits
+      in executor memory with room for the regex arrays built per row;
+    * shuffles start with enough partitions for both the cores (3 waves) and
+      the data (one target size each); AQE then coalesces small ones and
+      splits skewed ones (a hot key, a hot source) at run time;
+    * a broadcast is never chosen from estimates above 64 MB.
+    """
+    by_data = max(1, input_bytes // target_partition_bytes)
+    parts = max(3 * total_cores, by_data)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.constraintPropagation.enabled": "false",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_cluster_settings(spark: SparkSession, total_cores: int, input_bytes: int) -> dict:
+    """Apply :func:`cluster_settings` for keys the session does not set yet."""
+    applied = {}
+    for k, v in cluster_settings(total_cores, input_bytes).items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+            applied[k] = v
+    ensure_checkpoint_dir(spark)
+    return applied

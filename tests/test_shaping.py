@@ -44,3 +44,13 @@ def test_batches_brute_force(spark):
         per = max(1, 1500 // max(1, -(-total // len(rs))))
         for i, r in enumerate(rs):
             assert got[(k, r.turn)] == (i // per if total > 1800 else 0)
+
+
+def test_cluster_settings_scale_with_input():
+    from tableguard.session import cluster_settings
+
+    small = cluster_settings(8, 10 << 20)
+    big = cluster_settings(8000, 100 << 40)           # 1000 executors x 8 cores, 100 TB
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
