@@ -72,8 +72,14 @@ def check_statement(stmt: str) -> None:
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Validate one statement, then run it with ``spark.sql`` (lazily)."""
     check_statement(sql)
+    # SQL on raw file paths is refused while this statement is analysed
+    # (spark.sql analyses eagerly); the caller's setting is restored after.
+    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", before)
 
 
 def script_statements(spark: SparkSession, script: str) -> list[str]:

@@ -160,3 +160,11 @@ PIECES = ["SELECT ", "a", " ", ";", "'", "''", '"', '""', "\\", "--", "#", "/*",
 @given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
 def test_property_split_matches_straight_line(spark, script):
     assert _split(spark, [script]).get(0, []) == straight_split(script)
+
+
+def test_guard_refuses_file_sql_and_restores_setting(spark):
+    path = "/root/testdata/sf0.001/nation.parquet"
+    with pytest.raises(Exception):
+        guarded_sql(spark, f"SELECT * FROM parquet.`{path}` LIMIT 1")
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+    assert spark.sql(f"SELECT count(*) AS n FROM parquet.`{path}`").first().n == 25
