@@ -76,15 +76,19 @@ def foreign_key_check(child: DataFrame, child_cols: list[str], parent: DataFrame
                       parent_cols: list[str]) -> DataFrame:
     """``(rows, orphans)``: child rows whose non-null key has no parent row.
 
-    Child keys are counted first (a hot foreign-key value becomes one row per
-    task), so the anti-join sees each distinct key once and cannot skew.
+    One scan of the child: rows are counted per key value (nulls included, a
+    hot value becomes one partial row per task), so the anti-join sees each
+    distinct key once and cannot skew; the total row count comes from the same
+    grouped rows.
     """
-    keyed = (child.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_cols]))
-             .groupBy(*child_cols).agg(F.count(F.lit(1)).alias("__n")))
+    keyed = child.groupBy(*child_cols).agg(F.count(F.lit(1)).alias("__n"))
+    not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_cols])
     pk = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, child_cols)]).distinct()
-    orphans = keyed.join(pk, child_cols, "left_anti").agg(F.sum("__n").cast("long").alias("orphans"))
-    rows = child.agg(F.count(F.lit(1)).alias("rows"))
-    return rows.crossJoin(orphans).select("rows", F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
+    orphans = (keyed.where(not_null).join(pk, child_cols, "left_anti")
+               .agg(F.sum("__n").cast("long").alias("orphans")))
+    rows = keyed.agg(F.sum("__n").cast("long").alias("rows"))
+    return rows.crossJoin(orphans).select(F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+                                          F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
 
 
 def check_rows(df: DataFrame, checks: dict[str, str]) -> DataFrame:
