@@ -1,6 +1,6 @@
 """Run a registered query in Spark and its oracle SQL in DuckDB, then compare.
 
-Mirrors the driver's check: same row count, same column names, and the same
+Mirrors the driver's check: same row count, same column names and types, and the same
 multiset of rows once columns are sorted by name.  Usage::
 
     python tests/oracle_harness.py [key ...]      # default: every key
@@ -58,6 +58,12 @@ def _norm(v):
     return v
 
 
+# Spark type -> DuckDB type name, for the schema part of the comparison
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+                 "float": "FLOAT", "array<string>": "VARCHAR[]"}
+
+
 def _rows(columns, records):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_norm(r[i]) for i in order) for r in records]
@@ -96,6 +102,13 @@ def compare(spark, key: str, sf_dir: str, con=None, verbose: bool = True) -> dic
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"columns differ: spark={sorted(s_cols)} oracle={sorted(d_cols)}"
         return res
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
+    rel = con.sql(ORACLES[key]())
+    d_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    if s_types != d_types:
+        res["status"] = f"types differ: spark={s_types} oracle={d_types}"
+        return res
     a, b = _rows(s_cols, s_recs), _rows(d_cols, d_recs)
     if len(a) != len(b):
         res["status"] = "row count differs"
