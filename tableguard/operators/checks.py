@@ -83,12 +83,15 @@ def foreign_key_check(child: DataFrame, child_cols: list[str], parent: DataFrame
     """
     keyed = child.groupBy(*child_cols).agg(F.count(F.lit(1)).alias("__n"))
     not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_cols])
-    pk = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, child_cols)]).distinct()
-    orphans = (keyed.where(not_null).join(pk, child_cols, "left_anti")
-               .agg(F.sum("__n").cast("long").alias("orphans")))
-    rows = keyed.agg(F.sum("__n").cast("long").alias("rows"))
-    return rows.crossJoin(orphans).select(F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
-                                          F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
+    pk = (parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, child_cols)]).distinct()
+          .withColumn("__hit", F.lit(True)))
+    # a left join keeps null keys and unmatched keys; one aggregate gives both
+    # totals, so the child is read once
+    joined = keyed.join(pk, child_cols, "left")
+    orphan = not_null & F.col("__hit").isNull()
+    return joined.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
+                      F.coalesce(F.sum(F.when(orphan, F.col("__n")).otherwise(0)), F.lit(0)).cast("long")
+                      .alias("orphans"))
 
 
 def check_rows(df: DataFrame, checks: dict[str, str]) -> DataFrame:
