@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableguard.llm import jump_shards
+from tableguard.llm import jump_shards, simhash
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate group of every document."""
+    groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_bits=4)
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in shards 0 to 23 by jump hash of its id."""
     return jump_shards.document_shards(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op2_simhash_pivots": op2_simhash_pivots,
     "op5_jump_shards": op5_jump_shards,
 }
 
