@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableguard.llm import jump_shards, simhash
+from tableguard.llm import jump_shards, simhash, warc
+from tableguard.llm.common import shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +27,27 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = shared_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, min_bytes=1000)
+    records = warc.read_archives(spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op5_jump_shards": op5_jump_shards,
+    "op10_warc_zstd": op10_warc_zstd,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc_zstd": """
+        WITH p AS (
+          SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+        FROM r""",
+}
