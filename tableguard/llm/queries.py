@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tableguard.llm import jump_shards, simhash, warc
+from tableguard.llm import jump_shards, phrase_index, simhash, warc
 from tableguard.llm.common import shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,13 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words found in every document."""
+    found = phrase_index.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     path = shared_path(spark, "warc")
@@ -38,6 +46,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op5_jump_shards": op5_jump_shards,
+    "op7_phrase_index": op7_phrase_index,
     "op10_warc_zstd": op10_warc_zstd,
 }
 

@@ -267,8 +267,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     best = counted.groupBy("root").agg(F.min(F.struct(
         F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash", "n")).alias("best"))
     best = best.select(F.col("best.id").alias("_keep_id"), F.col("best.text_hash").alias("_keep_hash"), F.col("best.n").alias("_keep_n"))
-    rows = docs.withColumn("_row_hash", F.xxhash64(text_col))
-    rows = rows.join(best, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_row_hash") == F.col("_keep_hash")))
-    once = rows.filter("_keep_n = 1").select(*docs.columns)
-    again = rows.filter("_keep_n > 1").dropDuplicates([id_col, "_row_hash"]).select(*docs.columns)
-    return once.unionByName(again)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    rows = rows.join(best, F.col("id").eqNullSafe(F.col("_keep_id")) & (F.col("hash") == F.col("_keep_hash")))
+    again = rows.filter("_keep_n > 1").dropDuplicates(["id", "hash"])
+    return rows.filter("_keep_n = 1").select("row.*").unionByName(again.select("row.*"))

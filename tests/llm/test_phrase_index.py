@@ -1,0 +1,105 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tableguard.llm import phrase_index, queries
+from tests.llm.helpers import documents, empty_documents, prose, write_tables
+
+
+def plain_words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def by_hand(docs, items, size=10):
+    out = []
+    for doc, text in docs:
+        words, hit, found = plain_words(text), set(), set()
+        for item, t in items:
+            w = plain_words(t)
+            for i in range(max(1, len(w) - size + 1) if w else 0):
+                window = w[i:i + size]
+                for at in range(len(words) - len(window) + 1):
+                    if words[at:at + len(window)] == window:
+                        hit.update(range(at, at + len(window)))
+                        found.add(str(item))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc, len(words), len(hit), len(found), digest, bool(hit)))
+    return out
+
+
+def fixture(seed=2):
+    rng = random.Random(seed)
+    items = [(i, prose(rng, rng.randint(8, 30))) for i in range(1, 25)]
+    items += [(30, None), (31, " ,;"), (32, "rare"), (33, "the the the the the the the the the the the"), (34, items[3][1]), (35, "É é ü Ü"), (3, "again three")]
+    docs = [None, "", "...", "rare", "RARE, words; rare", "the " * 40, "x é É ü Ü y É É ü Ü", "again-three", prose(rng, 5000)]
+    for i in range(30):
+        words = prose(rng, rng.randint(0, 60)).split()
+        item = plain_words(rng.choice(items[:24])[1])
+        cut = rng.randint(0, len(item))
+        at = rng.randint(0, len(words))
+        docs.append(rng.choice([" ", ", ", "\n--"]).join(words[:at] + item[cut:] + item[:rng.choice([0, 9, 12])] + words[at:]))
+    docs += [items[0][1].upper(), items[1][1], items[1][1], items[2][1] + " " + items[3][1]]
+    return docs, items
+
+
+def test_query_matches_trying_every_position(spark, tmp_path):
+    docs, items = fixture()
+    frame = documents(spark, docs).repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    folder = write_tables({"documents": frame, "benchmark": bench}, tmp_path)
+    got = queries.QUERIES["op7_phrase_index"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(by_hand([(i + 1, t) for i, t in enumerate(docs)], items))
+
+
+@pytest.mark.parametrize("segment_tokens,block_terms", [(1, 10), (40, 100), (1 << 18, 1)])
+def test_segments_and_blocks_of_any_size_agree(spark, tmp_path, segment_tokens, block_terms):
+    docs, items = fixture(5)
+    docs, items = docs[:9] + docs[-12:], items[:3] + items[-8:]
+    path = f"{tmp_path}/index"
+    phrase_index.write_index(documents(spark, docs), path, segment_tokens=segment_tokens)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = phrase_index.search(spark, path, bench, block_terms=max(block_terms, 60)).collect()
+    got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), len(r["items"])) for r in found]
+    assert sorted(got) == [w[:4] for w in by_hand([(i + 1, t) for i, t in enumerate(docs)], items)]
+
+
+def test_small_pieces_of_long_lists(monkeypatch):
+    monkeypatch.setattr(phrase_index, "_PAIRS", 3)
+    memo = phrase_index._Hashes()
+    tokens = memo.of([b"a", b"b", b"a", b"a", b"b", b"c"] * 20)
+    seg = phrase_index.Segment(*phrase_index._segment(tokens, np.array([0, 60, 120])))
+    phrases = phrase_index.Phrases([memo.of(p) for p in ([b"a", b"b"], [b"b", b"c", b"a"], [b"z"], [b"c"])], [["1"]] * 4)
+    p, s = phrase_index.exact_matches(seg, phrases)
+    want = [(0, i) for i in range(119) if [(b"a", b"b")] == [tuple([b"a", b"b", b"a", b"a", b"b", b"c"][(i + k) % 6] for k in range(2))]]
+    want += [(1, i) for i in range(4, 118, 6) if i != 58] + [(3, i) for i in range(5, 120, 6)]
+    assert sorted(zip(p.tolist(), s.tolist())) == sorted(want)
+
+
+def test_proximity(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    phrase_index.write_index(documents(spark, ["alpha x beta y gamma", "gamma beta alpha", "alpha " + "x " * 9 + "beta gamma", "alpha beta"]), path)
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
+    near = {r.doc_id for r in phrase_index.search(spark, path, bench, slop=2).collect() if r["items"]}
+    exact = {r.doc_id for r in phrase_index.search(spark, path, bench).collect() if r["items"]}
+    assert near == {1, 2} and exact == set()
+
+
+def test_empty_tables(spark, tmp_path):
+    bench = spark.createDataFrame([], "item_id bigint, text string")
+    docs = documents(spark, ["some text", None])
+    assert [r.n_hit for r in phrase_index.decontaminate(spark, docs, bench).collect()] == [0, 0]
+    assert phrase_index.decontaminate(spark, empty_documents(spark), bench).count() == 0
+
+
+def test_keep_clean_drops_hit_rows_only(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = documents(spark, [(1, text), (1, "clean words"), (None, text), (None, None), (2, "clean"), (2, "clean")])
+    docs = docs.selectExpr("*", "1 AS h", "2 AS i", "3 AS row", "4 AS hash", "5 AS key")
+    bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    kept = phrase_index.keep_clean(spark, docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, "clean words"), (2, "clean"), (2, "clean")]
