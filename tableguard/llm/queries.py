@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import jump_shards, phrase_index, simhash, warc
+from tableguard.llm import jump_shards, phrase_index, secrets, simhash, warc
 from tableguard.llm.common import shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; values that few owners hold are live."""
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     path = shared_path(spark, "warc")
@@ -47,6 +52,7 @@ QUERIES: dict[str, QueryFn] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op5_jump_shards": op5_jump_shards,
     "op7_phrase_index": op7_phrase_index,
+    "op9_secret_owners": op9_secret_owners,
     "op10_warc_zstd": op10_warc_zstd,
 }
 
