@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import jump_shards, phrase_index, secrets, simhash, warc
+from tableguard.llm import bpe, jump_shards, phrase_index, secrets, simhash, warc
 from tableguard.llm.common import shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,12 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests."""
+    rows = bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in shards 0 to 23 by jump hash of its id."""
     return jump_shards.document_shards(_table(spark, sf_dir, "documents"))
@@ -50,6 +57,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op4_speculative_bpe": op4_speculative_bpe,
     "op5_jump_shards": op5_jump_shards,
     "op7_phrase_index": op7_phrase_index,
     "op9_secret_owners": op9_secret_owners,
