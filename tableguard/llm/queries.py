@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import bpe, jump_shards, phrase_index, secrets, simhash, warc
-from tableguard.llm.common import shared_path
+from tableguard.llm import bpe, jump_shards, language, phrase_index, secrets, simhash, warc
+from tableguard.llm.common import crc_mod, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op6_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    found = language.identify(docs, language.train(docs.filter(~held_out).select("lang", "text")))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words found in every document."""
     found = phrase_index.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
@@ -59,6 +67,7 @@ QUERIES: dict[str, QueryFn] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_jump_shards": op5_jump_shards,
+    "op6_ecoc_language": op6_ecoc_language,
     "op7_phrase_index": op7_phrase_index,
     "op9_secret_owners": op9_secret_owners,
     "op10_warc_zstd": op10_warc_zstd,
