@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import bpe, jump_shards, language, phrase_index, secrets, simhash, warc
+from tableguard.llm import bottom_k, bpe, jump_shards, language, phrase_index, secrets, simhash, warc
 from tableguard.llm.common import crc_mod, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketch of every document and of its edited text."""
+    rows = bottom_k.compare_with_next(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", bottom_k.as_text(F.col("sketch")).alias("fingerprint"),
+                       bottom_k.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of every document, as digests."""
     rows = bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -65,6 +72,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_bottom_k": op3_bottom_k,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_jump_shards": op5_jump_shards,
     "op6_ecoc_language": op6_ecoc_language,
