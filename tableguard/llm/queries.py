@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import bottom_k, bpe, jump_shards, language, phrase_index, secrets, simhash, warc
+from tableguard.llm import bottom_k, bpe, jump_shards, language, phrase_index, ppm, secrets, simhash, warc
 from tableguard.llm.common import crc_mod, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,13 @@ def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by a pretrained PPM model, and a unigram base."""
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    rows = ppm.score_documents(_table(spark, sf_dir, "documents"), ~held_out)
+    return rows.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; values that few owners hold are live."""
     return secrets.digest(_table(spark, sf_dir, "documents"))
@@ -77,6 +84,7 @@ QUERIES: dict[str, QueryFn] = {
     "op5_jump_shards": op5_jump_shards,
     "op6_ecoc_language": op6_ecoc_language,
     "op7_phrase_index": op7_phrase_index,
+    "op8_ppm_score": op8_ppm_score,
     "op9_secret_owners": op9_secret_owners,
     "op10_warc_zstd": op10_warc_zstd,
 }
