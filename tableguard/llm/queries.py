@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import bottom_k, bpe, jump_shards, language, phrase_index, ppm, secrets, simhash, warc
+from tableguard.llm import bottom_k, bpe, jump_shards, language, perspectives, phrase_index, ppm, secrets, simhash, warc
 from tableguard.llm.common import crc_mod, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered from every participant's perspective."""
+    rows = perspectives.render(_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["end"] - m["start"])
+    return rows.select("conv_id", "perspective", "part", "start", "n_messages", "text", mask.alias("mask"), masked.alias("n_masked"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate group of every document."""
     groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_bits=4)
@@ -78,6 +86,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_perspective_chat": op1_perspective_chat,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_bottom_k": op3_bottom_k,
     "op4_speculative_bpe": op4_speculative_bpe,
@@ -90,6 +99,27 @@ QUERIES: dict[str, QueryFn] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_perspective_chat": """
+        WITH m AS (
+          SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+        ), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'
+        ), e AS (
+          SELECT m.*, p.perspective, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = p.perspective THEN 'assistant'
+                 ELSE 'user name=' || regexp_replace(speaker, '[\\x00-\\x20<|>]', '_', 'g') END || chr(10) AS header
+          FROM m JOIN people p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
+        ), s AS (SELECT *, header || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM e
+        ), r AS (
+          SELECT *, sum(length(segment)) OVER w AS stop, row_number() OVER w AS message FROM s
+          WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, sha256(text) ROWS UNBOUNDED PRECEDING)
+        ), b AS (SELECT *, stop - length(segment) AS begins FROM r
+        ), q AS (SELECT *, CAST(begins // 65536 AS BIGINT) AS part FROM b
+        ), f AS (SELECT *, min(begins) OVER (PARTITION BY conv_id, perspective, part) AS base FROM q)
+        SELECT conv_id, perspective, part, CAST(min(begins) AS BIGINT) AS start, count(*) AS n_messages,
+               string_agg(segment, '' ORDER BY message) AS text,
+               coalesce(string_agg(CAST(begins + length(header) - base AS VARCHAR) || ':' || CAST(stop - 1 - base AS VARCHAR), ',' ORDER BY message)
+                        FILTER (WHERE speaker = perspective), '') AS mask,
+               CAST(coalesce(sum(length(segment) - length(header) - 1) FILTER (WHERE speaker = perspective), 0) AS BIGINT) AS n_masked
+        FROM f GROUP BY conv_id, perspective, part""",
     "op10_warc_zstd": """
         WITH p AS (
           SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
