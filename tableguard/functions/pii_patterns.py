@@ -11,6 +11,10 @@ A context detector's value is capture group 1 and is always a *suffix* of the
 whole match; its span starts ``len(match) - len(value)`` characters into the
 match.  Scores are our own scale: pattern 0.9, context 0.8, dictionary 0.7,
 checksum pass 1.0, checksum fail 0.3 (below the 0.6 default threshold).
+
+Values of open length have no upper bound in their pattern: a match never ends
+inside a value, so no tail of a long value stays behind.  A run of name characters
+before an ``@`` is only tried where it begins, so long runs cost one pass.
 """
 
 from __future__ import annotations
@@ -24,18 +28,9 @@ class Detector:
     kind: str            # "P" or "C"
     pattern: str
     group: int = 0       # 0: whole match is the span; 1: suffix value group
-    check: str | None = None   # "luhn" or "alnum" (letters and digits)
-    prefix: str | None = None  # context detectors: the keyword part, kept on redaction
+    check: str | None = None   # "card", "imei" or "vin"
     hints: tuple = ()          # lower-case substrings; a match needs one of them
 
-
-    def chain_pattern(self) -> str:
-        """Pattern for ``regexp_replace``: group 1 is kept, the rest replaced."""
-        if self.group == 0:
-            return self.pattern
-        value = self.pattern[len("(?i)") + len(self.prefix):]
-        return f"(?i)({self.prefix}){value}"
-
     @property
     def score(self) -> float:
         return 0.9 if self.kind == "P" else 0.8
@@ -55,7 +50,7 @@ def _ctx(label: str, keywords: str, value: str, strict: bool = False,
          check: str | None = None) -> Detector:
     sep = _SEP_STRICT if strict else _SEP
     prefix = f"{_LEAD}(?:{keywords}){_NUM}{sep}"
-    return Detector(label, "C", f"(?i){prefix}({value})", 1, check, prefix, _keyword_hints(keywords))
+    return Detector(label, "C", f"(?i){prefix}({value})", 1, check, _keyword_hints(keywords))
 
 
 def _keyword_hints(keywords: str) -> tuple:
@@ -101,15 +96,14 @@ _DATE_ISO = r"[0-9]{4}-[0-1][0-9]-[0-3][0-9]"
 _DATE_SLASH = r"[0-3]?[0-9]/[0-3]?[0-9]/(?:[0-9]{4}|[0-9]{2})"
 _TIME = r"[0-2]?[0-9]:[0-5][0-9](?::[0-5][0-9])?"
 
-# Order matters twice: it is the order of the redaction chain (earlier wins on
-# overlapping text) and the listing order of spans.
+# The listing order of spans.
 DETECTORS: list[Detector] = [
     Detector("url", "P", r"(?:https?|ftp)://[^ \t\r\n<>\"'`]+", hints=("://",)),
-    Detector("email", "P", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", hints=("@",)),
+    Detector("email", "P", r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,})", 1, hints=("@",)),
     Detector("date_time", "P", _DATE_ISO + r"[T ]" + _TIME + r"(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?", hints=(":",)),
     Detector("iban", "P", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
     Detector("credit_debit_card", "P",
-             r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{13,19}", 0, "luhn"),
+             r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{13,}", 0, "card"),
     Detector("ipv6", "P", f"(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?:{_HEX}{{1,4}}:){{1,6}}:(?:{_HEX}{{1,4}}:){{0,5}}{_HEX}{{1,4}}", hints=(":",)),
     Detector("mac_address", "P", f"{_HEX}{{2}}(?:[:-]{_HEX}{{2}}){{5}}"),
     Detector("ipv4", "P", f"(?:{_OCTET}\\.){{3}}{_OCTET}"),
@@ -119,48 +113,48 @@ DETECTORS: list[Detector] = [
     Detector("street_address", "P",
              r"[0-9]{1,5}(?: [A-Z][a-z]+){1,3} (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd"
              r"|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Terrace|Square|Sq)\.?"),
-    Detector("po_box", "P", r"(?i)P\.? ?O\.? ?Box [0-9]{1,8}", hints=("box",)),
+    Detector("po_box", "P", r"(?i)P\.? ?O\.? ?Box [0-9]+", hints=("box",)),
     Detector("coordinate", "P", r"[+-]?[0-9]{1,2}\.[0-9]{4,}, ?[+-]?[0-9]{1,3}\.[0-9]{4,}"),
-    Detector("vehicle_identifier", "P", r"[A-HJ-NPR-Z0-9]{17}", 0, "alnum"),
-    Detector("api_key", "P", r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}",
+    Detector("vehicle_identifier", "P", r"[A-HJ-NPR-Z0-9]{17,}", 0, "vin"),
+    Detector("api_key", "P", r"AKIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{32,}",
              hints=("akia", "_", "sk-")),
     # context detectors: keyword, optional separator, value
     _ctx("secret_key", r"secret|secret[_ -]?key|client[_ -]?secret|token|auth[_ -]?token"
          r"|access[_ -]?token|private[_ -]?key", r"[A-Za-z0-9_/+.-]{16,}", strict=True),
     _ctx("api_key", r"api[_ -]?key|apikey|access[_ -]?key", r"[A-Za-z0-9_/+.-]{16,}", strict=True),
-    _ctx("password", r"password|passwd|pwd", r"[^ \t\r\n\"']{4,64}", strict=True),
-    _ctx("user_name", r"username|user[_ -]name|login|user", r"[A-Za-z0-9._@-]{3,32}", strict=True),
+    _ctx("password", r"password|passwd|pwd", r"[^ \t\r\n\"']{4,}", strict=True),
+    _ctx("user_name", r"username|user[_ -]name|login|user", r"[A-Za-z0-9._@-]{3,}", strict=True),
     _ctx("date_of_birth", r"date of birth|birth ?date|dob|born on", f"{_DATE_ISO}|{_DATE_SLASH}"),
-    _ctx("age", r"age|aged", r"[0-9]{1,3}"),
-    _ctx("cvv", r"cvv2?|cvc2?|security code", r"[0-9]{3,4}"),
-    _ctx("bank_routing_number", r"routing|aba|rtn", r"[0-9]{9}"),
-    _ctx("account_number", r"account|acct\.?", r"[0-9]{6,17}"),
+    _ctx("age", r"age|aged", r"[0-9]+"),
+    _ctx("cvv", r"cvv2?|cvc2?|security code", r"[0-9]{3,}"),
+    _ctx("bank_routing_number", r"routing|aba|rtn", r"[0-9]{9,}"),
+    _ctx("account_number", r"account|acct\.?", r"[0-9]{6,}"),
     _ctx("swift_bic", r"swift(?: code)?|bic", r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?"),
-    _ctx("pin", r"pin(?: code)?", r"[0-9]{4,6}"),
-    _ctx("tax_id", r"tax(?: id)?|tin|itin", r"[0-9]{2,3}-?[0-9]{2}-?[0-9]{4,7}"),
-    _ctx("ein", r"ein|employer identification", r"[0-9]{2}-[0-9]{7}"),
-    _ctx("passport_number", r"passport", r"[A-Z0-9]{6,9}"),
-    _ctx("driver_license", r"driver'?s? licen[cs]e|dl", r"[A-Z0-9-]{5,15}"),
-    _ctx("license_plate", r"license plate|plate", r"[A-Z0-9-]{2,8}"),
-    _ctx("national_id", r"national id|nino|nin|identity", r"[A-Z0-9-]{5,20}"),
-    _ctx("voter_id", r"voter(?: id)?|voter registration", r"[A-Z0-9-]{5,15}"),
+    _ctx("pin", r"pin(?: code)?", r"[0-9]{4,}"),
+    _ctx("tax_id", r"tax(?: id)?|tin|itin", r"[0-9]{2,3}-?[0-9]{2}-?[0-9]{4,}"),
+    _ctx("ein", r"ein|employer identification", r"[0-9]{2}-[0-9]{7,}"),
+    _ctx("passport_number", r"passport", r"[A-Z0-9]{6,}"),
+    _ctx("driver_license", r"driver'?s? licen[cs]e|dl", r"[A-Z0-9-]{5,}"),
+    _ctx("license_plate", r"license plate|plate", r"[A-Z0-9-]{2,}"),
+    _ctx("national_id", r"national id|nino|nin|identity", r"[A-Z0-9-]{5,}"),
+    _ctx("voter_id", r"voter(?: id)?|voter registration", r"[A-Z0-9-]{5,}"),
     _ctx("device_identifier", r"device(?: id| identifier)?|udid|android id|idfa",
-         r"[A-Za-z0-9-]{8,40}", strict=True),
-    _ctx("imei", r"imei", r"[0-9]{15}", check="luhn"),
-    _ctx("serial_number", r"serial|s/n", r"[A-Z0-9-]{5,25}"),
-    _ctx("medical_record_number", r"mrn|medical record", r"[A-Z0-9-]{5,15}"),
+         r"[A-Za-z0-9-]{8,}", strict=True),
+    _ctx("imei", r"imei", r"[0-9]{15,}", check="imei"),
+    _ctx("serial_number", r"serial|s/n", r"[A-Z0-9-]{5,}"),
+    _ctx("medical_record_number", r"mrn|medical record", r"[A-Z0-9-]{5,}"),
     _ctx("health_plan_beneficiary_number", r"health plan(?: beneficiary)?|beneficiary|member",
-         r"[A-Z0-9-]{5,20}"),
+         r"[A-Z0-9-]{5,}"),
     _ctx("blood_type", r"blood (?:type|group)", r"AB[+-]|A[+-]|B[+-]|O[+-]"),
     _ctx("biometric_identifier", r"fingerprint|biometric|retina|iris scan",
          r"[A-Za-z0-9+/=-]{8,}", strict=True),
-    _ctx("insurance_policy_number", r"policy|insurance", r"[A-Z0-9-]{5,20}"),
+    _ctx("insurance_policy_number", r"policy|insurance", r"[A-Z0-9-]{5,}"),
     _ctx("zip_code", r"zip(?: code)?|postal code|postcode",
-         r"[0-9]{5}(?:-[0-9]{4})?|[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]"),
-    _ctx("employee_id", r"employee|emp|staff", r"[A-Z0-9-]{3,15}", strict=True),
-    _ctx("customer_id", r"customer|client", r"[A-Z0-9-]{3,20}", strict=True),
-    _ctx("certificate_license_number", r"certificate|license|licence", r"[A-Z0-9-]{4,20}", strict=True),
-    # plain dates and times last, so longer date-times win in the chain
+         r"[0-9]{5,}(?:-[0-9]{4,})?|[A-Z][0-9][A-Z] ?[0-9][A-Z][0-9]"),
+    _ctx("employee_id", r"employee|emp|staff", r"[A-Z0-9-]{3,}", strict=True),
+    _ctx("customer_id", r"customer|client", r"[A-Z0-9-]{3,}", strict=True),
+    _ctx("certificate_license_number", r"certificate|license|licence", r"[A-Z0-9-]{4,}", strict=True),
+    # plain dates and times
     Detector("date", "P", f"{_DATE_ISO}|{_DATE_SLASH}"),
     Detector("time", "P", _TIME + r"(?: ?[AaPp][Mm])?", hints=(":",)),
 ]

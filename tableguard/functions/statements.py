@@ -26,10 +26,10 @@ TRIM_CHARS = " \t\n\r\x00\x0b"
 # string (doubled quote or backslash escapes inside; may run to the end), a
 # line comment (-- or #, with its newline), a block comment (may run to the
 # end), a statement separator, a run of characters that start none of these,
-# or any other single character.  Java and RE2
-# read it the same way.
-TOKEN_RE = (r"(?s)(?:\\.|'(?:\\.|''|[^'\\])*'?|\"(?:\\.|\"\"|[^\"\\])*\"?|--[^\n]*\n?|#[^\n]*\n?"
-            r"|/\*.*?(?:\*/|\z)|;|[^'\"\\;#/-]+|.)")
+# or any other single character.  Runs and possessive loops keep Java's matcher
+# from recursing once per character, so literals may be of any length.
+TOKEN_RE = (r"(?s)(?:\\.|'(?:[^'\\]++|\\.|'')*+'?|\"(?:[^\"\\]++|\\.|\"\")*+\"?|--[^\n]*+\n?|#[^\n]*+\n?"
+            r"|/\*.*?(?:\*/|\z)|;|[^'\"\\;#/-]++|.)")
 
 _NOT_WORD = "[^A-Za-z0-9_]"
 
@@ -58,7 +58,8 @@ def first_forbidden_keyword(stmt: Column) -> Column:
 
 
 _WS = r"[ \t\n\r\f\x0B]"
-SELECT_FROM_RE = f"(?s)SELECT{_WS}+(.*?){_WS}+FROM"
+# further white space falls into the group, which is only searched for stars
+SELECT_FROM_RE = f"(?s)SELECT{_WS}(.*?){_WS}FROM"
 
 
 def needs_limit(stmt: Column) -> Column:

@@ -17,13 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableguard.operators.spans import (
-    explode_rows,
-    filter_spans,
-    redact_spans,
-    with_spans,
-)
-from tableguard.plans.layout import spread
+from tableguard.operators.spans import explode_rows, redact_with_spans
 
 # --- fixed values: must equal the reference's chunking rules ---
 DEFAULT_MAX_LEN = 1800                 # characters per model chunk
@@ -34,8 +28,8 @@ KV_SEP = ": "
 WHITESPACE = " \n\t\r"
 # --- end of fixed values ---
 
-WINDOW_BEFORE = 100    # characters of the previous chunk a detector also sees
-WINDOW_AFTER = 200     # characters of the next chunk a detector also sees
+WINDOW_BEFORE = 100    # characters of the previous chunk a model also sees
+WINDOW_AFTER = 200     # characters of the next chunk a model also sees
 
 
 def _quote(s: str) -> str:
@@ -75,7 +69,7 @@ def _starts(chunks: Column) -> Column:
 def chunk_text(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,
                row_sep: str = ROW_SEP, col_sep: str = COL_SEP) -> DataFrame:
     """``(id, chunk_no, start, chunk)``, ``chunk_no`` from 0, ``start`` in characters."""
-    staged = spread(df.select(id_col, text_col)).select(
+    staged = df.select(id_col, text_col).select(
         id_col, chunk_array(F.col(text_col), max_len, row_sep, col_sep).alias("__c"))
     staged = staged.select(id_col, F.zip_with("__c", _starts(F.col("__c")),
                                               lambda c, s: F.struct(c.alias("chunk"), s.alias("start"))).alias("__z"))
@@ -102,22 +96,25 @@ def chunk_roundtrip(chunks: DataFrame, texts: DataFrame, id_col: str, text_col:
 
 def chunk_windows(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,
                   before: int = WINDOW_BEFORE, after: int = WINDOW_AFTER) -> DataFrame:
-    """``(id, chunk_no, start, clen, wstart, window)``: every chunk with context.
+    """``(id, chunk_no, start, clen, wstart, window, rest)``: every chunk with context.
 
     The window is the chunk plus ``before`` characters of the text ahead of it
     and ``after`` behind it, cut from the text inside its own row (no join).
+    ``rest`` is what follows the window up to the next blank: a value that touches
+    the window's end goes on there.
     """
     texts = df.select(id_col, text_col)
-    staged = spread(texts).select(id_col, text_col, chunk_array(F.col(text_col), max_len).alias("__c"))
+    staged = texts.select(id_col, text_col, chunk_array(F.col(text_col), max_len).alias("__c"))
     staged = staged.select(id_col, text_col, "__c", _starts(F.col("__c")).alias("__s"))
     text = F.col(text_col)
 
     def window(c, i):
         start = F.element_at(F.col("__s"), i + 1)
         ws = F.greatest(start - before, F.lit(0))
+        wend = start + F.char_length(c) + after
         return F.struct(i.alias("chunk_no"), start.alias("start"), F.char_length(c).alias("clen"),
-                        ws.alias("wstart"),
-                        F.substring(text, ws + 1, start - ws + F.char_length(c) + after).alias("window"))
+                        ws.alias("wstart"), F.substring(text, ws + 1, wend - ws).alias("window"),
+                        F.regexp_extract(F.substr(text, wend + 1), "^[^ \\t\\r\\n]*", 0).alias("rest"))
 
     per_row = staged.select(id_col, F.transform("__c", window).alias("__w"))
     return explode_rows(per_row, "__w", "w").select(id_col, "w.*")
@@ -125,29 +122,13 @@ def chunk_windows(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFA
 
 def redact_long_text(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,
                      labels=None, threshold: float = 0.6) -> DataFrame:
-    """Chunk, detect on each chunk's window, redact the original text.
-
-    Each chunk is looked at with ``WINDOW_BEFORE`` characters of the previous
-    chunk and ``WINDOW_AFTER`` of the next, so a value cut by a chunk edge is
-    still seen whole; a span belongs to the chunk it starts in.  Spans are
-    mapped back to text offsets and applied by :func:`redact_spans` (spans
-    grouped per id, joined back to the texts).  Offsets are characters
-    throughout.
+    """Redact texts of any length; ``max_len`` only matters to callers that chunk for a model.
+
+    The detectors read the whole cell, so a value that runs over chunk edges is seen
+    and hidden whole, and the result is that of :func:`redact_columns`.  Windows of
+    chunks (:func:`chunk_windows`) are for models, which cannot read a whole text.
     """
-    texts = df.select(id_col, text_col)
-    windows = chunk_windows(df, id_col, text_col, max_len)
-    # detect on the window rows themselves, so each span keeps its window's
-    # offsets at hand (no join back to the windows)
-    found = with_spans(windows, "window", "__sp", labels)
-    spans = explode_rows(found.select(id_col, "start", "clen", "wstart", "__sp"), "__sp", "s")
-    w_s, w_e = F.col("s.start"), F.col("s.end")
-    located = (spans.where((F.col("wstart") + w_s >= F.col("start"))
-                           & (F.col("wstart") + w_s < F.col("start") + F.col("clen")))
-               .select(id_col, (F.col("wstart") + w_s).alias("start"), (F.col("wstart") + w_e).alias("end"),
-                       F.col("s.label").alias("label"), F.col("s.score").alias("score"),
-                       F.col("s.value").alias("value")))
-    kept = filter_spans(located, threshold, labels)
-    return redact_spans(texts, id_col, text_col, kept)
+    return redact_with_spans(df.select(id_col, text_col), text_col, threshold, labels)
 
 
 __all__ = ["chunk_pattern", "chunk_array", "chunk_text", "chunk_roundtrip", "redact_long_text"]

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tableguard.functions.pii_patterns import SCORE_DICTIONARY
 from tableguard.operators.spans import explode_rows
 from tableguard.plans.joins import checked_broadcast
-from tableguard.plans.layout import spread
 
 WORD_RE = r"[\p{L}\p{M}\p{N}]+(?:['\-][\p{L}\p{M}\p{N}]+)*"
 _WS = r"[ \t\r\n]+"
@@ -42,7 +41,7 @@ def dictionary_spans(df: DataFrame, id_col: str, text_col: str, dictionary: Data
     if max_words == 0:
         return empty
     text = F.col(text_col)
-    words = spread(df.select(id_col, text_col)).select(
+    words = df.select(id_col, text_col).select(
         id_col, text_col, F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0)).alias("__w"))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
     bounds = F.aggregate(

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableguard.plans.joins import checked_broadcast
-from tableguard.plans.layout import spread
-
 # --- fixed values: must equal the reference's limits ---
 DEFAULT_LIMIT = 100        # latest rows shown; <= 0 means this
 PREVIEW_KEYS = 3           # context keys shown
@@ -39,7 +36,7 @@ def parse_log(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     null fields.  Blank lines are dropped.
     """
     line = F.col(line_col)
-    nonblank = (spread(df) if not df.isStreaming else df).where(F.btrim(line, F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
+    nonblank = df.where(F.btrim(line, F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
     valid = F.json_object_keys(line).isNotNull()
     parsed = nonblank.select(F.col(id_col).alias("id"), valid.alias("valid"),
                              F.from_json(line, LOG_SCHEMA).alias("__e"))
@@ -59,10 +56,18 @@ def latest_entries(parsed: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 
 def entry_by_id(parsed_all: DataFrame, line_id: int, line_count: int | None = None) -> DataFrame:
-    """One entry by its 1-based line id; out-of-range or invalid ids raise ``ValueError``."""
+    """One entry by its 1-based line id.
+
+    Out-of-range ids and lines that are no valid entry (broken or blank) raise
+    ``ValueError``; the line is looked up for that, one row.
+    """
     if line_id < 1 or (line_count is not None and line_id > line_count):
         raise ValueError(f"Invalid id {line_id}. Valid range is 1..{line_count}.")
-    return parsed_all.where(F.col("id") == F.lit(line_id))
+    entry = parsed_all.where(F.col("id") == F.lit(line_id))
+    row = entry.select("valid").first()
+    if row is None or not row["valid"]:
+        raise ValueError(f"Line {line_id} is not a valid JSON log entry.")
+    return entry
 
 
 def level_counts(parsed: DataFrame) -> DataFrame:
@@ -72,30 +77,54 @@ def level_counts(parsed: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("entries")))
 
 
+def _shown(value: Column, kind: Column) -> Column:
+    """A context value as text: true is 1, false nothing; strings bare, all else as JSON."""
+    return (F.when(kind == "BOOLEAN", F.when(value.cast("string") == "true", "1").otherwise(""))
+            .otherwise(F.coalesce(value.cast("string"), F.lit("null"))))
+
+
+def _cut_bytes(text: Column) -> Column:
+    """Longer than ``PREVIEW_MAX_BYTES`` bytes: the first ``PREVIEW_CUT``, then dots.
+
+    The cut counts bytes; a character cut in two shows as U+FFFD.
+    """
+    data = F.encode(text, "utf-8")
+    return F.when(F.octet_length(text) > PREVIEW_MAX_BYTES,
+                  F.concat(F.make_valid_utf8(F.substring(data, 1, PREVIEW_CUT).cast("string")), F.lit("..."))).otherwise(text)
+
+
 def context_preview(context: Column) -> Column:
-    """First three ``key: value`` lines of a JSON object, long values cut, '...' if more keys."""
-    keys = F.json_object_keys(context)
+    """First three ``key: value`` lines of a JSON object or list, long values cut, '...' if more.
+
+    Values are read as variants, so keys may hold any character; a list's keys are 0, 1, 2, ...
+    """
+    variant = F.try_parse_json(context)
+    fields = F.try_variant_get(variant, "$", "map<string,variant>")
+    items = F.try_variant_get(variant, "$", "array<variant>")
+    keys = F.coalesce(F.json_object_keys(context), F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: i.cast("string")))
 
-    def line(k):
-        v = F.call_function("get_json_object", context, F.concat(F.lit("$['"), k, F.lit("']")))
-        v = F.coalesce(v, F.lit(""))
-        cut = F.when(F.octet_length(v) > PREVIEW_MAX_BYTES,
-                     F.concat(F.substring(v, 1, PREVIEW_CUT), F.lit("..."))).otherwise(v)
-        return F.concat(k, F.lit(": "), cut)
+    def line(k, i):
+        v = F.coalesce(F.element_at(fields, k), F.get(items, i))
+        return F.concat(k, F.lit(": "), _cut_bytes(_shown(v, F.schema_of_variant(v))))
 
     shown = F.transform(F.slice(keys, 1, PREVIEW_KEYS), line)
     more = F.when(F.size(keys) > PREVIEW_KEYS, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>"))
-    return F.when(keys.isNull() | (F.size(keys) == 0), F.lit("")).otherwise(F.array_join(F.concat(shown, more), "\n"))
+    none = F.coalesce(F.size(keys), F.lit(0)) <= 0
+    none = none | (items.isNotNull() & (F.size(items) == 0))
+    return F.when(none, F.lit("")).otherwise(F.array_join(F.concat(shown, more), "\n"))
 
 
-def newest_log_files(df: DataFrame, path_col: str = "file_path", mtime_col: str = "file_modification_time",
-                     dir_col: str = "log_dir") -> DataFrame:
-    """Keep, per log directory, the rows of the most recently modified file.
+def newest_log(df: DataFrame, base: str, path_col: str = "file_path", mtime_col: str = "file_modification_time",
+               name_of=None) -> DataFrame:
+    """The lines of the most recently modified log among ``base.log`` and ``base-*.log``.
 
-    File-level facts only (one row per file) go through the window, so its
-    groups are as small as the number of files per directory.
+    A log may be a folder of part files: ``name_of`` gives a line's log name from its
+    file path (default: the last folder or file name that ends in ``.log``), and the log
+    is as new as its newest part.  One row per log is compared.
     """
-    files = df.select(dir_col, path_col, mtime_col).distinct()
-    w = Window.partitionBy(dir_col).orderBy(F.col(mtime_col).desc(), F.col(path_col).desc())
-    newest = files.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).select(path_col)
-    return df.join(checked_broadcast(newest), path_col, "left_semi")
+    name = name_of(F.col(path_col)) if name_of else F.regexp_extract(F.col(path_col), r"([^/]*\.log)(?:/[^/]*)?$", 1)
+    rows = df.withColumn("__log", name)
+    quoted = "".join("\\" + c if not c.isalnum() else c for c in base)
+    rows = rows.where(F.col("__log").rlike(f"^{quoted}(-.*)?\\.log$"))
+    newest = (rows.groupBy("__log").agg(F.max(mtime_col).alias("m")).orderBy(F.desc("m"), F.desc("__log")).limit(1).select("__log"))
+    return rows.join(F.broadcast(newest), "__log", "left_semi").drop("__log")     # one row

@@ -1,7 +1,8 @@
 """Spans from a user-supplied predictor (a NER model, say), batch by batch.
 
-The predictor is built once per Python worker process by a factory and reused
-for every Arrow batch that worker sees; batches hold
+The predictor is built by a factory and kept, under a key that the caller gives
+(the model's name and version, say), for every Arrow batch and every later task that
+the Python worker process sees with that key.  One model is kept at a time.  Batches hold
 ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows (or ``batch_rows``).
 This is the one place Python runs inside tasks: a model is Python code.
 """
@@ -14,11 +15,11 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tableguard.plans.layout import spread
 
-SPAN_ROW_SCHEMA = "id long, start int, end int, label string, score double, value string"
-_PREDICTORS: dict[int, object] = {}
+_SPAN_COLUMNS = ["id", "start", "end", "label", "score", "value"]
+_PREDICTORS: dict[str, object] = {}
 
 
 class Predictor:
@@ -49,63 +50,73 @@ class PatternPredictor(Predictor):
                 if rx is None or t is None:
                     continue
                 for m in rx.finditer(t):
-                    found.append({"start": m.start(), "end": m.end(), "label": label,
-                                  "score": self.score, "text": m.group(0)})
+                    g = rx.groups and 1      # the first group is the value, if there is one
+                    found.append({"start": m.start(g), "end": m.end(g), "label": label,
+                                  "score": self.score, "text": m.group(g)})
             out.append(found)
         return out
 
 
-def _predictor(factory: Callable[[], Predictor]) -> Predictor:
-    key = id(factory)
+def _predictor(key: str, factory: Callable[[], Predictor]) -> Predictor:
     if key not in _PREDICTORS:
+        _PREDICTORS.clear()      # one model in memory
         _PREDICTORS[key] = factory()
     return _PREDICTORS[key]
 
 
+def _row_schema(df: DataFrame, id_col: str) -> T.StructType:
+    """Rows of spans; the id keeps its own type."""
+    span = "start int, end int, label string, score double, value string"
+    return T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL(span).fields])
+
+
 def model_spans(df: DataFrame, id_col: str, text_col: str, predictor_factory: Callable[[], Predictor],
-                labels: list[str], batch_rows: int | None = None, max_len: int | None = None) -> DataFrame:
+                labels: list[str], model_key: str, batch_rows: int | None = None, max_len: int | None = None) -> DataFrame:
     """``(id, start, end, label, score, value)`` from the predictor, per row.
 
-    Runs as ``mapInPandas`` over the input partitions (spread over the cores
-    when the input is under-split); no shuffle.  A failing prediction fails the
-    task (and so the job) instead of returning the text unredacted.
+    ``model_key`` names the model: calls with the same key share a loaded predictor,
+    calls with different keys never do.  Runs as ``mapInPandas`` over the input
+    partitions; no shuffle.  A failing prediction fails the task (and so the job)
+    instead of returning the text unredacted.
 
     With ``max_len`` the model never sees more than ``max_len`` characters:
     texts are cut into chunks of ``max_len - 300`` characters, each seen with
     100 characters before and 200 after; a span is kept by the chunk it starts
     in and mapped back to text offsets, so values on chunk edges are found once.
+    A span that touches the end of its window is continued to the next blank of the
+    text, so no tail of a long value is left out.
     """
     labels = list(labels)
     if max_len is not None:
-        return _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, batch_rows, max_len)
+        return _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, model_key, batch_rows, max_len)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pred = _predictor(predictor_factory)
+        pred = _predictor(model_key, predictor_factory)
         for pdf in batches:
             for lo in range(0, len(pdf), batch_rows or max(len(pdf), 1)):
                 part = pdf.iloc[lo:lo + (batch_rows or len(pdf))]
                 texts = part["text"].tolist()
                 results = pred.predict_batch(texts, labels)
-                rows = [(int(i), int(s["start"]), int(s["end"]), s["label"], float(s["score"]),
+                rows = [(i, int(s["start"]), int(s["end"]), s["label"], float(s["score"]),
                          s.get("text", t[s["start"]:s["end"]]))
                         for i, t, spans in zip(part["id"].tolist(), texts, results) for s in spans]
-                yield pd.DataFrame(rows, columns=["id", "start", "end", "label", "score", "value"])
+                yield pd.DataFrame(rows, columns=_SPAN_COLUMNS)
 
-    src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return src.mapInPandas(run, SPAN_ROW_SCHEMA).withColumnRenamed("id", id_col)
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return src.mapInPandas(run, _row_schema(df, id_col)).withColumnRenamed("id", id_col)
 
 
-def _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, batch_rows, max_len):
+def _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, model_key, batch_rows, max_len):
     from tableguard.operators.chunks import WINDOW_AFTER, WINDOW_BEFORE, chunk_windows
 
     chunk_len = max_len - WINDOW_BEFORE - WINDOW_AFTER
     if chunk_len < 1:
         raise ValueError(f"max_len must exceed {WINDOW_BEFORE + WINDOW_AFTER}")
     windows = chunk_windows(df, id_col, text_col, chunk_len).select(
-        F.col(id_col).cast("long").alias("id"), "start", "clen", "wstart", F.col("window").alias("text"))
+        F.col(id_col).alias("id"), "start", "clen", "wstart", F.col("window").alias("text"), "rest")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pred = _predictor(predictor_factory)
+        pred = _predictor(model_key, predictor_factory)
         for pdf in batches:
             step = batch_rows or max(len(pdf), 1)
             for lo in range(0, len(pdf), step):
@@ -113,13 +124,14 @@ def _windowed_model_spans(df, id_col, text_col, predictor_factory, labels, batch
                 texts = part["text"].tolist()
                 results = pred.predict_batch(texts, labels)
                 rows = []
-                for i, st, cl, ws, t, spans in zip(part["id"].tolist(), part["start"].tolist(),
-                                                   part["clen"].tolist(), part["wstart"].tolist(), texts, results):
+                for i, st, cl, ws, t, rest, spans in zip(part["id"].tolist(), part["start"].tolist(), part["clen"].tolist(),
+                                                         part["wstart"].tolist(), texts, part["rest"].tolist(), results):
                     for s in spans:
                         g = int(ws) + int(s["start"])
                         if st <= g < st + cl:           # the chunk this span starts in keeps it
-                            rows.append((int(i), g, int(ws) + int(s["end"]), s["label"], float(s["score"]),
-                                         s.get("text", t[s["start"]:s["end"]])))
-                yield pd.DataFrame(rows, columns=["id", "start", "end", "label", "score", "value"])
+                            more = rest if s["end"] == len(t) else ""
+                            rows.append((i, g, int(ws) + int(s["end"]) + len(more), s["label"], float(s["score"]),
+                                         s.get("text", t[s["start"]:s["end"]]) + more))
+                yield pd.DataFrame(rows, columns=_SPAN_COLUMNS)
 
-    return windows.mapInPandas(run, SPAN_ROW_SCHEMA).withColumnRenamed("id", id_col)
+    return windows.mapInPandas(run, _row_schema(df, id_col)).withColumnRenamed("id", id_col)

@@ -15,7 +15,6 @@ from tableguard.functions.names import (
     normalize_name,
 )
 from tableguard.plans.joins import checked_broadcast
-from tableguard.plans.layout import spread
 
 
 def _filter_struct(flt: str):
@@ -65,7 +64,7 @@ def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter
     matches every name, by definition.
     """
     mode = normalize_mode(mode)
-    n = (spread(names).withColumn("__n", normalize_name(F.col(name_col)))
+    n = (names.withColumn("__n", normalize_name(F.col(name_col)))
          .withColumn("__nid", F.monotonically_increasing_id()))
     blank = F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) == F.lit("")
     f = (filters.withColumn("__f", normalize_name(F.col(filter_col)))
@@ -145,7 +144,7 @@ def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: Dat
     runs only on candidate pairs, and a window per target (small groups: at
     most the candidates of one target) keeps the k best.
     """
-    n = spread(names).select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
+    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
                              normalize_name(F.col(name_col)).alias("__n"),
                              F.monotonically_increasing_id().alias("__nid"))
     t = targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
@@ -170,7 +169,7 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
     k go on to the next, wider round.  The last band covers every length, so
     the result equals a search over all names.
     """
-    n = spread(names).select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
+    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
                              normalize_name(F.col(name_col)).alias("__n"),
                              F.monotonically_increasing_id().alias("__nid")).cache()
     f = (filters.where(F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) != F.lit(""))

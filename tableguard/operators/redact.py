@@ -1,117 +1,36 @@
-"""Whole-cell PII redaction as native column expressions.
+"""Whole-cell PII redaction: detect, resolve overlaps, splice, column by column.
 
-``redact_text`` is a chain of ``regexp_replace`` calls in detector order; the
-two checksum labels (cards, IMEI) and the VIN shape check go through the
-``split``/``regexp_extract_all`` pair so only values that pass are replaced.
-Everything is a per-row expression: no shuffle, whole-stage codegen around it,
-and it works on streaming DataFrames as is.
+The same spans decide here, in span-based redaction and in the inventory, so a cell
+is redacted alike whichever operator sees it.  Everything is a per-row expression:
+no shuffle, and it works on streaming DataFrames as is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableguard.functions.pii_labels import DEFAULT_THRESHOLD, validate_labels
-from tableguard.functions.pii_patterns import (
-    SCORE_CHECK_FAIL,
-    SCORE_CHECK_PASS,
-    Detector,
-    detectors_for,
-    redaction_token,
-)
-from tableguard.operators.spans import check_passes, gated
-from tableguard.plans.layout import spread
+from tableguard.functions.pii_labels import DEFAULT_THRESHOLD
+from tableguard.operators.spans import redact_with_spans
+from tableguard.plans.joins import checked_broadcast
 
 
-def chain_detectors(labels=None, threshold: float = DEFAULT_THRESHOLD) -> list[tuple[Detector, bool]]:
-    """(detector, checked) pairs the chain applies; checked = replace only passing values."""
-    out = []
-    for d in detectors_for(validate_labels(labels)):
-        if d.check is None:
-            if d.score >= threshold:
-                out.append((d, False))
-        elif SCORE_CHECK_FAIL >= threshold:
-            out.append((d, False))          # even failing values pass the threshold
-        elif SCORE_CHECK_PASS >= threshold:
-            out.append((d, True))
-    return out
-
-
-def _checked_replace(text: Column, d: Detector) -> Column:
-    """Replace only the matches whose value passes the detector's check.
-
-    ``text`` is the chain so far and is used several times below; binding it
-    to a lambda variable (``transform(array(text), t -> ...)``) evaluates it
-    once instead of once per use.
-    """
-    return F.transform(F.array(text), lambda t: _checked_replace_bound(t, d))[0]  # noqa
-
-
-def _checked_replace_bound(text: Column, d: Detector) -> Column:
-    matches = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.group)) if d.group else matches
-    pieces = F.split(text, d.pattern, -1)
-    token = F.lit(redaction_token(d.label))
-
-    # zip first: an array referenced inside a lambda is re-evaluated per element
-    tails = F.slice(pieces, 2, F.size(matches))
-    zipped = F.zip_with(matches, tails, lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    if d.group:
-        zipped = F.zip_with(zipped, values, lambda z, v: F.struct(z["m"].alias("m"), z["p"].alias("p"),
-                                                                 v.alias("v")))
-
-    def one(z):
-        m = z["m"]
-        v = z["v"] if d.group else m
-        keep = F.substr(m, F.lit(1), F.char_length(m) - F.char_length(v))
-        replaced = F.concat(keep, token) if d.group else token
-        return F.concat(F.when(check_passes(v, d.check), replaced).otherwise(m), z["p"])
-
-    rebuilt = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(zipped, one), ""))
-    return F.when(F.size(matches) > 0, rebuilt).otherwise(text)
-
-
-def redact_text(text: Column, labels=None, threshold: float = DEFAULT_THRESHOLD,
-                lowered: Column | None = None) -> Column:
-    """The redacted form of one string column.
-
-    ``lowered`` is ``lower(text)`` of the *original* text (pass a staged column
-    to compute it once).  A step whose detector has hints runs only where one
-    of them occurs; replacement tokens never add a hint a pattern could use
-    (``_`` precedes every label in a token), so the shortcut is exact.
-    """
-    lowered = F.lower(text) if lowered is None else lowered
-    out = text
-    for d, checked in chain_detectors(labels, threshold):
-        if checked:
-            step = (lambda d_: lambda o: _checked_replace_bound(o, d_))(d)
-        elif d.group:
-            step = (lambda d_: lambda o: F.regexp_replace(
-                o, d_.chain_pattern(), "$1" + redaction_token(d_.label)))(d)
-        else:
-            step = (lambda d_: lambda o: F.regexp_replace(o, d_.pattern, redaction_token(d_.label)))(d)
-        if d.hints or checked:
-            # bind the chain so far to a lambda variable: used twice, evaluated once
-            out = F.transform(F.array(out), (lambda d_, st: lambda o: gated(lowered, d_, st(o), o))(d, step))[0]
-        else:
-            out = step(out)
-    return out
+def _targets(df: DataFrame, columns: list[str] | None) -> list[str]:
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    bad = set(columns or []) - set(strings)
+    if bad:
+        raise ValueError(f"not string columns: {sorted(bad)}")
+    return [c for c in strings if columns is None or c in columns]
 
 
 def redact_columns(df: DataFrame, columns: list[str] | None = None, labels=None,
                    threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Redact every ``StringType`` column (or the given ones); other types untouched."""
-    string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    targets = [c for c in df.columns if c in set(string_cols if columns is None else columns)]
-    bad = set(columns or []) - set(string_cols)
-    if bad:
-        raise ValueError(f"not string columns: {sorted(bad)}")
-    low = {c: f"__lt{i}" for i, c in enumerate(targets)}
-    staged = spread(df).select("*", *[F.lower(F.col(c)).alias(low[c]) for c in targets])
-    return staged.select(*[redact_text(F.col(c), labels, threshold, F.col(low[c])).alias(c)
-                           if c in low else F.col(c) for c in df.columns])
+    out = df
+    for c in _targets(df, columns):
+        out = redact_with_spans(out, c, threshold, labels)
+    return out.select(*df.columns)
 
 
 def redact_enabled(df: DataFrame, source_col: str, enabled: DataFrame, columns: list[str] | None = None,
@@ -122,14 +41,15 @@ def redact_enabled(df: DataFrame, source_col: str, enabled: DataFrame, columns:
     source -- a connection list, small by nature; it is still size-checked
     before it is broadcast.  Only an exact ``true`` switches redaction on.
     """
-    from tableguard.plans.joins import checked_broadcast
-
     flags = (enabled.select(F.col("source").alias("__src"),
                             (F.col("pii_enabled") == F.lit(True)).alias("__on"))
              .groupBy("__src").agg(F.max("__on").alias("__on")))
-    joined = spread(df).join(checked_broadcast(flags), df[source_col] == F.col("__src"), "left")
+    joined = df.join(checked_broadcast(flags), df[source_col] == F.col("__src"), "left")
     on = F.coalesce(F.col("__on"), F.lit(False))
-    string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    targets = set(string_cols if columns is None else columns) - {source_col}
-    return joined.select(*[F.when(on, redact_text(F.col(c), labels, threshold)).otherwise(F.col(c)).alias(c)
-                           if c in targets else F.col(c) for c in df.columns])
+    targets = [c for c in _targets(df, columns) if c != source_col]
+    # a row that stays as it is has no text to look at, so it costs no scan
+    out = joined.select("*", *[F.when(on, F.col(c)).alias(f"__in_{c}") for c in targets])
+    for c in targets:
+        out = redact_with_spans(out, f"__in_{c}", threshold, labels)
+    return out.select(*[F.when(on, F.col(f"__in_{c}")).otherwise(F.col(c)).alias(c) if c in targets else F.col(c)
+                        for c in df.columns])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableguard.plans.joins import checked_broadcast
+from tableguard.session import scratch_path
 
 # --- fixed values: limits the reference states ---
 LONG_TEXT_BYTES = 200          # a string longer than this (in bytes) is "long"
@@ -92,27 +95,30 @@ def sequence_rows(df: DataFrame, key_cols: list[str], order_cols: list[str], out
     ``key_cols`` + ``order_cols`` must be unique.  Instead of a window per key
     (one task per key, so a hot key lands on one core), rows are
     range-partitioned on (key, order) -- a hot key spreads over many
-    partitions -- and sorted inside each partition.  A small table of counts
-    per (partition, key) gives each partition's offset within its key; it has
-    at most (#partitions + #keys) rows and is joined back with a checked
-    broadcast.  With no key, this is a global row number.
+    partitions -- and sorted inside each partition.  This layout is written once to
+    the shared scratch folder, since a second evaluation would draw other range
+    bounds.  Counts per (partition, key) then give each partition's offset within
+    its key; that table has at most (#partitions + #keys) rows.  Null keys are one
+    key.  With no key, this is a global row number.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = key_cols or []
-    sort_cols = keys + order_cols
-    ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__local", F.monotonically_increasing_id()))
-    counts = (ranged.groupBy("__pid", *keys)
+    sort_cols = key_cols + order_cols
+    laid = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+            .select("*", F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__local")))
+    path = scratch_path(spark, f"sequence-{uuid.uuid4().hex}")
+    laid.write.parquet(path)
+    ranged = spark.read.schema(laid.schema).parquet(path)
+    counts = (ranged.groupBy("__pid", *key_cols)
               .agg(F.count(F.lit(1)).alias("__cnt"), F.min("__local").alias("__first")))
-    w = Window.partitionBy(*keys).orderBy("__pid") if keys else Window.orderBy("__pid")
-    offsets = counts.withColumn("__off", F.coalesce(
-        F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = ranged.join(checked_broadcast(offsets.select("__pid", *keys, "__off", "__first")),
-                         ["__pid", *keys], "inner")
+    w = Window.partitionBy(*key_cols).orderBy("__pid") if key_cols else Window.orderBy("__pid")
+    offsets = counts.select(F.col("__pid").alias("__opid"), "__first", *[F.col(k).alias(f"__o_{k}") for k in key_cols],
+                            F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    same = F.col("__pid") == F.col("__opid")
+    for k in key_cols:
+        same = same & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
     rn = (F.col("__off") + F.col("__local") - F.col("__first") + 1).cast("long")
-    return joined.withColumn(out_col, rn).drop("__pid", "__local", "__off", "__first")
+    return ranged.join(checked_broadcast(offsets), same).select(*df.columns, rn.alias(out_col))
 
 
 def assign_batches(df: DataFrame, text_col: str, order_cols: list[str], key_cols: list[str] | None = None,
@@ -130,11 +136,17 @@ def assign_batches(df: DataFrame, text_col: str, order_cols: list[str], key_cols
     per = F.greatest(F.lit(1), F.floor(F.lit(BATCH_TARGET_BYTES) / F.greatest(avg, F.lit(1))))
     sizes = sizes.select(*keys, "__total", per.cast("long").alias("__per"))
     numbered = sequence_rows(df, keys, order_cols, "__rn")
-    joined = (numbered.join(sizes, keys, "inner") if keys
-              else numbered.crossJoin(F.broadcast(sizes)))
+    if keys:
+        sizes = sizes.select("__total", "__per", *[F.col(k).alias(f"__s_{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__s_{k}"))
+        joined = numbered.join(sizes, same)
+    else:
+        joined = numbered.crossJoin(F.broadcast(sizes))   # one row
     batch = F.when(F.col("__total") > BATCH_ONLY_ABOVE_BYTES,
                    F.floor((F.col("__rn") - 1) / F.col("__per"))).otherwise(F.lit(0)).cast("long")
-    return joined.withColumn(out_col, batch).drop("__rn", "__total", "__per")
+    return joined.select(*df.columns, batch.alias(out_col))
 
 
 def page(df: DataFrame, order_cols: list[str], limit: int = DEFAULT_PAGE_ROWS, offset: int = 0) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableguard.plans.layout import spread
 from tableguard.functions.pii_labels import DEFAULT_THRESHOLD, GROUP_OF, validate_labels
 from tableguard.functions.pii_patterns import (
     SCORE_CHECK_FAIL,
@@ -34,14 +33,13 @@ SPAN_STRUCT = T.StructType([
 SPAN_ARRAY = T.ArrayType(SPAN_STRUCT)
 
 
-def check_passes(value: Column, check: str) -> Column:
-    """Checksum / shape test of a matched value."""
-    if check == "luhn":
-        digits = F.regexp_replace(value, "[^0-9]", "")
-        return F.call_function("luhn_check", digits)
-    if check == "alnum":
-        return value.rlike("[A-Z]") & value.rlike("[0-9]")
-    raise ValueError(f"unknown check {check}")
+def check_passes(value: Column, check: Column) -> Column:
+    """Checksum and shape test of a matched value, by the check's name."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    luhn = F.call_function("luhn_check", digits)
+    return (F.when(check == "card", (F.char_length(digits) <= 19) & luhn)
+            .when(check == "imei", (F.char_length(digits) == 15) & luhn)
+            .when(check == "vin", (F.char_length(value) == 17) & value.rlike("[A-Z]") & value.rlike("[0-9]")))
 
 
 def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None,
@@ -53,68 +51,56 @@ def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None
     1. ``lower(text)`` once (for the keyword shortcuts);
     2. per detector, the whole matches (one regex scan, skipped when no hint
        occurs) and, for context detectors that matched, the value group;
-    3. one generic expression over ``array(struct(detector_no, matches,
-       values))``: a ``locate`` scan gives each match's start -- the next
-       match begins at the first occurrence of its text after the previous
-       match's end, exact since no pattern looks around -- and the value, a
-       suffix of the match, gives the span.
+    3. one generic expression over ``array(struct(detector_no, matches, values,
+       pieces))``: a match starts where the text pieces and the matches before it
+       end, and the value, a suffix of the match, gives the span.
 
     Catalyst keeps the projections apart because the costly columns are
     referenced more than once.
     """
     labels = validate_labels(labels)
     dets = detectors if detectors is not None else detectors_for(labels)
-    relax_constraint_propagation(df.sparkSession)
     text = F.col(text_col)
     if not dets:
         return df.withColumn(out_col, F.array().cast(SPAN_ARRAY))
     # lower-cased text once, for the hint shortcuts of every detector
     lowered = df.select("*", F.lower(text).alias("__lt"))
     mcols = [f"__m{i}" for i in range(len(dets))]
-    staged = lowered.select("*", *[gated(F.col("__lt"), d,
-                                         F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
-                                         F.array().cast("array<string>")).alias(t)
-                                   for t, d in zip(mcols, dets)])
-    vcols = {i: f"__v{i}" for i, d in enumerate(dets) if d.group}
-    staged = staged.select("*", *[
-        F.when(F.size(F.col(mcols[i])) > 0,
-               F.regexp_extract_all(text, F.lit(dets[i].pattern), F.lit(dets[i].group)))
-        .alias(v) for i, v in vcols.items()])
-    per_det = F.array(*[F.struct(F.lit(i).alias("d"), F.col(mcols[i]).alias("ms"),
-                                 (F.col(vcols[i]) if i in vcols else F.col(mcols[i])).alias("vs"))
-                        for i in range(len(dets))])
+    staged = lowered.select("*", *[gated(F.col("__lt"), d, F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
+                                         F.array().cast("array<string>")).alias(t) for t, d in zip(mcols, dets)])
+
+    def per_detector(i: int, d: Detector) -> Column:
+        # null where the detector found nothing, so nothing more is computed there
+        m = F.col(mcols[i])
+        values = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.group)) if d.group else m
+        return F.when(F.size(m) > 0, F.struct(F.lit(i).alias("d"), m.alias("ms"), values.alias("vs"),
+                                              F.slice(F.split(text, d.pattern, -1), 1, F.size(m)).alias("ps")))
+
+    per_det = F.filter(F.array(*[per_detector(i, d) for i, d in enumerate(dets)]), lambda x: x.isNotNull())
+    staged = staged.select(*[c for c in lowered.columns if c != "__lt"], per_det.alias("__found"))
     labels_arr = F.array(*[F.lit(d.label) for d in dets])
     base_score = F.array(*[F.lit(d.score) for d in dets])
-    luhn_arr = F.array(*[F.lit(d.check == "luhn") for d in dets])
-    alnum_arr = F.array(*[F.lit(d.check == "alnum") for d in dets])
+    checks = F.array(*[F.lit(d.check or "") for d in dets])
 
     def det_spans(x):
-        pairs = F.zip_with(x["ms"], x["vs"], lambda m, v: F.struct(m.alias("m"), v.alias("v")))
+        rows = F.zip_with(F.arrays_zip(x["ms"].alias("m"), x["vs"].alias("v")), x["ps"],
+                          lambda z, p: F.struct(z["m"].alias("m"), z["v"].alias("v"), p.alias("p")))
         zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_ARRAY).alias("out"))
 
-        def step(acc, p):
-            m, v = p["m"], p["v"]
-            at = F.call_function("locate", m, text, acc["pos"] + 1) - 1       # 0-based start of the whole match
-            start = at + F.char_length(m) - F.char_length(v)
-            d = x["d"]
-            luhn = F.call_function("luhn_check", F.regexp_replace(v, "[^0-9]", ""))
-            alnum = v.rlike("[A-Z]") & v.rlike("[0-9]")
-            score = (F.when(F.element_at(luhn_arr, d + 1), F.when(luhn, F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL)))
-                     .when(F.element_at(alnum_arr, d + 1), F.when(alnum, F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL)))
-                     .otherwise(F.element_at(base_score, d + 1)))
-            span = F.struct(start.cast("int").alias("start"),
-                            (start + F.char_length(v)).cast("int").alias("end"),
-                            F.element_at(labels_arr, d + 1).alias("label"), score.cast("double").alias("score"),
-                            v.alias("value"))
-            return F.struct((at + F.char_length(m)).alias("pos"),
-                            F.concat(acc["out"], F.array(span)).alias("out"))
-
-        return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-
-    nonempty = F.filter(per_det, lambda x: F.size(x["ms"]) > 0)
-    spans = F.flatten(F.transform(nonempty, det_spans))
-    return staged.withColumn(out_col, F.when(text.isNull(), F.array().cast(SPAN_ARRAY))
-                             .otherwise(spans)).drop("__lt", *mcols, *vcols.values())
+        def step(acc, r):
+            stop = acc["pos"] + F.char_length(r["p"]) + F.char_length(r["m"])
+            check = F.element_at(checks, x["d"] + 1)
+            score = (F.when(check == "", F.element_at(base_score, x["d"] + 1))
+                     .when(check_passes(r["v"], check), F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL)))
+            span = F.struct((stop - F.char_length(r["v"])).cast("int").alias("start"), stop.cast("int").alias("end"),
+                            F.element_at(labels_arr, x["d"] + 1).alias("label"), score.cast("double").alias("score"),
+                            r["v"].alias("value"))
+            return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+
+    spans = F.flatten(F.transform("__found", det_spans))
+    return staged.withColumn(out_col, F.when(text.isNull(), F.array().cast(SPAN_ARRAY)).otherwise(spans)).drop("__found")
 
 
 def gated(lowered: Column, d: Detector, value: Column, otherwise: Column) -> Column:
@@ -132,21 +118,9 @@ def gated(lowered: Column, d: Detector, value: Column, otherwise: Column) -> Col
     return F.when(cond, value).otherwise(otherwise)
 
 
-def relax_constraint_propagation(spark) -> None:
-    """Turn off Catalyst constraint propagation for this session.
-
-    Span detection builds projections with dozens of large regex expressions;
-    inferring filter constraints over them grows quadratically with their size
-    (the optimizer, not the job, then dominates).  Constraint propagation only
-    adds IS NOT NULL-style filters; turning it off changes no result.
-    """
-    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
-        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-
-
 def detect_spans(df: DataFrame, id_col: str, text_col: str, labels=None) -> DataFrame:
     """One row per detected span: ``(id, start, end, label, score, value)``."""
-    staged = with_spans(spread(df.select(id_col, text_col)), text_col, "__spans", labels)
+    staged = with_spans(df.select(id_col, text_col), text_col, "__spans", labels)
     return (explode_rows(staged.select(id_col, "__spans"), "__spans", "s")
             .select(id_col, "s.start", "s.end", "s.label", "s.score", "s.value"))
 
@@ -200,18 +174,23 @@ def resolve_overlaps(spans: Column) -> Column:
 
 
 def apply_spans(text: Column, spans: Column) -> Column:
-    """Replace each span by ``[REDACTED_<label>]``, right to left.
+    """Replace each span by ``[REDACTED_<label>]``: the pieces between spans, joined once.
 
     Spans must not overlap (see :func:`resolve_overlaps`).  Offsets are in
     characters, as produced by :func:`detect_spans`.
     """
-    keyed = F.transform(spans, lambda s: F.struct((-s["start"]).alias("k"), s.alias("s")))
-    right_to_left = F.transform(F.array_sort(keyed), lambda r: r["s"])
-    return F.aggregate(
-        right_to_left, text,
-        lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["start"]),
-                                F.concat(F.lit("[REDACTED_"), s["label"], F.lit("]")),
-                                F.substr(acc, s["end"] + 1)))
+    def splice(ordered):
+        def piece(i):
+            s = F.element_at(ordered, i)
+            before = F.when(i > 1, F.element_at(ordered, F.greatest(i - 1, F.lit(1)))["end"]).otherwise(F.lit(0))
+            return F.concat(F.substr(text, before + 1, s["start"] - before), F.lit("[REDACTED_"), s["label"], F.lit("]"))
+
+        pieces = F.array_join(F.transform(F.sequence(F.lit(1), F.size(ordered)), piece), "")
+        return F.concat(pieces, F.substr(text, F.element_at(ordered, -1)["end"] + 1))
+
+    # sorted once, bound to a lambda variable
+    spliced = F.transform(F.array(F.array_sort(spans)), splice)[0]
+    return F.when(F.size(spans) > 0, spliced).otherwise(text)
 
 
 def redact_with_spans(df: DataFrame, text_col: str, threshold: float = DEFAULT_THRESHOLD,
@@ -219,8 +198,8 @@ def redact_with_spans(df: DataFrame, text_col: str, threshold: float = DEFAULT_T
     """Detect, filter, resolve and splice inside each row (no shuffle)."""
     out_col = out_col or text_col
     staged = with_spans(df, text_col, "__spans", labels)
-    kept = resolve_overlaps(filter_span_array(F.col("__spans"), threshold, labels))
-    return staged.withColumn(out_col, apply_spans(F.col(text_col), kept)).drop("__spans")
+    kept = staged.withColumn("__spans", resolve_overlaps(filter_span_array(F.col("__spans"), threshold, labels)))
+    return kept.withColumn(out_col, apply_spans(F.col(text_col), F.col("__spans"))).drop("__spans")
 
 
 def redact_spans(df: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
@@ -237,8 +216,8 @@ def redact_spans(df: DataFrame, id_col: str, text_col: str, spans: DataFrame) ->
                    F.col("label"), F.col("score").cast("double").alias("score"),
                    F.col("value"))).alias("__spans")))
     joined = df.join(per_row, on=id_col, how="left")
-    kept = resolve_overlaps(F.coalesce(F.col("__spans"), F.array().cast(SPAN_ARRAY)))
-    return joined.withColumn(text_col, apply_spans(F.col(text_col), kept)).drop("__spans")
+    kept = joined.withColumn("__spans", resolve_overlaps(F.coalesce(F.col("__spans"), F.array().cast(SPAN_ARRAY))))
+    return kept.withColumn(text_col, apply_spans(F.col(text_col), F.col("__spans"))).drop("__spans")
 
 
 def pii_inventory(df: DataFrame, columns: list[str], threshold: float = DEFAULT_THRESHOLD,
@@ -252,7 +231,7 @@ def pii_inventory(df: DataFrame, columns: list[str], threshold: float = DEFAULT_
     """
     labels = validate_labels(labels)
     groups = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.lit(GROUP_OF[lab]))])
-    stacked = spread(df).select(F.explode(F.array(*[
+    stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("__t")) for c in columns])).alias("__x"))
     staged = with_spans(stacked.select("__x.column", "__x.__t"), "__t", "__s", labels)
     kept = filter_span_array(F.col("__s"), threshold, labels)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast.  Sides we broadcast are small by
-# construction (label lists, per-source flags, filter lists); the check makes the
-# bound explicit and falls back to a shuffle join above it.
+# What a side may hold to be broadcast.  Sides we broadcast are small by construction
+# (label lists, per-source flags, filter lists); the check makes the bound explicit
+# and falls back to a shuffle join above it.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df`` as is.
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` if it holds at most ``max_rows`` rows and ``max_bytes`` bytes, else ``df``.
 
-    The count runs ``max_rows + 1`` rows deep at most (a ``limit`` before the
-    count), so the check itself stays cheap on a large side.
+    Bytes are those of the rows as JSON.  The check reads ``max_rows + 1`` rows at most.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    some = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    n, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df

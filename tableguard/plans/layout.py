@@ -1,21 +1,20 @@
-"""Partition layout helpers."""
+"""Partition layout of the registered queries' inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# A scan of fewer splits than this is dealt over as many tasks, at most one per core.
+FEW_SPLITS = 16
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an under-split input over the cluster's cores before CPU-heavy work.
 
-    Only when the plan has fewer partitions than the default parallelism (a
-    single small file, say) is a round-robin ``repartition`` added.  A large
-    input already has far more splits than cores and is left alone, so no
-    shuffle is added where it would cost anything at scale.
+def dealt(scan: DataFrame) -> DataFrame:
+    """A table scan of very few splits (one small file) over more tasks.
+
+    For callers that are about to do costly work per row; operators never change
+    their input's layout.  ``scan`` must be a bare scan: its number of splits is
+    known without running anything.
     """
-    if df.isStreaming:
-        return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    n = scan.rdd.getNumPartitions()
+    want = min(FEW_SPLITS, scan.sparkSession.sparkContext.defaultParallelism)
+    return scan.repartition(want) if n < want else scan

@@ -14,7 +14,6 @@ from tableguard.functions.pii_patterns import (
     SCORE_CHECK_PASS,
     Detector,
     detectors_for,
-    redaction_token,
 )
 
 
@@ -24,16 +23,16 @@ def q(s: str) -> str:
 
 
 def duck_check(v: str, check: str) -> str:
-    if check == "luhn":
-        d = f"regexp_replace({v}, '[^0-9]', '', 'g')"
-        r = f"reverse({d})"
-        digit = f"CAST({r}[__k] AS INTEGER)"
-        total = (f"list_sum(list_transform(range(1, length({r}) + 1), lambda __k: "
-                 f"CASE WHEN __k % 2 = 0 THEN 2 * {digit} - CASE WHEN {digit} >= 5 THEN 9 ELSE 0 END "
-                 f"ELSE {digit} END))")
-        return f"(length({d}) > 0 AND {total} % 10 = 0)"
-    if check == "alnum":
-        return f"(regexp_matches({v}, '[A-Z]') AND regexp_matches({v}, '[0-9]'))"
+    d = f"regexp_replace({v}, '[^0-9]', '', 'g')"
+    digit = f"CAST(reverse({d})[__k] AS INTEGER)"
+    total = (f"list_sum(list_transform(range(1, length({d}) + 1), lambda __k: "
+             f"CASE WHEN __k % 2 = 0 THEN 2 * {digit} - CASE WHEN {digit} >= 5 THEN 9 ELSE 0 END ELSE {digit} END))")
+    if check == "card":
+        return f"(length({d}) <= 19 AND {total} % 10 = 0)"
+    if check == "imei":
+        return f"(length({d}) = 15 AND {total} % 10 = 0)"
+    if check == "vin":
+        return f"(length({v}) = 17 AND regexp_matches({v}, '[A-Z]') AND regexp_matches({v}, '[0-9]'))"
     raise ValueError(check)
 
 
@@ -66,60 +65,31 @@ def duck_spans(table: str, id_col: str, text_col: str, labels=None) -> str:
     return "\nUNION ALL\n".join(duck_spans_select(table, id_col, text_col, d) for d in dets)
 
 
-def _chain_step(expr: str, d: Detector) -> str:
-    if d.group:
-        return f"regexp_replace({expr}, {q(d.chain_pattern())}, {q(chr(92) + '1' + redaction_token(d.label))}, 'g')"
-    return f"regexp_replace({expr}, {q(d.pattern)}, {q(redaction_token(d.label))}, 'g')"
-
-
-def _checked_step(col: str, d: Detector) -> str:
-    p = q(d.pattern)
-    m = f"regexp_extract_all({col}, {p}, 0)"
-    v = f"regexp_extract_all({col}, {p}, {d.group})" if d.group else m
-    pieces = f"string_split_regex({col}, {p})"
-    token = q(redaction_token(d.label))
-    mi, vi = f"{m}[__j]", f"{v}[__j]"
-    replaced = f"left({mi}, length({mi}) - length({vi})) || {token}" if d.group else token
-    body = (f"CASE WHEN {duck_check(vi, d.check)} THEN {replaced} ELSE {mi} END || {pieces}[__j + 1]")
-    return (f"CASE WHEN len({m}) > 0 THEN {pieces}[1] || array_to_string(list_transform("
-            f"range(1, len({m}) + 1), lambda __j: {body}), '') ELSE {col} END")
-
-
 def duck_redact_ctes(source: str, cols: list[str], labels=None,
                      threshold: float = DEFAULT_THRESHOLD, prefix: str = "r") -> tuple[str, str]:
     """CTEs that redact ``cols`` of ``source``; returns (cte_sql, last_cte_name).
 
-    Plain steps nest inside one expression; each checked step gets its own CTE
-    so the column is not repeated inside the text of the SQL.
+    Per cell: all spans at or above the threshold; the better one of two that
+    overlap stays (higher score, then longer, earlier, label order); the pieces
+    between the kept spans are joined with their tokens.
     """
-    from tableguard.operators.redact import chain_detectors
-
-    steps = chain_detectors(labels, threshold)
-    ctes, prev, n = [], source, 0
-    pending = {c: c for c in cols}
-
-    def flush():
-        nonlocal prev, n
-        name = f"{prefix}{n}"
-        n += 1
-        repl = ", ".join(f"{pending[c]} AS {c}" for c in cols)
-        ctes.append(f"{name} AS (SELECT * REPLACE ({repl}) FROM {prev})")
-        prev = name
-        for c in cols:
-            pending[c] = c
-
-    for d, checked in steps:
-        if checked:
-            if any(pending[c] != c for c in cols):
-                flush()
-            for c in cols:
-                pending[c] = _checked_step(c, d)
-            flush()
-        else:
-            for c in cols:
-                pending[c] = _chain_step(pending[c], d)
-    flush()
-    return ",\n".join(ctes), prev
+    ctes = [f"{prefix}base AS (SELECT row_number() OVER () AS __rid, * FROM {source})"]
+    done = []
+    for k, c in enumerate(cols):
+        spans = duck_spans(f"(SELECT __rid, {c} AS __t FROM {prefix}base)", "__rid", "__t", labels)
+        ctes.append(f"{prefix}s{k} AS (SELECT __rid, list({{'s': start, 'e': \"end\", 'l': label}} "
+                    f"ORDER BY -score, start - \"end\", start, label) AS ss FROM ({spans}) "
+                    f"WHERE score >= {threshold} AND start < \"end\" GROUP BY __rid)")
+        ctes.append(f"{prefix}k{k} AS (SELECT __rid, list_sort(list_reduce(list_transform(ss, lambda a: [a]), lambda kept, x: "
+                    f"CASE WHEN len(list_filter(kept, lambda o: o.s < x[1].e AND x[1].s < o.e)) > 0 THEN kept ELSE kept || x END)) AS kk "
+                    f"FROM {prefix}s{k})")
+        before = "CASE WHEN i = 1 THEN 0 ELSE kk[i - 1].e END"
+        done.append(f"CASE WHEN {prefix}k{k}.kk IS NULL THEN b.{c} ELSE array_to_string(list_transform(range(1, len({prefix}k{k}.kk) + 1), "
+                    f"lambda i: substr(b.{c}, {before.replace('kk', f'{prefix}k{k}.kk')} + 1, {prefix}k{k}.kk[i].s - {before.replace('kk', f'{prefix}k{k}.kk')}) "
+                    f"|| '[REDACTED_' || {prefix}k{k}.kk[i].l || ']'), '') || substr(b.{c}, {prefix}k{k}.kk[len({prefix}k{k}.kk)].e + 1) END AS {c}")
+    joins = " ".join(f"LEFT JOIN {prefix}k{k} ON b.__rid = {prefix}k{k}.__rid" for k in range(len(cols)))
+    ctes.append(f"{prefix}out AS (SELECT b.* EXCLUDE (__rid) REPLACE ({', '.join(done)}) FROM {prefix}base b {joins})")
+    return ",\n".join(ctes), f"{prefix}out"
 
 
 def duck_group_map(labels=None) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,13 +12,13 @@ from tableguard.operators.logs import (
     entry_by_id,
     latest_entries,
     level_counts,
-    newest_log_files,
+    newest_log,
     parse_log,
 )
 from tableguard.plans.registry import register, table
 from tableguard.session import scratch_path
 from tableguard.sources.logs import read_json_log, read_log_lines, stream_json_log
-from tableguard.streaming.logs import stream_level_counts
+from tableguard.streaming.logs import read_level_counts, write_level_counts
 
 
 def log_lines(spark, sf_dir):
@@ -67,12 +68,16 @@ PARSED_SQL = f"""(SELECT id, valid,
 FROM (SELECT id, line, CASE WHEN json_valid(line) THEN json_type(line) = 'OBJECT' ELSE false END AS valid
       FROM {LINES_SQL} WHERE trim(line) <> ''))"""
 
-PREVIEW_SQL = """CASE WHEN context IS NULL OR len(json_keys(context)) = 0 THEN '' ELSE array_to_string(
-  list_transform(list_slice(json_keys(context), 1, 3), lambda kk: kk || ': ' || (CASE
-    WHEN strlen(coalesce(json_extract_string(context, '$."' || kk || '"'), '')) > 50
-    THEN left(json_extract_string(context, '$."' || kk || '"'), 47) || '...'
-    ELSE coalesce(json_extract_string(context, '$."' || kk || '"'), '') END))
-  || CASE WHEN len(json_keys(context)) > 3 THEN ['...'] ELSE [] END, chr(10)) END"""
+# a string as it is, true as 1, false as nothing, numbers and null as JSON, lists with their index as key,
+# nested values as JSON; longer than 50 bytes: the first 47 bytes (a cut character shows as U+FFFD)
+PREVIEW_SQL = """CASE WHEN context IS NULL OR json_type(context) NOT IN ('OBJECT', 'ARRAY') THEN '' ELSE
+  (SELECT coalesce(string_agg(CASE WHEN i > 3 THEN '...' ELSE key || ': ' ||
+      CASE WHEN strlen(v) > 50 THEN cut || '...' ELSE v END END, chr(10) ORDER BY i), '') FROM (
+    SELECT i, key, v, coalesce(try(decode(encode(v)[1:47])), try(decode(encode(v)[1:46])) || chr(65533), try(decode(encode(v)[1:45])) || chr(65533),
+        try(decode(encode(v)[1:44])) || chr(65533)) AS cut FROM (
+      SELECT row_number() OVER (ORDER BY id) AS i, key, CASE type WHEN 'VARCHAR' THEN json_extract_string(value, '$') WHEN 'BOOLEAN'
+        THEN CASE WHEN CAST(value AS VARCHAR) = 'true' THEN '1' ELSE '' END ELSE CAST(value AS VARCHAR) END AS v
+      FROM json_each(context)) WHERE i <= 4)) END"""
 
 
 def _parsed(spark, sf_dir):
@@ -133,34 +138,32 @@ def q_json_log_scan(spark, sf_dir):
             .select("message", "channel", "level", "datetime", "context"))
 
 
-@register("log_newest_file")
+_NEWEST_TYPE = "error"
+
+
+@register("log_newest_file", f"SELECT p.valid, p.message, p.channel, p.level, p.datetime FROM {PARSED_SQL} p "
+          f"JOIN events e ON p.id = e.event_id + 1 WHERE e.event_type = '{_NEWEST_TYPE}'")
 def q_log_newest_file(spark, sf_dir):
-    """Lines per event type written as rotated files ``prod-<type>.log`` and a
-    current ``prod.log``; the newest file by modification time wins."""
+    """A folder of rotated logs ``prod-<type>.log`` in several parts each, the current
+    ``prod.log`` (written last) and an unrelated log; the newest of ``prod`` wins."""
     base = scratch_path(spark, f"logdir-{uuid.uuid4().hex}")
-    lines = log_lines(spark, sf_dir).join(table(spark, sf_dir, "events").select(
-        (F.col("event_id") + 1).alias("id"), "event_type"), "id")
-    types = [r[0] for r in lines.select("event_type").distinct().orderBy("event_type").collect()]
-    for t in types:   # a handful of files, written one after another
-        lines.where(F.col("event_type") == t).select("line").write.mode("overwrite").text(f"{base}/prod-{t}.log")
-    lines.where(F.col("event_type") == types[0]).select("line").write.mode("overwrite").text(f"{base}/prod.log")
-    raw = read_log_lines(spark, f"{base}/*.log").withColumn("log_dir", F.lit(base))
-    newest = newest_log_files(raw)
+    events = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("id"), "event_type")
+    lines = log_lines(spark, sf_dir).join(events, "id")
+    rotated = F.when(F.col("event_type") == _NEWEST_TYPE, "other.log").otherwise(F.concat(F.lit("prod-"), "event_type", F.lit(".log")))
+    lines.select("line", rotated.alias("log")).repartition(3).write.partitionBy("log").text(base)
+    time.sleep(1.1)    # modification times of some stores have whole seconds
+    lines.where(F.col("event_type") == _NEWEST_TYPE).select("line", F.lit("prod.log").alias("log")).repartition(4).write.mode("append").partitionBy("log").text(base)
+    raw = read_log_lines(spark, f"{base}/log=*/*")
+    newest = newest_log(raw, "prod", name_of=lambda path: F.regexp_extract(path, "log=([^/]*)/[^/]*$", 1))
     return parse_log(newest.withColumn("id", F.lit(None).cast("long")), "id", "line").select(
         "valid", "message", "channel", "level", "datetime")
 
 
 @register("log_tail_stream", _COUNTS_SQL)
 def q_log_tail_stream(spark, sf_dir):
-    """Level counts per hour from a streaming read of the log folder."""
-    path = _write_lines(spark, sf_dir, "logstream")
-    parsed = stream_json_log(spark, path)
-    counts = stream_level_counts(parsed, "1 hour")
-    name = f"log_counts_{uuid.uuid4().hex[:8]}"
-    ckpt = scratch_path(spark, f"ckpt-{name}")
-    # update mode: each micro-batch emits the hours it changed; the files land
-    # in one batch here, so every (level, hour) appears once with its count
-    q = (counts.writeStream.outputMode("update").format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    """Level counts per hour from a streaming read of the log folder, in several micro-batches."""
+    path = scratch_path(spark, f"logstream-{uuid.uuid4().hex}")
+    log_lines(spark, sf_dir).select("line").repartition(6).write.text(path)
+    out = scratch_path(spark, f"logcounts-{uuid.uuid4().hex}")
+    write_level_counts(stream_json_log(spark, path, max_files_per_trigger=2), out, f"{out}-ckpt")
+    return read_level_counts(spark, out)

@@ -18,15 +18,10 @@ from tableguard.plans.oracle import (
     duck_spans,
     q,
 )
-from tableguard.plans.registry import register, table
-
-# Labels whose patterns never overlap each other on the test data; span-based
-# and chain redaction agree on them, which lets plain SQL check redact_spans.
-SLICE_LABELS = ["email", "ipv4", "credit_debit_card", "phone_number", "secret_key"]
-
+from tableguard.plans.registry import dealt_table, register
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return dealt_table(spark, sf_dir, "documents")
 
 
 def _inventory_oracle(tbl: str, cols: list[str], labels=None) -> str:
@@ -51,15 +46,15 @@ def q_filter_spans(spark, sf_dir):
     return filter_spans(detect_spans(_docs(spark, sf_dir), "doc_id", "text"), 0.6)
 
 
-def _redact_slice_sql() -> str:
-    ctes, last = duck_redact_ctes("documents", ["text"], SLICE_LABELS)
+def _redact_text_sql() -> str:
+    ctes, last = duck_redact_ctes("documents", ["text"])
     return f"WITH {ctes} SELECT doc_id, text FROM {last}"
 
 
-@register("redact_spans", _redact_slice_sql)
+@register("redact_spans", _redact_text_sql)
 def q_redact_spans(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    spans = filter_spans(detect_spans(docs, "doc_id", "text", SLICE_LABELS), 0.6)
+    spans = filter_spans(detect_spans(docs, "doc_id", "text"), 0.6)
     return redact_spans(docs, "doc_id", "text", spans)
 
 

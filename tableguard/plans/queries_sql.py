@@ -12,12 +12,15 @@ from tableguard.functions.statements import (
     LIMIT_ERROR,
     LIMIT_HINT,
     SELECT_FROM_RE,
-    TOKEN_RE,
 )
 from tableguard.operators.statements import audit_statements, limit_rule, screen_keywords, split_statements
 from tableguard.plans.guard import guarded_sql, run_script
 from tableguard.plans.oracle import q
-from tableguard.plans.registry import register, table
+from tableguard.plans.registry import dealt_table, register, table
+
+# the tokenizer's rules for DuckDB's RE2, which has no possessive loops and never recurses
+TOKEN_RE2 = (r"(?s)(?:\\.|'(?:\\.|''|[^'\\])*'?|\"(?:\\.|\"\"|[^\"\\])*\"?|--[^\n]*\n?|#[^\n]*\n?"
+             r"|/\*.*?(?:\*/|\z)|;|[^'\"\\;#/-]+|.)")
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -63,7 +66,7 @@ def _template_sql(tpl: str) -> str:
 
 def scripts(spark, sf_dir):
     """``(script_id, sql)``: a query log derived from ``events``."""
-    ev = table(spark, sf_dir, "events")
+    ev = dealt_table(spark, sf_dir, "events")
     expr = None
     for et, tpl in SCRIPT_TEMPLATES.items():
         expr = (F.when(F.col("event_type") == et, _template_spark(tpl)) if expr is None
@@ -82,7 +85,7 @@ def split_sql() -> str:
             "THEN ' ' ELSE '' END ELSE t END")
     trim_set = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
     return f"""
-WITH s AS (SELECT script_id, regexp_extract_all(sql, {q(TOKEN_RE)}, 0) AS tok FROM {scripts_sql()}),
+WITH s AS (SELECT script_id, regexp_extract_all(sql, {q(TOKEN_RE2)}, 0) AS tok FROM {scripts_sql()}),
 m AS (SELECT script_id, tok, list_transform(tok, lambda t: {text}) AS txt FROM s),
 b AS (SELECT script_id, txt, [0] || list_filter(range(1, len(tok) + 1), lambda i: tok[i] = ';') || [len(tok) + 1] AS bd FROM m),
 p AS (SELECT script_id, list_filter(list_transform(range(1, len(bd)), lambda k:

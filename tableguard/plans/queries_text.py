@@ -11,8 +11,7 @@ from tableguard.functions.pii_patterns import DETECTORS
 from tableguard.operators.chunks import chunk_roundtrip, chunk_text, redact_long_text
 from tableguard.operators.model import PatternPredictor, model_spans
 from tableguard.plans.oracle import duck_redact_ctes, duck_spans, q
-from tableguard.plans.queries_pii import SLICE_LABELS
-from tableguard.plans.registry import register, table
+from tableguard.plans.registry import dealt_table, register, table
 from tableguard.session import scratch_path
 from tableguard.sources.catalog import register_source, reload_tables
 from tableguard.sources.jdbc import jdbc_scan
@@ -27,7 +26,7 @@ def q_chunk_text(spark, sf_dir):
     """Every document cut into chunks of at most 1800 characters (rows-only:
     DuckDB's RE2 cannot run counted repeats this long in reasonable time; the
     tests compare against a straight-line implementation instead)."""
-    return chunk_text(table(spark, sf_dir, "documents"), "doc_id", "text", 1800)
+    return chunk_text(dealt_table(spark, sf_dir, "documents"), "doc_id", "text", 1800)
 
 
 @register("chunk_roundtrip", "SELECT doc_id, true AS equal FROM documents")
@@ -36,14 +35,14 @@ def q_chunk_roundtrip(spark, sf_dir):
     return chunk_roundtrip(chunk_text(docs, "doc_id", "text", 1800), docs, "doc_id", "text")
 
 
-def _slice_sql() -> str:
-    ctes, last = duck_redact_ctes("documents", ["text"], SLICE_LABELS)
+def _long_sql() -> str:
+    ctes, last = duck_redact_ctes("documents", ["text"])
     return f"WITH {ctes} SELECT doc_id, text FROM {last}"
 
 
-@register("redact_long_text", _slice_sql)
+@register("redact_long_text", _long_sql)
 def q_redact_long_text(spark, sf_dir):
-    return redact_long_text(table(spark, sf_dir, "documents"), "doc_id", "text", 1800, SLICE_LABELS)
+    return redact_long_text(dealt_table(spark, sf_dir, "documents"), "doc_id", "text", 1800)
 
 
 def email_predictor():
@@ -55,8 +54,8 @@ def email_predictor():
 @register("model_spans", lambda: duck_spans("documents", "doc_id", "text", ["email"]))
 def q_model_spans(spark, sf_dir):
     # the model sees at most 1800 characters at a time, as a 512-token model needs
-    return model_spans(table(spark, sf_dir, "documents"), "doc_id", "text", email_predictor, ["email"], 256,
-                       max_len=1800)
+    return model_spans(dealt_table(spark, sf_dir, "documents"), "doc_id", "text", email_predictor, ["email"],
+                       "email-pattern-1", 256, max_len=1800)
 
 
 def _stream_sql() -> str:
@@ -69,10 +68,10 @@ def q_redact_stream(spark, sf_dir):
     """Documents landed as files in a folder, redacted by a streaming query."""
     docs = table(spark, sf_dir, "documents")
     landing = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
-    docs.write.mode("overwrite").parquet(landing)
-    stream = parquet_stream(spark, landing, docs, max_files_per_trigger=4)
-    name = f"redacted_{uuid.uuid4().hex[:8]}"
-    return run_available(redact_stream(stream), name, scratch_path(spark, f"ckpt-{name}"))
+    docs.repartition(6).write.mode("overwrite").parquet(landing)
+    stream = parquet_stream(spark, landing, docs, max_files_per_trigger=2)     # three micro-batches
+    name = uuid.uuid4().hex
+    return run_available(redact_stream(stream), scratch_path(spark, f"redacted-{name}"), scratch_path(spark, f"ckpt-{name}"))
 
 
 def _tables_sql(prefix: str, names: list[str], label: str) -> str:
@@ -122,11 +121,13 @@ def _toon_sql() -> str:
                  f"OR lower({c}) IN ('true', 'false', 'null'))")
         return f"coalesce(CASE WHEN {quote} THEN '\"' || {esc} || '\"' ELSE {c} END, 'null')"
     body = (f"'  ' || concat_ws(',', coalesce(CAST(conv_id AS VARCHAR), 'null'), "
-            f"coalesce(CAST(turn AS VARCHAR), 'null'), {s('role')}, {s('text')})")
-    return (f"SELECT 0 AS line_no, '[' || CAST(count(*) AS VARCHAR) || ']{{conv_id,turn,role,text}}:' AS line "
-            f"FROM conversations UNION ALL SELECT 1 AS line_no, {body} AS line FROM conversations")
+            f"coalesce(CAST(turn AS VARCHAR), 'null'), coalesce(regexp_replace(CAST(turn / 4.0 AS VARCHAR), '[.]0$', ''), 'null'), "
+            f"{s('role')}, {s('text')})")
+    return (f"SELECT CAST(0 AS BIGINT) AS line_no, '[' || CAST(count(*) AS VARCHAR) || ']{{conv_id,turn,quarter,role,text}}:' AS line "
+            f"FROM conversations UNION ALL SELECT row_number() OVER (ORDER BY conv_id, turn) AS line_no, {body} AS line FROM conversations")
 
 
 @register("toon_rows", _toon_sql)
 def q_toon_rows(spark, sf_dir):
-    return toon_rows(table(spark, sf_dir, "conversations"))
+    conv = table(spark, sf_dir, "conversations")
+    return toon_rows(conv.select("conv_id", "turn", (F.col("turn") / 4.0).alias("quarter"), "role", "text"), ["conv_id", "turn"])

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tableguard.plans.layout import dealt
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -34,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``table`` for queries with costly work per row: a scan of few splits is dealt out."""
+    return dealt(table(spark, sf_dir, name))
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from tableguard.plans import (  # noqa: F401

@@ -22,8 +22,6 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # wide regex projections make constraint inference quadratic (see operators.spans)
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -51,14 +49,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3...);
-    we read it from the session.  Only when it is missing -- local tests -- do we
-    create a scratch folder of our own.
+    we read it from the session.  A scratch folder of our own is made only for a
+    local master, where driver and executors are one process; elsewhere an unset
+    folder is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tableguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
@@ -93,7 +95,6 @@ def cluster_settings(total_cores: int, input_bytes: int, target_partition_bytes:
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
-        "spark.sql.constraintPropagation.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
     }
 

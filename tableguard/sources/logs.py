@@ -32,7 +32,10 @@ def read_json_log(spark: SparkSession, path: str, with_ids: bool = True) -> Data
     return parse_log(lines, "id", "line")
 
 
-def stream_json_log(spark: SparkSession, path: str) -> DataFrame:
+def stream_json_log(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same parse on a streaming text source (new files are picked up as they land)."""
-    lines = spark.readStream.format("text").load(path)
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    lines = reader.load(path)
     return parse_log(lines.withColumn("id", F.lit(None).cast("long")), "id", "value")

@@ -28,12 +28,13 @@ def parquet_stream(spark: SparkSession, path: str, like: DataFrame, max_files_pe
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available now into a memory table and return it.
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process everything available now into Parquet files at ``path`` and read them.
 
-    Checkpointed, so a restarted query resumes where it stopped.
+    Checkpointed, so a restarted query resumes where it stopped; the file sink
+    commits each micro-batch once.
     """
-    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
+    q = (stream.writeStream.outputMode("append").format("parquet").option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

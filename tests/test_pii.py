@@ -111,10 +111,10 @@ def test_windowed_model_spans_edges(spark):
 
     text = ("word " * 9) + "x john.doe@example.com " + ("more " * 40) + "end a@b.co"
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    whole = sorted((r.start, r.end) for r in model_spans(df, "id", "text", email_predictor, ["email"]).collect())
+    whole = sorted((r.start, r.end) for r in model_spans(df, "id", "text", email_predictor, ["email"], "email").collect())
     for m in (350, 360, 420):        # chunks of 50..120 characters, some cutting the first email
         got = sorted((r.start, r.end) for r in
-                     model_spans(df, "id", "text", email_predictor, ["email"], max_len=m).collect())
+                     model_spans(df, "id", "text", email_predictor, ["email"], "email", max_len=m).collect())
         assert got == whole, m
     assert [text[s:e] for s, e in whole] == ["john.doe@example.com", "a@b.co"]
 
@@ -126,8 +126,64 @@ def test_hint_gate_matches_ungated(spark):
     texts = ["national idfa: ABCDEF123456", "android idfa=1234567890ab", "blood pin: 1234", "10.0.0.1age: 5", "x age 42, cvv 123 (pin 9876)", "AGE: 7", "date of birth 2001-02-03",
              "license plate AB-123 and plate XY1", "s/n: ABC-12345", "Kage 5", "password= hunter22"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    ungated = [d.__class__(d.label, d.kind, d.pattern, d.group, d.check, d.prefix, ()) for d in DETECTORS]
+    ungated = [d.__class__(d.label, d.kind, d.pattern, d.group, d.check, ()) for d in DETECTORS]
     a = {r.id: sorted(tuple(s) for s in r.spans) for r in with_spans(df, "text", "spans").collect()}
     b = {r.id: sorted(tuple(s) for s in r.spans) for r in with_spans(df, "text", "spans", detectors=ungated).collect()}
     assert a == b
     assert any(s[2] == "pin" for s in a[2]) and any(s[2] == "device_identifier" for s in a[0])
+
+
+def test_long_values_are_hidden_whole_by_every_redactor(spark):
+    from tableguard.operators.chunks import redact_long_text
+
+    texts = ["password: " + "p4ss" * 20 + " end", "x " * 95 + "token=" + "k3y" * 1667 + " tail", "account 1234567890123456789012345 x",
+             "mail " + "a" * 100 + "@example.com, b@c.de;c@d.ef", "password: bob@example.com", "pin: 12345678 cvv 12345", "card 4532015112830366 no",
+             "member ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    a = {r.id: r.text for r in redact_columns(df).collect()}
+    b = {r.id: r.text for r in redact_long_text(df, "id", "text", 200).collect()}
+    c = {r.id: r.text for r in redact_spans(df, "id", "text", filter_spans(detect_spans(df, "id", "text"))).collect()}
+    assert a == b == c
+    assert a[0] == "password: [REDACTED_password] end" and a[1] == "x " * 95 + "token=[REDACTED_secret_key] tail"
+    assert a[2] == "account [REDACTED_account_number] x"
+    assert a[3] == "mail [REDACTED_email], [REDACTED_email];[REDACTED_email]"
+    assert a[4] == "password: [REDACTED_email]" and a[5] == "pin: [REDACTED_pin] cvv [REDACTED_cvv]"
+    assert a[6] == "card [REDACTED_credit_debit_card] no" and "9" not in a[7]
+
+
+def test_hostile_texts_take_little_time(spark):
+    import time
+
+    n = 1 << 20
+    texts = ["a" * n + " x@y.zz", "1" * n, "A" * n, "a." * (n // 2) + "@", "x@" + "a." * (n // 2), "token=" + "a" * n, "- " * (n // 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(len(texts))
+    redact_columns(df.limit(0)).collect()
+    start = time.time()
+    got = {r.id: r.text for r in redact_columns(df).collect()}
+    assert time.time() - start < 60
+    assert got[0] == "a" * n + " [REDACTED_email]" and got[5] == "token=[REDACTED_secret_key]"
+
+
+def test_models_are_kept_apart_and_ids_keep_their_type(spark):
+    from tableguard.operators.model import Predictor, model_spans
+
+    class Marked(Predictor):
+        def __init__(self, name):
+            self.name = name
+
+        def predict_batch(self, texts, labels):
+            return [[{"start": 0, "end": 1, "label": self.name, "score": 1.0}] for _ in texts]
+
+    df = spark.createDataFrame([(f"id{i}", "text") for i in range(40)], "id string, text string").repartition(8)
+    for name in "ABCDE":
+        rows = model_spans(df, "id", "text", (lambda n: lambda: Marked(n))(name), ["x"], f"model {name}").collect()
+        assert {r.label for r in rows} == {name} and {r.id for r in rows} == {f"id{i}" for i in range(40)}
+
+
+def test_windowed_values_run_on_to_the_next_blank(spark):
+    from tableguard.operators.model import PatternPredictor, model_spans
+
+    text = "word " * 30 + "k" * 900 + " end"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    rows = model_spans(df, "id", "text", lambda: PatternPredictor({"secret_key": "k+"}), ["secret_key"], "runs", max_len=500).collect()
+    assert min(r.start for r in rows) == 150 and max(r.end for r in rows) == 1050

@@ -4,13 +4,16 @@ and scans read only the columns they need."""
 import pytest
 
 import __spark_entry__ as entry
+from tableguard.plans.registry import QUERIES, load_all
+
+load_all()
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 ALLOWED_PYTHON = {"model_spans"}        # the predictor hook is Python by design
 
 
-@pytest.mark.parametrize("key", sorted(k for k in entry.queries() if k not in ALLOWED_PYTHON))
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k not in ALLOWED_PYTHON))
 def test_no_python_in_plan(spark, key):
     plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(n in plan for n in PYTHON_NODES), key
@@ -27,6 +30,8 @@ def test_column_pruning_reaches_scan(spark):
 
 
 def test_filter_pushed_to_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = entry.queries()["sql_project_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
     assert "GreaterThan(c_acctbal,0.0)" in pushed and "In(c_mktsegment" in pushed

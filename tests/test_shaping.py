@@ -32,6 +32,24 @@ def test_sequence_rows_hot_key(spark):
     assert sorted(r.rn for r in glob) == list(range(1, 1001)) and all(r.rn == r.o + 1 for r in glob)
 
 
+def test_sequence_rows_with_payload_above_the_range_sample(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").withColumn("payload", F.repeat(F.lit("p"), 50))
+    orders = orders.withColumn("k", F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).otherwise(F.col("o_custkey") % 50))
+    got = sequence_rows(orders, ["k"], ["o_orderkey"], partitions=12)
+    want = orders.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")).cast("long"))
+    key = ["o_orderkey", "payload", "rn"]
+    assert got.count() == orders.count() and got.select(key).exceptAll(want.select(key)).count() == 0
+
+
+def test_batches_keep_every_row_at_sf01(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    got = assign_batches(conv, "text", ["turn"], ["conv_id"])
+    assert got.count() == conv.count() == got.select("conv_id", "turn").distinct().count()
+
+
 def test_batches_brute_force(spark):
     conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = {(r.conv_id, r.turn): r.batch_no for r in assign_batches(conv, "text", ["turn"], ["conv_id"]).collect()}

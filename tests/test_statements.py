@@ -168,3 +168,25 @@ def test_guard_refuses_file_sql_and_restores_setting(spark):
         guarded_sql(spark, f"SELECT * FROM parquet.`{path}` LIMIT 1")
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
     assert spark.sql(f"SELECT count(*) AS n FROM parquet.`{path}`").first().n == 25
+
+
+def test_long_literals_split_without_deep_recursion(spark):
+    from tableguard.operators.statements import split_statements
+
+    n = 1 << 20
+    texts = ["SELECT '" + "a" * n + ";' LIMIT 1; SELECT 2", "SELECT '" + "\\'" * (n // 2) + ";' LIMIT 1; SELECT 2",
+             "SELECT '" + "''" * (n // 2) + ";' LIMIT 1; SELECT 2", 'SELECT "' + "x" * n, "-- " + "c" * n + "\nSELECT 2", "/*" + "*" * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, sql string").repartition(6)
+    rows = {}
+    for r in split_statements(df, "id", "sql").collect():
+        rows.setdefault(r.id, []).append(r.statement)
+    assert [len(rows.get(i, [])) for i in range(6)] == [2, 2, 2, 1, 1, 0]
+    assert rows[0][0] == texts[0].split(" SELECT 2")[0][:-1] and rows[4] == ["SELECT 2"]
+
+
+def test_the_rule_reads_long_blanks_in_one_pass(spark):
+    from tableguard.functions.statements import needs_limit
+    from pyspark.sql import functions as F
+
+    text = "SELECT COUNT(x)" + " " * 200_000 + "FRO"
+    assert spark.createDataFrame([(text,)], "s string").select(needs_limit(F.col("s")).alias("n")).first().n
