@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +23,13 @@ def normalize_mode(mode: str) -> str:
     return m
 
 
+def normalize_detail(detail: str) -> str:
+    d = detail.strip().lower()
+    if d not in DETAIL_LEVELS:
+        raise ValueError(f'Invalid detail value "{detail}". Use one of: {", ".join(DETAIL_LEVELS)}.')
+    return d
+
+
 def normalize_name(col: Column) -> Column:
     """``struct(canonical, leaf)``: parts split on dots, quotes stripped, lower-cased.
 
@@ -42,63 +47,53 @@ def normalize_name(col: Column) -> Column:
     return F.struct(canonical.alias("canonical"), leaf.alias("leaf"))
 
 
-def glob_to_regex(glob: str) -> str:
-    """Translate an ``fnmatch`` pattern (no flags) into an anchored Java regex."""
-    out, i = ["^"], 0
-    while i < len(glob):
-        ch = glob[i]
-        if ch == "*":
-            out.append(".*")
-        elif ch == "?":
-            out.append(".")
-        elif ch == "\\" and i + 1 < len(glob):
-            i += 1
-            out.append(re.escape(glob[i]))
-        elif ch == "[":
-            j = i + 1
-            if j < len(glob) and glob[j] in "!^":
-                j += 1
-            if j < len(glob) and glob[j] == "]":
-                j += 1
-            while j < len(glob) and glob[j] != "]":
-                j += 1
-            if j >= len(glob):
-                out.append("\\[")
-            else:
-                body = glob[i + 1:j]
-                neg = body[:1] in ("!", "^")
-                body = body[1:] if neg else body
-                body = body.replace("\\", "\\\\")
-                out.append("[" + ("^" if neg else "") + body + "]")
-                i = j
-        else:
-            out.append(re.escape(ch))
-        i += 1
-    out.append("$")
-    return "(?s)" + "".join(out)
-
-
-def glob_regex_col(glob: Column) -> Column:
-    """The same translation for a column of patterns (``*``, ``?``, ``[..]``, ``[!..]``)."""
-    esc = F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1")
-    esc = F.regexp_replace(esc, r"\[!", "[^")
-    esc = F.regexp_replace(esc, r"\*", ".*")
-    esc = F.regexp_replace(esc, r"\?", ".")
-    return F.concat(F.lit("(?s)^"), esc, F.lit("$"))
-
-
-def name_matches(name: Column, flt: Column, mode: str, glob_regex: tuple[Column, Column] | None = None) -> Column:
-    """Match predicate between two normalised structs (canonical OR leaf)."""
-    mode = normalize_mode(mode)
-    nc, nl, fc, fl = name["canonical"], name["leaf"], flt["canonical"], flt["leaf"]
+# an escaped character, a closed bracket expression, or any one character
+_GLOB_TOKEN = r"(?s)\\.|\[[!^]?\]?[^\]]*\]|."
+
+
+def glob_regex(glob: Column) -> Column:
+    """Translate an ``fnmatch`` pattern (no flags) into an anchored Java regex.
+
+    ``*``, ``?``, ``[...]``, ``[!...]`` or ``[^...]``, backslash escapes; a bracket
+    that is never closed stands for itself, and a range that runs backwards for its
+    three characters.
+    """
+    def piece(tok):
+        neg = tok.rlike(r"^\[[!^]")
+        body = F.substr(tok, F.when(neg, F.lit(3)).otherwise(F.lit(2)), F.char_length(tok) - F.when(neg, F.lit(3)).otherwise(F.lit(2)))
+        backwards = F.exists(F.regexp_extract_all(body, F.lit("(?s).-."), F.lit(0)), lambda r: F.substr(r, F.lit(1), F.lit(1)) > F.substr(r, F.lit(3), F.lit(1)))
+        body = F.regexp_replace(body, r"([\\\[\]&^])", r"\\$1")
+        body = F.when(backwards, F.regexp_replace(body, "-", r"\\-")).otherwise(body)
+        char = F.when(F.char_length(tok) == 2, F.substr(tok, F.lit(2), F.lit(1))).otherwise(tok)
+        literal = F.when(char.rlike("^[A-Za-z0-9_]$") | (F.octet_length(char) > 1), char).otherwise(F.concat(F.lit("\\"), char))
+        return (F.when(tok == "*", ".*").when(tok == "?", ".")
+                .when((F.char_length(tok) > 2) & tok.startswith("["), F.concat(F.lit("["), F.when(neg, "^").otherwise(""), body, F.lit("]")))
+                .otherwise(literal))
+
+    tokens = F.regexp_extract_all(glob, F.lit(_GLOB_TOKEN), F.lit(0))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, piece), ""), F.lit("$"))
+
+
+def glob_literal(glob: Column) -> Column:
+    """The first run of plain characters that every match must contain ('' if none)."""
+    return F.regexp_extract(F.regexp_replace(glob, r"(?s)\\.|\[[!^]?\]?[^\]]*\]", "*"), r"([^*?\[\\]+)", 1)
+
+
+def part_matches(name: Column, flt: Column, mode: str) -> Column:
+    """Does one part (canonical or leaf) of a name match the same part of a filter?"""
     if mode == "contains":
-        return nc.contains(fc) | nl.contains(fl)
+        return name.contains(flt)
     if mode == "prefix":
-        return nc.startswith(fc) | nl.startswith(fl)
+        return name.startswith(flt)
     if mode == "exact":
-        return (nc == fc) | (nl == fl)
-    rc, rl = glob_regex if glob_regex is not None else (glob_regex_col(fc), glob_regex_col(fl))
-    return F.regexp_like(nc, rc) | F.regexp_like(nl, rl)
+        return name == flt
+    return F.regexp_like(name, glob_regex(flt))
+
+
+def name_matches(name: Column, flt: Column, mode: str) -> Column:
+    """Match predicate between two normalised structs (canonical OR leaf)."""
+    mode = normalize_mode(mode)
+    return part_matches(name["canonical"], flt["canonical"], mode) | part_matches(name["leaf"], flt["leaf"], mode)
 
 
 def name_distance(name: Column, flt: Column, threshold: int | None = None) -> Column:

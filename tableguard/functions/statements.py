@@ -18,6 +18,12 @@ LIMIT_HINT = "Add LIMIT 10 (MySQL/PostgreSQL/SQLite) or TOP 10 (SQL Server), or
 KEYWORD_ERROR = 'Security violation: Keyword "{kw}" is not allowed in read-only mode.'
 KEYWORD_HINT = ("Use a read-only SELECT query. Writes (INSERT/UPDATE/DELETE/DDL/transaction commands) "
                 "are blocked.")
+# Hints for the other failures: of the database, of an argument, and of anything else.
+DATABASE_HINT = "Query failed in the database. Verify table/column names and SQL syntax, then retry."
+ARGUMENT_HINT = ("Check tool arguments and use values from tools/list (for connections) and resources/list "
+                 "(for tables).")
+INTERNAL_HINT = ("Temporary internal failure. Retry the same call once; if it still fails, adjust the query or "
+                 "inspect server logs.")
 # Characters stripped around a statement (PHP trim's default set).
 TRIM_CHARS = " \t\n\r\x00\x0b"
 # --- end of fixed values ---

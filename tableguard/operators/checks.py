@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableguard.functions.names import normalize_detail, normalize_mode
+from tableguard.operators.names import match_names
+
+
+EXACT_COLUMNS = 12
+
 
 def sql_type(dt: T.DataType) -> str:
     """Upper-case SQL name of a Spark type (``BIGINT``, ``STRING``, ``ARRAY<FLOAT>``)."""
@@ -23,20 +29,60 @@ def table_inventory(frames: dict[str, DataFrame], source: str = "default") -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_inventory(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
-    """``(table, column, position, type)`` from each table's schema (metadata only)."""
-    rows = [(name, f.name, i + 1, sql_type(f.dataType), f.nullable)
-            for name, df in frames.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "table string, column string, position int, type string, nullable boolean")
+def column_inventory(frames: dict[str, DataFrame]) -> DataFrame:
+    """``(table, column, position, type, nullable, rows, nulls)`` of every column.
+
+    Names and types come from the schemas, rows and nulls from one aggregate per table.
+    """
+    parts = []
+    for name, df in frames.items():
+        fields = df.schema.fields
+        one = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"__c{i}") for i, f in enumerate(fields)])
+        cols = [F.struct(F.lit(f.name).alias("column"), F.lit(i + 1).alias("position"), F.lit(sql_type(f.dataType)).alias("type"),
+                         F.lit(f.nullable).alias("nullable"), F.col("__rows").alias("rows"), (F.col("__rows") - F.col(f"__c{i}")).alias("nulls"))
+                for i, f in enumerate(fields)]
+        parts.append(one.select(F.lit(name).alias("table"), F.explode(F.array(*cols)).alias("c")).select("table", "c.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def schema_lookup(frames: dict[str, DataFrame], flt: str = "", mode: str = "contains", detail: str = "summary") -> DataFrame:
+    """Matching tables at one detail level, with counts read from the tables.
+
+    ``summary``: ``(table, rows)``; ``columns``: ``(table, rows, column, position, type)``;
+    ``full``: also ``nulls``, ``distinct`` and ``max_bytes`` of every column.  Only
+    matching tables are read.  A blank filter matches all; an unknown mode or detail
+    level is an error.
+    """
+    detail, mode = normalize_detail(detail), normalize_mode(mode)
+    spark = next(iter(frames.values())).sparkSession
+    listed = spark.createDataFrame([(name,) for name in frames], "name string")
+    kept = {r.name for r in match_names(listed, "name", flt, mode).collect()}     # as many rows as there are tables
+    frames = {name: df for name, df in frames.items() if name in kept}
+    shape = {"summary": "table string, rows bigint", "columns": "table string, rows bigint, column string, position int, type string",
+             "full": "table string, rows bigint, column string, position int, type string, nulls bigint, distinct bigint, max_bytes bigint"}[detail]
+    if not frames:
+        return spark.createDataFrame([], shape)
+    if detail == "summary":
+        return table_inventory(frames).select("table", "rows")
+    if detail == "columns":
+        return column_inventory(frames).select("table", "rows", "column", "position", "type")
+    parts = []
+    for name, df in frames.items():
+        places = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i + 1))])
+        parts.append(column_profile(df).select(F.lit(name).alias("table"), "rows", "column", places[F.col("column")].alias("position"),
+                                               "type", "nulls", "distinct", "max_bytes"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, exact_distinct: bool | None = None) -> DataFrame:
     """``(column, type, rows, nulls, distinct, max_bytes)`` in one aggregate.
 
-    Exact distinct counts make Spark expand the input once per column; pass
-    ``exact_distinct=False`` for ``approx_count_distinct`` (HyperLogLog++,
-    one pass) on very wide or very large tables.
+    Exact distinct counts make Spark expand the input once per column, so they are the
+    default only up to ``EXACT_COLUMNS`` columns; beyond, or with ``exact_distinct=False``,
+    ``approx_count_distinct`` (HyperLogLog++) does it in one pass.
     """
+    if exact_distinct is None:
+        exact_distinct = len(df.columns) <= EXACT_COLUMNS
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
@@ -58,16 +104,19 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
 def key_check(df: DataFrame, columns: list[str]) -> DataFrame:
     """Does ``columns`` hold a key?  ``(rows, distinct, nulls, is_unique, is_primary)``.
 
+    An empty table has no row that breaks a key: it is unique and primary.
+
     One grouped count (partial aggregation map-side, so a hot key value costs
     one partial row per task), then one global aggregate of the groups.
     """
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
     groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"),
                                       F.max(any_null.cast("int")).alias("__null"))
-    return groups.agg(F.sum("__n").cast("long").alias("rows"),
+    zero = F.lit(0)
+    return groups.agg(F.coalesce(F.sum("__n"), zero).cast("long").alias("rows"),
                       F.count(F.lit(1)).alias("distinct"),
-                      F.sum(F.when(F.col("__null") == 1, F.col("__n")).otherwise(0)).cast("long").alias("nulls"),
-                      (F.max("__n") <= 1).alias("is_unique")
+                      F.coalesce(F.sum(F.when(F.col("__null") == 1, F.col("__n")).otherwise(0)), zero).cast("long").alias("nulls"),
+                      F.coalesce(F.max("__n") <= 1, F.lit(True)).alias("is_unique")
                       ).select("rows", "distinct", "nulls", "is_unique",
                                (F.col("is_unique") & (F.col("nulls") == 0)).alias("is_primary"))
 
@@ -96,7 +145,7 @@ def foreign_key_check(child: DataFrame, child_cols: list[str], parent: DataFrame
 
 def check_rows(df: DataFrame, checks: dict[str, str]) -> DataFrame:
     """``(name, violations)``: rows where a CHECK expression is false (NULL passes)."""
-    aggs = [F.sum(F.when(F.expr(e) == F.lit(False), 1).otherwise(0)).cast("long").alias(f"__v{i}")
+    aggs = [F.coalesce(F.sum(F.when(F.expr(e) == F.lit(False), 1).otherwise(0)), F.lit(0)).cast("long").alias(f"__v{i}")
             for i, e in enumerate(checks.values())]
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*[

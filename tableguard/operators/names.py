@@ -2,105 +2,92 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableguard.functions.names import (
     NEAR_MATCHES,
-    glob_regex_col,
-    glob_to_regex,
+    glob_literal,
+    glob_regex,
     name_distance,
     name_matches,
     normalize_mode,
     normalize_name,
+    part_matches,
 )
 from tableguard.plans.joins import checked_broadcast
+from tableguard.session import scratch_path
+
+BLANKS = " \t\n\r\x00\x0b"
 
 
 def _filter_struct(flt: str):
     return normalize_name(F.lit(flt))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def match_names(df: DataFrame, col: str, flt: str, mode: str = "contains") -> DataFrame:
     """Rows whose name matches one filter; a blank filter matches everything."""
     mode = normalize_mode(mode)
-    if flt.strip() == "":
+    if flt.strip(BLANKS) == "":
         return df
-    norm = normalize_name(F.col(col))
-    fs = _filter_struct(flt)
-    glob = None
-    if mode == "glob":
-        # translate once on the driver from the normalised filter parts
-        spark = df.sparkSession
-        parts = spark.range(1).select(fs.alias("f")).first()["f"]
-        glob = (F.lit(glob_to_regex(parts["canonical"])), F.lit(glob_to_regex(parts["leaf"])))
-    return df.where(name_matches(norm, fs, mode, glob))
-
-
-def _trigrams(col):
-    """Distinct 3-character substrings (the whole value when shorter)."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(col) - 2, F.lit(1))),
-                                        lambda i: F.substring(col, i, 3)))
+    return df.where(name_matches(normalize_name(F.col(col)), _filter_struct(flt), mode))
 
 
-def _filter_key(fpart, mode: str):
-    """Three literal characters every match of this filter part must show, or null."""
-    lit = F.regexp_extract(fpart, r"^([^*?\[\\]*)", 1) if mode == "glob" else fpart
-    return F.when(F.char_length(lit) >= 3, F.substring(lit, 1, 3))
+def _grams(col):
+    """Distinct substrings of one, two and three characters."""
+    def of(n):
+        return F.when(F.char_length(col) >= n, F.transform(F.sequence(F.lit(1), F.char_length(col) - (n - 1)), lambda i: F.substring(col, i, n)))
+    return F.array_distinct(F.concat(*[F.coalesce(of(n), F.array().cast("array<string>")) for n in (1, 2, 3)]))
 
 
 def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter_col: str,
                      mode: str = "contains") -> DataFrame:
     """All (name row, filter row) pairs that match, for many filters at once.
 
-    No pair is tested unless it can match.  Exact mode is two equi-joins
-    (canonical, leaf).  Other modes block on three literal characters every
-    match must contain: a filter's first trigram joined with every trigram of
-    the name (contains), or with the name's first three characters (prefix,
-    glob with a literal start).  Candidates from both sides are verified with
-    the exact predicate and de-duplicated.  Only filter sides without such a
-    key (under three characters, a glob starting with a wildcard) are tested
-    against every name, with a size-checked broadcast.  A blank filter
-    matches every name, by definition.
+    No pair is tested unless it can match: exact mode joins on the part itself; the
+    other modes join a filter's first (up to three) literal characters with the names'
+    substrings of that length, or with their beginnings (prefix).  A pair that matches
+    by its canonical name comes from the canonical join, one that matches by its leaf
+    only from the leaf join, so nothing is found twice.  Globs without any literal
+    character are tested against every name, behind a size-checked broadcast.  A blank
+    filter is no filter and is left out.
     """
     mode = normalize_mode(mode)
-    n = (names.withColumn("__n", normalize_name(F.col(name_col)))
-         .withColumn("__nid", F.monotonically_increasing_id()))
-    blank = F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) == F.lit("")
-    f = (filters.withColumn("__f", normalize_name(F.col(filter_col)))
-         .withColumn("__fid", F.monotonically_increasing_id()).withColumn("__blank", blank))
-    internal = ["__n", "__nid", "__f", "__fid", "__blank", "__rc", "__rl", "__k", "__kc", "__kl"]
-    everything = n.crossJoin(checked_broadcast(f.where("__blank")))     # blank filter: all names
-    if mode == "exact":
-        fx = f.where(~F.col("__blank"))
-        by_c = n.join(fx, F.col("__n.canonical") == F.col("__f.canonical"))
-        by_l = n.join(fx, F.col("__n.leaf") == F.col("__f.leaf"))
-        pairs = by_c.unionByName(by_l).dropDuplicates(["__nid", "__fid"])
-        return pairs.unionByName(everything).drop(*[c for c in internal if c in pairs.columns])
-    f = (f.where(~F.col("__blank"))
-         .withColumn("__rc", glob_regex_col(F.col("__f.canonical")))
-         .withColumn("__rl", glob_regex_col(F.col("__f.leaf")))
-         .withColumn("__kc", _filter_key(F.col("__f.canonical"), mode))
-         .withColumn("__kl", _filter_key(F.col("__f.leaf"), mode)))
-    if mode == "contains":
-        name_keys = {"c": _trigrams(F.col("__n.canonical")), "l": _trigrams(F.col("__n.leaf"))}
+    n = names.withColumn("__n", normalize_name(F.col(name_col)))
+    f = filters.where(F.btrim(F.col(filter_col), F.lit(BLANKS)) != F.lit("")).withColumn("__f", normalize_name(F.col(filter_col)))
+    out = [*names.columns, *[c for c in filters.columns if c not in names.columns]]
+    name = {p: F.col(f"__n.{p}") for p in ("canonical", "leaf")}
+    flt = {p: F.col(f"__f.{p}") for p in ("canonical", "leaf")}
+    if mode == "glob":      # translated once per filter, not once per pair
+        f = f.withColumn("__r", F.struct(*[glob_regex(flt[p]).alias(p) for p in flt]))
+        hit = {p: F.regexp_like(name[p], F.col(f"__r.{p}")) for p in name}
     else:
-        name_keys = {"c": F.array(F.substring(F.col("__n.canonical"), 1, 3)),
-                     "l": F.array(F.substring(F.col("__n.leaf"), 1, 3))}
+        hit = {p: part_matches(name[p], flt[p], mode) for p in name}
     parts = []
-    for side, fkey in (("c", "__kc"), ("l", "__kl")):
-        keyed_names = n.select("*", F.explode(name_keys[side]).alias("__k"))
-        parts.append(keyed_names.join(f.where(F.col(fkey).isNotNull()).withColumnRenamed(fkey, "__k"), "__k")
-                     .drop("__k", "__kc" if side == "l" else "__kl"))
-        parts.append(n.join(checked_broadcast(f.where(F.col(fkey).isNull()).drop("__kc", "__kl")), how="cross"))
-    cols = parts[1].columns
-    cand = parts[0].select(*cols)
-    for p in parts[1:]:
-        cand = cand.unionByName(p.select(*cols))
-    cond = name_matches(F.col("__n"), F.col("__f"), mode, (F.col("__rc"), F.col("__rl")))
-    matched = cand.where(cond).dropDuplicates(["__nid", "__fid"])
-    out_cols = [c for c in matched.columns if c not in internal]
-    return matched.select(*out_cols).unionByName(everything.select(*out_cols))
+    for p, found in (("canonical", hit["canonical"]), ("leaf", hit["leaf"] & ~hit["canonical"])):
+        if mode == "exact":
+            parts.append(n.join(f, (name[p] == flt[p]) & found))
+            continue
+        literal = glob_literal(flt[p]) if mode == "glob" else flt[p]
+        keyed = f.withColumn("__k", F.substring(literal, 1, 3))
+        if mode == "prefix":
+            keys = F.array_distinct(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.substr(name[p], F.lit(1), i)))
+        else:
+            keys = _grams(name[p])
+        parts.append(n.withColumn("__nk", F.explode(keys)).join(keyed.where("__k <> ''"), (F.col("__nk") == F.col("__k")) & found))
+        if mode == "glob":
+            parts.append(n.join(checked_broadcast(keyed.where("__k = ''")), found))
+    return reduce(DataFrame.unionByName, [x.select(*out) for x in parts])
 
 
 def near_names(df: DataFrame, name_col: str, type_col: str, target: str, k: int = NEAR_MATCHES) -> DataFrame:
@@ -115,44 +102,39 @@ def near_names(df: DataFrame, name_col: str, type_col: str, target: str, k: int
     return scored.orderBy("score", "type", "name").limit(k)
 
 
-def _candidates(names: DataFrame, targets: DataFrame, band: int) -> DataFrame:
-    """(target, name) pairs whose canonical or leaf lengths differ by at most ``band``.
+def _near_pairs(names: DataFrame, targets: DataFrame, band: int) -> DataFrame:
+    """(target, name) pairs at most ``band`` edits apart by canonical name or leaf, once each.
 
-    Edit distance is at least the length difference, so no pair with a
-    distance <= band is missed.  Targets are widened to the 2*band+1 lengths
-    they can meet and joined on (part, length): an equi-join, not all pairs.
+    Edit distance is at least the length difference, so targets are widened to the
+    2 * band + 1 lengths they can meet and joined on the length: an equi-join, not all
+    pairs.  A pair near by its canonical name comes from the canonical join, one near
+    by its leaf only from the leaf join; the distance stops early above ``band``.
     """
     offs = F.sequence(F.lit(-band), F.lit(band))
-    tl = targets.select("*", F.explode(F.array(
-        F.struct(F.lit("c").alias("part"), F.char_length("__f.canonical").alias("len")),
-        F.struct(F.lit("l").alias("part"), F.char_length("__f.leaf").alias("len")))).alias("__k"))
-    tl = tl.select("*", F.explode(offs).alias("__d")).select(
-        "*", F.col("__k.part").alias("__part"), (F.col("__k.len") + F.col("__d")).alias("__len")
-    ).drop("__k", "__d")
-    nl = names.select("*", F.explode(F.array(
-        F.struct(F.lit("c").alias("part"), F.char_length("__n.canonical").alias("len")),
-        F.struct(F.lit("l").alias("part"), F.char_length("__n.leaf").alias("len")))).alias("__k")).select(
-        "*", F.col("__k.part").alias("__part"), F.col("__k.len").alias("__len")).drop("__k")
-    return nl.join(tl, ["__part", "__len"]).drop("__part", "__len").dropDuplicates(["__nid", "__tid"])
+
+    def near(p):
+        return F.levenshtein(F.col(f"__f.{p}"), F.col(f"__n.{p}"), band) >= 0
+
+    parts = []
+    for p, found in (("canonical", near("canonical")), ("leaf", near("leaf") & ~near("canonical"))):
+        wide = targets.withColumn("__len", F.explode(F.transform(offs, lambda d: F.char_length(f"__f.{p}") + d)))
+        parts.append(names.withColumn("__nlen", F.char_length(f"__n.{p}")).join(wide, (F.col("__nlen") == F.col("__len")) & found).drop("__nlen", "__len"))
+    return parts[0].unionByName(parts[1])
 
 
 def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: DataFrame, target_col: str,
                     k: int = NEAR_MATCHES, max_distance: int = 2) -> DataFrame:
     """For every target, its k nearest names within ``max_distance`` edits.
 
-    Blocking on length bands keeps the join an equi-join; ``levenshtein`` then
-    runs only on candidate pairs, and a window per target (small groups: at
-    most the candidates of one target) keeps the k best.
+    Blocking on length keeps the join an equi-join; only pairs that are near enough
+    reach the window per target (small groups: the names near one target).
     """
-    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
-                             normalize_name(F.col(name_col)).alias("__n"),
-                             F.monotonically_increasing_id().alias("__nid"))
-    t = targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
-                       F.monotonically_increasing_id().alias("__tid"))
-    pairs = _candidates(n, t, max_distance)
-    scored = pairs.select("target", "name", "type", F.col("__n.canonical").alias("normalized_name"),
-                          name_distance(F.col("__n"), F.col("__f"), max_distance).alias("score"), "__tid")
-    scored = scored.where(F.col("score") <= max_distance)
+    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"), normalize_name(F.col(name_col)).alias("__n"))
+    t = _written(targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
+                                F.monotonically_increasing_id().alias("__tid")), "near-targets")
+    scored = _near_pairs(n, t, max_distance).select(
+        "target", "name", "type", F.col("__n.canonical").alias("normalized_name"),
+        name_distance(F.col("__n"), F.col("__f"), max_distance).alias("score"), "__tid")
     w = Window.partitionBy("__tid").orderBy("score", "type", "name")
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .drop("__tid").withColumn("rank", F.col("rank").cast("int")))
@@ -169,27 +151,25 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
     k go on to the next, wider round.  The last band covers every length, so
     the result equals a search over all names.
     """
-    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
-                             normalize_name(F.col(name_col)).alias("__n"),
-                             F.monotonically_increasing_id().alias("__nid")).cache()
+    n = _written(names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
+                              normalize_name(F.col(name_col)).alias("__n")), "report-names")
     f = (filters.where(F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
          .select(F.col(filter_col).alias("filter"), normalize_name(F.col(filter_col)).alias("__f")))
     nc = n.select(F.col("__n.canonical").alias("__key")).distinct()
     nleaf = n.select(F.col("__n.leaf").alias("__key")).distinct()
-    unmatched = (f.join(nc, F.col("__f.canonical") == F.col("__key"), "left_anti")
+    unmatched = _written(f.join(nc, F.col("__f.canonical") == F.col("__key"), "left_anti")
                  .join(nleaf, F.col("__f.leaf") == F.col("__key"), "left_anti")
                  .dropDuplicates(["filter"])
-                 .withColumn("__tid", F.monotonically_increasing_id())).cache()
+                 .withColumn("__tid", F.monotonically_increasing_id()), "report-filters")
     longest = n.select(F.max(F.greatest(F.char_length("__n.canonical"), F.char_length("__n.leaf")))).first()[0] or 0
     longest_f = unmatched.select(F.max(F.greatest(F.char_length("__f.canonical"),
                                                   F.char_length("__f.leaf")))).first()[0] or 0
     span = max(longest, longest_f)
     found, pending, band = None, unmatched, 2
     while True:
-        pairs = _candidates(n, pending, band)
-        scored = pairs.select("__tid", "name", "type", F.col("__n.canonical").alias("normalized_name"),
-                              name_distance(F.col("__n"), F.col("__f"), band).alias("score")).where(
-            F.col("score") <= band)
+        scored = _near_pairs(n, pending, band).select(
+            "__tid", "name", "type", F.col("__n.canonical").alias("normalized_name"),
+            name_distance(F.col("__n"), F.col("__f"), band).alias("score"))
         w = Window.partitionBy("__tid").orderBy("score", "type", "name")
         top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint(eager=True)
         done = top.groupBy("__tid").count().where(F.col("count") >= k).select("__tid")
@@ -236,12 +216,8 @@ def filter_with_children(parents: DataFrame, parent_col: str, children: DataFram
         cm = c.withColumn("__cm", F.lit(True))
     else:
         fs = _filter_struct(flt)
-        glob = None
-        if mode == "glob":
-            parts = p.sparkSession.range(1).select(fs.alias("f")).first()["f"]
-            glob = (F.lit(glob_to_regex(parts["canonical"])), F.lit(glob_to_regex(parts["leaf"])))
-        pm = p.withColumn("__pm", name_matches(normalize_name(F.col("parent")), fs, mode, glob))
-        cm = c.withColumn("__cm", name_matches(normalize_name(F.col("child")), fs, mode, glob))
+        pm = p.withColumn("__pm", name_matches(normalize_name(F.col("parent")), fs, mode))
+        cm = c.withColumn("__cm", name_matches(normalize_name(F.col("child")), fs, mode))
     any_child = cm.groupBy("parent").agg(F.max("__cm").alias("__any"))
     kept = (pm.join(any_child, "parent", "left")
             .where(F.col("__pm") | F.coalesce(F.col("__any"), F.lit(False))))

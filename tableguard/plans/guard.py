@@ -1,36 +1,41 @@
 """Guarded SQL on Spark: the statement rules in front of ``spark.sql``.
 
-This is a guard against accidents, not a sandbox.  On top of the reference's
-rules (limit rule, forbidden keywords) Spark needs a few of its own: only
-read statements may start a query, JVM reflection functions and script
-transforms are refused, and SQL on raw file paths is switched off.
+This is a guard against accidents, not a sandbox.  On top of the fixed rules (limit
+rule, forbidden keywords) Spark needs a few of its own: only read statements may
+start a query, and the statement's own plan may hold no JVM reflection, no script
+transform and no path read as a table.
 """
 
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableguard.functions.statements import (
-    AGGREGATE_CALLS,
+    ARGUMENT_HINT,
+    DATABASE_HINT,
     FORBIDDEN_KEYWORDS,
+    INTERNAL_HINT,
     KEYWORD_ERROR,
     KEYWORD_HINT,
     LIMIT_ERROR,
     LIMIT_HINT,
-    SELECT_FROM_RE,
     TRIM_CHARS,
+    needs_limit,
 )
+from tableguard.operators.statements import with_statements
 
 READ_STARTS = ("SELECT", "WITH", "VALUES", "TABLE", "SHOW", "DESCRIBE", "DESC", "EXPLAIN", "(")
-_SPARK_REFUSED = re.compile(r"(?i)(?:^|[^A-Za-z0-9_])(java_method|reflect|try_reflect)[ \t\r\n]*\(|"
-                            r"(?:^|[^A-Za-z0-9_])TRANSFORM[ \t\r\n]*\(.*?\)[ \t\r\n]*USING(?:[^A-Za-z0-9_]|$)",
-                            re.S)
+# kinds of plan nodes and expressions that a read statement has no use for
+REFUSED_NODES = {"ScriptTransformation", "CallMethodViaReflection", "TryReflect"}
+FILE_FORMATS = {"parquet", "csv", "json", "orc", "text", "avro", "xml", "binaryfile", "delta"}
+REFLECTION_NAMES = {"java_method", "reflect", "try_reflect"}
 
 
-class ToolUsageError(Exception):
+class RefusedStatement(Exception):
     """A refused statement: message, hint and whether a retry can help."""
 
     def __init__(self, message: str, hint: str, retryable: bool = False):
@@ -39,47 +44,69 @@ class ToolUsageError(Exception):
         self.retryable = retryable
 
 
-def _needs_limit(stmt: str) -> bool:
-    # Same rule as functions.statements.needs_limit, on one driver-side string.
-    norm = stmt.strip(TRIM_CHARS).upper()
-    if not norm.startswith("SELECT"):
-        return False
-    if any(s in norm for s in ("WHERE ", "LIMIT ", "TOP ", "FETCH NEXT")):
-        return False
-    if "GROUP BY" not in norm and any(a in norm for a in AGGREGATE_CALLS):
-        m = re.search(SELECT_FROM_RE.replace("\\x0B", "\x0b"), norm)
-        if m and not ("*" in m.group(1) and "(*)" not in m.group(1)):
-            return False
-    return True
-
-
-def check_statement(stmt: str) -> None:
-    """Raise :class:`ToolUsageError` if the statement is refused."""
-    if _needs_limit(stmt):
-        raise ToolUsageError(LIMIT_ERROR, LIMIT_HINT, False)
+def check_statement(spark: SparkSession, stmt: str) -> None:
+    """Raise :class:`RefusedStatement` if the statement's text is refused."""
+    if spark.range(1).select(needs_limit(F.lit(stmt)).alias("n")).first().n:
+        raise RefusedStatement(LIMIT_ERROR, LIMIT_HINT, False)
     for kw in FORBIDDEN_KEYWORDS:
         if re.search(rf"(?i)(?:^|[^A-Za-z0-9_]){kw}(?:[^A-Za-z0-9_]|$)", stmt):
-            raise ToolUsageError(KEYWORD_ERROR.format(kw=kw), KEYWORD_HINT, False)
+            raise RefusedStatement(KEYWORD_ERROR.format(kw=kw), KEYWORD_HINT, False)
     head = stmt.strip(TRIM_CHARS).upper()
     if not head.startswith(READ_STARTS):
-        raise ToolUsageError("Only read statements (SELECT, WITH, VALUES, TABLE, SHOW, DESCRIBE, EXPLAIN) "
-                             "are allowed.", "Use a read-only SELECT query.", False)
-    if _SPARK_REFUSED.search(stmt):
-        raise ToolUsageError("Reflection and script transforms are not allowed.",
-                             "Use built-in SQL functions only.", False)
+        raise RefusedStatement("Only read statements (SELECT, WITH, VALUES, TABLE, SHOW, DESCRIBE, EXPLAIN) "
+                               "are allowed.", "Use a read-only SELECT query.", False)
+
+
+def _each(seq):
+    items = seq.iterator()
+    while items.hasNext():
+        yield items.next()
+
+
+def _walk(node):
+    """The node and everything below it: plan children, expressions, plans in expressions."""
+    yield node.getClass().getSimpleName(), node
+    below = list(_each(node.children()))
+    ancestors = _ancestors(node)
+    if "LogicalPlan" in ancestors:
+        below += [*_each(node.innerChildren()), *_each(node.expressions())]
+    elif "PlanExpression" in ancestors:
+        below.append(node.plan())
+    for child in below:
+        yield from _walk(child)
+
+
+def _ancestors(node) -> set[str]:
+    names, kind = set(), node.getClass()
+    while kind is not None:
+        names.add(kind.getSimpleName())
+        kind = kind.getSuperclass()
+    return names
+
+
+def check_plan(spark: SparkSession, stmt: str) -> None:
+    """Raise :class:`RefusedStatement` if the parsed plan reflects, transforms or reads a path."""
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt)
+    except Exception:
+        return      # spark.sql will raise the parser's own error
+    for kind, node in _walk(parsed):
+        name = []
+        if kind == "UnresolvedFunction":
+            name = [str(p).lower() for p in _each(node.nameParts())]
+        if kind in REFUSED_NODES or kind == "ScriptInputOutputSchema" or (name and name[-1] in REFLECTION_NAMES):
+            raise RefusedStatement("Reflection and script transforms are not allowed.", "Use built-in SQL functions only.", False)
+        if kind == "UnresolvedRelation":
+            parts = [str(p) for p in _each(node.multipartIdentifier())]
+            if len(parts) == 2 and parts[0].lower() in FILE_FORMATS:
+                raise RefusedStatement("File paths cannot be read as tables.", "Use the names of the given tables.", False)
 
 
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Validate one statement, then run it with ``spark.sql`` (lazily)."""
-    check_statement(sql)
-    # SQL on raw file paths is refused while this statement is analysed
-    # (spark.sql analyses eagerly); the caller's setting is restored after.
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        return spark.sql(sql)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    check_statement(spark, sql)
+    check_plan(spark, sql)
+    return spark.sql(sql)
 
 
 def script_statements(spark: SparkSession, script: str) -> list[str]:
@@ -88,8 +115,6 @@ def script_statements(spark: SparkSession, script: str) -> list[str]:
     The script is a single driver-side string; the split runs as a one-row
     Spark job so there is one implementation of the rules.
     """
-    from tableguard.operators.statements import with_statements
-
     one = spark.createDataFrame([(script,)], "sql string")
     row = with_statements(one, "sql", "st").select("st").first()
     return list(row["st"]) if row and row["st"] else []
@@ -98,7 +123,7 @@ def script_statements(spark: SparkSession, script: str) -> list[str]:
 def run_script(spark: SparkSession, script: str) -> DataFrame | None:
     """Run the statements in order and return the last result (None if empty).
 
-    Validation is interleaved with execution, as in the reference: statement 1
+    Validation is interleaved with execution: statement 1
     runs before statement 2 is judged.  Earlier results are executed through
     the ``noop`` sink so their errors surface; the first error stops the rest.
     """
@@ -111,14 +136,21 @@ def run_script(spark: SparkSession, script: str) -> DataFrame | None:
 
 
 def error_result(spark: SparkSession, exc: Exception) -> DataFrame:
-    """The ``(error, hint, retryable)`` row the reference returns for a failure."""
-    if isinstance(exc, ToolUsageError):
-        msg, hint, retry = str(exc), exc.hint, exc.retryable
+    """The ``(error, hint, retryable)`` row for a failure.
+
+    Refusals carry their own hint; errors of Spark are database errors; a bad argument
+    cannot be retried as it is; anything else may pass once retried.
+    """
+    message = str(exc).splitlines()[0] if str(exc) else type(exc).__name__
+    if isinstance(exc, RefusedStatement):
+        message, hint, retry = str(exc), exc.hint, exc.retryable
+    elif isinstance(exc, PySparkException):
+        hint, retry = DATABASE_HINT, True
+    elif isinstance(exc, (ValueError, TypeError)):
+        hint, retry = ARGUMENT_HINT, False
     else:
-        msg, hint, retry = (str(exc).splitlines()[0] if str(exc) else type(exc).__name__,
-                            "Query failed in the database. Verify table/column names and SQL syntax, then retry.",
-                            True)
-    return spark.createDataFrame([(msg, hint, retry)], "error string, hint string, retryable boolean")
+        hint, retry = INTERNAL_HINT, True
+    return spark.createDataFrame([(message, hint, retry)], "error string, hint string, retryable boolean")
 
 
-__all__ = ["guarded_sql", "run_script", "check_statement", "ToolUsageError", "error_result", "F"]
+__all__ = ["guarded_sql", "run_script", "check_statement", "check_plan", "RefusedStatement", "error_result"]

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableguard.functions.names import glob_to_regex, normalize_name
+from tableguard.functions.names import normalize_name
 from tableguard.operators.checks import (
     check_rows,
     column_inventory,
     column_profile,
     foreign_key_check,
     key_check,
+    schema_lookup,
     table_inventory,
 )
 from tableguard.operators.names import (
@@ -116,15 +117,44 @@ for _k, (_flt, _mode, _pred) in _SINGLE.items():
     register(_k, _match_sql(_pred))(_single(_k, _flt, _mode))
 
 
-def _match_many_sql() -> str:
-    return (f"SELECT n.name, n.type, f.filter FROM {_normed(NAMES_SQL, 'name')} n, "
-            f"(SELECT filter, {duck_norm('filter')[0]} AS fc, {duck_norm('filter')[1]} AS fl FROM {FILTERS_SQL}) f "
-            f"WHERE contains(n.canonical, f.fc) OR contains(n.leaf, f.fl) OR trim(f.filter, {_OUTER}) = ''")
+_MANY = {
+    "match_many": ("contains", FILTERS_SQL, "contains(n.{p}, f.{p})"),
+    "match_many_prefix": ("prefix", FILTERS_SQL, "starts_with(n.{p}, f.{p})"),
+    "match_many_exact": ("exact", FILTERS_SQL, "n.{p} = f.{p}"),
+    "match_many_glob": ("glob", "(SELECT lower(n_name) || '*' AS filter FROM nation UNION ALL SELECT '*_' || n_nationkey || '?' FROM nation "
+                                "UNION ALL SELECT '*#00000?[!0-4]' || n_nationkey % 10 || '*' FROM nation WHERE n_nationkey < 3 "
+                                "UNION ALL SELECT '  ' FROM region)", "n.{p} GLOB f.{p}"),
+}
+
+
+def globs_df(spark, sf_dir) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key = F.col("n_nationkey")
+    return reduce(DataFrame.unionByName, [
+        nation.select(F.concat(F.lower("n_name"), F.lit("*")).alias("filter")),
+        nation.select(F.concat(F.lit("*_"), key.cast("string"), F.lit("?")).alias("filter")),
+        nation.where(key < 3).select(F.concat(F.lit("*#00000?[!0-4]"), (key % 10).cast("string"), F.lit("*")).alias("filter")),
+        region.select(F.lit("  ").alias("filter")),
+    ])
 
 
-@register("match_many", _match_many_sql)
-def q_match_many(spark, sf_dir):
-    return match_names_join(names_df(spark, sf_dir), "name", filters_df(spark, sf_dir), "filter", "contains")
+def _many_sql(filters: str, pred: str) -> str:
+    c, lf = duck_norm("filter")
+    return (f"SELECT n.name, n.type, f.filter FROM {_normed(NAMES_SQL, 'name')} n JOIN "
+            f"(SELECT filter, {c} AS canonical, {lf} AS leaf FROM {filters} WHERE trim(filter, {_OUTER}) <> '') f "
+            f"ON {pred.format(p='canonical')} OR {pred.format(p='leaf')}")
+
+
+def _many(key, mode):
+    def run(spark, sf_dir):
+        filters = globs_df(spark, sf_dir) if mode == "glob" else filters_df(spark, sf_dir)
+        return match_names_join(names_df(spark, sf_dir), "name", filters, "filter", mode)
+    run.__name__ = f"q_{key}"
+    return run
+
+
+for _k, (_mode, _filters, _pred) in _MANY.items():
+    register(_k, _many_sql(_filters, _pred))(_many(_k, _mode))
 
 
 def _near_sql() -> str:
@@ -189,30 +219,22 @@ def _frames(spark, sf_dir):
     return {t: table(spark, sf_dir, t) for t in TABLES}
 
 
-_TABLE_LIST = ", ".join(q(t) for t in TABLES)
-_COLS_SQL = (f"(SELECT table_name AS parent, column_name AS child FROM information_schema.columns "
-             f"WHERE table_name IN ({_TABLE_LIST}))")
-
 
 def _children_sql() -> str:
-    pc, pl = duck_norm("parent")
-    cc, cl = duck_norm("child")
-    pm = f"(contains({pc}, 'name') OR contains({pl}, 'name'))"
-    cm = f"(contains({cc}, 'name') OR contains({cl}, 'name'))"
-    return (f"WITH p AS (SELECT parent, {pm} AS pm FROM (SELECT unnest([{_TABLE_LIST}]) AS parent)), "
-            f"c AS (SELECT parent, child, {cm} AS cm FROM {_COLS_SQL}), "
-            f"k AS (SELECT p.parent, p.pm FROM p WHERE p.pm OR EXISTS (SELECT 1 FROM c WHERE c.parent = p.parent "
-            f"AND c.cm)) "
-            f"SELECT k.parent, c.child FROM k LEFT JOIN c ON k.parent = c.parent "
-            f"WHERE c.child IS NULL OR k.pm OR c.cm")
+    pc, pl = duck_norm("n_name")
+    cc, cl = duck_norm("c_name")
+    return (f"WITH p AS (SELECT n_nationkey AS k, n_name AS parent, contains({pc}, '2') OR contains({pl}, '2') AS pm FROM nation), "
+            f"c AS (SELECT c_nationkey AS k, c_name AS child, contains({cc}, '2') OR contains({cl}, '2') AS cm FROM customer) "
+            f"SELECT p.parent, c.child FROM p LEFT JOIN c ON p.k = c.k AND (p.pm OR c.cm) "
+            f"WHERE p.pm OR EXISTS (SELECT 1 FROM c x WHERE x.k = p.k AND x.cm)")
 
 
 @register("filter_with_children", _children_sql)
 def q_filter_with_children(spark, sf_dir):
-    frames = _frames(spark, sf_dir)
-    parents = spark.createDataFrame([(t,) for t in frames], "name string")
-    children = column_inventory(spark, frames)
-    return filter_with_children(parents, "name", children, "table", "column", "name", "contains")
+    """Nations and their customers, by a filter on either name."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    children = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("n_name", "c_name")
+    return filter_with_children(nation, "n_name", children, "n_name", "c_name", "2", "contains")
 
 
 @register("table_inventory", lambda: " UNION ALL ".join(
@@ -225,11 +247,55 @@ _TYPE_MAP = ("CASE data_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'I
              "WHEN 'FLOAT[]' THEN 'ARRAY<FLOAT>' WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE data_type END")
 
 
-@register("column_inventory", f"SELECT table_name AS \"table\", column_name AS \"column\", "
-          f"CAST(ordinal_position AS INTEGER) AS position, {_TYPE_MAP} AS type, is_nullable = 'YES' AS nullable "
-          f"FROM information_schema.columns WHERE table_name IN ({_TABLE_LIST})")
+# columns of the given tables (text columns marked *)
+_COLUMNS = {
+    "region": "r_regionkey r_name*", "nation": "n_nationkey n_name* n_regionkey",
+    "customer": "c_custkey c_name* c_nationkey c_acctbal c_mktsegment*", "supplier": "s_suppkey s_name* s_nationkey s_acctbal",
+    "part": "p_partkey p_name* p_brand* p_type* p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus* o_totalprice o_orderdate o_orderpriority*",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag* l_linestatus* l_shipdate",
+    "events": "event_id ts user_id event_type* value props*", "documents": "doc_id text* lang* source* n_chars",
+    "embeddings": "vec_id embedding label", "pages": "page_id url* html*", "benchmark": "item_id text*",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role* text*",
+}
+
+
+def _column_counts(tables: list[str], more: str = "") -> str:
+    """One row per column: t, c, n (rows), v (non-null values) and what ``more`` adds."""
+    out = []
+    for t in tables:
+        for c in _COLUMNS[t].split():
+            name = c.rstrip("*")
+            size = f"CAST(max(strlen({name})) AS BIGINT)" if c.endswith("*") else "CAST(NULL AS BIGINT)"
+            out.append(f"SELECT {q(t)} AS t, {q(name)} AS c, count(*) AS n, count({name}) AS v {more.format(c=name, size=size)} FROM {t}")
+    return " UNION ALL ".join(out)
+
+
+def _columns_sql() -> str:
+    return (f"SELECT i.table_name AS \"table\", i.column_name AS \"column\", CAST(i.ordinal_position AS INTEGER) AS position, {_TYPE_MAP} AS type, "
+            f"i.is_nullable = 'YES' AS nullable, k.n AS rows, k.n - k.v AS nulls FROM information_schema.columns i "
+            f"JOIN ({_column_counts(TABLES)}) k ON k.t = i.table_name AND k.c = i.column_name")
+
+
+_LOOKUP = "er"
+
+
+def _lookup_sql() -> str:
+    counts = _column_counts([t for t in TABLES if _LOOKUP in t], ", count(DISTINCT {c}) AS d, {size} AS b")
+    return (f"SELECT i.table_name AS \"table\", k.n AS rows, i.column_name AS \"column\", CAST(i.ordinal_position AS INTEGER) AS position, "
+            f"{_TYPE_MAP} AS type, k.n - k.v AS nulls, k.d AS \"distinct\", k.b AS max_bytes FROM information_schema.columns i "
+            f"JOIN ({counts}) k ON k.t = i.table_name AND k.c = i.column_name")
+
+
+@register("schema_lookup", _lookup_sql)
+def q_schema_lookup(spark, sf_dir):
+    """Tables whose name holds ``er``, with the full profile of their columns."""
+    return schema_lookup(_frames(spark, sf_dir), _LOOKUP, "contains", "full")
+
+
+@register("column_inventory", _columns_sql)
 def q_column_inventory(spark, sf_dir):
-    return column_inventory(spark, _frames(spark, sf_dir))
+    return column_inventory(_frames(spark, sf_dir))
 
 
 _CUST_COLS = [("c_custkey", "BIGINT", False), ("c_name", "STRING", True), ("c_nationkey", "INT", False),
@@ -302,5 +368,3 @@ _CHECKS = {
 def q_check_constraint(spark, sf_dir):
     return check_rows(table(spark, sf_dir, "customer"), _CHECKS)
 
-
-__all__ = ["glob_to_regex"]

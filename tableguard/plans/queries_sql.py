@@ -191,13 +191,14 @@ ACCEPTANCE = {
         "AND o.o_orderstatus = 'F') AS has_final FROM customer c WHERE NOT EXISTS "
         "(SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')", None),
     "sql_range_join": (
-        # band join written as an equi-join on 20-wide price buckets (+/-1 bucket),
-        # so it plans as a hash join instead of a nested loop over all pairs
-        "SELECT p.p_partkey, count(*) AS n_suppliers FROM part p "
-        "CROSS JOIN (VALUES (-1), (0), (1)) AS d(k) "
-        "JOIN supplier s ON floor(s.s_acctbal / 20) = floor(p.p_retailprice / 20) + d.k "
-        "AND s.s_acctbal BETWEEN p.p_retailprice - 10 AND p.p_retailprice + 10 "
-        "WHERE p.p_retailprice IS NOT NULL GROUP BY p.p_partkey", None),
+        # band join as an equi-join on 20-wide price buckets: each part is listed in its
+        # own bucket and both neighbours first, so no nested loop is left
+        "SELECT p.p_partkey, count(*) AS n_suppliers FROM (SELECT p_partkey, p_retailprice, "
+        "explode(transform(array(-1, 0, 1), d -> floor(p_retailprice / 20) + d)) AS b FROM part WHERE p_retailprice IS NOT NULL) p "
+        "JOIN supplier s ON floor(s.s_acctbal / 20) = p.b "
+        "AND s.s_acctbal BETWEEN p.p_retailprice - 10 AND p.p_retailprice + 10 GROUP BY p.p_partkey",
+        "SELECT p.p_partkey, count(*) AS n_suppliers FROM part p JOIN supplier s "
+        "ON s.s_acctbal BETWEEN p.p_retailprice - 10 AND p.p_retailprice + 10 GROUP BY p.p_partkey"),
     "sql_aggregate": (
         "SELECT count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 2) AS avg_price, "
         "min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem", None),

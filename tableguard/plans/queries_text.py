@@ -106,9 +106,7 @@ def q_jdbc_scan(spark, sf_dir):
     cust = table(spark, sf_dir, "customer")
     (cust.write.format("jdbc").option("url", url).option("dbtable", "CUSTOMER")
      .option("driver", "org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save())
-    lo, hi = cust.agg(F.min("c_custkey"), F.max("c_custkey")).first()
-    df = jdbc_scan(spark, {"url": url}, "CUSTOMER", partition_column="c_custkey", bounds=(int(lo), int(hi)),
-                   num_partitions=4)
+    df = jdbc_scan(spark, {"url": url}, "CUSTOMER", partition_column="c_custkey", num_partitions=4)
     return df.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 

@@ -13,14 +13,16 @@ def register_source(spark: SparkSession, name: str, spec: dict) -> list[str]:
 
     ``spec``: ``{"format": "parquet", "path": dir, "tables": [...]}`` (file
     tables ``<path>/<table>.parquet``) or ``{"format": "jdbc", "url": ...,
-    "tables": [...], "options": {...}}``.  ``pii_enabled`` may be given and is
+    "tables": [...], "options": {...}}``; ``partition_columns`` (table to column)
+    and ``num_partitions`` split JDBC reads.  ``pii_enabled`` may be given and is
     returned by :func:`source_flags`.  Returns the view names.
     """
     fmt = spec.get("format", "parquet")
     views = []
     for t in spec["tables"]:
         if fmt == "jdbc":
-            df = jdbc_scan(spark, spec, t)
+            column = (spec.get("partition_columns") or {}).get(t)
+            df = jdbc_scan(spark, spec, t, column, num_partitions=spec.get("num_partitions"))
         else:
             df = spark.read.format(fmt).options(**spec.get("options", {})).load(
                 f"{spec['path'].rstrip('/')}/{t}.{fmt}")

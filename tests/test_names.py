@@ -56,9 +56,41 @@ def test_many_filters_equal_single_filter(spark):
 
     names = spark.createDataFrame(NAMES + [("main.users_old", "table"), ("[dbo].[Audit_Logs]", "table")],
                                   "name string, type string")
-    flts = ["us", "user", "user*", "*log*", "act", "main.users", "  ", "x", "ers", "audit_logs"]
+    flts = ["us", "user", "user*", "*log*", "act", "main.users", "  ", "x", "ers", "audit_logs", "a[bc*", "*[!a-m]", "*[^q]sers", "?*", "[u]ser?",
+            "u\\\\sers", "[z-a]*", "*[]_]*", "&&", "*[&&a]*"]
     fdf = spark.createDataFrame([(f,) for f in flts], "f string")
     for mode in ("contains", "prefix", "glob", "exact"):
         got = sorted((r.name, r.f) for r in match_names_join(names, "name", fdf, "f", mode).collect())
-        want = sorted((r.name, f) for f in flts for r in match_names(names, "name", f, mode).collect())
+        want = sorted((r.name, f) for f in flts if f.strip() for r in match_names(names, "name", f, mode).collect())
         assert got == want, mode
+
+
+def test_globs_follow_fnmatch(spark):
+    import fnmatch
+
+    from tableguard.functions.names import glob_regex
+
+    globs = ["a*", "?b", "[ab]c", "[!ab]c", "a.b", "a+(b)", "[a-c]?", "*", "", "a[", "[]]", "x[!]]", "$^{}|"]
+    names = ["a", "ab", "bc", "cc", "a.b", "axb", "a+(b)", "b1", "", "a[", "]", "x]", "xy", "$^{}|", "a\\nb"]
+    df = spark.createDataFrame([(g, n) for g in globs for n in names], "g string, n string")
+    for r in df.select("g", "n", F.regexp_like("n", glob_regex(F.col("g"))).alias("m")).collect():
+        assert r.m == fnmatch.fnmatchcase(r.n, r.g), (r.g, r.n)
+
+
+def test_lookup_levels(spark):
+    import pytest
+
+    from tableguard.operators.checks import check_rows, key_check, schema_lookup
+
+    frames = {"users": spark.createDataFrame([(1, None), (2, "b")], "id int, name string"), "logs": spark.range(3)}
+    assert [tuple(r) for r in schema_lookup(frames, "user").collect()] == [("users", 2)]
+    assert {tuple(r) for r in schema_lookup(frames, "", detail="columns").collect()} == {
+        ("users", 2, "id", 1, "INT"), ("users", 2, "name", 2, "STRING"), ("logs", 3, "id", 1, "BIGINT")}
+    assert {tuple(r) for r in schema_lookup(frames, "users", "exact", "full").collect()} == {
+        ("users", 2, "id", 1, "INT", 0, 2, None), ("users", 2, "name", 2, "STRING", 1, 1, 1)}
+    assert schema_lookup(frames, "nothing", detail="full").count() == 0
+    with pytest.raises(ValueError, match="detail"):
+        schema_lookup(frames, "", detail="all")
+    empty = frames["users"].limit(0)
+    assert tuple(key_check(empty, ["id"]).first()) == (0, 0, 0, True, True)
+    assert check_rows(empty, {"c": "id > 0"}).first().violations == 0

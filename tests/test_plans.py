@@ -35,3 +35,23 @@ def test_filter_pushed_to_scan(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
     assert "GreaterThan(c_acctbal,0.0)" in pushed and "In(c_mktsegment" in pushed
+
+
+def test_no_nested_loop_in_the_range_join(spark):
+    plan = entry.queries()["sql_range_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_building_a_plan_starts_no_job(spark):
+    from tableguard.operators.redact import redact_columns
+    from tableguard.operators.spans import detect_spans
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    grouped = docs.groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    redact_columns(grouped)
+    detect_spans(grouped, "doc_id", "text")
+    jobs = tracker.getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs) == []

@@ -4,7 +4,7 @@ import pytest
 
 from tableguard.functions.statements import FORBIDDEN_KEYWORDS
 from tableguard.operators.statements import audit_statements, split_statements
-from tableguard.plans.guard import ToolUsageError, check_statement, guarded_sql, run_script
+from tableguard.plans.guard import RefusedStatement, check_statement, guarded_sql, run_script
 
 KEYWORD_CASES = [
     ('INSERT INTO users (name) VALUES ("test")', "INSERT"),
@@ -116,8 +116,8 @@ def test_keyword_screen(spark, sql, kw):
     df = spark.createDataFrame([(1, sql + " LIMIT 1")], "id long, sql string")
     r = audit_statements(df, "id", "sql").first()
     assert not r.allowed and f'"{kw}"' in r.error
-    with pytest.raises(ToolUsageError, match=kw):
-        check_statement(sql + " LIMIT 1")
+    with pytest.raises(RefusedStatement, match=kw):
+        check_statement(spark, sql + " LIMIT 1")
 
 
 def test_keyword_edges(spark):
@@ -136,7 +136,7 @@ def test_keyword_edges(spark):
 def test_guard_spark_rules(spark):
     for bad in ("SELECT java_method('java.lang.System', 'exit', 0) LIMIT 1",
                 "SELECT reflect('a', 'b') LIMIT 1", "SET spark.x = 1"):
-        with pytest.raises(ToolUsageError):
+        with pytest.raises(RefusedStatement):
             guarded_sql(spark, bad)
     assert guarded_sql(spark, "SELECT 1 AS one LIMIT 1").first().one == 1
 
@@ -190,3 +190,38 @@ def test_the_rule_reads_long_blanks_in_one_pass(spark):
 
     text = "SELECT COUNT(x)" + " " * 200_000 + "FRO"
     assert spark.createDataFrame([(text,)], "s string").select(needs_limit(F.col("s")).alias("n")).first().n
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT `java_method`('java.lang.Math', 'random') LIMIT 1", "SELECT reflect /* c */ ('java.lang.Math', 'random') LIMIT 1",
+    "SELECT (SELECT java_method('java.lang.Math', 'random')) LIMIT 1", "SELECT 1 WHERE EXISTS (SELECT try_reflect('java.lang.Math', 'random'))",
+    "SELECT id FROM range(3) WHERE java_method('java.lang.Math', 'random') > '0'",
+    "SELECT TRANSFORM(id) ROW FORMAT DELIMITED FIELDS TERMINATED BY ',' USING 'cat' FROM range(3) LIMIT 1",
+    "WITH q AS (SELECT reflect('java.lang.Math', 'random') AS r) SELECT * FROM q LIMIT 1",
+    "SELECT * FROM parquet.`/tmp/x` LIMIT 1", "SELECT 1 WHERE 1 IN (SELECT a FROM Json.`/tmp/x`)",
+])
+def test_plans_that_reflect_or_read_paths_are_refused(spark, sql):
+    with pytest.raises(RefusedStatement):
+        guarded_sql(spark, sql)
+
+
+def test_plain_queries_pass_the_plan_check(spark):
+    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    got = guarded_sql(spark, "SELECT x.id, (SELECT max(id) FROM range(4)) AS m FROM range(3) x WHERE x.id IN (SELECT id FROM range(2))").collect()
+    assert len(got) == 2 and spark.conf.get("spark.sql.runSQLOnFiles", "true") == before
+
+
+def test_errors_map_to_three_classes_and_refusals(spark):
+    from tableguard.plans.guard import error_result
+
+    def row(exc):
+        r = error_result(spark, exc).first()
+        return r.hint.split(".")[0].split(";")[0], r.retryable
+
+    try:
+        spark.sql("SELECT nope FROM range(1)")
+    except Exception as exc:
+        assert row(exc) == ("Query failed in the database", True)
+    assert row(ValueError("bad mode")) == ("Check tool arguments and use values from tools/list (for connections) and resources/list (for tables)", False)
+    assert row(RuntimeError("x")) == ("Temporary internal failure", True)
+    assert row(RefusedStatement("m", "h")) == ("h", False)
