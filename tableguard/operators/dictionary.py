@@ -7,11 +7,12 @@ with the terms.  Nothing ships with the package: an empty table finds nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableguard.functions.pii_patterns import SCORE_DICTIONARY
-from tableguard.operators.spans import explode_rows
 from tableguard.plans.joins import checked_broadcast
 
 WORD_RE = r"[\p{L}\p{M}\p{N}]+(?:['\-][\p{L}\p{M}\p{N}]+)*"
@@ -23,51 +24,56 @@ def normalize_term(col: Column) -> Column:
     return F.lower(F.regexp_replace(F.btrim(col), _WS, " "))
 
 
+def _starts(lengths: Column) -> Column:
+    """Running sums before each element: block by block, so long texts stay linear."""
+    block = 256
+    n = F.size(lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / block).cast("int") - 1, F.lit(0))),
+                         lambda b: F.slice(lengths, b * block + 1, block))
+
+    def inside(values: Column, first: Column) -> Column:
+        return F.aggregate(values, F.array(first), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    def sums(bs: Column) -> Column:
+        totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda t, v: t + v))
+        firsts = inside(totals, F.lit(0))
+        return F.flatten(F.zip_with(bs, F.slice(firsts, 1, F.size(bs)), lambda b, f: F.slice(inside(b, f), 1, F.size(b))))
+
+    return F.transform(F.array(blocks), sums)[0]
+
+
 def dictionary_spans(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
                      label_col: str = "label", term_col: str = "term") -> DataFrame:
     """``(id, start, end, label, score, value)`` for every dictionary term in the text.
 
-    Words and their offsets are found inside the row (one regex pass, a
-    ``locate`` scan for offsets); the n-grams up to the longest term are keyed
-    in the row too, so only ``(id, start, end, key)`` records are exploded, and
-    the text is never copied per n-gram.  The join with the term table is a
-    broadcast when the table is small (checked), a shuffle join otherwise.
+    Words and the pieces between them are cut out of the text by one pattern; their
+    lengths, summed once, give every word's place.  Only ``(id, start, end, key)``
+    records of the n-grams up to the longest term are exploded.  The join with the
+    term table is a broadcast when the table is small (checked), a shuffle join
+    otherwise.
     """
     terms = (dictionary.select(F.col(label_col).alias("label"), normalize_term(F.col(term_col)).alias("key"))
              .where(F.col("key") != F.lit("")).distinct())
-    max_words = terms.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
-    empty = df.sparkSession.createDataFrame([], f"{id_col} long, start int, end int, label string, "
-                                                f"score double, value string")
-    if max_words == 0:
-        return empty
+    longest = terms.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
     text = F.col(text_col)
-    words = df.select(id_col, text_col).select(
-        id_col, text_col, F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0)).alias("__w"))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    bounds = F.aggregate(
-        "__w", zero,
-        lambda acc, w: F.struct(
-            (F.call_function("locate", w, text, acc["pos"] + 1) - 1 + F.char_length(w)).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(
-                (F.call_function("locate", w, text, acc["pos"] + 1) - 1).alias("s"),
-                (F.call_function("locate", w, text, acc["pos"] + 1) - 1 + F.char_length(w)).alias("e")))).alias("out")),
-        lambda acc: acc["out"])
-    located = words.select(id_col, text_col, bounds.alias("__b"))
-    n = F.size("__b")
-
-    def grams(i):
-        def one(k):
-            s = F.element_at(F.col("__b"), i + 1)["s"]
-            e = F.element_at(F.col("__b"), i + k)["e"]
-            piece = F.substring(text, s + 1, e - s)
-            return F.struct(s.alias("start"), e.alias("end"), normalize_term(piece).alias("key"),
-                            piece.alias("value"))
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), n - i)), one)
-
-    empty_grams = F.array().cast("array<struct<start:int,end:int,key:string,value:string>>")
-    keyed = located.select(id_col, F.when(n > 0, F.flatten(F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), grams))).otherwise(empty_grams).alias("__g"))
-    grams_df = explode_rows(keyed, "__g", "g").select(id_col, "g.*")
-    hits = grams_df.join(checked_broadcast(terms), "key")
+    words = df.select(id_col, F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0)).alias("w"), F.split(text, WORD_RE, -1).alias("p"))
+    words = words.where(F.size("w") > 0)
+    # gap and word lengths, one after the other: g1 w1 g2 w2 ...
+    lengths = F.flatten(F.zip_with("w", F.slice("p", 1, F.size("w")), lambda w, p: F.array(F.char_length(p), F.char_length(w))))
+    words = words.select(id_col, "w", "p", _starts(lengths).alias("at"))
+
+    def grams(k: int) -> Column:
+        def one(i):
+            at = F.element_at("at", 2 * i)                     # start of word i, from 1
+            tail = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.concat(
+                F.element_at("p", i + j), F.element_at("w", i + j))), "") if k > 1 else F.lit("")
+            value = F.concat(F.element_at("w", i), tail)
+            return F.struct(at.alias("start"), (at + F.char_length(value)).alias("end"), normalize_term(value).alias("key"), value.alias("value"))
+        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), one))
+
+    parts = [words.select(id_col, F.explode(grams(k)).alias("g")).select(id_col, "g.*") for k in range(1, longest + 1)]
+    if not parts:
+        parts = [words.select(id_col, F.explode(grams(1)).alias("g")).select(id_col, "g.*").where(F.lit(False))]
+    hits = reduce(DataFrame.unionByName, parts).join(checked_broadcast(terms), "key")
     return hits.select(id_col, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
                        "label", F.lit(SCORE_DICTIONARY).alias("score"), "value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableguard.functions.pii_labels import LABELS, GROUP_DESCRIPTION, detector_kind, pii_labels
+from tableguard.functions.pii_patterns import SCORE_DICTIONARY
+from tableguard.operators.dictionary import WORD_RE, dictionary_spans
 from tableguard.operators.redact import redact_columns, redact_enabled
 from tableguard.operators.spans import (
     detect_spans,
@@ -18,7 +20,7 @@ from tableguard.plans.oracle import (
     duck_spans,
     q,
 )
-from tableguard.plans.registry import dealt_table, register
+from tableguard.plans.registry import dealt_table, register, table
 
 def _docs(spark, sf_dir):
     return dealt_table(spark, sf_dir, "documents")
@@ -113,3 +115,34 @@ def q_pii_labels(spark, sf_dir):
             .select("label", "grp", "description", "detector", "label_no",
                     F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
                     F.coalesce("spans", F.lit(0)).cast("long").alias("spans")))
+
+
+def _terms(spark, sf_dir):
+    """A term table from ``benchmark``: each item's first word and its first two words."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_RE), F.lit(0))
+    items = table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") >= 2)
+    return items.select(F.lit("company_name").alias("label"), F.element_at("w", 1).alias("term")).unionByName(
+        items.select(F.lit("name").alias("label"), F.concat(F.element_at("w", 1), F.lit("  "), F.upper(F.element_at("w", 2))).alias("term")))
+
+
+def _dictionary_sql() -> str:
+    w = q(WORD_RE)
+    start = ("(coalesce(list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))), 0) "
+             "+ coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda y: length(y))), 0))")
+    return f"""
+WITH b AS (SELECT regexp_extract_all(text, {w}, 0) AS w FROM benchmark),
+t AS (SELECT DISTINCT 'company_name' AS label, lower(w[1]) AS key, 1 AS k FROM b WHERE len(w) >= 2
+      UNION SELECT DISTINCT 'name', lower(w[1]) || ' ' || lower(upper(w[2])), 2 FROM b WHERE len(w) >= 2),
+d AS (SELECT doc_id, regexp_extract_all(text, {w}, 0) AS w, string_split_regex(text, {w}) AS p FROM documents),
+g AS (SELECT doc_id, w, p, unnest(range(1, len(w) + 1)) AS i FROM d),
+v AS (SELECT doc_id, w, p, i, 1 AS k, w[i] AS value FROM g
+      UNION ALL SELECT doc_id, w, p, i, 2, w[i] || p[i + 1] || w[i + 1] FROM g WHERE i < len(w)),
+h AS (SELECT v.*, t.label FROM v JOIN t ON t.k = v.k AND lower(regexp_replace(v.value, '[ \t\r\n]+', ' ', 'g')) = t.key)
+SELECT doc_id, CAST({start} AS INTEGER) AS start, CAST({start} + length(value) AS INTEGER) AS "end", label,
+       CAST({SCORE_DICTIONARY} AS DOUBLE) AS score, value FROM h"""
+
+
+@register("dictionary_labels", _dictionary_sql)
+def q_dictionary_labels(spark, sf_dir):
+    """Dictionary (name-like) labels: terms of a table found in every document."""
+    return dictionary_spans(_docs(spark, sf_dir), "doc_id", "text", _terms(spark, sf_dir))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tableguard.functions.pii_patterns import DETECTORS
-from tableguard.operators.chunks import chunk_roundtrip, chunk_text, redact_long_text
+from tableguard.operators.chunks import COL_SEP, KV_SEP, LOOK_BACK, ROW_SEP, chunk_roundtrip, chunk_text, redact_long_text
 from tableguard.operators.model import PatternPredictor, model_spans
 from tableguard.plans.oracle import duck_redact_ctes, duck_spans, q
 from tableguard.plans.registry import dealt_table, register, table
@@ -21,11 +21,32 @@ from tableguard.streaming.redact import parquet_stream, redact_stream, run_avail
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
-@register("chunk_text")
+def _chunks_sql(m: int = 1800) -> str:
+    """The chunk rules cut by cut: one step of the recursion takes one chunk off the rest."""
+    lo = m - LOOK_BACK
+
+    def after_last(sep: str) -> str:
+        """Characters up to and with the last separator that starts at ``lo`` or later (null: none)."""
+        found = f"strpos(reverse(tail), reverse({q(sep)}))"
+        return f"CASE WHEN {found} > 0 THEN {lo} + length(tail) - {found} + 1 END"
+
+    blank = ", ".join(f"CASE WHEN strpos(reverse(tail), {c}) > 0 THEN {lo} + length(tail) - strpos(reverse(tail), {c}) + 1 END"
+                      for c in ("' '", "chr(10)", "chr(9)", "chr(13)"))
+    cut = (f"CASE WHEN length(rest) <= {m} THEN length(rest) ELSE coalesce({after_last(ROW_SEP)}, {after_last(COL_SEP)}, "
+           f"{after_last(KV_SEP)}, greatest({blank}), {m}) END")
+    step = f"(SELECT *, substr(rest, {lo + 1}, {LOOK_BACK}) AS tail FROM {{src}})"
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, 0 AS chunk_no, 0 AS start, {cut} AS n, rest FROM {step.format(src="(SELECT doc_id, text AS rest FROM documents WHERE text <> '')")}
+  UNION ALL
+  SELECT doc_id, chunk_no, start, {cut} AS n, rest FROM {step.format(src="(SELECT doc_id, chunk_no + 1 AS chunk_no, start + n AS start, substr(rest, n + 1) AS rest FROM c WHERE n < length(rest))")}
+)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start AS INTEGER) AS start, substr(rest, 1, n) AS chunk FROM c"""
+
+
+@register("chunk_text", _chunks_sql)
 def q_chunk_text(spark, sf_dir):
-    """Every document cut into chunks of at most 1800 characters (rows-only:
-    DuckDB's RE2 cannot run counted repeats this long in reasonable time; the
-    tests compare against a straight-line implementation instead)."""
+    """Every document cut into chunks of at most 1800 characters."""
     return chunk_text(dealt_table(spark, sf_dir, "documents"), "doc_id", "text", 1800)
 
 
