@@ -33,89 +33,67 @@ SPAN_STRUCT = T.StructType([
 SPAN_ARRAY = T.ArrayType(SPAN_STRUCT)
 
 
-def check_passes(value: Column, check: Column) -> Column:
-    """Checksum and shape test of a matched value, by the check's name."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    luhn = F.call_function("luhn_check", digits)
-    return (F.when(check == "card", (F.char_length(digits) <= 19) & luhn)
-            .when(check == "imei", (F.char_length(digits) == 15) & luhn)
-            .when(check == "vin", (F.char_length(value) == 17) & value.rlike("[A-Z]") & value.rlike("[0-9]")))
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _check_sql(value: str, check: str) -> str:
+    """Score of a matched value under its detector's checksum or shape test."""
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    return (f"CASE WHEN (CASE {check} WHEN 'card' THEN char_length({digits}) <= 19 AND luhn_check({digits}) "
+            f"WHEN 'imei' THEN char_length({digits}) = 15 AND luhn_check({digits}) "
+            f"WHEN 'vin' THEN char_length({value}) = 17 AND {value} RLIKE '[A-Z]' AND {value} RLIKE '[0-9]' END) "
+            f"THEN {SCORE_CHECK_PASS}D ELSE {SCORE_CHECK_FAIL}D END")
+
+
+def _found_sql(text: str, lowered: str, i: int, d: Detector) -> str:
+    """One detector's matches, values and the pieces before them; null if it found nothing.
+
+    A hint is a substring that every match contains, so the shortcut never changes a
+    result; it skips the regex scan on texts that cannot match.
+    """
+    pattern = sql_text(d.pattern)
+    values = f"regexp_extract_all({text}, {pattern}, {d.group})" if d.group else "m"
+    found = (f"transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> IF(size(m) > 0, named_struct('d', {i}, 'ms', m, "
+             f"'vs', {values}, 'ps', slice(split({text}, {pattern}, -1), 1, size(m))), NULL))[0]")
+    gate = " OR ".join(f"contains({lowered}, {sql_text(h)})" for h in d.hints)
+    return f"IF({gate}, {found}, NULL)" if gate else found
 
 
 def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None,
                detectors: list[Detector] | None = None) -> DataFrame:
     """Add ``out_col`` = array of all pattern/context spans found in ``text_col``.
 
-    Three projections, each small to build and analyse:
+    Three projections, written as SQL text so that building them takes one call each:
 
     1. ``lower(text)`` once (for the keyword shortcuts);
-    2. per detector, the whole matches (one regex scan, skipped when no hint
-       occurs) and, for context detectors that matched, the value group;
-    3. one generic expression over ``array(struct(detector_no, matches, values,
-       pieces))``: a match starts where the text pieces and the matches before it
-       end, and the value, a suffix of the match, gives the span.
-
-    Catalyst keeps the projections apart because the costly columns are
-    referenced more than once.
+    2. per detector that found something, its matches, their value groups and the
+       pieces of text before them;
+    3. the spans: a match starts where the pieces and the matches before it end, and
+       the value, a suffix of the match, gives the span.
     """
-    labels = validate_labels(labels)
-    dets = detectors if detectors is not None else detectors_for(labels)
-    text = F.col(text_col)
+    dets = detectors if detectors is not None else detectors_for(validate_labels(labels))
+    kept = [c for c in df.columns if c != out_col]
     if not dets:
-        return df.withColumn(out_col, F.array().cast(SPAN_ARRAY))
-    # lower-cased text once, for the hint shortcuts of every detector
-    lowered = df.select("*", F.lower(text).alias("__lt"))
-    mcols = [f"__m{i}" for i in range(len(dets))]
-    staged = lowered.select("*", *[gated(F.col("__lt"), d, F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0)),
-                                         F.array().cast("array<string>")).alias(t) for t, d in zip(mcols, dets)])
-
-    def per_detector(i: int, d: Detector) -> Column:
-        # null where the detector found nothing, so nothing more is computed there
-        m = F.col(mcols[i])
-        values = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(d.group)) if d.group else m
-        return F.when(F.size(m) > 0, F.struct(F.lit(i).alias("d"), m.alias("ms"), values.alias("vs"),
-                                              F.slice(F.split(text, d.pattern, -1), 1, F.size(m)).alias("ps")))
-
-    per_det = F.filter(F.array(*[per_detector(i, d) for i, d in enumerate(dets)]), lambda x: x.isNotNull())
-    staged = staged.select(*[c for c in lowered.columns if c != "__lt"], per_det.alias("__found"))
-    labels_arr = F.array(*[F.lit(d.label) for d in dets])
-    base_score = F.array(*[F.lit(d.score) for d in dets])
-    checks = F.array(*[F.lit(d.check or "") for d in dets])
-
-    def det_spans(x):
-        rows = F.zip_with(F.arrays_zip(x["ms"].alias("m"), x["vs"].alias("v")), x["ps"],
-                          lambda z, p: F.struct(z["m"].alias("m"), z["v"].alias("v"), p.alias("p")))
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_ARRAY).alias("out"))
-
-        def step(acc, r):
-            stop = acc["pos"] + F.char_length(r["p"]) + F.char_length(r["m"])
-            check = F.element_at(checks, x["d"] + 1)
-            score = (F.when(check == "", F.element_at(base_score, x["d"] + 1))
-                     .when(check_passes(r["v"], check), F.lit(SCORE_CHECK_PASS)).otherwise(F.lit(SCORE_CHECK_FAIL)))
-            span = F.struct((stop - F.char_length(r["v"])).cast("int").alias("start"), stop.cast("int").alias("end"),
-                            F.element_at(labels_arr, x["d"] + 1).alias("label"), score.cast("double").alias("score"),
-                            r["v"].alias("value"))
-            return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        return F.aggregate(rows, zero, step, lambda acc: acc["out"])
-
-    spans = F.flatten(F.transform("__found", det_spans))
-    return staged.withColumn(out_col, F.when(text.isNull(), F.array().cast(SPAN_ARRAY)).otherwise(spans)).drop("__found")
-
-
-def gated(lowered: Column, d: Detector, value: Column, otherwise: Column) -> Column:
-    """``value`` only where the lower-cased text holds one of the detector's hints.
-
-    A hint is a substring every match contains, so the shortcut never changes
-    a result; it skips the regex scan on texts that cannot match.
-    """
-    if not d.hints:
-        return value
-    cond = None
-    for h in d.hints:
-        c = lowered.contains(h)
-        cond = c if cond is None else (cond | c)
-    return F.when(cond, value).otherwise(otherwise)
+        return df.select(*kept, F.array().cast(SPAN_ARRAY).alias(out_col))
+    text, kind = f"`{text_col}`", SPAN_ARRAY.simpleString()
+    lowered = df.selectExpr("*", f"lower({text}) AS __lt")
+    found = ", ".join(_found_sql(text, "__lt", i, d) for i, d in enumerate(dets))
+    staged = lowered.select(*[F.col(f"`{c}`") for c in df.columns], F.expr(f"filter(array({found}), x -> x IS NOT NULL)").alias("__found"))
+    names = ", ".join(sql_text(d.label) for d in dets)
+    scores = ", ".join(f"{d.score}D" for d in dets)
+    checks = ", ".join(sql_text(d.check or "") for d in dets)
+    span = ("named_struct('start', acc.pos + char_length(r.p) + char_length(r.m) - char_length(r.v), "
+            "'end', acc.pos + char_length(r.p) + char_length(r.m), "
+            f"'label', array({names})[x.d], 'score', IF(array({checks})[x.d] = '', array({scores})[x.d], {_check_sql('r.v', f'array({checks})[x.d]')}), "
+            "'value', r.v)")
+    spans = (f"flatten(transform(__found, x -> aggregate(zip_with(arrays_zip(x.ms, x.vs), x.ps, (z, p) -> named_struct('m', z.ms, 'v', z.vs, 'p', p)), "
+             f"named_struct('pos', 0, 'out', cast(array() AS {kind})), "
+             f"(acc, r) -> named_struct('pos', acc.pos + char_length(r.p) + char_length(r.m), 'out', concat(acc.out, array({span}))), "
+             f"acc -> acc.out)))")
+    out = F.expr(f"IF({text} IS NULL, cast(array() AS {kind}), {spans})").alias(out_col)
+    return staged.select(*[F.col(f"`{c}`") for c in kept], out)
 
 
 def detect_spans(df: DataFrame, id_col: str, text_col: str, labels=None) -> DataFrame:
@@ -247,5 +225,5 @@ def pii_inventory(df: DataFrame, columns: list[str], threshold: float = DEFAULT_
 __all__ = [
     "SPAN_ARRAY", "with_spans", "detect_spans", "filter_spans", "filter_span_array",
     "resolve_overlaps", "apply_spans", "redact_with_spans", "redact_spans", "pii_inventory",
-    "redaction_token", "check_passes",
+    "redaction_token",
 ]
