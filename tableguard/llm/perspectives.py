@@ -5,13 +5,16 @@ assistant, all others are named users, and the loss mask covers the assistant's
 and the end marks behind them.  Roles in ``CONTEXT`` (system) are no participants; they
 are rendered as they are in every perspective.
 
-A rendering is a run of messages ``<|im_start|>role name=NAME\\nTEXT<|im_end|>\\n``.
+A rendering is a run of messages ``<|im_start|>role name=NAME\nTEXT<|im_end|>\n``.
 It comes back in parts of about ``PART_CHARS`` characters that hold whole messages;
 an ordinary conversation is one part, and the parts in order are the rendering.
 
 Skew: messages are laid out by ranges of (conversation, turn), so a conversation of
-any length is spread over many tasks.  Positions are running sums inside a range plus
-the sums of the ranges before it (one row per conversation, perspective and range).
+any length is spread over many tasks.  Parts are cut by a message's place in the
+rendering in which all are users: running sums inside a range plus the sums of the
+ranges before it (one row per conversation and range).  Parts are thus the same for
+every perspective, so a text travels once and is rendered per perspective where its
+part lies.
 
 Defined results
 * Order: turn (nulls last), speaker, SHA-256 of the text.  Exact repeats of a message
@@ -42,57 +45,61 @@ def _header(speaker: Column, perspective: Column, context: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit("\n"))
 
 
-def messages(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role",
-             text_col: str = "text", context: tuple[str, ...] = CONTEXT) -> DataFrame:
-    """One row per conversation, perspective and message, with its place in the rendering.
+def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text",
+           context: tuple[str, ...] = CONTEXT, part_chars: int = PART_CHARS) -> DataFrame:
+    """One row per conversation, perspective and part: conv, perspective, part, start, n_messages, text, mask.
 
-    Columns: conv, perspective, message (0, 1, ...), speaker, segment (the rendered
-    message), start and end of the segment, mask_start and mask_end (null unless the
-    message is the perspective's own); places count code points.
+    ``start`` is where the part begins in the perspective's rendering; ``mask`` holds
+    the ranges under loss as [start, end) in the part's text.  Places count code points.
     """
+    conv = F.col(conv_col)
     rows = conversations.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.sha2(F.encode("text", "utf-8"), 256)).dropDuplicates(["conv", "turn", "speaker", "digest"])
+        conv.alias("conv"), F.when(conv.isNull(), "").otherwise(F.concat(F.lit("="), conv.cast("string"))).alias("key"), F.col(turn_col).alias("turn"),
+        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.sha2(F.encode("text", "utf-8"), 256)).dropDuplicates(["key", "turn", "speaker", "digest"])
     order = [F.col("turn").asc_nulls_last(), F.col("speaker").asc(), F.col("digest").asc()]
-    laid = rows.repartitionByRange(F.col("conv").asc(), *order).withColumn("range", F.spark_partition_id())
-    laid = written(laid, "chat-layout")  # the ranges are fixed from here on
-
+    laid = rows.repartitionByRange(F.col("key").asc(), *order).withColumn("range", F.spark_partition_id())
     isin = F.col("speaker").isin(*context) if context else F.lit(False)
-    people = laid.filter(~isin).groupBy("conv").agg(F.collect_set("speaker").alias("people")).withColumnRenamed("conv", "people_conv")
-    each = laid.join(people, F.col("conv").eqNullSafe(F.col("people_conv"))).drop("people_conv")
-    each = each.select("conv", "turn", "speaker", "text", "digest", "range", F.explode("people").alias("perspective"))
-    each = each.withColumn("header", _header(F.col("speaker"), F.col("perspective"), isin))
-    each = each.withColumn("segment", F.concat("header", F.replace("text", F.lit("<|"), F.lit("< |")), F.lit(CLOSE + "\n")))
-    each = each.withColumn("size", F.length("segment").cast("long")).withColumn("lead", F.length("header").cast("long"))
-
-    place = ["conv", "perspective", "range"]
-    sums = each.groupBy(*place).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("conv", "perspective").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv").alias("c"), F.col("perspective").alias("p"), F.col("range").alias("r"),
-                       F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("messages_before"))
-    inside = Window.partitionBy(*place).orderBy(*order)
-    each = each.withColumn("index", F.row_number().over(inside) - 1).withColumn("stop", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    each = each.join(sums, F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("range") == F.col("r")))
-    end = F.col("chars_before") + F.col("stop")
-    own = (F.col("speaker") == F.col("perspective")) & ~isin
-    return each.select("conv", "perspective", (F.col("messages_before") + F.col("index")).alias("message"), "speaker", "segment",
-                       (end - F.col("size")).alias("start"), end.alias("end"), F.when(own, end - F.col("size") + F.col("lead")).alias("mask_start"),
-                       F.when(own, end - 1).alias("mask_end"))
-
-
-def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text",
-           context: tuple[str, ...] = CONTEXT, part_chars: int = PART_CHARS) -> DataFrame:
-    """One row per conversation, perspective and part: conv, perspective, part, start, n_messages, text, mask.
+    laid = laid.withColumn("aside", isin).withColumn("text", F.replace("text", F.lit("<|"), F.lit("< |")))
+    laid = laid.withColumn("size", (F.length(_header(F.col("speaker"), F.lit(None), F.col("aside"))) + F.length("text") + len(CLOSE) + 1).cast("long"))
+    laid = written(laid, "chat-layout")  # the ranges are fixed from here on
 
-    ``start`` is where the part begins in the rendering; ``mask`` holds the ranges
-    under loss as [start, end) in the part's text.
-    """
-    rows = messages(conversations, conv_col, turn_col, speaker_col, text_col, context)
-    rows = rows.withColumn("part", F.floor(F.col("start") / part_chars).cast("long"))
-    parts = rows.groupBy("conv", "perspective", "part").agg(
-        F.array_sort(F.collect_list(F.struct("message", "segment", "mask_start", "mask_end"))).alias("m"),
-        F.min("start").alias("start"), F.count(F.lit(1)).alias("n_messages"))
-    mask = F.transform(F.filter("m", lambda x: x["mask_start"].isNotNull()),
-                       lambda x: F.struct((x["mask_start"] - F.col("start")).alias("start"), (x["mask_end"] - F.col("start")).alias("end")))
-    return parts.select(F.col("conv").alias(conv_col), "perspective", "part", "start", "n_messages", F.array_join(F.col("m.segment"), "").alias("text"), mask.alias("mask"))
+    # places in the all-users rendering, and the parts
+    sums = laid.groupBy("key", "range").agg(F.sum("size").alias("size"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("key").alias("k"), F.col("range").alias("r"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("key", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = laid.withColumn("stop", F.sum("size").over(inside)).join(sums, (F.col("key") == F.col("k")) & (F.col("range") == F.col("r")))
+    placed = placed.select("conv", "key", "speaker", "aside", "text", (F.col("before") + F.col("stop") - F.col("size")).alias("place"))
+    placed = placed.withColumn("part", F.floor(F.col("place") / part_chars).cast("long"))
+    parts = placed.groupBy("key", "part").agg(F.first("conv").alias("conv"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n_messages"),
+                                              F.array_sort(F.collect_list(F.struct("place", "speaker", "aside", "text"))).alias("talk"))
+    parts = written(parts, "chat-parts")
+
+    # where each perspective's part begins: its own earlier messages have another header
+    spoken = parts.select("key", "part", F.explode(F.filter("talk", lambda m: ~m["aside"])).alias("m")).groupBy(
+        "key", "part", F.col("m.speaker").alias("perspective")).agg(F.count(F.lit(1)).alias("own"))
+    people = spoken.groupBy("key").agg(F.collect_set("perspective").alias("people"))
+    each = parts.select("key", "part", "place").join(people, "key").select("key", "part", "place", F.explode("people").alias("perspective"))
+    each = each.join(spoken, ["key", "part", "perspective"], "left")
+    shorter = F.length(_header(F.col("perspective"), F.col("perspective"), F.lit(False))) - F.length(_header(F.col("perspective"), F.lit(None), F.lit(False)))
+    so_far = Window.partitionBy("key", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("key", "part", "perspective", (F.col("place") + F.coalesce(F.sum("own").over(so_far), F.lit(0)) * shorter).alias("start"))
+
+    who = F.col("perspective")
+
+    def segment(m):
+        return F.concat(_header(m["speaker"], who, m["aside"]), m["text"], F.lit(CLOSE + "\n"))
+
+    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
+
+    def step(acc, m):
+        lead = F.length(_header(m["speaker"], who, m["aside"]))
+        end = acc["at"] + lead + F.length(m["text"]) + len(CLOSE) + 1
+        own = (m["speaker"] == who) & ~m["aside"]
+        return F.struct(end.alias("at"), F.when(own, F.concat(acc["mask"], F.array(F.struct((acc["at"] + lead).alias("start"), (end - 1).alias("end")))))
+                        .otherwise(acc["mask"]).alias("mask"))
+
+    return parts.join(each, ["key", "part"]).select(
+        F.col("conv").alias(conv_col), "perspective", "part", "start", "n_messages", F.array_join(F.transform("talk", segment), "").alias("text"),
+        F.aggregate("talk", nothing, step, lambda acc: acc["mask"]).alias("mask"))

@@ -107,12 +107,17 @@ ORACLE_SQL: dict[str, str] = {
           SELECT m.*, p.perspective, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = p.perspective THEN 'assistant'
                  ELSE 'user name=' || regexp_replace(speaker, '[\\x00-\\x20<|>]', '_', 'g') END || chr(10) AS header
           FROM m JOIN people p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
-        ), s AS (SELECT *, header || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM e
+        ), s AS (
+          SELECT *, header || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS segment,
+                 CASE WHEN speaker = perspective THEN length('user name=' || regexp_replace(speaker, '[\\\\x00-\\\\x20<|>]', '_', 'g')) - length('assistant')
+                      ELSE 0 END AS longer
+          FROM e
         ), r AS (
-          SELECT *, sum(length(segment)) OVER w AS stop, row_number() OVER w AS message FROM s
+          SELECT *, sum(length(segment)) OVER w AS stop, sum(length(segment) + longer) OVER w - length(segment) - longer AS place,
+                 row_number() OVER w AS message FROM s
           WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, sha256(text) ROWS UNBOUNDED PRECEDING)
         ), b AS (SELECT *, stop - length(segment) AS begins FROM r
-        ), q AS (SELECT *, CAST(begins // 65536 AS BIGINT) AS part FROM b
+        ), q AS (SELECT *, CAST(place // 65536 AS BIGINT) AS part FROM b
         ), f AS (SELECT *, min(begins) OVER (PARTITION BY conv_id, perspective, part) AS base FROM q)
         SELECT conv_id, perspective, part, CAST(min(begins) AS BIGINT) AS start, count(*) AS n_messages,
                string_agg(segment, '' ORDER BY message) AS text,

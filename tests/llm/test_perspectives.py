@@ -26,17 +26,18 @@ def by_hand(rows, part_chars):
     for conv in {r[0] for r in rows}:
         talk = sorted({(t is None, t or 0, s or "unknown", hashlib.sha256((x or "").encode()).hexdigest(), x or "") for c, t, s, x in rows if c == conv})
         for who in {s for _, _, s, _, _ in talk if s != "system"}:
-            at, parts = 0, {}
+            at, place, parts = 0, 0, {}
             for _, _, s, _, x in talk:
                 name = re.sub(r"[\x00-\x20<|>]", "_", s)
                 head = "<|im_start|>" + (name if s == "system" else "assistant" if s == who else "user name=" + name) + "\n"
                 seg = head + x.replace("<|", "< |") + "<|im_end|>\n"
-                p = parts.setdefault(at // part_chars, [at, 0, "", []])
+                p = parts.setdefault(place // part_chars, [at, 0, "", []])
                 if s == who:
                     p[3].append((len(p[2]) + len(head), len(p[2]) + len(seg) - 1))
                 p[1] += 1
                 p[2] += seg
                 at += len(seg)
+                place += len(seg) + (len("user name=" + name) - len("assistant") if s == who else 0)
             out += [(conv, who, k, *p) for k, p in parts.items()]
     return out
 
@@ -47,7 +48,7 @@ def key(r):
 
 @pytest.mark.parametrize("part_chars", [200, 1 << 16])
 def test_renderings_match_by_hand(spark, part_chars):
-    df = spark.createDataFrame(fixture(), SCHEMA).repartition(5).selectExpr("*", "1 AS conv", "2 AS range", "3 AS speaker", "4 AS people")
+    df = spark.createDataFrame(fixture(), SCHEMA).repartition(5).selectExpr("*", "1 AS conv", "2 AS range", "3 AS speaker", "4 AS key", "5 AS part", "6 AS place")
     got = [(r.conv_id, r.perspective, r.part, r.start, r.n_messages, r.text, [(m.start, m.end) for m in r["mask"]]) for r in perspectives.render(df, part_chars=part_chars).collect()]
     assert sorted(got, key=key) == sorted(by_hand(fixture(), part_chars), key=key)
 
