@@ -43,6 +43,7 @@ from tableguard.llm.common import batches_by_bytes
 
 MAX_VOCABULARY = 1_000_000
 MEMO_WORDS = 500_000
+MEMO_PAIRS = 1 << 21
 MEMO_LENGTH = 64
 SCAN_LENGTH = 48
 
@@ -200,7 +201,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, memo_words: int = MEMO_WORDS):
         self.v, self.memo_words = vocabulary, memo_words
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs, self.fine = np.empty(0, np.int64), np.empty(0, bool)  # checked borders, sorted
         self.whole: dict[int, bool] = {}
         self.exact = self.seen = 0
         letter, number = rf"[\p{{L}}--[{NEWER_LETTERS}]]", rf"[\p{{N}}--[{NEWER_NUMBERS}]]"
@@ -261,12 +262,17 @@ class Encoder:
         return self.whole[token]
 
     def _check(self, pairs: np.ndarray) -> np.ndarray:
-        new = np.array([p for p in pairs.tolist() if p not in self.pairs], np.int64)
-        if len(self.pairs) > 1 << 20:
-            self.pairs.clear()
-            new = pairs
-        self.pairs.update(zip(new.tolist(), self.v.compatible(new // self.v.size, new % self.v.size).tolist()))
-        return np.array([self.pairs[p] for p in pairs.tolist()], bool)
+        """Are the borders of these distinct, sorted pairs fine?  Checked ones are kept."""
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs, self.fine = self.pairs[:0], self.fine[:0]
+        at = np.searchsorted(self.pairs, pairs)
+        known = np.zeros(len(pairs), bool)
+        inside = at < len(self.pairs)
+        known[inside] = self.pairs[at[inside]] == pairs[inside]
+        new = pairs[~known]
+        self.fine = np.insert(self.fine, at[~known], self.v.compatible(new // self.v.size, new % self.v.size))
+        self.pairs = np.insert(self.pairs, at[~known], new)
+        return self.fine[np.searchsorted(self.pairs, pairs)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
