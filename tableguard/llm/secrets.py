@@ -6,6 +6,11 @@ A value that more than ``max_owners`` owners hold is a widely copied example; on
 that fewer hold and that looks like a credential is owner-specific and taken as
 live.  Live values add a span of kind ``live`` over the value itself.
 
+The value of a private key is its body: all between the BEGIN and the END line, or,
+where no END line follows, the encapsulated headers and the base64 run after BEGIN.
+Its hash leaves out blanks, line ends (written as ``\\n`` too) and other marks that a
+copy may be wrapped with.  A BEGIN line without a body is a span, but never live.
+
 Positions are found without any per-character work in the plan: the text between
 matches and the matches themselves are split off by the same pattern, and the start
 of a match is the length of all that stands before it.
@@ -28,6 +33,12 @@ from tableguard.llm.common import written
 
 # --- fixed patterns: kind, expression, value group, least length of the value, a cheap
 #     condition that every text with a match meets
+_END_LINE = r"-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_WRAP = r"""(?:[\s>|#*"',]|\\+[rnt])*+"""
+_RUN = r"(?:[A-Za-z0-9+/]|\\+/)"
+_KEY_BODY = (r"(?:(?!-----)[\s\S])*+(?=" + _END_LINE + ")"
+             r"|(?:" + _WRAP + r"(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:" + _WRAP + _RUN + r"{16,}+={0,2})*+"
+             r"(?:(?<=[A-Za-z0-9+/])" + _WRAP[:-2] + "++" + _RUN + r"{1,15}+={0,2}(?=[\x20\t]*+(?:[\r\n\\]|$)))?")
 BASE_KINDS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8, r"[:=]"),
     ("access", r"(AKIA[A-Z0-9]+)", 1, 16, r"AKIA"),
@@ -36,8 +47,10 @@ BASE_KINDS = (
 EXTRA_KINDS = (
     ("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 40, r"gh[pousr]_"),
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 28, r"eyJ"),
-    ("private", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)", 1, 27, r"PRIVATE KEY"),
+    ("private", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(" + _KEY_BODY + ")(" + _END_LINE + ")?", 1, 0, r"PRIVATE KEY"),
 )
+#: kinds with a second group, which stands after the value
+TAILED = {"private"}
 KINDS = BASE_KINDS + EXTRA_KINDS
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your|xxxx|1234567|password|test)"
 
@@ -52,15 +65,18 @@ def _kind_spans(text: Column, rank: int, kind: str, pattern: str, group: int, le
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lengths = F.zip_with(F.slice(between, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")),
-                         lambda b, m: F.struct(F.length(b).cast("long").alias("gap"), F.length(m["w"]).cast("long").alias("len"), m["v"].alias("v")))
+    tail = F.regexp_extract_all(text, F.lit(pattern), F.lit(group + 1)) if kind in TAILED else F.transform(whole, lambda w: F.lit(""))
+    lengths = F.zip_with(F.slice(between, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v"), tail.alias("t")),
+                         lambda b, m: F.struct(F.length(b).cast("long").alias("gap"), F.length(m["w"]).cast("long").alias("len"), m["v"].alias("v"), F.length(m["t"]).alias("tail")))
     # running position: the fold keeps the next free position and the spans so far
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
 
     def step(acc, m):
         start, end = acc["at"] + m["gap"], acc["at"] + m["gap"] + m["len"]
+        vend = end - m["tail"]
+        hashed = F.regexp_replace(m["v"], r"\\+[rnt]|[^A-Za-z0-9+/=]", "") if kind == "private" else m["v"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-                        (end - F.length(m["v"])).alias("vstart"), end.alias("vend"), m["v"].alias("value"))
+                        (vend - F.length(m["v"])).alias("vstart"), vend.alias("vend"), hashed.alias("value"))
         kept = F.when(F.length(m["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), kept.alias("out"))
 
@@ -88,7 +104,8 @@ def ownership(found: DataFrame) -> DataFrame:
 def _looks_live(kind: Column, value: Column) -> Column:
     """A credential's shape: enough different characters, no placeholder word."""
     varied = F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT
-    return (kind == "private") | (varied & ~value.rlike(PLACEHOLDER))
+    # a key's body is long enough to hold such a word by chance
+    return varied & ((kind == "private") | ~value.rlike(PLACEHOLDER))
 
 
 def classify(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:

@@ -95,3 +95,35 @@ def test_no_python_in_the_plan(spark):
     for frame in (secrets.candidates(df), secrets.digest(df), secrets.redact(df)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def key_body(rng, n):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) + "="
+
+
+def pem(body, kind="RSA ", eol="\n", end=True):
+    lines = [body[i:i + 64] for i in range(0, len(body), 64)]
+    return eol.join([f"-----BEGIN {kind}PRIVATE " + "KEY-----", *lines, *([f"-----END {kind}PRIVATE " + "KEY-----"] if end else [])])
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    rng = random.Random(3)
+    own = [key_body(rng, 1600 + i) for i in range(5)]
+    copied, cut = key_body(rng, 1500), key_body(rng, 1541)
+    texts = [f"before {i} {pem(k)} after {i}" for i, k in enumerate(own)]
+    texts += [f"copy {i} {pem(copied, eol=eol)} end" for i, eol in enumerate(["\n", "\r\n", "\\n", "\n  ", "\n> "])]
+    texts += [f"cut {pem(cut, end=False)}\nSome words follow here, in prose.", "-----BEGIN PRIVATE " + "KEY-----",
+              pem("\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + own[0][:64]) + pem(own[1], "EC ") + "-" * 20_000, "-----BEGIN PRIVATE " + "KEY----- ... " + "x y " * 50_000]
+    df = documents(spark, texts, sources=["s0", "s1", "s2", "s3", "s4"])
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, k in enumerate(own):
+        assert got[i + 1] == f"before {i} -----BEGIN RSA PRIVATE " + f"KEY-----[SECRET]-----END RSA PRIVATE KEY----- after {i}"
+        assert not any(k[j:j + 64] in got[i + 1] for j in range(0, 1600, 64))
+    assert all(got[6 + i] == texts[5 + i] for i in range(5))
+    assert got[11] == "cut -----BEGIN RSA PRIVATE " + "KEY-----[SECRET]\nSome words follow here, in prose."
+    assert got[12] == texts[11] and got[14] == texts[13]
+    assert got[13].count("[SECRET]") == 2 and own[0][:64] not in got[13] and own[1][:64] not in got[13]
+    classes = {r.value_hash: r for r in secrets.classify(secrets.candidates(df)).collect()}
+    kept = classes[hashlib.sha256(copied.encode()).hexdigest()]
+    assert (kept["class"], kept.owners, kept.repositories) == ("example", 5, 5)
+    assert all(classes[hashlib.sha256(k.encode()).hexdigest()]["class"] == "live" for k in own)
