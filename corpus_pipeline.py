@@ -3,9 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept;
 its result is written as Parquet and read back as the next stage's documents.
 
-1. language id          documents whose text has no letter, or says nothing about its
-                        language, go; the classifiers are learned from this stage's
-                        own documents with a language.
+1. language id          documents whose text has no letter, or whose n-grams are not those
+                        of any learned language (other scripts, random letters), go; the
+                        classifiers are learned from this stage's own documents with a
+                        language.
 2. simhash near-dedup   one document of each near-duplicate group stays (smallest id).
 3. benchmark decontamination  documents that hold a ten-word window of an item go.
 4. secret scans         live values are replaced by ``[SECRET]``; every document stays.
@@ -28,7 +29,7 @@ from tableguard.llm.common import crc_mod, written
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = docs.filter(crc_mod(F.col("doc_id"), 4) != 2).select("lang", "text")
     found = language.identify(docs, language.train(labelled))
-    return found.filter(~language.rejected(F.col("lang_pred"), F.col("score"))).select("row.*")
+    return found.filter(~language.rejected(F.col("evidence"))).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,15 +9,23 @@ that language's training rows, and the language with the least loss wins.
 Features are hashed character n-grams (n = 1, 2, 3) of the lower-cased letters;
 everything that is not a letter is one blank.  Only the text enters a prediction.
 
+Evidence: every text has one classifier output, known language or not, so a second
+measure says whether the text is in a learned language at all.  It is the mean, over
+the n-grams that hold a letter, of log(1 + c / UNSEEN), where c is how often the
+language's training rows hold the n-gram: 0 if none was ever seen.  Each training row is
+measured so without its own counts; a language's floor is ``FLOOR`` of the value that
+all but ``TAIL`` of its rows reach.  ``evidence`` is the value less the floor, for the
+language found or, if that is negative, for the language where it is largest.
+
 Training reads a bounded sample: about ``PER_LANGUAGE`` rows of each language, chosen
 by a hash of the row, whole texts.  At most ``MAX_LANGUAGES`` languages are learned
 (more is an error), so the model that is broadcast has a fixed bound:
-``BUCKETS`` x code length floats.
+``BUCKETS`` x (code length + languages) floats.
 
 Defined results
-* Null texts and texts without a letter: ``und``, score 0.
-* Nothing to learn from: every text is ``und``; one language only: that language,
-  score 1.
+* Null texts and texts without a letter: ``und``, score 0, evidence null.
+* Nothing to learn from: every text is ``und``, evidence null; one language only: that
+  language, score 1.
 * ``score`` is 1 - least loss / second least loss: 0 is a tie, and ties go to the
   language that sorts first.  ``ambiguous`` marks scores below ``AMBIGUOUS``.
 * Repeated rows count as often as given; an empty table gives no rows; extra columns
@@ -28,7 +36,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +52,9 @@ PER_LANGUAGE = 10_000
 MAX_LANGUAGES = 256
 AMBIGUOUS = 0.1
 SHARPNESS = 4.0
+UNSEEN = 0.5
+TAIL = 0.01
+FLOOR = 2 / 3
 _SLICE = 1 << 18
 
 
@@ -87,6 +98,18 @@ def _slices(codes: np.ndarray, order: int) -> Iterator[np.ndarray]:
         yield _buckets(codes[at:at + _SLICE + order - 1], order)
 
 
+def _lettered(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams that hold a letter, every n-gram once, in pieces."""
+    letter = codes != 32
+    for order in ORDERS:
+        for at in range(0, max(0, len(codes) - order + 1), _SLICE):
+            b = _buckets(codes[at:at + _SLICE + order - 1], order)
+            holds = np.zeros(len(b), bool)
+            for k in range(order):
+                holds |= letter[at + k:at + k + len(b)]
+            yield b[holds]
+
+
 # ------------------------------------------------------------------------- codes
 
 def codewords(n: int) -> np.ndarray:
@@ -121,6 +144,8 @@ class Model:
     weights: np.ndarray  # buckets x code length
     scale: np.ndarray  # code length
     trust: np.ndarray  # languages x code length, rows sum to 1
+    seen: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS), np.float32))  # languages x buckets: log(1 + c / UNSEEN)
+    floor: np.ndarray = field(default_factory=lambda: np.zeros(0))  # languages
 
     def margins(self, codes: np.ndarray) -> np.ndarray:
         """Mean log-odds of the text's n-grams for every codeword position."""
@@ -140,11 +165,32 @@ class Model:
         second = float(np.delete(loss, best).min())
         return self.languages[best], float(max(0.0, 1 - loss[best] / second)) if second > 0 else 0.0
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def familiar(self, codes: np.ndarray, language: int) -> float:
+        """Mean over the text's n-grams of how much the language's training rows hold them."""
+        total, n = 0.0, 0
+        for b in _lettered(codes):
+            total += self.seen[language][b].sum(dtype=np.float64)
+            n += len(b)
+        return total / max(n, 1)
+
+    def familiar_to_others(self, codes: np.ndarray, language: int) -> float:
+        """``familiar`` for one of the training rows, without what it has counted itself."""
+        own, n = np.unique(np.concatenate(list(_lettered(codes))), return_counts=True)
+        others = np.maximum(np.expm1(self.seen[language][own].astype(np.float64)) * UNSEEN - n, 0)
+        return float((np.log1p(others / UNSEEN) * n).sum() / max(n.sum(), 1))
+
+    def evidence(self, codes: np.ndarray, language: int) -> float:
+        here = self.familiar(codes, language) - self.floor[language]
+        if here >= 0:
+            return here
+        return max(self.familiar(codes, i) - self.floor[i] for i in range(len(self.languages)))
+
+    def predict(self, text: str | None) -> tuple[str, float, float | None]:
         codes = _codes(text or "")
         if not self.languages or not (codes != 32).any():
-            return UNDETERMINED, 0.0
-        return self.decode(self.margins(codes)) if self.code.shape[1] else (self.languages[0], 1.0)
+            return UNDETERMINED, 0.0, None
+        found, score = self.decode(self.margins(codes)) if self.code.shape[1] else (self.languages[0], 1.0)
+        return found, score, self.evidence(codes, self.languages.index(found))
 
 
 # ---------------------------------------------------------------------- training
@@ -191,21 +237,45 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", p
     if not languages:
         return Model([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.ones(0), np.ones((0, 0)))
     code = codewords(len(languages))
-    share = np.full((len(languages), BUCKETS), smoothing)
+    share = np.zeros((len(languages), BUCKETS))
     for i, lang in enumerate(languages):
         of = names == lang
         share[i, grams.column("bucket").to_numpy()[of]] += grams.column("n").to_numpy()[of]
+    seen = np.log1p(share / UNSEEN).astype(np.float32)
+    share += smoothing
     share /= share.sum(axis=1, keepdims=True)
     weights = np.empty((BUCKETS, code.shape[1]), np.float32)
     for j in range(code.shape[1]):
         up, down = share[code[:, j] == 1].mean(axis=0), share[code[:, j] == -1].mean(axis=0)
         weights[:, j] = np.log(up) - np.log(down)
-    model = Model(languages, code, weights, np.ones(code.shape[1]), np.ones(code.shape))
+    model = Model(languages, code, weights, np.ones(code.shape[1]), np.ones(code.shape), seen, np.zeros(len(languages)))
+    _fit_floor(model, sample, spark)
     if code.shape[1]:
         _fit_trust(model, sample, spark)
     return model
 
 
+def _fit_floor(model: Model, sample: DataFrame, spark) -> None:
+    """Per language the least evidence that a text of that language is expected to have."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        place = {lang: i for i, lang in enumerate(m.languages)}
+        for batch in batches:
+            names, values = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                codes = _codes(text.as_py() or "")
+                if lang in place and (codes != 32).any():
+                    names.append(lang)
+                    values.append(m.familiar_to_others(codes, place[lang]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["lang", "value"])
+
+    low = sample.mapInArrow(judge, "lang string, value double").groupBy("lang").agg(F.percentile_approx("value", TAIL).alias("low")).collect()
+    for r in low:
+        model.floor[model.languages.index(r.lang)] = FLOOR * r.low
+
+
 def _fit_trust(model: Model, sample: DataFrame, spark) -> None:
     """Per language and classifier the share of right signs; per classifier its mean margin."""
     sent = spark.sparkContext.broadcast(model)
@@ -238,21 +308,22 @@ def _fit_trust(model: Model, sample: DataFrame, spark) -> None:
 # -------------------------------------------------------------------- prediction
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(row, lang_pred, score, ambiguous): ``row`` is the untouched input row as a struct."""
+    """(row, lang_pred, score, evidence, ambiguous): ``row`` is the untouched input row as a struct."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(1)]
-            names, scores = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            names, scores, evidence = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())],
+                                             ["row", "lang_pred", "score", "evidence"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))
     return out.withColumn("ambiguous", F.col("score") < AMBIGUOUS)
 
 
-def rejected(lang_pred: Column, score: Column) -> Column:
-    """Documents without a letter, and those whose letters say nothing about the language."""
-    return (lang_pred == UNDETERMINED) | (score <= 0)
+def rejected(evidence: Column) -> Column:
+    """Documents without a letter, and those without evidence for any learned language."""
+    return evidence.isNull() | (evidence < 0)

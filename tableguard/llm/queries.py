@@ -55,7 +55,7 @@ def op6_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     found = language.identify(docs, language.train(docs.filter(~held_out).select("lang", "text")))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "evidence").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "evidence")
 
 
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tableguard.llm import language, queries
 from tests.llm.helpers import documents, empty_documents, prose, write_tables
 
@@ -90,3 +92,25 @@ def test_sample_is_bounded_per_language(spark):
     df = corpus(spark, 400)
     counts = {r.lang: r["count"] for r in language.training_sample(df, "lang", "text", 20).groupBy("lang").count().collect()}
     assert counts.keys() == STEMS.keys() and all(3 <= c <= 50 for c in counts.values())
+
+
+def test_unlearned_scripts_and_random_letters_have_no_evidence(spark):
+    rng = random.Random(4)
+    clean = [prose(rng, rng.choice([1, 2, 5, 40, 400]), STEMS[lang]) for lang in STEMS for _ in range(25)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (30, 100, 5000)] + ["中文文本", "中文 文本 " * 500, "ελληνικά κείμενα", "עברית"]
+    model = language.train(corpus(spark, 800))
+    got = {r.row.text: r for r in language.identify(documents(spark, clean + junk + ["12 34", None]), model).select("row", "evidence", language.rejected(F.col("evidence")).alias("gone")).collect()}
+    assert [t for t in clean if got[t].gone] == []
+    assert [t for t in junk if not got[t].gone] == []
+    assert got["12 34"].gone and got[None].gone and got[None].evidence is None
+    # with a single learned text nothing is known of what others look like
+    one = language.train(documents(spark, ["some text"], langs=["en"]))
+    assert not language.identify(documents(spark, ["other"]), one).select(language.rejected(F.col("evidence"))).first()[0]
+
+
+def test_stage_drops_texts_in_no_learned_language(spark):
+    rng = random.Random(5)
+    stage = corpus_pipeline.STAGES[0][1]
+    odd = documents(spark, ["中文 文本 没有", "xq zvkwj qqpfh wzx jvkqz hgfwq bvxc", "ta re mi"], first_id=9001, langs=[None])
+    kept = {r.doc_id for r in stage(spark, corpus(spark, 800).union(odd), "").collect()}
+    assert kept == {*range(1, 801), 9003}
