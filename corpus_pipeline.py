@@ -27,7 +27,7 @@ from tableguard.llm.common import crc_mod, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = docs.filter(crc_mod(F.col("doc_id"), 4) != 2).select("lang", "text")
+    labelled = docs.filter(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", "lang", "text")
     found = language.identify(docs, language.train(labelled))
     return found.filter(~language.rejected(F.col("evidence"))).select("row.*")
 

@@ -18,7 +18,8 @@ all but ``TAIL`` of its rows reach.  ``evidence`` is the value less the floor, f
 language found or, if that is negative, for the language where it is largest.
 
 Training reads a bounded sample: about ``PER_LANGUAGE`` rows of each language, chosen
-by a hash of the row, whole texts.  At most ``MAX_LANGUAGES`` languages are learned
+by a hash of all given columns (with the id among them copies of a text are chosen one
+by one), whole texts, one row of each language at least.  At most ``MAX_LANGUAGES`` languages are learned
 (more is an error), so the model that is broadcast has a fixed bound:
 ``BUCKETS`` x (code length + languages) floats.
 
@@ -197,14 +198,14 @@ class Model:
 
 def training_sample(labelled: DataFrame, lang_col: str, text_col: str, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text): about ``per_language`` rows of each language, chosen by hash."""
-    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(*labelled.columns).alias("pick"))
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 30)).alias("pick"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min("pick").alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     keep = F.lit(False)
     for r in counts:
         share = min(1.0, per_language / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod("pick", F.lit(1 << 30)) < int(share * (1 << 30))))
+        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("pick") < max(int(share * (1 << 30)), r["least"] + 1)))
     return rows.filter(keep).select("lang", "text")
 
 

@@ -54,7 +54,7 @@ def op6_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = _table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
-    found = language.identify(docs, language.train(docs.filter(~held_out).select("lang", "text")))
+    found = language.identify(docs, language.train(docs.filter(~held_out).select("doc_id", "lang", "text")))
     return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "evidence").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "evidence")
 
 

@@ -114,3 +114,17 @@ def test_stage_drops_texts_in_no_learned_language(spark):
     odd = documents(spark, ["中文 文本 没有", "xq zvkwj qqpfh wzx jvkqz hgfwq bvxc", "ta re mi"], first_id=9001, langs=[None])
     kept = {r.doc_id for r in stage(spark, corpus(spark, 800).union(odd), "").collect()}
     assert kept == {*range(1, 801), 9003}
+
+
+def test_copies_are_sampled_one_by_one_and_no_language_is_left_out(spark, tmp_path, monkeypatch):
+    df = documents(spark, ["ta re mi"] * 2000 + ["sch ung keit"] * 2000, langs=["aa"] * 2000 + ["bb"] * 2000)
+    counts = {r.lang: r["count"] for r in language.training_sample(df, "lang", "text", 100).groupBy("lang").count().collect()}
+    assert counts.keys() == {"aa", "bb"} and all(50 <= c <= 200 for c in counts.values())
+    fewest = {r.lang: r["count"] for r in language.training_sample(df, "lang", "text", 0).groupBy("lang").count().collect()}
+    assert fewest.keys() == {"aa", "bb"} and all(1 <= c <= 3 for c in fewest.values())
+    # the query and the stage give the id along
+    given, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda rows, *a, **b: given.append(rows.columns) or train(rows, *a, **b))
+    queries.QUERIES["op6_ecoc_language"](spark, write_tables({"documents": df}, tmp_path))
+    corpus_pipeline.STAGES[0][1](spark, df, "")
+    assert len(given) == 2 and all("doc_id" in columns for columns in given)
