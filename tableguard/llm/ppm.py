@@ -8,12 +8,16 @@ symbols seen in a context, T of them different, an escape has probability T / (N
 Where nothing is left to escape to, no escape is reserved, so the probabilities of all
 symbols sum to one in every context.  Every text ends with an end symbol.
 
-Two ways to use it
+Three ways to use it
 * ``train`` and ``score_documents``: the trie of two-byte contexts, pretrained on all
   given texts.  Counts grow with the input; the model has at most
   ``SYMBOLS ** 3`` entries (17 million), which bounds what is broadcast.  Since a
   pretrained trie does not change while scoring, the probability of every symbol in
   every context, with escapes and exclusions, is worked out once per worker.
+* ``deep_scores``: the pretrained trie with contexts of ``depth`` bytes (``DEPTH`` in
+  production, 6 at most), in written tables that grow with the corpus.  Documents are
+  dealt into blocks of about ``BLOCK_BYTES``; a block's distinct runs meet their
+  probabilities by shuffle, and then the block's texts.  Nothing of it is broadcast.
 * ``adaptive_bits``: a trie of any depth that starts empty for every document and
   learns as it reads; the code length tells how much a text repeats itself.
 
@@ -38,8 +42,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableguard.llm.common import written
 
@@ -47,6 +52,8 @@ SYMBOLS = 257
 END = 256
 HOT_WORDS = 200_000
 _FLUSH_WORDS = 400_000
+DEPTH = 5
+BLOCK_BYTES = 16 << 20
 _SLICE = 1 << 20
 
 
@@ -140,6 +147,125 @@ def log_probability(table: np.ndarray, text: str | None) -> float:
     return float(sum(table[codes].sum(dtype=np.float64) for codes in _grams(_symbols(text))))
 
 
+# ------------------------------------------------------------------------ deep trie
+
+def _runs(text: str | None, depth: int) -> Iterator[np.ndarray]:
+    """Codes of the runs of ``depth + 1`` symbols, each run once, in pieces."""
+    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    for at in range(0, len(data) + 1, _SLICE):
+        # from ``depth`` symbols before ``at`` on, with the starts and the end where they lie inside
+        piece = data[max(at - depth, 0):at + _SLICE].astype(np.int64)
+        starts, ends = max(depth - at, 0), int(at + _SLICE > len(data))
+        symbols = np.concatenate([np.full(starts, END, np.int64), piece, np.full(ends, END, np.int64)])
+        n = len(symbols) - depth
+        codes = np.zeros(n, np.int64)
+        for k in range(depth + 1):
+            codes = codes * SYMBOLS + symbols[k:k + n]
+        yield codes
+
+
+def deal(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``rows`` (with ``text``) written with a ``key`` of their own and a ``block``."""
+    from pyspark import TaskContext
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, size, block = TaskContext.get().partitionId() << 40, 0, 0, 0
+        for batch in batches:
+            blocks = []
+            for length in batch.column(batch.num_columns - 1).to_pylist():
+                if size and size + length > block_bytes:
+                    size, block = 0, block + 1
+                size += length + 1
+                blocks.append(first + block)
+            keys = pa.array(np.arange(first + n, first + n + len(blocks), dtype=np.int64))
+            n += len(blocks)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(blocks, pa.int64()), *batch.columns[:-1]], ["key", "block", *names])
+
+    names = rows.columns
+    sized = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    return written(sized.mapInArrow(number, T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.LongType()), *rows.schema.fields])), "ppm-dealt")
+
+
+def block_runs(dealt: DataFrame, depth: int) -> DataFrame:
+    """(block, g, n): every run of a block, and how often its training texts hold it."""
+    def merged(kept, pending):
+        parts = [*kept, *((codes, np.full(len(codes), int(learn), np.int64)) for codes, learn in pending)]
+        codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(place, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+    def out(block, codes, n):
+        for at in range(0, len(codes), 1 << 18):
+            part = codes[at:at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part), pa.array(n[at:at + (1 << 18)])], ["block", "g", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kept, pending, size = None, [], [], 0
+        for batch in batches:
+            for of, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if block is not None and of != block:
+                    yield from out(block, *merged(kept, pending))
+                    kept, pending, size = [], [], 0
+                block = of
+                for codes in _runs(text.as_py(), depth):
+                    pending.append((codes, learn))
+                    size += len(codes)
+                    if size >= 2 * _SLICE:
+                        kept, pending, size = [merged(kept, pending)], [], 0
+        if block is not None:
+            yield from out(block, *merged(kept, pending))
+
+    rows = dealt.select("block", F.coalesce("training", F.lit(False)).alias("training"), "text")
+    return written(rows.mapInArrow(count, "block bigint, g bigint, n bigint"), "ppm-runs")
+
+
+def run_probabilities(runs: DataFrame, depth: int) -> DataFrame:
+    """(g, lp): log10 probability of the last symbol of every run after the others.
+
+    Whatever follows a context follows its shorter ones too.  So what an escape rules
+    out are the longer context's followers, and three sums per context are enough:
+    counts, followers, and the followers' counts in the next shorter context.  A
+    context has at most ``SYMBOLS`` followers, so no window is larger than that.
+    """
+    counts = {depth: written(runs.groupBy("g").agg(F.sum("n").alias("c")), "ppm-level")}
+    for k in range(depth - 1, -1, -1):
+        counts[k] = written(counts[k + 1].groupBy((F.col("g") % F.lit(SYMBOLS ** (k + 1))).alias("g")).agg(F.sum("c").alias("c")), "ppm-level")
+    context = Window.partitionBy(F.expr(f"g div {SYMBOLS}"))
+    seen = F.col("c") > 0
+    sums = {"all": F.sum("c").over(context), "kinds": F.sum(seen.cast("long")).over(context)}
+    # ``below``: the symbol's probability once all the context's followers are ruled out
+    here = counts[0].withColumns(sums).withColumn("below", F.try_divide(F.lit(1.0), F.lit(SYMBOLS) - F.col("kinds")))
+    for k in range(1, depth + 1):
+        shorter = here.select(F.col("g").alias("g1"), F.col("c").alias("c1"), F.col("all").alias("all1"), F.col("kinds").alias("kinds1"), F.col("below").alias("below1"))
+        both = counts[k].join(shorter, F.col("g") % F.lit(SYMBOLS ** k) == F.col("g1"))
+        both = both.withColumns(sums | {"out": F.sum(F.when(seen, F.col("c1")).otherwise(0)).over(context)})
+        n, t = F.col("all1") - F.col("out"), F.col("kinds1") - F.col("kinds")
+        found = F.try_divide(F.col("c1"), n + F.when(F.col("kinds1") < SYMBOLS, t).otherwise(0))
+        escaped = F.when(t > 0, F.try_divide(t, n + t)).otherwise(1.0) * F.col("below1")
+        here = both.select("g", "c", "all", "kinds", F.when(F.col("c1") > 0, found).otherwise(escaped).alias("below"))
+    n, t = F.col("all"), F.col("kinds")
+    found = F.try_divide(F.col("c"), n + F.when(t < SYMBOLS, t).otherwise(0))
+    escaped = F.when(t > 0, F.try_divide(t, n + t)).otherwise(1.0) * F.col("below")
+    return here.select("g", F.log10(F.when(seen, found).otherwise(escaped)).alias("lp"))
+
+
+def deep_scores(dealt: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, deep_score): log10 probability of each dealt text with ``depth`` bytes of context."""
+    if not 0 <= depth <= 6:
+        raise ValueError("depth must be from 0 to 6: runs are numbers of 63 bits")
+    runs = block_runs(dealt, depth)
+    known = runs.select("block", "g").join(written(run_probabilities(runs, depth), "ppm-probabilities"), "g")
+
+    def score(texts: pa.Table, probabilities: pa.Table) -> pa.Table:
+        g, lp = probabilities.column("g").to_numpy(), probabilities.column("lp").to_numpy()
+        order = np.argsort(g)
+        g, lp = g[order], lp[order]
+        sums = [float(sum(lp[np.searchsorted(g, codes)].sum() for codes in _runs(t.as_py(), depth))) for t in texts.column("text")]
+        return pa.table({"key": texts.column("key"), "deep_score": pa.array(sums, pa.float64())})
+
+    return (dealt.select("block", "key", "text").groupBy("block").cogroup(known.select("block", "g", "lp").groupBy("block"))
+            .applyInArrow(score, "key bigint, deep_score double"))
+
+
 # -------------------------------------------------------------------- adaptive trie
 
 class AdaptiveTrie:
@@ -244,15 +370,15 @@ def hot_level(counts: DataFrame, most: int = HOT_WORDS) -> int:
 # ------------------------------------------------------------------------- scoring
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
-                    hot_words: int = HOT_WORDS) -> DataFrame:
+                    hot_words: int = HOT_WORDS, depth: int | None = None) -> DataFrame:
     """One row per input row: id, training, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``training`` says which rows the model and the counts learn from.
+    ``training`` says which rows the model and the counts learn from.  ``score`` is by
+    contexts of two bytes; with ``depth`` there is ``deep_score`` too, by so many.
     """
-    from pyspark import TaskContext
-
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), training.alias("training"), F.col(text_col).cast("string").alias("text"))
+    rows = deal(rows)
     learned = rows.filter("training").select("text")
     counts = written(word_counts(learned), "ppm-words")
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -265,10 +391,10 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, key = _table(model, model_sent), hot_sent.value, TaskContext.get().partitionId() << 40
+        table, known = _table(model, model_sent), hot_sent.value
         for batch in batches:
             out = [[] for _ in names]
-            for text in batch.column(2):
+            for text in batch.column(3):
                 text = text.as_py()
                 words = Counter(tokens(text))
                 n = here = 0
@@ -282,12 +408,11 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                     else:
                         here += k
                         base += k * math.log10((c + 0.5) / floor)
-                for column, value in zip(out, (key, None, None, n, here, base, log_probability(table, text), rare, times)):
+                for column, value in zip(out, (None, None, None, n, here, base, log_probability(table, text), rare, times)):
                     column.append(value)
-                key += 1
-            yield pa.RecordBatch.from_arrays([batch.column(i - 1) if i in (1, 2) else pa.array(v, t) for i, (v, t) in enumerate(zip(out, types))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) if i < 3 else pa.array(v, t) for i, (v, t) in enumerate(zip(out, types))], names)
 
-    first = written(rows.mapInArrow(score, f"key bigint, id {kind}, training boolean, n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<bigint>"), "ppm-scores")
+    first = written(rows.select("key", "id", "training", "text").mapInArrow(score, f"key bigint, id {kind}, training boolean, n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<bigint>"), "ppm-scores")
     # the words that were not broadcast meet their counts by shuffle
     rest = first.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     rest = rest.join(counts.filter(F.col("c") < level), "word", "left").groupBy("key").agg(
@@ -295,5 +420,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(floor))).alias("more_base"))
     rest = rest.withColumnRenamed("key", "rest_key")
     joined = first.drop("words", "times").join(rest, F.col("key") == F.col("rest_key"), "left")
+    deep = []
+    if depth is not None:
+        joined = joined.join(deep_scores(rows, depth).withColumnRenamed("key", "deep_key"), F.col("key") == F.col("deep_key"))
+        deep = ["deep_score"]
     return joined.select(F.col("id").alias(id_col), "training", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-                         F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+                         F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score", *deep)

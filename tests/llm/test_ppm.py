@@ -100,3 +100,52 @@ def test_no_training_text_and_no_rows(spark):
     r = ppm.score_documents(documents(spark, ["ab"]), F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (2, 0, 0) and r.score == pytest.approx(3 * -math.log10(257), rel=1e-5)
     assert ppm.score_documents(empty_documents(spark), F.lit(True)).count() == 0
+
+
+def deep_trie(sources, depth):
+    trie = ppm.AdaptiveTrie(depth)
+    for text in sources:
+        context = (ppm.END,) * depth
+        for s in [*(text or "").encode(), ppm.END]:
+            trie.learn(context, s)
+            context = (*context, s)[-depth:] if depth else ()
+    return trie
+
+
+def deep_read(trie, text):
+    total, context = 0.0, (ppm.END,) * trie.depth
+    for s in [*(text or "").encode(), ppm.END]:
+        total += trie.cost(context, s)
+        context = (*context, s)[-trie.depth:] if trie.depth else ()
+    return total
+
+
+@pytest.mark.parametrize("depth", [0, 1, 5, 6])
+def test_deep_scores_equal_the_trie_in_any_blocks(spark, depth):
+    sources = [t for t in texts() if t is None or len(t) < 5000] + ["".join(map(chr, range(128))) * 2, "never learned \u4e2d"]
+    rows = [(i if i % 9 else None, t, i % 3 != 0) for i, t in enumerate(sources)]
+    trie = deep_trie([t for _, t, learn in rows if learn], depth)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean")
+    dealt = ppm.deal(df.select("text", F.col("learn").alias("training")).coalesce(2), 500)
+    assert dealt.select("block").distinct().count() > 4
+    got = sorted((r.text or "", r.deep_score) for r in dealt.join(ppm.deep_scores(dealt, depth), "key").collect())
+    want = sorted((t or "", deep_read(trie, t)) for _, t, _ in rows)
+    assert len(got) == len(want)
+    for (a, x), (b, y) in zip(got, want):
+        assert a == b and math.isclose(x, y, rel_tol=1e-9), (a, x, y)
+
+
+def test_query_gives_contexts_of_five_bytes(spark, tmp_path):
+    rows = [(i + 1, t) for i, t in enumerate(texts())]
+    got = {r.doc_id: r for r in queries.QUERIES["op8_ppm_score"](spark, write_tables({"documents": documents(spark, rows)}, tmp_path)).collect()}
+    trie = deep_trie([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], 5)
+    assert len(got) == len(rows)
+    assert all(math.isclose(got[i].deep_score, deep_read(trie, t), rel_tol=1e-9) for i, t in rows)
+
+
+def test_runs_of_long_texts_come_in_pieces(monkeypatch):
+    text = "abcdefghij" * 3
+    whole = np.concatenate(list(ppm._runs(text, 5)))
+    for size in (1, 3, 7, 30, 31):
+        monkeypatch.setattr(ppm, "_SLICE", size)
+        assert np.array_equal(np.concatenate(list(ppm._runs(text, 5))), whole) and len(whole) == 31
