@@ -143,6 +143,11 @@ def _table(model: str, sent) -> np.ndarray:
     return _TABLES[model]
 
 
+def forget_tables() -> None:
+    """Frees the worker's table, for stages that do not use it."""
+    _TABLES.clear()
+
+
 def log_probability(table: np.ndarray, text: str | None) -> float:
     return float(sum(table[codes].sum(dtype=np.float64) for codes in _grams(_symbols(text))))
 
@@ -189,7 +194,11 @@ def deal(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def block_runs(dealt: DataFrame, depth: int) -> DataFrame:
     """(block, g, n): every run of a block, and how often its training texts hold it."""
     def merged(kept, pending):
-        parts = [*kept, *((codes, np.full(len(codes), int(learn), np.int64)) for codes, learn in pending)]
+        parts = list(kept)
+        for learn in (True, False):
+            if some := [codes for codes, of in pending if of == learn]:
+                codes, n = np.unique(np.concatenate(some), return_counts=True)
+                parts.append((codes, n * int(learn)))
         codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
         return codes, np.bincount(place, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
@@ -199,6 +208,7 @@ def block_runs(dealt: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part), pa.array(n[at:at + (1 << 18)])], ["block", "g", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         block, kept, pending, size = None, [], [], 0
         for batch in batches:
             for of, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -209,7 +219,7 @@ def block_runs(dealt: DataFrame, depth: int) -> DataFrame:
                 for codes in _runs(text.as_py(), depth):
                     pending.append((codes, learn))
                     size += len(codes)
-                    if size >= 2 * _SLICE:
+                    if size >= _SLICE:
                         kept, pending, size = [merged(kept, pending)], [], 0
         if block is not None:
             yield from out(block, *merged(kept, pending))
