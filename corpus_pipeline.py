@@ -6,7 +6,7 @@ its result is written as Parquet and read back as the next stage's documents.
 1. language id          documents whose text has no letter, or whose n-grams are not those
                         of any learned language (other scripts, random letters), go; the
                         classifiers are learned from this stage's own documents with a
-                        language.
+                        language.  If none has one, only texts without a letter go.
 2. simhash near-dedup   one document of each near-duplicate group stays (smallest id).
 3. benchmark decontamination  documents that hold a ten-word window of an item go.
 4. secret scans         live values are replaced by ``[SECRET]``; every document stays.

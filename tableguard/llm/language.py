@@ -25,7 +25,8 @@ by one), whole texts, one row of each language at least.  At most ``MAX_LANGUAGE
 
 Defined results
 * Null texts and texts without a letter: ``und``, score 0, evidence null.
-* Nothing to learn from: every text is ``und``, evidence null; one language only: that
+* Nothing to learn from: every text is ``und``, evidence 0 if it has a letter (nothing
+  speaks against it); one language only: that
   language, score 1.
 * ``score`` is 1 - least loss / second least loss: 0 is a tie, and ties go to the
   language that sorts first.  ``ambiguous`` marks scores below ``AMBIGUOUS``.
@@ -188,8 +189,10 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, float | None]:
         codes = _codes(text or "")
-        if not self.languages or not (codes != 32).any():
+        if not (codes != 32).any():
             return UNDETERMINED, 0.0, None
+        if not self.languages:
+            return UNDETERMINED, 0.0, 0.0
         found, score = self.decode(self.margins(codes)) if self.code.shape[1] else (self.languages[0], 1.0)
         return found, score, self.evidence(codes, self.languages.index(found))
 

@@ -128,3 +128,8 @@ def test_copies_are_sampled_one_by_one_and_no_language_is_left_out(spark, tmp_pa
     queries.QUERIES["op6_ecoc_language"](spark, write_tables({"documents": df}, tmp_path))
     corpus_pipeline.STAGES[0][1](spark, df, "")
     assert len(given) == 2 and all("doc_id" in columns for columns in given)
+
+
+def test_stage_keeps_texts_when_no_language_is_learned(spark):
+    df = documents(spark, ["some text", "中文", "12 34", None, "", "x"], langs=[None])
+    assert sorted(r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, df, "").collect()) == [1, 2, 6]
