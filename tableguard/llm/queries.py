@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import bottom_k, bpe, jump_shards, language, perspectives, phrase_index, ppm, secrets, simhash, warc
+from tableguard.llm import bottom_k, bpe, jump_shards, language, perspectives, phrase_index, ppm, secrets, simhash, token_store, warc
 from tableguard.llm.common import crc_mod, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,13 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids written to a token store and read back."""
+    path = shared_path(spark, "tokens")
+    token_store.write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_store.with_checksums(token_store.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_perspective_chat": op1_perspective_chat,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -96,6 +103,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_ppm_score": op8_ppm_score,
     "op9_secret_owners": op9_secret_owners,
     "op10_warc_zstd": op10_warc_zstd,
+    "op12_token_store": op12_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {
