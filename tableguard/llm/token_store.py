@@ -19,9 +19,11 @@ Nothing is numbered on the driver; ``parts`` comes from the written metadata col
 
 Encoding uses the ``tokenizers`` library.  White space separates words in every
 vocabulary taken here, so a text's ids are those of its ASCII-blank-separated pieces
-in order; each piece that a worker has not met goes through the library once.  The
-memory holds ``MEMO_PIECES`` pieces at most and is emptied when full, so results never
-depend on it.
+in order (and, under the usual word pattern, also a letter and a full stop or comma
+behind it are never one word).  A batch's distinct pieces are found with Arrow; each
+piece that a worker has not met goes through the library once, pieces of letters alone
+many to a call.  The memory holds about ``MEMO_PIECES`` pieces and is emptied when
+full, so results never depend on it.
 
 Defined results
 * A null text is empty: it has the end id alone.  A null document id sorts first.
@@ -35,6 +37,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -56,66 +60,105 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 DICTIONARY_BYTES = 4 << 20
 ENCODINGS = ("dictionary", "delta")
+TOGETHER = 5_000
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+STOPS = ".,;:!?"
+SIMPLE = re.compile(f"[{LETTERS}]+")
+# fixed value: the word pattern under which letters, digits and stops are never one word
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class PieceEncoder:
-    """Ids of whole Arrow string arrays, by the library, piece by piece."""
+    """Ids of whole Arrow string arrays, by the library, piece by piece.
 
-    def __init__(self, data: str, memo_pieces: int = MEMO_PIECES):
-        import os
+    What was encoded lies in one flat array; a piece has a slot with its place and size.
+    """
 
+    def __init__(self, data: str, memo_pieces: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        check_splits_at_blanks(json.loads(data))
+        spec = json.loads(data)
+        self.plain = cut_rules(spec)
         self.library = Tokenizer.from_str(data)
         self.library.no_truncation()
         self.library.no_padding()
         self.memo_pieces = memo_pieces
-        self.memo: dict[str, np.ndarray] = {}
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); a null text has none."""
-        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = pieces.values.slice(pieces.offsets[0].as_py(), pieces.offsets[-1].as_py() - pieces.offsets[0].as_py()).dictionary_encode()
+        texts = pc.fill_null(texts, "")
+        if self.plain:
+            texts = pc.replace_substring_regex(texts, f"([{LETTERS}0-9])([{STOPS}])", r"\1 \2")
+        pieces = pc.ascii_split_whitespace(texts)
+        first, last = pieces.offsets[0].as_py(), pieces.offsets[-1].as_py()
+        words = pieces.values.slice(first, last - first).dictionary_encode()
         distinct, place = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
         if len(self.memo) > self.memo_pieces:
-            self.memo.clear()
-        fresh = [w for w in distinct if w not in self.memo]
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at:at + 20_000]
-            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[word] = np.array(found.ids, np.int32)
-        known = [self.memo[w] for w in distinct]
-        for word in fresh:
-            if len(word) > MEMO_LENGTH:
-                del self.memo[word]
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.concatenate(known) if known else np.empty(0, np.int32)
-        begin = np.cumsum(size) - size
-        n = size[place]
+            self._forget()
+        self._learn([w for w in distinct if w not in self.memo])
+        slot = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))[place]
+        n = self.size[slot]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(begin[place] - (ends - n), n) + np.arange(total)]
-        upto = np.concatenate(([0], ends))
-        cuts = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        return ids, np.diff(upto[cuts])
-
-
-def check_splits_at_blanks(spec: dict) -> None:
-    """Refuse a tokenizer whose words could hold or look across ASCII blanks.
-
-    Accepted: white space is dropped by the splitting step and no token of the vocabulary
-    or among the added ones holds a blank or strips one.
+        ids = self.flat[np.repeat(self.begin[slot] - (ends - n), n) + np.arange(total)]
+        for word in [w for w in distinct if len(w) > MEMO_LENGTH]:
+            del self.memo[word]
+        return ids, np.diff(np.concatenate(([0], ends))[pieces.offsets.to_numpy() - first])
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode pieces: those of letters alone many at a time (each ends with an end-of-word token), others one by one."""
+        simple = [w for w in fresh if SIMPLE.fullmatch(w)] if self.plain and self.ends.any() else []
+        found: list[tuple[list[str], np.ndarray, np.ndarray]] = []
+        for at in range(0, len(simple), TOGETHER):
+            some = simple[at:at + TOGETHER]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and len(ids) == stops[-1]:
+                found.append((some, ids, np.diff(stops, prepend=0)))
+        done = {w for some, _, _ in found for w in some}
+        rest = [w for w in fresh if w not in done]
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at:at + TOGETHER]
+            lists = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
+            found.append((some, np.array([i for ids in lists for i in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)))
+        if not found:
+            return
+        slots = len(self.begin)
+        for some, _, _ in found:
+            self.memo.update(zip(some, range(slots, slots + len(some))))
+            slots += len(some)
+        sizes = np.concatenate([n for _, _, n in found])
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.flat = np.concatenate([self.flat, *[ids for _, ids, _ in found]])
+
+
+def cut_rules(spec: dict) -> bool:
+    """May texts also be cut where a letter or digit meets a stop?  Raises if not even at ASCII blanks.
+
+    At blanks: white space is dropped by the splitting step, and no added token holds
+    white space or takes some of it.  At stops: the splitting step is ``WORDS``, and no
+    added token holds a stop or consists of letters alone.
     """
     steps = spec.get("pre_tokenizer") or {}
     steps = steps.get("pretokenizers", [steps])
-    drops = any(s.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
-                or s.get("type") == "Split" and s.get("behavior") == "Removed" for s in steps)
+    removing = [s for s in steps if s.get("type") == "Split" and s.get("behavior") == "Removed"]
     added = spec.get("added_tokens") or []
-    odd = [t["content"] for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"])]
-    if not drops or odd:
+    odd = [t for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"])]
+    if odd or not (removing or any(s.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") for s in steps)):
         raise ValueError("the tokenizer's words do not end at blanks")
+    known = any((s.get("pattern") or {}).get("Regex") == WORDS and s.get("invert") for s in removing)
+    return known and not any(set(t["content"]) & set(STOPS) or SIMPLE.fullmatch(t["content"]) for t in added)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
