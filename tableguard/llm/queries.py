@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableguard.llm import bottom_k, bpe, jump_shards, language, perspectives, phrase_index, ppm, secrets, simhash, token_store, warc
+from tableguard.llm import bottom_k, bpe, jump_shards, language, perspectives, phrase_index, ppm, prefix_trie, secrets, simhash, token_store, warc, whitening
 from tableguard.llm.common import crc_mod, shared_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,12 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over the rebuilt conversations."""
+    own = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt_turns(own, every=20, most=3))
+
+
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids written to a token store and read back."""
     path = shared_path(spark, "tokens")
@@ -92,6 +98,11 @@ def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_checksums(token_store.read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened on the 32 first components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_perspective_chat": op1_perspective_chat,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -103,7 +114,9 @@ QUERIES: dict[str, QueryFn] = {
     "op8_ppm_score": op8_ppm_score,
     "op9_secret_owners": op9_secret_owners,
     "op10_warc_zstd": op10_warc_zstd,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_store": op12_token_store,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +154,43 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
         FROM r""",
+    # crc32 of the id's decimal text is worked out bit by bit: DuckDB has no such function
+    "op11_prefix_trie": r"""
+        WITH t AS (
+          SELECT conv_id AS c, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                    md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS idx
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), convs AS (
+          SELECT c, c - c % 20 AS base, count(*) AS n,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
+                   (crc, b) -> list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                           (v, k) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::BIGINT) % 4 AS h
+          FROM t GROUP BY c
+        ), turns AS (
+          SELECT v.c, row_number() OVER (PARTITION BY v.c ORDER BY v.own, v.idx) AS d, v.digest, v.words FROM (
+            SELECT k.c, 0 AS own, b.idx, b.digest, b.words FROM convs k JOIN t b ON b.c = k.base AND b.idx <= k.h
+            UNION ALL SELECT k.c, 1, t.idx, t.digest, t.words FROM convs k JOIN t ON t.c = k.c AND t.idx > k.h) v
+        ), paths AS (
+          SELECT c, 0 AS d, '' AS path, 0 AS words FROM convs
+          UNION ALL SELECT c, d, md5(string_agg(digest, ',') OVER (PARTITION BY c ORDER BY d)), words FROM turns
+        ), sizes AS (SELECT c, max(d) AS size FROM paths GROUP BY c
+        ), nodes AS (
+          SELECT p.d, p.path, min(p.c) AS conv_id, count(*) AS n_convs, min(p.words) AS words,
+                 coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (WHERE s.size = p.d), '') AS ends
+          FROM paths p JOIN sizes s USING (c) GROUP BY p.d, p.path
+        ), up AS (
+          SELECT n.*, a.path AS above FROM nodes n LEFT JOIN paths a ON a.c = n.conv_id AND a.d = n.d - 1
+        ), kids AS (SELECT d - 1 AS d, above AS path, count(*) AS n_children FROM up WHERE d > 0 GROUP BY 1, 2
+        ), below AS (
+          SELECT a.d, a.path, CAST(sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+                 CAST(sum((u.n_convs - 1) * u.words) AS BIGINT) AS saved_tokens
+          FROM up u JOIN paths a ON a.c = u.conv_id AND a.d <= u.d LEFT JOIN kids k ON k.d = u.d AND k.path = u.path
+          GROUP BY a.d, a.path
+        )
+        SELECT u.conv_id, u.d AS depth, m.conv_id AS parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children,
+               b.n_leaves, b.saved_tokens, sha256(u.ends) AS ends_sha256
+        FROM up u JOIN below b ON b.d = u.d AND b.path = u.path LEFT JOIN kids k ON k.d = u.d AND k.path = u.path
+        LEFT JOIN nodes m ON m.d = u.d - 1 AND m.path = u.above""",
 }

@@ -80,6 +80,10 @@ class PieceEncoder:
 
         spec = json.loads(data)
         self.plain = cut_rules(spec)
+        # lower case can go before the other steps where no mark may join a letter and no added token is near
+        steps = spec.get("normalizer") or {}
+        self.lower = [s["type"] for s in steps.get("normalizers", [steps] if steps else [])] == ["NFC", "Replace", "Lowercase"]
+        self.keep_case = "(?i)" + "|".join(["[\u0300-\u036F]", *(re.escape(t["content"]) for t in spec.get("added_tokens") or [])])
         self.library = Tokenizer.from_str(data)
         self.library.no_truncation()
         self.library.no_padding()
@@ -97,6 +101,8 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); a null text has none."""
         texts = pc.fill_null(texts, "")
+        if self.lower:
+            texts = pc.if_else(pc.match_substring_regex(texts, self.keep_case), texts, pc.ascii_lower(texts))
         if self.plain:
             texts = pc.replace_substring_regex(texts, f"([{LETTERS}0-9])([{STOPS}])", r"\1 \2")
         pieces = pc.ascii_split_whitespace(texts)
@@ -121,7 +127,7 @@ class PieceEncoder:
         found: list[tuple[list[str], np.ndarray, np.ndarray]] = []
         for at in range(0, len(simple), TOGETHER):
             some = simple[at:at + TOGETHER]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and len(ids) == stops[-1]:
                 found.append((some, ids, np.diff(stops, prepend=0)))
@@ -129,7 +135,7 @@ class PieceEncoder:
         rest = [w for w in fresh if w not in done]
         for at in range(0, len(rest), TOGETHER):
             some = rest[at:at + TOGETHER]
-            lists = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
+            lists = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
             found.append((some, np.array([i for ids in lists for i in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)))
         if not found:
             return
