@@ -164,9 +164,9 @@ ORACLE_SQL: dict[str, str] = {
           FROM conversations WHERE conv_id IS NOT NULL
         ), convs AS (
           SELECT c, c - c % 20 AS base, count(*) AS n,
-                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
-                   (crc, b) -> list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-                                           (v, k) -> xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::BIGINT) % 4 AS h
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                   lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                           lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::BIGINT) % 4 AS h
           FROM t GROUP BY c
         ), turns AS (
           SELECT v.c, row_number() OVER (PARTITION BY v.c ORDER BY v.own, v.idx) AS d, v.digest, v.words FROM (

@@ -52,6 +52,7 @@ BLOCK = 8192
 FLUSH = 512         # blocks whose products an int64 holds
 OUT_ROWS = 4096
 STEPS = 12
+SAFE = 64           # a correction stays below 1 / SAFE, or its pair counts as close
 NO_VARIANCE = 2.0 ** -56
 _WIDE = np.longdouble
 
@@ -152,7 +153,7 @@ def refine(a: np.ndarray, x: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray
     Each step measures how far x is from orthogonal (r) and from diagonalising a (s) and
     corrects both at once; pairs closer than the gap are only made orthogonal.
     """
-    size, smallest, gap = np.sqrt((a * a).sum()), np.inf, 0.0
+    size, gap, noise = np.sqrt((a * a).sum()), 0.0, 8 * len(a) * np.finfo(_WIDE).eps
     values = np.diag(a)
     for _ in range(steps):
         r = np.eye(len(a), dtype=_WIDE) - x.T @ x
@@ -160,14 +161,15 @@ def refine(a: np.ndarray, x: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray
         s = (s + s.T) / 2  # else rounding, over a small gap, would bend right angles
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
-        gap = 2 * (np.sqrt((off * off).sum()) + size * np.sqrt((r * r).sum()))
+        gap = SAFE * (np.sqrt((off * off).sum()) + size * np.sqrt((r * r).sum()))
         apart = values[None, :] - values[:, None]
         far = np.abs(apart) > gap
         e = np.where(far, (s + values[None, :] * r) / np.where(far, apart, 1), r / 2)
-        largest = np.abs(e).max()
-        if largest >= smallest:  # rounding is all that is left
-            break
-        smallest, x = largest, x + x @ e
+        x = x + x @ e
+        if np.abs(e).max() <= noise * (1 + size / np.abs(apart[far]).min(initial=size)):
+            break  # rounding is all that is left
+    for _ in range(2):  # a correction's square bends right angles; the next step would mend them
+        x = x + x @ (np.eye(len(a), dtype=_WIDE) - x.T @ x) / 2
     return x, values, float(gap)
 
 
