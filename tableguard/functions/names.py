@@ -74,9 +74,10 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, piece), ""), F.lit("$"))
 
 
-def glob_literal(glob: Column) -> Column:
-    """The first run of plain characters that every match must contain ('' if none)."""
-    return F.regexp_extract(F.regexp_replace(glob, r"(?s)\\.|\[[!^]?\]?[^\]]*\]", "*"), r"([^*?\[\\]+)", 1)
+def glob_literals(glob: Column) -> Column:
+    """The runs of plain characters that every match must contain."""
+    plain = F.regexp_replace(glob, r"(?s)\\.|\[[!^]?\]?[^\]]*\]", "*")
+    return F.regexp_extract_all(plain, F.lit(r"[^*?\[\\]+"), F.lit(0))
 
 
 def part_matches(name: Column, flt: Column, mode: str) -> Column:

@@ -12,9 +12,6 @@ from tableguard.functions.names import normalize_detail, normalize_mode
 from tableguard.operators.names import match_names
 
 
-EXACT_COLUMNS = 12
-
-
 def sql_type(dt: T.DataType) -> str:
     """Upper-case SQL name of a Spark type (``BIGINT``, ``STRING``, ``ARRAY<FLOAT>``)."""
     return dt.simpleString().upper()
@@ -74,31 +71,52 @@ def schema_lookup(frames: dict[str, DataFrame], flt: str = "", mode: str = "cont
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_profile(df: DataFrame, exact_distinct: bool | None = None) -> DataFrame:
-    """``(column, type, rows, nulls, distinct, max_bytes)`` in one aggregate.
+def _value_key(name: str, kind: T.DataType):
+    """128 bits that stand for a value (null for null); a map's entries count in any order."""
+    c = F.col("`" + name.replace("`", "``") + "`")
+    v = F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(F.lit(1), v), F.xxhash64(F.lit(2), v)))
 
-    Exact distinct counts make Spark expand the input once per column, so they are the
-    default only up to ``EXACT_COLUMNS`` columns; beyond, or with ``exact_distinct=False``,
-    ``approx_count_distinct`` (HyperLogLog++) does it in one pass.
-    """
-    if exact_distinct is None:
-        exact_distinct = len(df.columns) <= EXACT_COLUMNS
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+
+def _stacked(df: DataFrame) -> DataFrame:
+    """(i, h, b): column number, value key and bytes of every cell."""
+    cells = []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"__nn{i}"))
-        aggs.append((F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)).alias(f"__d{i}"))
-        if isinstance(f.dataType, T.StringType):
-            aggs.append(F.max(F.octet_length(c)).alias(f"__b{i}"))
-        else:
-            aggs.append(F.lit(None).cast("int").alias(f"__b{i}"))
-    one = df.agg(*aggs)
-    per_col = [F.struct(F.lit(f.name).alias("column"), F.lit(sql_type(f.dataType)).alias("type"),
-                        F.col("__rows").alias("rows"), (F.col("__rows") - F.col(f"__nn{i}")).alias("nulls"),
-                        F.col(f"__d{i}").cast("long").alias("distinct"),
-                        F.col(f"__b{i}").cast("long").alias("max_bytes"))
-               for i, f in enumerate(df.schema.fields)]
-    return one.select(F.explode(F.array(*per_col)).alias("p")).select("p.*")
+        size = F.octet_length(F.col("`" + f.name.replace("`", "``") + "`")) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("int")
+        cells.append(F.struct(F.lit(i).alias("i"), _value_key(f.name, f.dataType).alias("h"), size.alias("b")))
+    return df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def _column_list(df: DataFrame) -> DataFrame:
+    rows = [(i, f.name, sql_type(f.dataType)) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "i int, column string, type string")
+
+
+def column_profile(df: DataFrame) -> DataFrame:
+    """``(column, type, rows, nulls, distinct, max_bytes)`` of every column, from one scan.
+
+    ``distinct`` is exact (by 128-bit value keys) at any number of columns: cells are
+    counted per (column, key) inside each task first, so a hot value travels once per
+    task, and no row is expanded to the table's width.  :func:`column_estimates` has
+    cheaper estimates.
+    """
+    groups = _stacked(df).groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("b"))
+    counts = groups.groupBy("i").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("h").isNull(), F.col("n"))).alias("nulls"),
+                                     F.count("h").alias("distinct"), F.max("b").alias("max_bytes"))
+    zero = F.lit(0).cast("long")
+    return _column_list(df).join(counts, "i", "left").select(
+        "column", "type", F.coalesce("rows", zero).alias("rows"), F.coalesce("nulls", zero).alias("nulls"),
+        F.coalesce("distinct", zero).alias("distinct"), F.col("max_bytes").cast("long").alias("max_bytes"))
+
+
+def column_estimates(df: DataFrame) -> DataFrame:
+    """``(column, type, sketch, approx_distinct)``: a mergeable HyperLogLog sketch of every column.
+
+    Sketches of several tables or days merge with ``hll_union_agg``.
+    """
+    sketches = _stacked(df).where("h IS NOT NULL").groupBy("i").agg(F.hll_sketch_agg(F.xxhash64("h")).alias("sketch"))
+    return _column_list(df).join(sketches, "i", "left").select(
+        "column", "type", "sketch", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0).cast("long")).alias("approx_distinct"))
 
 
 def key_check(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableguard.functions.sums import running_sum
 from tableguard.operators.spans import explode_rows, redact_with_spans
 
 # --- fixed values: must equal the reference's chunking rules ---
@@ -59,11 +60,7 @@ def chunk_array(text: Column, max_len: int = DEFAULT_MAX_LEN, row_sep: str = ROW
 
 def _starts(chunks: Column) -> Column:
     """0-based character start of every chunk (running sum inside the row)."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(chunks, zero,
-                       lambda acc, c: F.struct((acc["pos"] + F.char_length(c)).alias("pos"),
-                                               F.concat(acc["starts"], F.array(acc["pos"])).alias("starts")),
-                       lambda acc: acc["starts"])
+    return running_sum(F.transform(chunks, F.char_length))
 
 
 def chunk_text(df: DataFrame, id_col: str, text_col: str, max_len: int = DEFAULT_MAX_LEN,

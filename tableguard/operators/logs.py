@@ -32,21 +32,19 @@ def log_level(level_name: Column, level: Column) -> Column:
 def parse_log(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     """``(id, valid, message, channel, level, datetime, context, extra)`` per non-blank line.
 
-    A line is valid when it is a JSON object; invalid lines keep their id with
-    null fields.  Blank lines are dropped.
+    A line is valid when it is a JSON object or list (a list has none of the fields);
+    invalid lines keep their id with null fields.  Blank lines are dropped.
     """
     line = F.col(line_col)
     nonblank = df.where(F.btrim(line, F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
-    valid = F.json_object_keys(line).isNotNull()
-    parsed = nonblank.select(F.col(id_col).alias("id"), valid.alias("valid"),
-                             F.from_json(line, LOG_SCHEMA).alias("__e"))
-    e = lambda f: F.when(F.col("valid"), F.col(f"__e.{f}"))
-    return parsed.select("id", "valid",
-                         F.coalesce(e("message"), F.when(F.col("valid"), F.lit(""))).alias("message"),
-                         F.coalesce(e("channel"), F.when(F.col("valid"), F.lit(""))).alias("channel"),
-                         F.when(F.col("valid"), log_level(F.col("__e.level_name"), F.col("__e.level"))).alias("level"),
-                         F.coalesce(e("datetime"), F.when(F.col("valid"), F.lit(""))).alias("datetime"),
-                         e("context").alias("context"), e("extra").alias("extra"))
+    parsed = nonblank.select(F.col(id_col).alias("id"), F.json_object_keys(line).isNotNull().alias("__object"),
+                             F.json_array_length(line).isNotNull().alias("__list"), F.from_json(line, LOG_SCHEMA).alias("__e"))
+    parsed = parsed.withColumn("valid", F.col("__object") | F.col("__list"))
+    e = lambda f: F.when(F.col("__object"), F.col(f"__e.{f}"))
+    text = lambda f: F.when(F.col("valid"), F.coalesce(e(f), F.lit("")))
+    return parsed.select("id", "valid", text("message").alias("message"), text("channel").alias("channel"),
+                         F.when(F.col("valid"), log_level(e("level_name"), e("level"))).alias("level"),
+                         text("datetime").alias("datetime"), e("context").alias("context"), e("extra").alias("extra"))
 
 
 def latest_entries(parsed: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -71,8 +69,11 @@ def entry_by_id(parsed_all: DataFrame, line_id: int, line_count: int | None = No
 
 
 def level_counts(parsed: DataFrame) -> DataFrame:
-    """Entries per (level, hour): map-side partial counts, one small shuffle."""
-    hour = F.date_trunc("hour", F.to_timestamp(F.col("datetime")))
+    """Entries per (level, hour): map-side partial counts, one small shuffle.
+
+    The hour of an entry without a readable time is null.
+    """
+    hour = F.date_trunc("hour", F.try_to_timestamp(F.col("datetime")))
     return (parsed.where(F.col("valid")).groupBy("level", hour.alias("hour"))
             .agg(F.count(F.lit(1)).alias("entries")))
 

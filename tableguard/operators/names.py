@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableguard.functions.names import (
     NEAR_MATCHES,
-    glob_literal,
+    glob_literals,
     glob_regex,
     name_distance,
     name_matches,
@@ -22,6 +23,11 @@ from tableguard.plans.joins import checked_broadcast
 from tableguard.session import scratch_path
 
 BLANKS = " \t\n\r\x00\x0b"
+GRAM = 3                # characters of an index gram
+REPORT_ROUNDS = (2, 4)  # distances that the index is asked for before a scan
+SCAN_BLOCK = 2000       # far filters compared in one scan of the names
+SCAN_SAMPLE = 500       # names that give far filters their first bound
+FAR = 1 << 20           # more edits than any name needs
 
 
 def _filter_struct(flt: str):
@@ -43,24 +49,58 @@ def match_names(df: DataFrame, col: str, flt: str, mode: str = "contains") -> Da
     return df.where(name_matches(normalize_name(F.col(col)), _filter_struct(flt), mode))
 
 
-def _grams(col):
-    """Distinct substrings of one, two and three characters."""
+def _grams(col: Column, sizes: Iterable[int]) -> Column:
+    """``struct(g, pos)`` of every substring of the given sizes; ``pos`` counts from 1."""
     def of(n):
-        return F.when(F.char_length(col) >= n, F.transform(F.sequence(F.lit(1), F.char_length(col) - (n - 1)), lambda i: F.substring(col, i, n)))
-    return F.array_distinct(F.concat(*[F.coalesce(of(n), F.array().cast("array<string>")) for n in (1, 2, 3)]))
+        return F.when(F.char_length(col) >= n, F.transform(F.sequence(F.lit(1), F.char_length(col) - (n - 1)),
+                                                           lambda i: F.struct(F.substring(col, i, n).alias("g"), i.alias("pos"))))
+    none = F.array().cast("array<struct<g:string,pos:int>>")
+    return F.flatten(F.array(*[F.coalesce(of(n), none) for n in sizes])) if sizes else none
+
+
+def _name_keys(col: Column, mode: str, sizes: Iterable[int]) -> Column:
+    """What a name can meet a filter on: its grams, with their place where a match fixes it (prefix)."""
+    grams = _grams(col, sizes)
+    if mode == "prefix":        # short beginnings only where a name begins
+        return F.filter(grams, lambda x: (F.char_length(x["g"]) == GRAM) | (x["pos"] == 1))
+    return F.array_distinct(F.transform(grams, lambda x: F.struct(x["g"].alias("g"), F.lit(0).alias("pos"))))
+
+
+def _filter_keys(col: Column, mode: str) -> Column:
+    """Grams that every match of a filter holds; runs shorter than a gram stand for themselves."""
+    runs = glob_literals(col) if mode == "glob" else F.array(col)
+
+    def of(run):
+        grams = F.when(F.char_length(run) >= GRAM, _grams(run, [GRAM])).otherwise(F.array(F.struct(run.alias("g"), F.lit(1).alias("pos"))))
+        return grams if mode == "prefix" else F.transform(grams, lambda x: F.struct(x["g"].alias("g"), F.lit(0).alias("pos")))
+
+    return F.flatten(F.transform(F.filter(runs, lambda r: r != ""), of))
+
+
+def rarest_keys(names: DataFrame, name: Column, filters: DataFrame, flt: Column, mode: str) -> DataFrame:
+    """``filters`` with ``__k`` (g, pos): of the grams that a match must hold, the one that fewest names hold.
+
+    Whole grams come before shorter runs, whose frequency is not counted.  ``__k`` is
+    null for a filter without any literal character.
+    """
+    counts = (names.select(F.explode(_name_keys(name, mode, [GRAM])).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("__n")))
+    grams = filters.select("__fid", F.explode(F.array_distinct(_filter_keys(flt, mode))).alias("k"))
+    ranked = grams.join(counts, "k", "left").groupBy("__fid").agg(F.min_by("k", F.struct(
+        -F.char_length("k.g"), F.coalesce("__n", F.lit(0)), "k")).alias("__k"))
+    return filters.join(ranked, "__fid", "left")
 
 
 def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter_col: str,
                      mode: str = "contains") -> DataFrame:
     """All (name row, filter row) pairs that match, for many filters at once.
 
-    No pair is tested unless it can match: exact mode joins on the part itself; the
-    other modes join a filter's first (up to three) literal characters with the names'
-    substrings of that length, or with their beginnings (prefix).  A pair that matches
-    by its canonical name comes from the canonical join, one that matches by its leaf
-    only from the leaf join, so nothing is found twice.  Globs without any literal
-    character are tested against every name, behind a size-checked broadcast.  A blank
-    filter is no filter and is left out.
+    No pair is tested unless it can match: exact mode joins on the part itself; in the
+    other modes a filter meets the names that hold its *rarest* gram, by a table of the
+    names' gram frequencies (prefix: the gram at its place).  A pair that matches by its
+    canonical name comes from the canonical join, one that matches by its leaf only from
+    the leaf join, so nothing is found twice.  Globs without any literal character are
+    tested against every name, behind a size-checked broadcast.  A blank filter is no
+    filter and is left out.
     """
     mode = normalize_mode(mode)
     n = names.withColumn("__n", normalize_name(F.col(name_col)))
@@ -73,20 +113,19 @@ def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter
         hit = {p: F.regexp_like(name[p], F.col(f"__r.{p}")) for p in name}
     else:
         hit = {p: part_matches(name[p], flt[p], mode) for p in name}
+    if mode != "exact":     # ids are fixed by writing
+        f = _written(f.withColumn("__fid", F.monotonically_increasing_id()), "match-filters")
     parts = []
     for p, found in (("canonical", hit["canonical"]), ("leaf", hit["leaf"] & ~hit["canonical"])):
         if mode == "exact":
             parts.append(n.join(f, (name[p] == flt[p]) & found))
             continue
-        literal = glob_literal(flt[p]) if mode == "glob" else flt[p]
-        keyed = f.withColumn("__k", F.substring(literal, 1, 3))
-        if mode == "prefix":
-            keys = F.array_distinct(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.substr(name[p], F.lit(1), i)))
-        else:
-            keys = _grams(name[p])
-        parts.append(n.withColumn("__nk", F.explode(keys)).join(keyed.where("__k <> ''"), (F.col("__nk") == F.col("__k")) & found))
+        keyed = _written(rarest_keys(n, name[p], f, flt[p], mode), "match-keys")
+        sizes = sorted(r[0] for r in keyed.where("__k IS NOT NULL").select(F.char_length("__k.g")).distinct().collect())  # 1 to GRAM
+        wide = n.withColumn("__nk", F.explode(_name_keys(name[p], mode, sizes)))
+        parts.append(wide.join(checked_broadcast(keyed.where("__k IS NOT NULL")), (F.col("__nk") == F.col("__k")) & found))
         if mode == "glob":
-            parts.append(n.join(checked_broadcast(keyed.where("__k = ''")), found))
+            parts.append(n.join(checked_broadcast(keyed.where("__k IS NULL")), found))
     return reduce(DataFrame.unionByName, [x.select(*out) for x in parts])
 
 
@@ -102,58 +141,155 @@ def near_names(df: DataFrame, name_col: str, type_col: str, target: str, k: int
     return scored.orderBy("score", "type", "name").limit(k)
 
 
-def _near_pairs(names: DataFrame, targets: DataFrame, band: int) -> DataFrame:
-    """(target, name) pairs at most ``band`` edits apart by canonical name or leaf, once each.
+def gram_index(strings: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(index, counts) of the distinct strings in column ``s``, as written tables.
 
-    Edit distance is at least the length difference, so targets are widened to the
-    2 * band + 1 lengths they can meet and joined on the length: an equi-join, not all
-    pairs.  A pair near by its canonical name comes from the canonical join, one near
-    by its leaf only from the leaf join; the distance stops early above ``band``.
+    The index has a string's padded grams with their places, the rarest first, by
+    ``counts`` (g, n); these are the strings' own unless given.
     """
-    offs = F.sequence(F.lit(-band), F.lit(band))
-
-    def near(p):
-        return F.levenshtein(F.col(f"__f.{p}"), F.col(f"__n.{p}"), band) >= 0
-
-    parts = []
-    for p, found in (("canonical", near("canonical")), ("leaf", near("leaf") & ~near("canonical"))):
-        wide = targets.withColumn("__len", F.explode(F.transform(offs, lambda d: F.char_length(f"__f.{p}") + d)))
-        parts.append(names.withColumn("__nlen", F.char_length(f"__n.{p}")).join(wide, (F.col("__nlen") == F.col("__len")) & found).drop("__nlen", "__len"))
-    return parts[0].unionByName(parts[1])
+    pad = [F.lit(c * (GRAM - 1)) for c in "\u0002\u0003"]
+    grams = strings.select("s", F.explode(_grams(F.concat(pad[0], F.col("s"), pad[1]), [GRAM])).alias("x")).select("s", "x.g", "x.pos")
+    if counts is None:
+        counts = _written(grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
+    ranked = grams.join(counts, "g", "left").groupBy("s").agg(F.array_sort(F.collect_list(F.struct(
+        F.coalesce("n", F.lit(0)).alias("n"), "g", "pos"))).alias("grams"))
+    return _written(ranked, "gram-index"), counts
+
+
+def _with_deletions(strings: DataFrame, most: int) -> DataFrame:
+    """(s, v): every string with each that is left when up to ``most`` characters go."""
+    def fewer(v):
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(v), F.lit(1))),
+                          lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+        return F.when(F.char_length(v) > 0, cut).otherwise(F.array(v))
+
+    out = strings.select("s", F.array("s").alias("all"), F.array("s").alias("last"))
+    for _ in range(most):
+        out = out.select("s", "all", F.array_distinct(F.flatten(F.transform("last", fewer))).alias("last"))
+        out = out.select("s", F.array_union("all", "last").alias("all"), "last")
+    return out.select("s", F.explode("all").alias("v"))
+
+
+def near_candidates(targets: DataFrame, names: DataFrame, distance: int) -> DataFrame:
+    """(t, s) pairs of two gram indexes that may be within ``distance`` edits, each once.
+
+    Strings of G grams within d edits keep at least max(G) - d * ``GRAM`` grams within d
+    places of where they were, so the ``GRAM`` * d + 1 rarest grams of both hold such a
+    pair (prefix filter).  A pair is taken under its first such gram.  Pairs in which
+    both strings are too short for that meet on what is left when up to d characters of
+    each go.
+    """
+    keep, short = GRAM * distance + 1, GRAM * distance - GRAM + 1
+    t = targets.select(F.col("s").alias("t"), F.slice("grams", 1, keep).alias("tg"))
+    n = names.select("s", F.slice("grams", 1, keep).alias("sg"))
+    places = F.sequence(F.col("x.pos") - distance, F.col("x.pos") + distance)
+    t = t.select("t", "tg", F.explode("tg").alias("x")).select("t", "tg", F.col("x.pos").alias("tpos"), F.col("x.g").alias("g"), F.explode(places).alias("pos"))
+    n = n.select("s", "sg", F.explode("sg").alias("y")).select("s", "sg", F.col("y.g").alias("g"), F.col("y.pos").alias("pos"))
+    both = t.join(n, ["g", "pos"])
+
+    def meets(x, others):
+        return F.exists(others, lambda y: (y["g"] == x["g"]) & (F.abs(y["pos"] - x["pos"]) <= distance))
+
+    first_t = F.filter("tg", lambda x: meets(x, F.col("sg")))[0]
+    first_s = F.filter("sg", lambda y: (y["g"] == F.col("g")) & (F.abs(y["pos"] - F.col("tpos")) <= distance))[0]
+    longer = F.greatest(F.char_length("t"), F.char_length("s"))
+    both = both.where((longer > short) & (F.abs(F.char_length("t") - F.char_length("s")) <= distance))
+    both = both.where((first_t["g"] == F.col("g")) & (first_t["pos"] == F.col("tpos")) & (first_s["pos"] == F.col("pos"))).select("t", "s")
+    small = [_with_deletions(x.select("s").where(F.char_length("s") <= short), distance) for x in (targets, names)]
+    meet = small[0].withColumnRenamed("s", "t").join(small[1], "v").select("t", "s").distinct()
+    return both.unionByName(meet)
+
+
+class NearIndex:
+    """Names with one gram index over the distinct strings of both their parts."""
+
+    def __init__(self, names: DataFrame, name_col: str, type_col: str):
+        self.names = _written(names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
+                                           normalize_name(F.col(name_col)).alias("__n")), "near-names")
+        self.index, self.counts = gram_index(self._strings(self.names, "__n"))
+
+    @staticmethod
+    def _strings(rows: DataFrame, col: str) -> DataFrame:
+        return rows.select(F.explode(F.array(f"{col}.canonical", f"{col}.leaf")).alias("s")).where("s IS NOT NULL").distinct()
+
+    def target_index(self, targets: DataFrame) -> DataFrame:
+        return gram_index(self._strings(targets, "__f"), self.counts)[0]
+
+    def pairs(self, targets: DataFrame, distance: int, indexed: DataFrame | None = None) -> DataFrame:
+        """(target row, name row, score) for all within ``distance`` edits by canonical name or leaf, once each.
+
+        ``targets`` has the normalised target in ``__f``.  A pair near by its canonical name
+        comes from the canonical join, one near by its leaf only from the leaf join.
+        """
+        indexed = self.target_index(targets) if indexed is None else indexed
+        found = near_candidates(indexed, self.index, distance).withColumn("__d", F.levenshtein("t", "s", distance)).where("__d >= 0")
+        found = _written(found, "near-pairs")
+        parts = []
+        for p, other in (("canonical", "leaf"), ("leaf", "canonical")):
+            rows = targets.join(found, F.col(f"__f.{p}") == F.col("t")).join(self.names, F.col(f"__n.{p}") == F.col("s"))
+            rest = F.levenshtein(F.col(f"__f.{other}"), F.col(f"__n.{other}"), distance)
+            if p == "leaf":
+                rows = rows.where(rest < 0)
+            score = F.when(rest < 0, F.col("__d")).otherwise(F.least("__d", rest))
+            parts.append(rows.withColumn("score", score).drop("t", "s", "__d"))
+        return parts[0].unionByName(parts[1])
 
 
 def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: DataFrame, target_col: str,
                     k: int = NEAR_MATCHES, max_distance: int = 2) -> DataFrame:
     """For every target, its k nearest names within ``max_distance`` edits.
 
-    Blocking on length keeps the join an equi-join; only pairs that are near enough
-    reach the window per target (small groups: the names near one target).
+    Candidates come from a gram index (:func:`near_candidates`); only pairs that are near
+    enough reach the window per target (small groups: the names near one target).
     """
-    n = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"), normalize_name(F.col(name_col)).alias("__n"))
+    index = NearIndex(names, name_col, type_col)
     t = _written(targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
                                 F.monotonically_increasing_id().alias("__tid")), "near-targets")
-    scored = _near_pairs(n, t, max_distance).select(
-        "target", "name", "type", F.col("__n.canonical").alias("normalized_name"),
-        name_distance(F.col("__n"), F.col("__f"), max_distance).alias("score"), "__tid")
+    scored = index.pairs(t, max_distance).select(
+        "target", "name", "type", F.col("__n.canonical").alias("normalized_name"), "score", "__tid")
     w = Window.partitionBy("__tid").orderBy("score", "type", "name")
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .drop("__tid").withColumn("rank", F.col("rank").cast("int")))
 
 
+def _scan_pairs(names: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(__tid, name, type, __n, score) of names that may be among the k nearest of targets far from all names.
+
+    A bound for each target, its k-th distance among ``SCAN_SAMPLE`` names, stops most
+    distances early.  Targets are taken in blocks, each sent whole to a scan of the names.
+    """
+    some = F.broadcast(names.orderBy(F.xxhash64("name", "type")).limit(SCAN_SAMPLE).select("name", "type", "__n"))
+    near = targets.join(some).select("__tid", name_distance(F.col("__n"), F.col("__f")).alias("d"))
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("__tid").orderBy("d"))).where(F.col("r") <= k)
+    bounds = best.groupBy("__tid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("__ub"))
+    far = F.greatest(F.char_length("__f.canonical"), F.char_length("__f.leaf")) + FAR
+    bounded = _written(targets.join(bounds, "__tid").select("__tid", "__f", F.coalesce("__ub", far).alias("__ub"),
+                                                            F.pmod(F.xxhash64("__tid"), F.lit(1 << 16)).alias("__h")), "scan-targets")
+    blocks = max(1, -(-bounded.count() // SCAN_BLOCK))
+    parts = []
+    for b in range(blocks):
+        block = bounded.where((F.col("__h") % blocks) == b)
+        apart = [F.expr(f"levenshtein(__f.{p}, __n.{p}, __ub)") for p in ("canonical", "leaf")]
+        pairs = names.join(F.broadcast(block), F.least(*[F.abs(F.char_length(f"__f.{p}") - F.char_length(f"__n.{p}")) for p in ("canonical", "leaf")]) <= F.col("__ub"))
+        scored = pairs.withColumn("score", F.least(*[F.when(d >= 0, d) for d in apart])).where("score IS NOT NULL")
+        parts.append(scored.select("__tid", "name", "type", "__n", "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: DataFrame, filter_col: str,
                     k: int = NEAR_MATCHES) -> DataFrame:
     """For every non-blank filter with no exact match: status and its k nearest names.
 
     ``(filter, status, canonical, leaf, names_tried, rank, name, type, normalized_name)``.
-    Near matches are searched in widening length bands (2, 4, 8, ...): a band
-    of width d finds every name within d edits, so once a filter has k hits
-    inside its band they are exactly its k best; only filters still short of
-    k go on to the next, wider round.  The last band covers every length, so
-    the result equals a search over all names.
+    Filters near to names (mistyped ones) get theirs from a gram index, within the
+    distances of ``REPORT_ROUNDS``: all names within d edits are found, so once a filter
+    has k hits they are its k best.  Filters still short of k are far from the names;
+    they are compared with all of them in bounded blocks (:func:`_scan_pairs`), and each
+    task keeps k names per filter only.
     """
-    n = _written(names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
-                              normalize_name(F.col(name_col)).alias("__n")), "report-names")
-    f = (filters.where(F.btrim(F.col(filter_col), F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
+    index = NearIndex(names, name_col, type_col)
+    n = index.names
+    f = (filters.where(F.btrim(F.col(filter_col), F.lit(BLANKS)) != F.lit(""))
          .select(F.col(filter_col).alias("filter"), normalize_name(F.col(filter_col)).alias("__f")))
     nc = n.select(F.col("__n.canonical").alias("__key")).distinct()
     nleaf = n.select(F.col("__n.leaf").alias("__key")).distinct()
@@ -161,34 +297,30 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
                  .join(nleaf, F.col("__f.leaf") == F.col("__key"), "left_anti")
                  .dropDuplicates(["filter"])
                  .withColumn("__tid", F.monotonically_increasing_id()), "report-filters")
-    longest = n.select(F.max(F.greatest(F.char_length("__n.canonical"), F.char_length("__n.leaf")))).first()[0] or 0
-    longest_f = unmatched.select(F.max(F.greatest(F.char_length("__f.canonical"),
-                                                  F.char_length("__f.leaf")))).first()[0] or 0
-    span = max(longest, longest_f)
-    found, pending, band = None, unmatched, 2
-    while True:
-        scored = _near_pairs(n, pending, band).select(
-            "__tid", "name", "type", F.col("__n.canonical").alias("normalized_name"),
-            name_distance(F.col("__n"), F.col("__f"), band).alias("score"))
-        w = Window.partitionBy("__tid").orderBy("score", "type", "name")
-        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).checkpoint(eager=True)
+    indexed = index.target_index(unmatched)
+    w = Window.partitionBy("__tid").orderBy("score", "type", "name")
+
+    def best(scored: DataFrame) -> DataFrame:
+        rows = scored.select("__tid", "name", "type", F.col("__n.canonical").alias("normalized_name"), "score")
+        return _written(rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "report-best")
+
+    found, pending = [], unmatched.select("__tid", "__f")
+    for distance in REPORT_ROUNDS:
+        mine = indexed.join(index._strings(pending, "__f"), "s", "left_semi")
+        top = best(index.pairs(pending, distance, mine))
         done = top.groupBy("__tid").count().where(F.col("count") >= k).select("__tid")
-        last = band >= span
-        keep = top if last else top.join(done, "__tid", "left_semi")
-        found = keep if found is None else found.unionByName(keep)
-        if last:
-            break
-        # reliable checkpoint (spark.checkpoint.dir): the rounds do not stack lineage
-        pending = pending.join(done, "__tid", "left_anti").checkpoint(eager=True)
-        if pending.limit(1).count() == 0:
+        found.append(top.join(done, "__tid", "left_semi"))
+        pending = _written(pending.join(done, "__tid", "left_anti"), "report-pending")
+        if pending.isEmpty():
             break
-        band *= 2
+    else:
+        found.append(best(_scan_pairs(n, pending, k)))
     report = unmatched.select(
         "__tid", "filter", F.lit("no_exact_match").alias("status"),
         F.col("__f.canonical").alias("canonical"), F.col("__f.leaf").alias("leaf"),
         F.when(F.col("__f.canonical") == F.col("__f.leaf"), F.array(F.col("__f.canonical")))
         .otherwise(F.array(F.col("__f.canonical"), F.col("__f.leaf"))).alias("names_tried"))
-    return (report.join(found, "__tid", "left")
+    return (report.join(reduce(DataFrame.unionByName, found), "__tid", "left")
             .select("filter", "status", "canonical", "leaf", "names_tried",
                     F.col("rank").cast("int").alias("rank"), "name", "type", "normalized_name"))
 

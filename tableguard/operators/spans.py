@@ -22,6 +22,7 @@ from tableguard.functions.pii_patterns import (
     detectors_for,
     redaction_token,
 )
+from tableguard.functions.sums import let, running_max, running_sum
 
 SPAN_STRUCT = T.StructType([
     T.StructField("start", T.IntegerType()),
@@ -31,6 +32,8 @@ SPAN_STRUCT = T.StructType([
     T.StructField("value", T.StringType()),
 ])
 SPAN_ARRAY = T.ArrayType(SPAN_STRUCT)
+FEW = 32            # spans of a cell up to which comparing all of them is the cheapest
+CUT = 512           # characters of the blocks that a text with more spans is cut into
 
 
 def sql_text(value: str) -> str:
@@ -70,8 +73,9 @@ def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None
     1. ``lower(text)`` once (for the keyword shortcuts);
     2. per detector that found something, its matches, their value groups and the
        pieces of text before them;
-    3. the spans: a match starts where the pieces and the matches before it end, and
-       the value, a suffix of the match, gives the span.
+    3. the spans: a match starts where the pieces and the matches before it end (running
+       sums, linear in the number of matches), and the value, a suffix of the match,
+       gives the span.
     """
     dets = detectors if detectors is not None else detectors_for(validate_labels(labels))
     kept = [c for c in df.columns if c != out_col]
@@ -84,14 +88,17 @@ def with_spans(df: DataFrame, text_col: str, out_col: str = "spans", labels=None
     names = ", ".join(sql_text(d.label) for d in dets)
     scores = ", ".join(f"{d.score}D" for d in dets)
     checks = ", ".join(sql_text(d.check or "") for d in dets)
-    span = ("named_struct('start', acc.pos + char_length(r.p) + char_length(r.m) - char_length(r.v), "
-            "'end', acc.pos + char_length(r.p) + char_length(r.m), "
-            f"'label', array({names})[x.d], 'score', IF(array({checks})[x.d] = '', array({scores})[x.d], {_check_sql('r.v', f'array({checks})[x.d]')}), "
-            "'value', r.v)")
-    spans = (f"flatten(transform(__found, x -> aggregate(zip_with(arrays_zip(x.ms, x.vs), x.ps, (z, p) -> named_struct('m', z.ms, 'v', z.vs, 'p', p)), "
-             f"named_struct('pos', 0, 'out', cast(array() AS {kind})), "
-             f"(acc, r) -> named_struct('pos', acc.pos + char_length(r.p) + char_length(r.m), 'out', concat(acc.out, array({span}))), "
-             f"acc -> acc.out)))")
+    # where a match and the piece before it begin, for every match of a detector
+    sizes = "transform(__found, x -> zip_with(x.ms, x.ps, (m, p) -> char_length(p) + char_length(m)))"
+    staged = staged.withColumn("__sizes", F.expr(sizes))
+    staged = staged.withColumn("__at", F.transform("__sizes", running_sum))
+    end = "y.__at[k] + y.__sizes[k]"
+    value = "y.__found.vs[k]"
+    kind_of = "y.__found.d"
+    span = (f"named_struct('start', {end} - char_length({value}), 'end', {end}, 'label', array({names})[{kind_of}], "
+            f"'score', IF(array({checks})[{kind_of}] = '', array({scores})[{kind_of}], {_check_sql(value, f'array({checks})[{kind_of}]')}), "
+            f"'value', {value})")
+    spans = f"flatten(transform(arrays_zip(__found, __at, __sizes), y -> transform(y.__sizes, (z, k) -> {span})))"
     out = F.expr(f"IF({text} IS NULL, cast(array() AS {kind}), {spans})").alias(out_col)
     return staged.select(*[F.col(f"`{c}`") for c in kept], out)
 
@@ -132,42 +139,80 @@ def filter_span_array(spans: Column, threshold: float = DEFAULT_THRESHOLD, label
     return F.filter(spans, lambda s: (s["score"] >= F.lit(threshold)) & F.array_contains(allowed, s["label"]))
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Drop spans that overlap a better one, inside the row.
-
-    Better = higher score, then longer, then earlier, then label order.  Empty
-    spans (start >= end) are dropped.
-    """
-    nonempty = F.filter(spans, lambda s: s["start"] < s["end"])
-    ranked = F.transform(nonempty, lambda s: F.struct(
+def _ranked(spans: Column) -> Column:
+    """Spans from the best to the worst."""
+    ranked = F.transform(spans, lambda s: F.struct(
         (-s["score"]).alias("k1"), (s["start"] - s["end"]).alias("k2"), s["start"].alias("k3"),
         s["label"].alias("k4"), s.alias("s")))
-    ordered = F.transform(F.array_sort(ranked), lambda r: r["s"])
-    empty = F.array().cast(SPAN_ARRAY)
+    return F.transform(F.array_sort(ranked), lambda r: r["s"])
+
+
+def _best_of_few(spans: Column) -> Column:
+    """Every span against every kept one: for the few that can touch each other."""
     return F.aggregate(
-        ordered, empty,
+        _ranked(spans), F.array().cast(SPAN_ARRAY),
         lambda kept, s: F.when(
             F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept)
         .otherwise(F.concat(kept, F.array(s))))
 
 
+def _best_by_run(spans: Column) -> Column:
+    """Best of spans sorted by start: only those of a run that hangs together are compared."""
+    def of_runs(heads: Column) -> Column:
+        def one(b, j):
+            run = F.slice(spans, b + 1, F.coalesce(F.get(heads, j + 1), F.size(spans)) - b)
+            return let(run, lambda g: F.when(F.size(g) == 1, g).otherwise(_best_of_few(g)))
+        return F.flatten(F.transform(heads, one))
+
+    def heads(ends: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= F.get(ends, i))
+
+    return let(let(running_max(F.transform(spans, lambda s: s["end"])), heads), of_runs)
+
+
+def resolve_overlaps(spans: Column) -> Column:
+    """Drop spans that overlap a better one, inside the row.
+
+    Better = higher score, then longer, then earlier, then label order.  Empty
+    spans (start >= end) are dropped.  More than ``FEW`` spans are sorted and cut into
+    runs that hang together (a sweep with the running end); only spans of one run can
+    touch, so the work is linear but for long runs of overlapping spans.
+    """
+    nonempty = F.filter(spans, lambda s: s["start"] < s["end"])
+    return let(F.array_sort(nonempty), lambda s: F.when(F.size(s) <= FEW, _best_of_few(s)).otherwise(_ranked(_best_by_run(s))))
+
+
 def apply_spans(text: Column, spans: Column) -> Column:
     """Replace each span by ``[REDACTED_<label>]``: the pieces between spans, joined once.
 
     Spans must not overlap (see :func:`resolve_overlaps`).  Offsets are in
-    characters, as produced by :func:`detect_spans`.
+    characters, as produced by :func:`detect_spans`.  A piece of a text with more than
+    ``FEW`` spans is cut from blocks of ``CUT`` characters, since ``substr`` counts
+    from the beginning of its argument.
     """
-    def splice(ordered):
-        def piece(i):
-            s = F.element_at(ordered, i)
-            before = F.when(i > 1, F.element_at(ordered, F.greatest(i - 1, F.lit(1)))["end"]).otherwise(F.lit(0))
-            return F.concat(F.substr(text, before + 1, s["start"] - before), F.lit("[REDACTED_"), s["label"], F.lit("]"))
-
-        pieces = F.array_join(F.transform(F.sequence(F.lit(1), F.size(ordered)), piece), "")
-        return F.concat(pieces, F.substr(text, F.element_at(ordered, -1)["end"] + 1))
-
+    def splice(ordered, cut):
+        def piece(s, i):
+            before = F.when(i > 0, F.get(ordered, F.greatest(i - 1, F.lit(0)))["end"]).otherwise(F.lit(0))
+            return F.concat(cut(before, s["start"]), F.lit("[REDACTED_"), s["label"], F.lit("]"))
+
+        return F.concat(F.array_join(F.transform(ordered, piece), ""), cut(F.element_at(ordered, -1)["end"], F.char_length(text)))
+
+    def plain(a, b):
+        return F.substr(text, a + 1, b - a)
+
+    def from_blocks(blocks):
+        def cut(a, b):
+            first, last = F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")
+            over = F.concat(F.substr(F.get(blocks, first), a - first * CUT + 1),
+                            F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                            F.substr(F.get(blocks, last), F.lit(1), b - last * CUT))
+            return F.when(b <= a, F.lit("")).when(first == last, F.substr(F.get(blocks, first), a - first * CUT + 1, b - a)).otherwise(over)
+        return cut
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
     # sorted once, bound to a lambda variable
-    spliced = F.transform(F.array(F.array_sort(spans)), splice)[0]
+    spliced = let(F.array_sort(spans), lambda ordered: F.when(F.size(ordered) <= FEW, splice(ordered, plain)).otherwise(
+        let(blocks, lambda b: splice(ordered, from_blocks(b)))))
     return F.when(F.size(spans) > 0, spliced).otherwise(text)
 
 

@@ -3,7 +3,19 @@
 This is a guard against accidents, not a sandbox.  On top of the fixed rules (limit
 rule, forbidden keywords) Spark needs a few of its own: only read statements may
 start a query, and the statement's own plan may hold no JVM reflection, no script
-transform and no path read as a table.
+transform and no source but the session's own tables and views.
+
+Sources are held against an allow-list, twice:
+
+* in the parsed plan, before anything is looked up: a name of several parts must be a
+  table or view of the catalog (a data source's class name with a path is none), a name
+  of one part can be no path, and no relation may carry a path among its options;
+* in the analysed plan: every leaf that reads data must belong to a catalog table or lie
+  below a registered view.  This also sees names that only analysis puts together.
+
+Both walk into subqueries, common table expressions and the inner statement of EXPLAIN
+and DESCRIBE QUERY.  Plans are read through the classic session; on a session that does
+not show them every statement is refused.
 """
 
 from __future__ import annotations
@@ -30,9 +42,14 @@ from tableguard.operators.statements import with_statements
 
 READ_STARTS = ("SELECT", "WITH", "VALUES", "TABLE", "SHOW", "DESCRIBE", "DESC", "EXPLAIN", "(")
 # kinds of plan nodes and expressions that a read statement has no use for
-REFUSED_NODES = {"ScriptTransformation", "CallMethodViaReflection", "TryReflect"}
-FILE_FORMATS = {"parquet", "csv", "json", "orc", "text", "avro", "xml", "binaryfile", "delta"}
+REFUSED_NODES = {"ScriptTransformation", "ScriptInputOutputSchema", "CallMethodViaReflection", "TryReflect"}
 REFLECTION_NAMES = {"java_method", "reflect", "try_reflect"}
+# unresolved names of tables and views, as the parser leaves them
+NAME_NODES = {"UnresolvedRelation", "UnresolvedTableOrView", "UnresolvedTable", "UnresolvedView"}
+# leaves of an analysed plan that read nothing but the statement itself or the session's own rows
+OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "LogicalRDD", "CTERelationRef", "ResolvedNamespace", "ResolvedTable",
+              "ResolvedPersistentView", "ResolvedTempView", "CurrentNamespace", "CommandResult"}
+PATH_OPTIONS = {"path", "paths"}
 
 
 class RefusedStatement(Exception):
@@ -63,17 +80,31 @@ def _each(seq):
         yield items.next()
 
 
-def _walk(node):
-    """The node and everything below it: plan children, expressions, plans in expressions."""
-    yield node.getClass().getSimpleName(), node
+def _inner(node):
+    """The statement inside EXPLAIN or DESCRIBE QUERY, if the node is one."""
+    kind = node.getClass().getSimpleName()
+    return node.logicalPlan() if kind == "ExplainCommand" else node.plan() if kind == "DescribeQueryCommand" else None
+
+
+def _walk(node, stop=frozenset()):
+    """(kind, ancestors, node) of the node and everything below it.
+
+    Below lie plan children, inner plans, expressions, plans in expressions and the
+    statement inside EXPLAIN and DESCRIBE QUERY.  Nothing below a kind in ``stop``.
+    """
+    kind, ancestors = node.getClass().getSimpleName(), _ancestors(node)
+    yield kind, ancestors, node
+    if kind in stop:
+        return
     below = list(_each(node.children()))
-    ancestors = _ancestors(node)
+    if _inner(node) is not None:
+        below.append(_inner(node))
     if "LogicalPlan" in ancestors:
         below += [*_each(node.innerChildren()), *_each(node.expressions())]
     elif "PlanExpression" in ancestors:
         below.append(node.plan())
     for child in below:
-        yield from _walk(child)
+        yield from _walk(child, stop)
 
 
 def _ancestors(node) -> set[str]:
@@ -84,22 +115,67 @@ def _ancestors(node) -> set[str]:
     return names
 
 
+def _refuse_code() -> None:
+    raise RefusedStatement("Reflection and script transforms are not allowed.", "Use built-in SQL functions only.", False)
+
+
+def _refuse_source(what: str) -> None:
+    raise RefusedStatement(f"{what} cannot be read as a table.", "Use the names of the given tables and views.", False)
+
+
+def _check_parsed(spark: SparkSession, parsed) -> None:
+    for kind, _, node in _walk(parsed):
+        if kind in REFUSED_NODES:
+            _refuse_code()
+        if kind == "UnresolvedFunction" and str(list(_each(node.nameParts()))[-1]).lower() in REFLECTION_NAMES:
+            _refuse_code()
+        if kind in NAME_NODES:
+            parts = [str(p) for p in _each(node.multipartIdentifier())]
+            if len(parts) > 1 and not spark.catalog.tableExists(".".join("`" + p.replace("`", "``") + "`" for p in parts)):
+                _refuse_source(".".join(parts))
+            options = node.options().keySet().toArray() if kind == "UnresolvedRelation" else []
+            if any(str(k).lower() in PATH_OPTIONS for k in options):
+                _refuse_source("A path option")
+
+
+def _check_analysed(analysed) -> None:
+    for kind, ancestors, node in _walk(analysed, stop={"View"}):
+        if kind in REFUSED_NODES:
+            _refuse_code()
+        if kind == "View" or "LogicalPlan" not in ancestors or list(_each(node.children())) or "RunnableCommand" in ancestors or kind in OWN_LEAVES:
+            continue
+        if kind == "LogicalRelation" and node.catalogTable().isDefined():
+            continue
+        if kind == "DataSourceV2Relation" and node.catalog().isDefined() and node.identifier().isDefined():
+            continue
+        if kind == "HiveTableRelation" or "Command" in kind or kind.startswith(("Show", "Describe")):
+            continue
+        _refuse_source(f"A {kind} outside the catalog")
+
+
 def check_plan(spark: SparkSession, stmt: str) -> None:
-    """Raise :class:`RefusedStatement` if the parsed plan reflects, transforms or reads a path."""
+    """Raise :class:`RefusedStatement` if the statement's plan reflects, transforms or reads what is not registered.
+
+    A statement that does not parse or cannot be analysed passes: ``spark.sql`` raises
+    the same error before it reads anything.
+    """
+    try:
+        state = spark._jsparkSession.sessionState()
+    except Exception as exc:
+        raise RefusedStatement("Statements cannot be checked on this session.", "Use a classic Spark session.", False) from exc
     try:
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt)
+        parsed = state.sqlParser().parsePlan(stmt)
     except Exception:
-        return      # spark.sql will raise the parser's own error
-    for kind, node in _walk(parsed):
-        name = []
-        if kind == "UnresolvedFunction":
-            name = [str(p).lower() for p in _each(node.nameParts())]
-        if kind in REFUSED_NODES or kind == "ScriptInputOutputSchema" or (name and name[-1] in REFLECTION_NAMES):
-            raise RefusedStatement("Reflection and script transforms are not allowed.", "Use built-in SQL functions only.", False)
-        if kind == "UnresolvedRelation":
-            parts = [str(p) for p in _each(node.multipartIdentifier())]
-            if len(parts) == 2 and parts[0].lower() in FILE_FORMATS:
-                raise RefusedStatement("File paths cannot be read as tables.", "Use the names of the given tables.", False)
+        return
+    _check_parsed(spark, parsed)
+    plan = parsed
+    while _inner(plan) is not None:
+        plan = _inner(plan)     # analysing EXPLAIN would leave its statement as it is
+    try:
+        analysed = state.analyzer().execute(plan)
+    except Exception:
+        return
+    _check_analysed(analysed)
 
 
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:

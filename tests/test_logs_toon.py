@@ -88,3 +88,80 @@ def test_entry_by_id_refuses_what_is_no_entry(spark):
     for bad in (0, 2, 3, 4):
         with pytest.raises(ValueError):
             entry_by_id(parsed, bad, 3)
+
+
+def test_lists_are_valid_entries(spark):
+    lines = [(1, "[]"), (2, '["a", {"message": "inner"}]'), (3, "[1,"), (4, "{}"), (5, "3"), (6, '"text"'), (7, "null")]
+    got = {r.id: tuple(r) for r in parse_log(spark.createDataFrame(lines, "id long, line string"), "id", "line").collect()}
+    empty = (True, "", "", "", "", None, None)
+    assert {i for i, r in got.items() if r[1]} == {1, 2, 4} and all(got[i][1:] == empty for i in (1, 2, 4))
+    assert got[3][1:] == (False,) + (None,) * 6
+
+
+def test_line_ids_of_files_in_many_splits(spark, tmp_path):
+    """Ids are line numbers, whatever the splits: lines longer than a split, empty lines, empty files."""
+    import random
+
+    from tableguard.sources.logs import read_json_log, read_log_lines
+
+    rng = random.Random(7)
+    files = {"a-1.log": [], "a-2.log": ["x" * 5000, "", "", "last"]}
+    files["b.log"] = ["".join(rng.choice("abé ") for _ in range(rng.choice([0, 3, 40, 900]))) for _ in range(700)]
+    for name, lines in files.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines), encoding="utf-8")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_log_lines(spark, str(tmp_path), with_ids=True)
+        assert rows.rdd.getNumPartitions() > 20
+        got = sorted((r.id, r.line) for r in rows.collect())
+        assert got == [(i + 1, x) for i, x in enumerate(files["a-2.log"] + files["b.log"])]
+        each = read_log_lines(spark, str(tmp_path), with_ids=True, per_file=True).where("file_path like '%b.log'")
+        assert sorted((r.id, r.line) for r in each.collect()) == [(i + 1, x) for i, x in enumerate(files["b.log"])]
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "c.log").write_text('{"message":"first"}\n\n{broken\n["list"]\n' + '{"message":"m"}\n' * 400)
+        parsed = {r.id: r for r in read_json_log(spark, str(tmp_path / "one")).collect()}
+        assert set(parsed) == {1, *range(3, 405)} and parsed[1].message == "first" and not parsed[3].valid and parsed[4].valid
+        assert "PythonRDD" not in rows._jdf.queryExecution().toString() and "RDDScan" not in rows._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_newest_entries_of_a_growing_log(spark, tmp_path):
+    """Equal to the batch operator after several micro-batches, a restart with late lines, and a batch run again."""
+    import shutil
+
+    from tableguard.operators.logs import latest_entries
+    from tableguard.streaming.logs import read_latest, write_latest
+    from tableguard.streaming.redact import parquet_stream
+
+    def lines(lo, hi):
+        body = F.when(F.col("id") % 5 == 0, "{broken").when(F.col("id") % 7 == 0, "").otherwise(
+            F.concat(F.lit('{"message":"m'), F.col("id").cast("string"), F.lit('","context":{"a":null}}')))
+        return spark.range(lo, hi).select("id", body.alias("line"))
+
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    schema = lines(0, 1)
+
+    def run():
+        parsed = parse_log(parquet_stream(spark, src, schema, max_files_per_trigger=1), "id", "line")
+        write_latest(parsed, out, ckpt, limit=12, buckets=3)
+        return [tuple(r) for r in read_latest(spark, out, parsed, 12).collect()]
+
+    def batch():
+        return [tuple(r) for r in latest_entries(parse_log(spark.read.parquet(src), "id", "line"), 12).collect()]
+
+    for lo, hi in ((100, 180), (180, 200), (0, 100)):       # the last ones are older
+        lines(lo, hi).coalesce(1).write.mode("append").parquet(src)
+    first = run()
+    assert first == batch() and len(first) == 12
+    before = shutil.copytree(tmp_path / "ckpt", tmp_path / "before")
+    lines(200, 230).coalesce(1).write.mode("append").parquet(src)
+    second = run()
+    assert second == batch() != first
+    shutil.copytree(before, tmp_path / "ckpt2")             # as after a crash before the batch was committed
+    ckpt = str(tmp_path / "ckpt2")
+    assert run() == second == batch()
+    assert run() == second                                  # nothing new

@@ -94,3 +94,114 @@ def test_lookup_levels(spark):
     empty = frames["users"].limit(0)
     assert tuple(key_check(empty, ["id"]).first()) == (0, 0, 0, True, True)
     assert check_rows(empty, {"c": "id > 0"}).first().violations == 0
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def _strings(rng, n):
+    out = set()
+    while len(out) < n:
+        out.add("".join(rng.choice("abcd0") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 7, 11, 16]))))
+    return sorted(out)
+
+
+def test_candidates_hold_every_near_pair(spark):
+    """All pairs within d edits come from the gram index, none twice, for short and long strings."""
+    import random
+
+    from tableguard.operators.names import gram_index, near_candidates
+
+    rng = random.Random(1)
+    names = _strings(rng, 250)
+    targets = sorted({"".join(c for c in s if rng.random() > .1) + rng.choice(["", "a", "0b"]) for s in names[::2]})
+    ni, counts = gram_index(spark.createDataFrame([(s,) for s in names], "s string"))
+    ti, _ = gram_index(spark.createDataFrame([(s,) for s in targets], "s string"), counts)
+    for d in (1, 2, 3):
+        got = [(r.t, r.s) for r in near_candidates(ti, ni, d).collect()]
+        near = {(t, s) for t in targets for s in names if _distance(t, s) <= d}
+        long = [p for p in got if max(map(len, p)) > 3 * d - 2]
+        assert near <= set(got) and len(long) == len(set(long))
+
+
+def test_near_joins_equal_all_pairs(spark):
+    """Every customer and part name as a target, and mistyped ones; copies of names, blank targets."""
+    import random
+
+    from tableguard.operators.names import near_names_join
+
+    sf = "/root/testdata/sf0.001"
+    names = [(f"[sales].[{r.c_name}]", "procedure") for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_name").collect()]
+    names += [(r.p_name.replace(" ", "_"), "table") for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").collect()]
+    names += names[:3] + [("main.x", "view"), ("x", "table"), ("", "table")]
+    rng = random.Random(2)
+    targets = sorted({n for n, _ in names})
+    for n in targets[::5]:
+        k = rng.randrange(len(n) + 1)
+        targets.append(n[:k] + rng.choice("x7_") + n[k + rng.randint(0, 2):])
+    targets = sorted(set(targets))
+    schema = "name string, type string"
+    got = {}
+    df = spark.createDataFrame(names, schema)
+    for r in near_names_join(df, "name", "type", spark.createDataFrame([(t,) for t in targets], "t string"), "t", 3, 2).collect():
+        got.setdefault(r.target, []).append((r.rank, r.score, r.type, r.name))
+    normal = {r.v: tuple(r.n) for r in spark.createDataFrame([(v,) for v in {*targets, *(n for n, _ in names)}], "v string").select(
+        "v", normalize_name(F.col("v")).alias("n")).collect()}
+    from collections import Counter
+
+    copies = Counter(names)
+    for t in rng.sample(targets, 60) + ["main.x", "x", ""]:
+        scored = []
+        for (name, kind), n in copies.items():
+            d = min(_distance(a, b) for a, b in zip(normal[t], normal[name]) if abs(len(a) - len(b)) <= 2) if any(
+                abs(len(a) - len(b)) <= 2 for a, b in zip(normal[t], normal[name])) else 9
+            scored += [(d, kind, name)] * n if d <= 2 else []
+        want = [(i + 1, *x) for i, x in enumerate(sorted(scored)[:3])]
+        assert sorted(got.get(t, [])) == want, t
+
+
+def test_report_for_far_and_near_filters(spark, monkeypatch):
+    """Filters far from all names get their exact nearest names from the bounded scan, in blocks."""
+    import random
+
+    from tableguard.operators import names as module
+
+    monkeypatch.setattr(module, "SCAN_BLOCK", 7)
+    monkeypatch.setattr(module, "SCAN_SAMPLE", 5)
+    rng = random.Random(3)
+    names = [(s, rng.choice(["table", "view"])) for s in _strings(rng, 120)] + [("dbo.abc", "table"), ("dbo.abc", "table")]
+    flts = ["zzzzzzzzzzzzzzz", "q", "dbo.zzz", "abcd0abcd0abcd0abcd0abcd0", "é"] + [s + "x" for s in _strings(rng, 30)]
+    rep = module.no_match_report(spark.createDataFrame(names, "name string, type string"), "name", "type",
+                                 spark.createDataFrame([(f,) for f in flts] * 2, "f string"), "f", 4)
+    got = {}
+    for r in rep.collect():
+        got.setdefault(r.filter, []).append((r.rank, r.type, r.name))
+
+    def parts(n):
+        return (n, n.split(".")[-1])
+
+    for f in flts:
+        if f in got:
+            scored = sorted((min(_distance(a, b) for a, b in zip(parts(f), parts(n))), t, n) for n, t in names)
+            assert sorted(got[f]) == [(i + 1, t, n) for i, (_, t, n) in enumerate(scored[:4])], f
+    exact = {p for n, _ in names for p in parts(n)}
+    assert set(got) == {f for f in flts if not set(parts(f)) & exact}
+
+
+def test_filters_meet_names_on_their_rarest_gram(spark):
+    """Filters that begin alike do not meet all names that begin so."""
+    from tableguard.operators.names import rarest_keys
+
+    names = spark.range(500).select(F.struct(F.format_string("customer#%05d", "id").alias("canonical")).alias("n"))
+    flts = spark.createDataFrame([(0, "customer#00499"), (1, "customer#0"), (2, "cu"), (3, "zebra#1")], "__fid long, f string")
+    keys = {r["__fid"]: r["__k"].g for r in rarest_keys(names, F.col("n.canonical"), flts, F.col("f"), "contains").collect()}
+    held = {k: names.where(F.col("n.canonical").contains(g)).count() for k, g in keys.items()}
+    assert held[0] <= 20 and held[1] == 500 and keys[2] == "cu" and held[3] == 0
+    placed = {r["__fid"]: (r["__k"].g, r["__k"].pos) for r in rarest_keys(names, F.col("n.canonical"), flts, F.col("f"), "prefix").collect()}
+    assert placed[0][1] > 9 and placed[2] == ("cu", 1)

@@ -187,3 +187,66 @@ def test_windowed_values_run_on_to_the_next_blank(spark):
     df = spark.createDataFrame([(1, text)], "id long, text string")
     rows = model_spans(df, "id", "text", lambda: PatternPredictor({"secret_key": "k+"}), ["secret_key"], "runs", max_len=500).collect()
     assert min(r.start for r in rows) == 150 and max(r.end for r in rows) == 1050
+
+
+def _plain_resolve(spans):
+    """Best first; a span that touches a kept one goes."""
+    kept = []
+    for s in sorted((s for s in spans if s[0] < s[1]), key=lambda s: (-s[3], s[0] - s[1], s[0], s[2])):
+        if all(k[0] >= s[1] or s[0] >= k[1] for k in kept):
+            kept.append(s)
+    return kept
+
+
+def test_many_overlaps_resolve_as_few(spark):
+    """Random spans of several scores and lengths, above and below the bound for comparing all."""
+    import random
+
+    rng = random.Random(11)
+    cases = []
+    for n in (0, 1, 31, 32, 33, 80, 300):
+        for width in (30, 400, 5000):
+            spans = []
+            for k in range(n):
+                a = rng.randint(0, 10 * width)
+                spans.append((a, a + rng.choice([0, 1, 2, 5, 9, 60]), rng.choice(["email", "url", "date"]), rng.choice([0.5, 0.9, 0.95]), str(k)))
+            cases.append(spans)
+    schema = "i int, spans array<struct<start:int,end:int,label:string,score:double,value:string>>"
+    df = spark.createDataFrame(list(enumerate(cases)), schema).repartition(4)
+    for r in df.select("i", resolve_overlaps(F.col("spans")).alias("k")).collect():
+        got, want = [tuple(s)[:4] for s in r.k], [s[:4] for s in _plain_resolve(cases[r.i])]
+        assert got == want, r.i
+
+
+def test_pieces_of_texts_with_many_spans(spark):
+    import random
+
+    rng = random.Random(12)
+    text = "".join(rng.choice("abé漢\U0001F600 \n") for _ in range(20_000))
+    cuts = sorted(rng.sample(range(20_001), 400))
+    spans = [(a, b, "email", 0.9, "x") for a, b in zip(cuts[::2], cuts[1::2])] + [(0, 0, "url", 0.1, "")] * 0
+    want, at = "", 0
+    for a, b, *_ in spans:
+        want += text[at:a] + "[REDACTED_email]"
+        at = b
+    schema = "t string, spans array<struct<start:int,end:int,label:string,score:double,value:string>>"
+    df = spark.createDataFrame([(text, spans)], schema)
+    assert df.select(apply_spans(F.col("t"), F.col("spans")).alias("o")).first().o == want + text[at:]
+
+
+def test_many_matches_in_one_cell_take_linear_time(spark):
+    """200,000 matches in one cell: about ten times the time of 20,000, and all of them found and hidden."""
+    import time
+
+    def run(n):
+        df = spark.range(1).select(F.col("id"), F.concat(F.lit("é "), F.repeat(F.lit("a.b@c.org x "), n)).alias("text"))
+        begun = time.time()
+        out = redact_columns(df, labels=["email"]).select(F.length("text").alias("n"), F.substr("text", F.lit(1), F.lit(40)).alias("t")).first()
+        assert out.n == 2 + n * len("[REDACTED_email] x ") and out.t.startswith("é [REDACTED_email] x [REDACTED_email]")
+        row = detect_spans(df, "id", "text", ["email"]).agg(F.count("*").alias("n"), F.max("start").alias("s"), F.sum("end").alias("e")).first()
+        assert row.n == n and row.s == 2 + 12 * (n - 1) and row.e == sum(2 + 12 * k + 9 for k in range(n))
+        return time.time() - begun
+
+    run(2_000)
+    small, large = run(20_000), run(200_000)
+    assert large < 25 * small + 2, (small, large)

@@ -205,6 +205,46 @@ def test_plans_that_reflect_or_read_paths_are_refused(spark, sql):
         guarded_sql(spark, sql)
 
 
+NATION = "/root/testdata/sf0.001/nation.parquet"
+
+
+@pytest.mark.parametrize("sql", [
+    f"SELECT * FROM `org.apache.spark.sql.parquet`.`{NATION}` LIMIT 1",
+    f"SELECT * FROM `org.apache.spark.sql.execution.datasources.parquet.ParquetFileFormat`.`{NATION}` LIMIT 1",
+    f"SELECT * FROM `org.apache.spark.sql.execution.datasources.v2.parquet.ParquetDataSourceV2`.`{NATION}` LIMIT 1",
+    f"EXPLAIN SELECT * FROM parquet.`{NATION}` LIMIT 1", f"EXPLAIN EXTENDED SELECT * FROM parquet.`{NATION}` LIMIT 1",
+    "DESCRIBE QUERY SELECT reflect('java.lang.Math', 'random')", "EXPLAIN SELECT reflect('java.lang.Math', 'random') LIMIT 1",
+    f"DESCRIBE QUERY SELECT * FROM parquet.`{NATION}`", f"SELECT * FROM IDENTIFIER('parquet.`{NATION}`') LIMIT 1",
+    "SELECT IDENTIFIER('reflect')('java.lang.Math', 'random') LIMIT 1",
+    f"WITH q AS (SELECT * FROM `org.apache.spark.sql.parquet`.`{NATION}`) SELECT * FROM q LIMIT 1",
+    f"SELECT 1 WHERE 1 IN (SELECT n_nationkey FROM `org.apache.spark.sql.parquet`.`{NATION}`)",
+    f"SELECT (SELECT max(n_nationkey) FROM PARQUET.`{NATION}`) LIMIT 1",
+    f"SELECT id FROM range(1) UNION ALL SELECT n_nationkey FROM Orc.`{NATION}` LIMIT 1", f"TABLE parquet.`{NATION}`",
+    f"SELECT * FROM guard_view WITH (path = '{NATION}') LIMIT 1", f"DESCRIBE TABLE parquet.`{NATION}`",
+])
+def test_sources_outside_the_catalog_are_refused(spark, sql):
+    spark.range(2).createOrReplaceTempView("guard_view")
+    with pytest.raises(RefusedStatement):
+        guarded_sql(spark, sql)
+
+
+@pytest.mark.parametrize("sql, rows", [
+    ("SELECT count(*) AS n FROM guard_files", 1), ("SELECT * FROM guard_files WHERE n_nationkey < 3", 3), ("SELECT * FROM default.guard_table LIMIT 2", 2),
+    ("SELECT * FROM spark_catalog.default.guard_table LIMIT 2", 2), ("WITH q AS (SELECT * FROM guard_files) SELECT * FROM q LIMIT 4", 4),
+    ("SELECT * FROM guard_nested LIMIT 2", 2), ("EXPLAIN SELECT * FROM guard_files LIMIT 1", 1), ("DESCRIBE QUERY SELECT n_name FROM guard_files", 1),
+    ("DESCRIBE TABLE guard_table", 3), ("SHOW TABLES", None), ("SHOW COLUMNS FROM default.guard_table", 3), ("VALUES (1), (2)", 2),
+    ("SELECT 1 WHERE EXISTS (SELECT 1 FROM default.guard_table)", 1), ("TABLE guard_files", 25),
+    ("SELECT * FROM (SELECT explode(array(1, 2)) AS x) LIMIT 5", 2),
+])
+def test_registered_sources_pass(spark, sql, rows):
+    spark.read.parquet(NATION).createOrReplaceTempView("guard_files")
+    spark.sql("CREATE OR REPLACE TEMP VIEW guard_nested AS SELECT * FROM guard_files WHERE n_nationkey > 1")
+    if not spark.catalog.tableExists("default.guard_table"):
+        spark.sql(f"CREATE TABLE default.guard_table USING parquet LOCATION '{NATION}'")
+    got = guarded_sql(spark, sql).collect()
+    assert rows is None or len(got) == rows
+
+
 def test_plain_queries_pass_the_plan_check(spark):
     before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     got = guarded_sql(spark, "SELECT x.id, (SELECT max(id) FROM range(4)) AS m FROM range(3) x WHERE x.id IN (SELECT id FROM range(2))").collect()
