@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -20,7 +19,7 @@ from tableguard.functions.names import (
     part_matches,
 )
 from tableguard.plans.joins import checked_broadcast
-from tableguard.session import scratch_path
+from tableguard.session import written as _written
 
 BLANKS = " \t\n\r\x00\x0b"
 GRAM = 3                # characters of an index gram
@@ -34,13 +33,6 @@ def _filter_struct(flt: str):
     return normalize_name(F.lit(flt))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared scratch folder and read back."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def match_names(df: DataFrame, col: str, flt: str, mode: str = "contains") -> DataFrame:
     """Rows whose name matches one filter; a blank filter matches everything."""
     mode = normalize_mode(mode)

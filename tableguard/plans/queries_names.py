@@ -66,18 +66,23 @@ NAMES_SQL = ("(SELECT n_name AS name, 'table' AS type FROM nation UNION ALL "
 
 
 def filters_df(spark, sf_dir) -> DataFrame:
-    """``(filter)``: lookups users would type, derived from ``nation`` / ``region``."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    """``(filter)``: lookups users would type, right and mistyped, more with every supplier."""
+    nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    number = F.substring("s_name", 10, 9)
     return reduce(DataFrame.unionByName, [
         nation.select(F.lower("n_name").alias("filter")),
         nation.select(F.concat(F.lower("n_name"), F.lit("x")).alias("filter")),
         nation.select(F.concat(F.lit("`main`."), F.lower("n_name"), F.lit("zz")).alias("filter")),
         region.select(F.lit("  ").alias("filter")),
+        supplier.select(F.concat(F.lit("Customer#"), number).alias("filter")),
+        supplier.select(F.concat(F.lit("[sales].Custmer#"), number, F.lit("x")).alias("filter")),
     ])
 
 
 FILTERS_SQL = ("(SELECT lower(n_name) AS filter FROM nation UNION ALL SELECT lower(n_name) || 'x' FROM nation "
-               "UNION ALL SELECT '`main`.' || lower(n_name) || 'zz' FROM nation UNION ALL SELECT '  ' FROM region)")
+               "UNION ALL SELECT '`main`.' || lower(n_name) || 'zz' FROM nation UNION ALL SELECT '  ' FROM region "
+               "UNION ALL SELECT 'Customer#' || substr(s_name, 10, 9) FROM supplier "
+               "UNION ALL SELECT '[sales].Custmer#' || substr(s_name, 10, 9) || 'x' FROM supplier)")
 
 
 def _normed(src: str, col: str, extra: str = "*") -> str:
@@ -123,18 +128,19 @@ _MANY = {
     "match_many_exact": ("exact", FILTERS_SQL, "n.{p} = f.{p}"),
     "match_many_glob": ("glob", "(SELECT lower(n_name) || '*' AS filter FROM nation UNION ALL SELECT '*_' || n_nationkey || '?' FROM nation "
                                 "UNION ALL SELECT '*#00000?[!0-4]' || n_nationkey % 10 || '*' FROM nation WHERE n_nationkey < 3 "
-                                "UNION ALL SELECT '  ' FROM region)", "n.{p} GLOB f.{p}"),
+                                "UNION ALL SELECT '  ' FROM region UNION ALL SELECT '*er#' || substr(s_name, 10, 8) || '[0-4]' FROM supplier)", "n.{p} GLOB f.{p}"),
 }
 
 
 def globs_df(spark, sf_dir) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     key = F.col("n_nationkey")
     return reduce(DataFrame.unionByName, [
         nation.select(F.concat(F.lower("n_name"), F.lit("*")).alias("filter")),
         nation.select(F.concat(F.lit("*_"), key.cast("string"), F.lit("?")).alias("filter")),
         nation.where(key < 3).select(F.concat(F.lit("*#00000?[!0-4]"), (key % 10).cast("string"), F.lit("*")).alias("filter")),
         region.select(F.lit("  ").alias("filter")),
+        supplier.select(F.concat(F.lit("*er#"), F.substring("s_name", 10, 8), F.lit("[0-4]")).alias("filter")),
     ])
 
 

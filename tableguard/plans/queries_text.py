@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableguard.functions.pii_patterns import DETECTORS
 from tableguard.operators.chunks import COL_SEP, KV_SEP, LOOK_BACK, ROW_SEP, chunk_roundtrip, chunk_text, redact_long_text
-from tableguard.operators.model import PatternPredictor, model_spans
+from tableguard.operators.model import DetectorPredictor, PatternPredictor, model_row_spans, model_spans
 from tableguard.plans.oracle import duck_redact_ctes, duck_spans, q
 from tableguard.plans.registry import dealt_table, register, table
 from tableguard.session import scratch_path
@@ -72,11 +72,25 @@ def email_predictor():
     return PatternPredictor({"email": pattern}, 0.9)
 
 
-@register("model_spans", lambda: duck_spans("documents", "doc_id", "text", ["email"]))
+PATTERN_LABELS = sorted({d.label for d in DETECTORS})
+
+
+@register("model_spans", lambda: duck_spans("documents", "doc_id", "text", PATTERN_LABELS))
 def q_model_spans(spark, sf_dir):
+    """All labels that have a detector, found by a predictor in windows of the documents."""
     # the model sees at most 1800 characters at a time, as a 512-token model needs
-    return model_spans(dealt_table(spark, sf_dir, "documents"), "doc_id", "text", email_predictor, ["email"],
-                       "email-pattern-1", 256, max_len=1800)
+    return model_spans(dealt_table(spark, sf_dir, "documents"), "doc_id", "text", DetectorPredictor, PATTERN_LABELS,
+                       "detectors-1", 256, max_len=1800)
+
+
+_TALK_ID = "conv_id * 100000 + turn"
+
+
+@register("model_row_spans", lambda: duck_spans(f"(SELECT {_TALK_ID} AS row_id, text FROM conversations)", "row_id", "text", PATTERN_LABELS))
+def q_model_row_spans(spark, sf_dir):
+    """The same labels in the turns of all conversations, several turns to a model text."""
+    rows = table(spark, sf_dir, "conversations").select(F.expr(_TALK_ID).alias("row_id"), "conv_id", "turn", "text")
+    return model_row_spans(rows, "row_id", "text", ["conv_id", "turn"], DetectorPredictor, PATTERN_LABELS, "detectors-1", 256)
 
 
 def _stream_sql() -> str:

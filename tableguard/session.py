@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -73,6 +74,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def written(df, name: str):
+    """``df`` written once to the shared scratch folder and read back: a fixed table whose readers do not compute it again."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cluster_settings(total_cores: int, input_bytes: int, target_partition_bytes: int = 128 << 20) -> dict:
     """Settings for a large cluster run, sized from the cores and the input.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,22 +56,60 @@ def source_flags(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "source string, pii_enabled boolean")
 
 
+_POINTER = "number bigint, format string, generations array<string>"
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, str, list[str]]:
+    """(number, format, generations) of the table's last whole write; number 0 if there is none."""
+    try:
+        rows = spark.read.schema(_POINTER).parquet(f"{path}/current")
+        last = rows.orderBy(F.col("number").desc()).first()
+    except AnalysisException:       # no such folder yet
+        last = None
+    return (last["number"], last["format"], list(last["generations"])) if last else (0, "parquet", [])
+
+
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """Write ``df`` as a new generation of the table at ``path``, then point to it.
+
+    The rows go to a folder of their own; only when that write has committed is a row
+    appended to the table's pointer.  A failed write thus leaves the old rows as they
+    were, readers of the old generation go on undisturbed, and a frame may be computed
+    from the very table it replaces.  ``append`` adds the generation to those before it.
+    Older generations stay in ``path/generations`` until the user removes them.
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"unknown mode {mode!r}; use overwrite or append")
+    spark = df.sparkSession
+    number, before_fmt, before = _current(spark, path)
+    if mode == "append" and before and before_fmt != fmt:
+        raise ValueError(f"cannot append {fmt} to {before_fmt}")
+    generation = uuid.uuid4().hex
+    df.write.format(fmt).save(f"{path}/generations/{generation}")
+    kept = [*(before if mode == "append" else []), generation]
+    spark.createDataFrame([(number + 1, fmt, kept)], _POINTER).coalesce(1).write.mode("append").parquet(f"{path}/current")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the table's last whole write."""
+    number, fmt, generations = _current(spark, path)
+    if not number:
+        raise ValueError(f"no table at {path}")
+    return spark.read.format(fmt).load([f"{path}/generations/{g}" for g in generations])
+
+
 def reload_tables(frames: dict[str, DataFrame], base_path: str, mode: str = "overwrite",
                   fmt: str = "parquet") -> DataFrame:
     """Write every frame to ``<base_path>/<table>`` (replacing what was there),
     read it back and report ``(table, rows)``.
 
-    A bulk, parallel write per table; the written tables also cut lineage for
-    later jobs that read them.
+    A bulk, parallel write per table (:func:`write_table`); the written tables also cut
+    lineage for later jobs that read them.
     """
     spark = next(iter(frames.values())).sparkSession
     counts = []
     for name, df in frames.items():
         path = f"{base_path.rstrip('/')}/{name}"
-        df.write.mode(mode).format(fmt).save(path)
-        counts.append(spark.read.format(fmt).load(path)
-                      .agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows"))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+        write_table(df, path, mode, fmt)
+        counts.append(read_table(spark, path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows"))
+    return reduce(DataFrame.unionByName, counts)
