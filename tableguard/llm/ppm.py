@@ -8,19 +8,23 @@ symbols seen in a context, T of them different, an escape has probability T / (N
 Where nothing is left to escape to, no escape is reserved, so the probabilities of all
 symbols sum to one in every context.  Every text ends with an end symbol.
 
-Three ways to use it
-* ``train`` and ``score_documents``: the trie of two-byte contexts, pretrained on all
-  given texts.  Counts grow with the input; the model has at most
-  ``SYMBOLS ** 3`` entries (17 million), which bounds what is broadcast.  Since a
-  pretrained trie does not change while scoring, the probability of every symbol in
-  every context, with escapes and exclusions, is worked out once per worker.
-* ``deep_scores``: the pretrained trie with contexts of ``depth`` bytes (``DEPTH`` in
-  production, 6 at most), in written tables that grow with the corpus.  Documents are
-  dealt into blocks of about ``BLOCK_BYTES``; a block's distinct runs meet their
-  probabilities by shuffle, and then the block's texts.  Nothing of it is broadcast.
+Two ways to use it
+* ``score_documents``: the trie with contexts of ``depth`` bytes (``DEPTH`` in production,
+  6 at most), pretrained on all training texts; its tables grow with the corpus.
 * ``adaptive_bits``: a trie of any depth that starts empty for every document and
   learns as it reads; the code length tells how much a text repeats itself.
 
+How the pretrained trie runs on Spark
+* Documents are dealt into blocks of about ``BLOCK_BYTES`` (written once).  A block's
+  distinct runs of ``depth + 1`` symbols, with their training counts, are cut into parts
+  by the last two bytes of the context and travel as one compressed row per (block, part).
+* All contexts of two and more bytes are complete inside their part, so a part works out
+  every level of its runs from one shuffle, with escapes and exclusions, in numpy.  The
+  contexts of one and no byte span parts; they are one table of at most ``SYMBOLS ** 2``
+  pair counts, which every task gets.
+* The probabilities go back to their blocks, a compressed row per (block, part), and meet
+  the block's texts.
+
 ``score_documents`` also gives a unigram word score to compare with (``base_score``).
 Word counts are aggregated over all training texts.  The words above a count that at
 most ``HOT_WORDS`` words reach are broadcast; all others are joined by shuffle.
@@ -31,22 +35,24 @@ Defined results
 * Repeated rows count and come back as often as given; an empty table gives no rows;
   with no training text N and V are 0 and the model is uniform; extra columns are not
   read.
+* A text is never cut: one above ``BLOCK_BYTES`` is a block of its own, and its distinct
+  runs are counted in pieces.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableguard.llm.common import written
+from tableguard.llm.common import shuffle_width, written
 
 SYMBOLS = 257
 END = 256
@@ -54,105 +60,20 @@ HOT_WORDS = 200_000
 _FLUSH_WORDS = 400_000
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
+PARTS_PER_TASK = 2
 _SLICE = 1 << 20
+_MERGE = 4 << 20
 
 
-def _symbols(text: str | None) -> np.ndarray:
-    """Two start symbols, the text's bytes and the end symbol."""
-    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    out = np.full(len(data) + 3, END, np.int32)
-    out[2:-1] = data
-    return out
-
-
-def _grams(symbols: np.ndarray) -> Iterator[np.ndarray]:
-    """Codes of the three-symbol runs, each run once, in pieces."""
-    for at in range(0, len(symbols) - 2, _SLICE):
-        s = symbols[at:at + _SLICE + 2]
-        yield (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-
-# ---------------------------------------------------------------- pretrained trie
-
-def train(texts: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of every three-symbol run of all ``texts``."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            total = np.zeros(SYMBOLS ** 3, np.int64) if total is None else total
-            pending, size = [], 0
-            for text in batch.column(0):
-                for codes in _grams(_symbols(text.as_py())):
-                    pending.append(codes)
-                    size += len(codes)
-                if size >= 4 * _SLICE:
-                    _add(total, pending)
-                    pending, size = [], 0
-            _add(total, pending)
-        if total is not None:
-            used = np.flatnonzero(total)
-            for at in range(0, len(used), 1 << 18):
-                part = used[at:at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
-
-    rows = texts.select(F.col(text_col).cast("string")).mapInArrow(count, "code int, n bigint")
-    grams = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return grams.column("code").to_numpy().astype(np.int32), grams.column("n").to_numpy()
-
-
-def _add(total: np.ndarray, pending: list[np.ndarray]) -> None:
-    if pending:
-        codes, n = np.unique(np.concatenate(pending), return_counts=True)
-        total[codes] += n
-
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
-def probability_table(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of every symbol after every two-symbol context (float32, flat)."""
-    top = np.zeros(SYMBOLS ** 3, np.float64)
-    top[codes] = counts
-    top = top.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    middle = top.sum(axis=0)
-    bottom = middle.sum(axis=0)
-    out = np.empty(top.shape, np.float32)
-    for oldest in range(SYMBOLS):
-        left = np.ones((SYMBOLS, SYMBOLS))  # probability of having escaped so far
-        open_ = np.ones((SYMBOLS, SYMBOLS), bool)  # symbols not ruled out
-        p = np.zeros((SYMBOLS, SYMBOLS))
-        for level in (top[oldest], middle, np.broadcast_to(bottom, (SYMBOLS, SYMBOLS))):
-            here = open_ & (level > 0)
-            n, t = (level * here).sum(axis=1), here.sum(axis=1)
-            open_ &= ~here
-            more = open_.any(axis=1)
-            whole = n + np.where(more, t, 0)
-            share = np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)
-            p += np.where(here, left * level * share[:, None], 0)
-            left = left * np.where(t > 0, np.where(more, t * share, 0), 1)[:, None]
-        p += np.where(open_, left / np.maximum(open_.sum(axis=1), 1)[:, None], 0)
-        out[oldest] = np.log10(np.maximum(p, 1e-300))
-    return out.ravel()
 
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-_TABLES: dict[str, np.ndarray] = {}
 
-
-def _table(model: str, sent) -> np.ndarray:
-    """The table of the broadcast model named ``model``, worked out once per Python worker."""
-    if model not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model] = probability_table(*sent.value)
-    return _TABLES[model]
-
-
-def forget_tables() -> None:
-    """Frees the worker's table, for stages that do not use it."""
-    _TABLES.clear()
-
-
-def log_probability(table: np.ndarray, text: str | None) -> float:
-    return float(sum(table[codes].sum(dtype=np.float64) for codes in _grams(_symbols(text))))
-
-
-# ------------------------------------------------------------------------ deep trie
+# ------------------------------------------------------------------ pretrained trie
 
 def _runs(text: str | None, depth: int) -> Iterator[np.ndarray]:
     """Codes of the runs of ``depth + 1`` symbols, each run once, in pieces."""
@@ -188,92 +109,143 @@ def deal(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     names = rows.columns
     sized = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    return written(sized.mapInArrow(number, T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.LongType()), *rows.schema.fields])), "ppm-dealt")
+    return written(sized.mapInArrow(number, T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.LongType()), *rows.schema.fields])), "ppm-dealt", "zstd")
+
 
+def part_of(codes: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """The part of each run: by the last two symbols of its context, so that a part holds whole contexts."""
+    context = (codes // SYMBOLS) % SYMBOLS ** 2 if depth >= 2 else codes
+    return ((context * 2654435761) >> 11) % parts
 
-def block_runs(dealt: DataFrame, depth: int) -> DataFrame:
-    """(block, g, n): every run of a block, and how often its training texts hold it."""
+
+def block_runs(dealt: DataFrame, depth: int, parts: int) -> DataFrame:
+    """(part, block, runs, counts): the distinct runs of a block that belong to a part, and how often training texts hold them."""
     def merged(kept, pending):
-        parts = list(kept)
+        found = list(kept)
         for learn in (True, False):
             if some := [codes for codes, of in pending if of == learn]:
                 codes, n = np.unique(np.concatenate(some), return_counts=True)
-                parts.append((codes, n * int(learn)))
-        codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return codes, np.bincount(place, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+                found.append((codes, n * int(learn)))
+        codes, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        return codes, np.bincount(place, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
 
     def out(block, codes, n):
-        for at in range(0, len(codes), 1 << 18):
-            part = codes[at:at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part), pa.array(n[at:at + (1 << 18)])], ["block", "g", "n"])
+        part = part_of(codes, depth, parts)
+        order = np.argsort(part, kind="stable")
+        part, codes, n = part[order], codes[order], n[order]
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        rows = [(int(part[i]), _packed(np.diff(codes[i:j], prepend=0)), _packed(n[i:j])) for i, j in zip(cuts, cuts[1:]) if j > i]
+        of, runs, counts = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(runs, pa.binary()), pa.array(counts, pa.binary())],
+                                          ["part", "block", "runs", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_tables()
         block, kept, pending, size = None, [], [], 0
         for batch in batches:
             for of, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if block is not None and of != block:
-                    yield from out(block, *merged(kept, pending))
+                    yield out(block, *merged(kept, pending))
                     kept, pending, size = [], [], 0
                 block = of
                 for codes in _runs(text.as_py(), depth):
                     pending.append((codes, learn))
                     size += len(codes)
-                    if size >= _SLICE:
+                    if size >= _MERGE:
                         kept, pending, size = [merged(kept, pending)], [], 0
         if block is not None:
-            yield from out(block, *merged(kept, pending))
+            yield out(block, *merged(kept, pending))
 
     rows = dealt.select("block", F.coalesce("training", F.lit(False)).alias("training"), "text")
-    return written(rows.mapInArrow(count, "block bigint, g bigint, n bigint"), "ppm-runs")
+    return rows.mapInArrow(count, "part int, block bigint, runs binary, counts binary")
 
 
-def run_probabilities(runs: DataFrame, depth: int) -> DataFrame:
-    """(g, lp): log10 probability of the last symbol of every run after the others.
+def _level(c: np.ndarray, starts: np.ndarray, shorter: tuple) -> tuple:
+    """(c, all, kinds, below) of a level's entries, sorted so that a context's entries begin at ``starts``.
 
-    Whatever follows a context follows its shorter ones too.  So what an escape rules
-    out are the longer context's followers, and three sums per context are enough:
-    counts, followers, and the followers' counts in the next shorter context.  A
-    context has at most ``SYMBOLS`` followers, so no window is larger than that.
+    ``shorter`` has the same of each entry in the next shorter context.  ``below`` is the
+    symbol's probability once all the context's followers are ruled out.  Whatever follows
+    a context follows its shorter ones too, so what an escape rules out there are the
+    longer context's followers.
     """
-    counts = {depth: written(runs.groupBy("g").agg(F.sum("n").alias("c")), "ppm-level")}
-    for k in range(depth - 1, -1, -1):
-        counts[k] = written(counts[k + 1].groupBy((F.col("g") % F.lit(SYMBOLS ** (k + 1))).alias("g")).agg(F.sum("c").alias("c")), "ppm-level")
-    context = Window.partitionBy(F.expr(f"g div {SYMBOLS}"))
-    seen = F.col("c") > 0
-    sums = {"all": F.sum("c").over(context), "kinds": F.sum(seen.cast("long")).over(context)}
-    # ``below``: the symbol's probability once all the context's followers are ruled out
-    here = counts[0].withColumns(sums).withColumn("below", F.try_divide(F.lit(1.0), F.lit(SYMBOLS) - F.col("kinds")))
-    for k in range(1, depth + 1):
-        shorter = here.select(F.col("g").alias("g1"), F.col("c").alias("c1"), F.col("all").alias("all1"), F.col("kinds").alias("kinds1"), F.col("below").alias("below1"))
-        both = counts[k].join(shorter, F.col("g") % F.lit(SYMBOLS ** k) == F.col("g1"))
-        both = both.withColumns(sums | {"out": F.sum(F.when(seen, F.col("c1")).otherwise(0)).over(context)})
-        n, t = F.col("all1") - F.col("out"), F.col("kinds1") - F.col("kinds")
-        found = F.try_divide(F.col("c1"), n + F.when(F.col("kinds1") < SYMBOLS, t).otherwise(0))
-        escaped = F.when(t > 0, F.try_divide(t, n + t)).otherwise(1.0) * F.col("below1")
-        here = both.select("g", "c", "all", "kinds", F.when(F.col("c1") > 0, found).otherwise(escaped).alias("below"))
-    n, t = F.col("all"), F.col("kinds")
-    found = F.try_divide(F.col("c"), n + F.when(t < SYMBOLS, t).otherwise(0))
-    escaped = F.when(t > 0, F.try_divide(t, n + t)).otherwise(1.0) * F.col("below")
-    return here.select("g", F.log10(F.when(seen, found).otherwise(escaped)).alias("lp"))
-
-
-def deep_scores(dealt: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, deep_score): log10 probability of each dealt text with ``depth`` bytes of context."""
+    c1, all1, kinds1, below1 = shorter
+    seen = c > 0
+    size = np.diff(np.append(starts, len(c)))
+    total = [np.repeat(np.add.reduceat(x, starts), size) for x in (c, seen.astype(np.float64), np.where(seen, c1, 0))]
+    n, t = all1 - total[2], kinds1 - total[1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = c1 / (n + np.where(kinds1 < SYMBOLS, t, 0))
+        escaped = np.where(t > 0, t / (n + t), 1.0) * below1
+    return c, total[0], total[1], np.where(c1 > 0, found, escaped)
+
+
+def _log_probabilities(c: np.ndarray, all_: np.ndarray, kinds: np.ndarray, below: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = c / (all_ + np.where(kinds < SYMBOLS, kinds, 0))
+        escaped = np.where(kinds > 0, kinds / (all_ + kinds), 1.0) * below
+        return np.log10(np.where(c > 0, found, escaped))
+
+
+def short_levels(pairs: np.ndarray) -> tuple[tuple, tuple]:
+    """The levels of no and of one byte of context, for every pair of symbols (flat), from the pair counts."""
+    alone = pairs.reshape(SYMBOLS, SYMBOLS).sum(axis=0)
+    kinds = float((alone > 0).sum())
+    below = np.full(SYMBOLS, 1 / (SYMBOLS - kinds) if kinds < SYMBOLS else 0.0)
+    none = (alone, np.full(SYMBOLS, alone.sum()), np.full(SYMBOLS, kinds), below)
+    return none, _level(pairs, np.arange(SYMBOLS) * SYMBOLS, tuple(np.tile(x, SYMBOLS) for x in none))
+
+
+def run_probabilities(codes: np.ndarray, counts: np.ndarray, depth: int, pairs: np.ndarray) -> np.ndarray:
+    """log10 probability of the last symbol of each run (sorted, distinct) after the others."""
+    none, one = short_levels(pairs)
+    if depth < 2:
+        return _log_probabilities(*(x[codes] for x in (none, one)[depth]))
+    levels = [(codes, counts.astype(np.float64), None)]
+    for k in range(depth - 1, 1, -1):
+        longer, c, _ = levels[-1]
+        shorter, place = np.unique(longer % SYMBOLS ** (k + 1), return_inverse=True)
+        levels[-1] = (longer, c, place)
+        levels.append((shorter, np.bincount(place, c, len(shorter)), None))
+    here = None
+    for level, c, place in reversed(levels):
+        shorter = tuple(x[level % SYMBOLS ** 2] for x in one) if here is None else tuple(x[place] for x in here)
+        starts = np.flatnonzero(np.diff(level // SYMBOLS, prepend=-1))
+        here = _level(c, starts, shorter)
+    return _log_probabilities(*here)
+
+
+def part_probabilities(runs: DataFrame, depth: int, pairs: np.ndarray) -> DataFrame:
+    """(block, runs, lp): each row's runs with their probabilities, a part at a time."""
+    sent = runs.sparkSession.sparkContext.broadcast(pairs)  # SYMBOLS ** 2 numbers
+
+    def work_out(rows: pa.Table) -> pa.Table:
+        each = [(np.cumsum(_unpacked(r, np.int64)), _unpacked(n, np.int64)) for r, n in zip(rows.column("runs").to_pylist(), rows.column("counts").to_pylist())]
+        codes, place = np.unique(np.concatenate([r for r, _ in each]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([n for _, n in each]), len(codes))
+        lp = run_probabilities(codes, counts, depth, sent.value)[place]
+        ends = np.cumsum([len(r) for r, _ in each])
+        packed = [_packed(x) for x in np.split(lp, ends[:-1])]
+        return pa.table({"block": rows.column("block"), "runs": rows.column("runs"), "lp": pa.array(packed, pa.binary())})
+
+    return runs.groupBy("part").applyInArrow(work_out, "block bigint, runs binary, lp binary")
+
+
+def model_scores(dealt: DataFrame, pairs: np.ndarray, depth: int = DEPTH) -> DataFrame:
+    """(key, score): log10 probability of each dealt text with ``depth`` bytes of context."""
     if not 0 <= depth <= 6:
         raise ValueError("depth must be from 0 to 6: runs are numbers of 63 bits")
-    runs = block_runs(dealt, depth)
-    known = runs.select("block", "g").join(written(run_probabilities(runs, depth), "ppm-probabilities"), "g")
+    parts = PARTS_PER_TASK * shuffle_width(dealt.sparkSession)
+    known = part_probabilities(block_runs(dealt, depth, parts), depth, pairs)
 
-    def score(texts: pa.Table, probabilities: pa.Table) -> pa.Table:
-        g, lp = probabilities.column("g").to_numpy(), probabilities.column("lp").to_numpy()
-        order = np.argsort(g)
-        g, lp = g[order], lp[order]
-        sums = [float(sum(lp[np.searchsorted(g, codes)].sum() for codes in _runs(t.as_py(), depth))) for t in texts.column("text")]
-        return pa.table({"key": texts.column("key"), "deep_score": pa.array(sums, pa.float64())})
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        codes = np.concatenate([np.cumsum(_unpacked(r, np.int64)) for r in known.column("runs").to_pylist()])
+        lp = np.concatenate([_unpacked(x, np.float64) for x in known.column("lp").to_pylist()])
+        order = np.argsort(codes)
+        codes, lp = codes[order], lp[order]
+        sums = [float(sum(lp[np.searchsorted(codes, c)].sum() for c in _runs(t.as_py(), depth))) for t in texts.column("text")]
+        return pa.table({"key": texts.column("key"), "score": pa.array(sums, pa.float64())})
 
-    return (dealt.select("block", "key", "text").groupBy("block").cogroup(known.select("block", "g", "lp").groupBy("block"))
-            .applyInArrow(score, "key bigint, deep_score double"))
+    return (dealt.select("block", "key", "text").groupBy("block").cogroup(known.groupBy("block"))
+            .applyInArrow(score, "key bigint, score double"))
 
 
 # -------------------------------------------------------------------- adaptive trie
@@ -336,25 +308,45 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), b""]
 
 
-def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c) over all texts; tasks send sums of what they have read."""
+def corpus_counts(texts: DataFrame, text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """((word, c) over all texts as a written table, counts of every pair of neighbouring symbols).
+
+    Tasks send sums of what they have read; one pass gives both.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
+        pairs, pending, size = np.zeros(SYMBOLS ** 2, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
-                sums.update(tokens(text.as_py()))
+                text = text.as_py()
+                for codes in _runs(text, 1):
+                    pending.append(codes)
+                    size += len(codes)
+                if size >= _SLICE:
+                    pairs += np.bincount(np.concatenate(pending), minlength=SYMBOLS ** 2)
+                    pending, size = [], 0
+                sums.update(tokens(text))
                 if len(sums) >= _FLUSH_WORDS:
-                    yield _counted(sums)
+                    yield _counted(-1, sums)
                     sums = Counter()
+        if pending:
+            pairs += np.bincount(np.concatenate(pending), minlength=SYMBOLS ** 2)
         if sums:
-            yield _counted(sums)
+            yield _counted(-1, sums)
+        used = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([b""] * len(used), pa.binary()), pa.array(pairs[used])], ["pair", "word", "n"])
 
-    rows = texts.select(F.col(text_col).cast("string")).mapInArrow(count, "word binary, n bigint")
-    return rows.groupBy("word").agg(F.sum("n").alias("c"))
+    rows = texts.select(F.col(text_col).cast("string")).mapInArrow(count, "pair int, word binary, n bigint")
+    both = written(rows.groupBy("pair", "word").agg(F.sum("n").alias("c")), "ppm-counts")
+    found = both.filter("pair >= 0").select("pair", "c").toArrow()  # at most SYMBOLS ** 2 rows
+    pairs = np.zeros(SYMBOLS ** 2, np.float64)
+    pairs[found.column("pair").to_numpy()] = found.column("c").to_numpy()
+    return both.filter("pair < 0").select("word", "c"), pairs
 
 
-def _counted(sums: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
+def _counted(pair: int, sums: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), pair, np.int32)), pa.array(list(sums.keys()), pa.binary()), pa.array(list(sums.values()), pa.int64())],
+                                      ["pair", "word", "n"])
 
 
 def hot_level(counts: DataFrame, most: int = HOT_WORDS) -> int:
@@ -380,33 +372,31 @@ def hot_level(counts: DataFrame, most: int = HOT_WORDS) -> int:
 # ------------------------------------------------------------------------- scoring
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
-                    hot_words: int = HOT_WORDS, depth: int | None = None) -> DataFrame:
+                    hot_words: int = HOT_WORDS, depth: int = DEPTH) -> DataFrame:
     """One row per input row: id, training, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` says which rows the model and the counts learn from.  ``score`` is by
-    contexts of two bytes; with ``depth`` there is ``deep_score`` too, by so many.
+    contexts of ``depth`` bytes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), training.alias("training"), F.col(text_col).cast("string").alias("text"))
     rows = deal(rows)
-    learned = rows.filter("training").select("text")
-    counts = written(word_counts(learned), "ppm-words")
+    counts, pairs = corpus_counts(rows.filter("training").select("text"))
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     floor = 0.5 * (distinct + 1) + all_tokens
     level = hot_level(counts, hot_words)
     hot = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= level).toLocalIterator()}
-    hot_sent, model_sent = spark.sparkContext.broadcast(hot), spark.sparkContext.broadcast(train(learned))
-    model, kind = uuid.uuid4().hex, rows.schema["id"].dataType.simpleString()
-    names = ["key", "id", "training", "n_tokens", "known", "base", "score", "words", "times"]
-    types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    hot_sent = spark.sparkContext.broadcast(hot)
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["key", "id", "training", "n_tokens", "known", "base", "words", "times"]
+    types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = _table(model, model_sent), hot_sent.value
+        known = hot_sent.value
         for batch in batches:
             out = [[] for _ in names]
             for text in batch.column(3):
-                text = text.as_py()
-                words = Counter(tokens(text))
+                words = Counter(tokens(text.as_py()))
                 n = here = 0
                 base, rare, times = 0.0, [], []
                 for w, k in words.items():
@@ -418,11 +408,11 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                     else:
                         here += k
                         base += k * math.log10((c + 0.5) / floor)
-                for column, value in zip(out, (None, None, None, n, here, base, log_probability(table, text), rare, times)):
+                for column, value in zip(out, (None, None, None, n, here, base, rare, times)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(i) if i < 3 else pa.array(v, t) for i, (v, t) in enumerate(zip(out, types))], names)
 
-    first = written(rows.select("key", "id", "training", "text").mapInArrow(score, f"key bigint, id {kind}, training boolean, n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<bigint>"), "ppm-scores")
+    first = written(rows.select("key", "id", "training", "text").mapInArrow(score, f"key bigint, id {kind}, training boolean, n_tokens bigint, known bigint, base double, words array<binary>, times array<bigint>"), "ppm-scores")
     # the words that were not broadcast meet their counts by shuffle
     rest = first.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     rest = rest.join(counts.filter(F.col("c") < level), "word", "left").groupBy("key").agg(
@@ -430,9 +420,6 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(floor))).alias("more_base"))
     rest = rest.withColumnRenamed("key", "rest_key")
     joined = first.drop("words", "times").join(rest, F.col("key") == F.col("rest_key"), "left")
-    deep = []
-    if depth is not None:
-        joined = joined.join(deep_scores(rows, depth).withColumnRenamed("key", "deep_key"), F.col("key") == F.col("deep_key"))
-        deep = ["deep_score"]
+    joined = joined.join(model_scores(rows, pairs, depth).withColumnRenamed("key", "deep_key"), F.col("key") == F.col("deep_key"))
     return joined.select(F.col("id").alias(id_col), "training", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-                         F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score", *deep)
+                         F.lit(all_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")

@@ -66,10 +66,10 @@ def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of every document by pretrained PPM models (two and ``ppm.DEPTH`` bytes), and a unigram base."""
+    """Log10 probability of every document by a pretrained PPM model (contexts of ``ppm.DEPTH`` bytes), and a unigram base."""
     held_out = crc_mod(F.col("doc_id"), 5) == 1
     rows = ppm.score_documents(_table(spark, sf_dir, "documents"), ~held_out, depth=ppm.DEPTH)
-    return rows.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "deep_score")
+    return rows.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
