@@ -22,10 +22,10 @@ from tableguard.plans.joins import checked_broadcast
 from tableguard.session import written as _written
 
 BLANKS = " \t\n\r\x00\x0b"
-GRAM = 3                # characters of an index gram
-REPORT_ROUNDS = (2, 4)  # distances that the index is asked for before a scan
+GRAM = 3                # characters of a gram that filters and names meet on
+REPORT_DISTANCE = 2     # edits that the report's index covers; filters farther away are scanned for
 SCAN_BLOCK = 2000       # far filters compared in one scan of the names
-SCAN_SAMPLE = 500       # names that give far filters their first bound
+SCAN_SAMPLE = 2000      # names that give far filters their first bound
 FAR = 1 << 20           # more edits than any name needs
 
 
@@ -107,13 +107,15 @@ def match_names_join(names: DataFrame, name_col: str, filters: DataFrame, filter
         hit = {p: part_matches(name[p], flt[p], mode) for p in name}
     if mode != "exact":     # ids are fixed by writing
         f = _written(f.withColumn("__fid", F.monotonically_increasing_id()), "match-filters")
+        keys = [rarest_keys(n, name[p], f, flt[p], mode).select("__fid", F.lit(p).alias("__p"), "__k") for p in name]
+        keys = _written(reduce(DataFrame.unionByName, keys), "match-keys")
+        sizes = sorted(r[0] for r in keys.where("__k IS NOT NULL").select(F.char_length("__k.g")).distinct().collect())  # 1 to GRAM
     parts = []
     for p, found in (("canonical", hit["canonical"]), ("leaf", hit["leaf"] & ~hit["canonical"])):
         if mode == "exact":
             parts.append(n.join(f, (name[p] == flt[p]) & found))
             continue
-        keyed = _written(rarest_keys(n, name[p], f, flt[p], mode), "match-keys")
-        sizes = sorted(r[0] for r in keyed.where("__k IS NOT NULL").select(F.char_length("__k.g")).distinct().collect())  # 1 to GRAM
+        keyed = f.join(keys.where(F.col("__p") == p), "__fid")
         wide = n.withColumn("__nk", F.explode(_name_keys(name[p], mode, sizes)))
         parts.append(wide.join(checked_broadcast(keyed.where("__k IS NOT NULL")), (F.col("__nk") == F.col("__k")) & found))
         if mode == "glob":
@@ -133,97 +135,70 @@ def near_names(df: DataFrame, name_col: str, type_col: str, target: str, k: int
     return scored.orderBy("score", "type", "name").limit(k)
 
 
-def gram_index(strings: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(index, counts) of the distinct strings in column ``s``, as written tables.
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the session shuffles to, for costly work per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    The index has a string's padded grams with their places, the rarest first, by
-    ``counts`` (g, n); these are the strings' own unless given.
-    """
-    pad = [F.lit(c * (GRAM - 1)) for c in "\u0002\u0003"]
-    grams = strings.select("s", F.explode(_grams(F.concat(pad[0], F.col("s"), pad[1]), [GRAM])).alias("x")).select("s", "x.g", "x.pos")
-    if counts is None:
-        counts = _written(grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
-    ranked = grams.join(counts, "g", "left").groupBy("s").agg(F.array_sort(F.collect_list(F.struct(
-        F.coalesce("n", F.lit(0)).alias("n"), "g", "pos"))).alias("grams"))
-    return _written(ranked, "gram-index"), counts
-
-
-def _with_deletions(strings: DataFrame, most: int) -> DataFrame:
-    """(s, v): every string with each that is left when up to ``most`` characters go."""
-    def fewer(v):
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(v), F.lit(1))),
-                          lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
-        return F.when(F.char_length(v) > 0, cut).otherwise(F.array(v))
-
-    out = strings.select("s", F.array("s").alias("all"), F.array("s").alias("last"))
-    for _ in range(most):
-        out = out.select("s", "all", F.array_distinct(F.flatten(F.transform("last", fewer))).alias("last"))
-        out = out.select("s", F.array_union("all", "last").alias("all"), "last")
-    return out.select("s", F.explode("all").alias("v"))
-
-
-def near_candidates(targets: DataFrame, names: DataFrame, distance: int) -> DataFrame:
-    """(t, s) pairs of two gram indexes that may be within ``distance`` edits, each once.
-
-    Strings of G grams within d edits keep at least max(G) - d * ``GRAM`` grams within d
-    places of where they were, so the ``GRAM`` * d + 1 rarest grams of both hold such a
-    pair (prefix filter).  A pair is taken under its first such gram.  Pairs in which
-    both strings are too short for that meet on what is left when up to d characters of
-    each go.
+
+def deletion_index(strings: DataFrame, distance: int) -> DataFrame:
+    """(v, id): the key of every string left when up to ``distance`` characters of ``s`` go, with the key of ``s``.
+
+    Two strings within d edits become one when d characters of each go, so near strings
+    meet on a key and hardly any others do, however much all names look alike.  A string
+    of n characters has about n^d / d! rows.
     """
-    keep, short = GRAM * distance + 1, GRAM * distance - GRAM + 1
-    t = targets.select(F.col("s").alias("t"), F.slice("grams", 1, keep).alias("tg"))
-    n = names.select("s", F.slice("grams", 1, keep).alias("sg"))
-    places = F.sequence(F.col("x.pos") - distance, F.col("x.pos") + distance)
-    t = t.select("t", "tg", F.explode("tg").alias("x")).select("t", "tg", F.col("x.pos").alias("tpos"), F.col("x.g").alias("g"), F.explode(places).alias("pos"))
-    n = n.select("s", "sg", F.explode("sg").alias("y")).select("s", "sg", F.col("y.g").alias("g"), F.col("y.pos").alias("pos"))
-    both = t.join(n, ["g", "pos"])
-
-    def meets(x, others):
-        return F.exists(others, lambda y: (y["g"] == x["g"]) & (F.abs(y["pos"] - x["pos"]) <= distance))
-
-    first_t = F.filter("tg", lambda x: meets(x, F.col("sg")))[0]
-    first_s = F.filter("sg", lambda y: (y["g"] == F.col("g")) & (F.abs(y["pos"] - F.col("tpos")) <= distance))[0]
-    longer = F.greatest(F.char_length("t"), F.char_length("s"))
-    both = both.where((longer > short) & (F.abs(F.char_length("t") - F.char_length("s")) <= distance))
-    both = both.where((first_t["g"] == F.col("g")) & (first_t["pos"] == F.col("tpos")) & (first_s["pos"] == F.col("pos"))).select("t", "s")
-    small = [_with_deletions(x.select("s").where(F.char_length("s") <= short), distance) for x in (targets, names)]
-    meet = small[0].withColumnRenamed("s", "t").join(small[1], "v").select("t", "s").distinct()
-    return both.unionByName(meet)
+    def left(u: Column, start: Column, more: int) -> Column:
+        """Keys of ``u`` and of what is left of it when up to ``more`` characters from place ``start`` on go."""
+        mine = F.array(F.xxhash64(u))
+        if not more:
+            return mine
+        cut = F.transform(F.sequence(start, F.char_length(u)), lambda j: F.struct(
+            F.concat(F.substr(u, F.lit(1), j - 1), F.substr(u, j + 1)).alias("u"), j.alias("j")))
+        rest = F.flatten(F.transform(cut, lambda x: left(x["u"], x["j"], more - 1)))
+        return F.when(F.char_length(u) >= start, F.concat(mine, rest)).otherwise(mine)
+
+    # a short table makes a long one: its few small partitions are dealt out first
+    keys = F.array_distinct(left(F.col("s"), F.lit(1), distance))
+    return _spread(strings).select(F.xxhash64("s").alias("id"), F.explode(keys).alias("v")).select("v", "id")
 
 
 class NearIndex:
-    """Names with one gram index over the distinct strings of both their parts."""
+    """Names with a deletion index over the distinct strings of both their parts, as written tables."""
 
-    def __init__(self, names: DataFrame, name_col: str, type_col: str):
+    def __init__(self, names: DataFrame, name_col: str, type_col: str, distance: int):
         self.names = _written(names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"),
                                            normalize_name(F.col(name_col)).alias("__n")), "near-names")
-        self.index, self.counts = gram_index(self._strings(self.names, "__n"))
+        self.distance = distance
+        self.index = _written(deletion_index(self.strings(self.names, "__n"), distance), "near-index")
 
     @staticmethod
-    def _strings(rows: DataFrame, col: str) -> DataFrame:
+    def strings(rows: DataFrame, col: str) -> DataFrame:
         return rows.select(F.explode(F.array(f"{col}.canonical", f"{col}.leaf")).alias("s")).where("s IS NOT NULL").distinct()
 
-    def target_index(self, targets: DataFrame) -> DataFrame:
-        return gram_index(self._strings(targets, "__f"), self.counts)[0]
+    def candidates(self, targets: DataFrame) -> DataFrame:
+        """(__tk, __sk): keys of target and name strings that meet on a deletion, each pair once."""
+        mine = deletion_index(self.strings(targets, "__f"), self.distance).withColumnRenamed("id", "__tk")
+        return mine.join(self.index.withColumnRenamed("id", "__sk"), "v").select("__tk", "__sk").distinct()
 
-    def pairs(self, targets: DataFrame, distance: int, indexed: DataFrame | None = None) -> DataFrame:
+    def pairs(self, targets: DataFrame) -> DataFrame:
         """(target row, name row, score) for all within ``distance`` edits by canonical name or leaf, once each.
 
         ``targets`` has the normalised target in ``__f``.  A pair near by its canonical name
         comes from the canonical join, one near by its leaf only from the leaf join.
         """
-        indexed = self.target_index(targets) if indexed is None else indexed
-        found = near_candidates(indexed, self.index, distance).withColumn("__d", F.levenshtein("t", "s", distance)).where("__d >= 0")
-        found = _written(found, "near-pairs")
+        distance = self.distance
+        t = self.strings(targets, "__f").select(F.xxhash64("s").alias("__tk"), F.col("s").alias("__t"))
+        n = self.strings(self.names, "__n").select(F.xxhash64("s").alias("__sk"), F.col("s").alias("__s"))
+        found = self.candidates(targets).join(t, "__tk").join(n, "__sk").select("__t", "__s", F.levenshtein("__t", "__s", distance).alias("__d"))
+        found = _written(found.where("__d >= 0"), "near-pairs")
         parts = []
         for p, other in (("canonical", "leaf"), ("leaf", "canonical")):
-            rows = targets.join(found, F.col(f"__f.{p}") == F.col("t")).join(self.names, F.col(f"__n.{p}") == F.col("s"))
+            rows = targets.join(found, F.col(f"__f.{p}") == F.col("__t")).join(self.names, F.col(f"__n.{p}") == F.col("__s"))
             rest = F.levenshtein(F.col(f"__f.{other}"), F.col(f"__n.{other}"), distance)
             if p == "leaf":
                 rows = rows.where(rest < 0)
             score = F.when(rest < 0, F.col("__d")).otherwise(F.least("__d", rest))
-            parts.append(rows.withColumn("score", score).drop("t", "s", "__d"))
+            parts.append(rows.withColumn("score", score).drop("__t", "__s", "__d"))
         return parts[0].unionByName(parts[1])
 
 
@@ -231,13 +206,13 @@ def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: Dat
                     k: int = NEAR_MATCHES, max_distance: int = 2) -> DataFrame:
     """For every target, its k nearest names within ``max_distance`` edits.
 
-    Candidates come from a gram index (:func:`near_candidates`); only pairs that are near
-    enough reach the window per target (small groups: the names near one target).
+    Candidates come from a :func:`deletion_index`; only pairs that are near enough reach
+    the window per target (small groups: the names near one target).
     """
-    index = NearIndex(names, name_col, type_col)
+    index = NearIndex(names, name_col, type_col, max_distance)
     t = _written(targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
                                 F.monotonically_increasing_id().alias("__tid")), "near-targets")
-    scored = index.pairs(t, max_distance).select(
+    scored = index.pairs(t).select(
         "target", "name", "type", F.col("__n.canonical").alias("normalized_name"), "score", "__tid")
     w = Window.partitionBy("__tid").orderBy("score", "type", "name")
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -251,13 +226,14 @@ def _scan_pairs(names: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     distances early.  Targets are taken in blocks, each sent whole to a scan of the names.
     """
     some = F.broadcast(names.orderBy(F.xxhash64("name", "type")).limit(SCAN_SAMPLE).select("name", "type", "__n"))
-    near = targets.join(some).select("__tid", name_distance(F.col("__n"), F.col("__f")).alias("d"))
+    near = _spread(targets).join(some).select("__tid", name_distance(F.col("__n"), F.col("__f")).alias("d"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("__tid").orderBy("d"))).where(F.col("r") <= k)
     bounds = best.groupBy("__tid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("__ub"))
     far = F.greatest(F.char_length("__f.canonical"), F.char_length("__f.leaf")) + FAR
     bounded = _written(targets.join(bounds, "__tid").select("__tid", "__f", F.coalesce("__ub", far).alias("__ub"),
                                                             F.pmod(F.xxhash64("__tid"), F.lit(1 << 16)).alias("__h")), "scan-targets")
     blocks = max(1, -(-bounded.count() // SCAN_BLOCK))
+    names = _spread(names)
     parts = []
     for b in range(blocks):
         block = bounded.where((F.col("__h") % blocks) == b)
@@ -273,13 +249,13 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
     """For every non-blank filter with no exact match: status and its k nearest names.
 
     ``(filter, status, canonical, leaf, names_tried, rank, name, type, normalized_name)``.
-    Filters near to names (mistyped ones) get theirs from a gram index, within the
-    distances of ``REPORT_ROUNDS``: all names within d edits are found, so once a filter
-    has k hits they are its k best.  Filters still short of k are far from the names;
-    they are compared with all of them in bounded blocks (:func:`_scan_pairs`), and each
-    task keeps k names per filter only.
+    Filters near to names (mistyped ones) get theirs from a deletion index: all names
+    within ``REPORT_DISTANCE`` edits are found, so a filter with k hits has its k best.
+    Filters still short of k are farther from the names; they are compared with all of
+    them in bounded blocks (:func:`_scan_pairs`), and each task keeps k names per filter
+    only.
     """
-    index = NearIndex(names, name_col, type_col)
+    index = NearIndex(names, name_col, type_col, REPORT_DISTANCE)
     n = index.names
     f = (filters.where(F.btrim(F.col(filter_col), F.lit(BLANKS)) != F.lit(""))
          .select(F.col(filter_col).alias("filter"), normalize_name(F.col(filter_col)).alias("__f")))
@@ -289,23 +265,18 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
                  .join(nleaf, F.col("__f.leaf") == F.col("__key"), "left_anti")
                  .dropDuplicates(["filter"])
                  .withColumn("__tid", F.monotonically_increasing_id()), "report-filters")
-    indexed = index.target_index(unmatched)
     w = Window.partitionBy("__tid").orderBy("score", "type", "name")
 
     def best(scored: DataFrame) -> DataFrame:
         rows = scored.select("__tid", "name", "type", F.col("__n.canonical").alias("normalized_name"), "score")
         return _written(rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "report-best")
 
-    found, pending = [], unmatched.select("__tid", "__f")
-    for distance in REPORT_ROUNDS:
-        mine = indexed.join(index._strings(pending, "__f"), "s", "left_semi")
-        top = best(index.pairs(pending, distance, mine))
-        done = top.groupBy("__tid").count().where(F.col("count") >= k).select("__tid")
-        found.append(top.join(done, "__tid", "left_semi"))
-        pending = _written(pending.join(done, "__tid", "left_anti"), "report-pending")
-        if pending.isEmpty():
-            break
-    else:
+    wanted = unmatched.select("__tid", "__f")
+    top = best(index.pairs(wanted))
+    done = top.groupBy("__tid").count().where(F.col("count") >= k).select("__tid")
+    found = [top.join(done, "__tid", "left_semi")]
+    pending = _written(wanted.join(done, "__tid", "left_anti"), "report-pending")
+    if not pending.isEmpty():
         found.append(best(_scan_pairs(n, pending, k)))
     report = unmatched.select(
         "__tid", "filter", F.lit("no_exact_match").alias("status"),

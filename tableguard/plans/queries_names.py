@@ -75,14 +75,14 @@ def filters_df(spark, sf_dir) -> DataFrame:
         nation.select(F.concat(F.lit("`main`."), F.lower("n_name"), F.lit("zz")).alias("filter")),
         region.select(F.lit("  ").alias("filter")),
         supplier.select(F.concat(F.lit("Customer#"), number).alias("filter")),
-        supplier.select(F.concat(F.lit("[sales].Custmer#"), number, F.lit("x")).alias("filter")),
+        supplier.select(F.concat(F.lit("[sales].Custmer#"), number).alias("filter")),
     ])
 
 
 FILTERS_SQL = ("(SELECT lower(n_name) AS filter FROM nation UNION ALL SELECT lower(n_name) || 'x' FROM nation "
                "UNION ALL SELECT '`main`.' || lower(n_name) || 'zz' FROM nation UNION ALL SELECT '  ' FROM region "
                "UNION ALL SELECT 'Customer#' || substr(s_name, 10, 9) FROM supplier "
-               "UNION ALL SELECT '[sales].Custmer#' || substr(s_name, 10, 9) || 'x' FROM supplier)")
+               "UNION ALL SELECT '[sales].Custmer#' || substr(s_name, 10, 9) FROM supplier)")
 
 
 def _normed(src: str, col: str, extra: str = "*") -> str:

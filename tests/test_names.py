@@ -112,22 +112,23 @@ def _strings(rng, n):
     return sorted(out)
 
 
-def test_candidates_hold_every_near_pair(spark):
-    """All pairs within d edits come from the gram index, none twice, for short and long strings."""
+def test_index_holds_every_near_pair_and_few_others(spark):
+    """Names that all look alike do not meet all targets: candidates are little more than the near pairs."""
     import random
 
-    from tableguard.operators.names import gram_index, near_candidates
+    from tableguard.operators.names import NearIndex
 
     rng = random.Random(1)
-    names = _strings(rng, 250)
+    names = _strings(rng, 200) + [f"customer#{k:06d}" for k in range(0, 30_000, 150)]
     targets = sorted({"".join(c for c in s if rng.random() > .1) + rng.choice(["", "a", "0b"]) for s in names[::2]})
-    ni, counts = gram_index(spark.createDataFrame([(s,) for s in names], "s string"))
-    ti, _ = gram_index(spark.createDataFrame([(s,) for s in targets], "s string"), counts)
-    for d in (1, 2, 3):
-        got = [(r.t, r.s) for r in near_candidates(ti, ni, d).collect()]
-        near = {(t, s) for t in targets for s in names if _distance(t, s) <= d}
-        long = [p for p in got if max(map(len, p)) > 3 * d - 2]
-        assert near <= set(got) and len(long) == len(set(long))
+    ndf = spark.createDataFrame([(s, "t") for s in names], "name string, type string")
+    tdf = spark.createDataFrame([(s, (s, s)) for s in targets], "t string, __f struct<canonical:string,leaf:string>")
+    for d in (1, 2):
+        index = NearIndex(ndf, "name", "type", d)
+        got = {(r.t, r.name) for r in index.pairs(tdf).collect()}
+        near = {(t, s) for t in targets for s in names if abs(len(t) - len(s)) <= d and _distance(t, s) <= d}
+        assert got == near
+        assert len(near) <= index.candidates(tdf).count() <= 6 * len(near) < len(names) * len(targets) / 3
 
 
 def test_near_joins_equal_all_pairs(spark):

@@ -250,3 +250,76 @@ def test_many_matches_in_one_cell_take_linear_time(spark):
     run(2_000)
     small, large = run(20_000), run(200_000)
     assert large < 25 * small + 2, (small, large)
+
+
+def test_long_terms_do_not_multiply_the_rows(spark):
+    from tableguard.operators.dictionary import candidate_grams, dictionary_spans, term_table
+
+    long = " ".join(f"w{k}" for k in range(30))
+    text = ("alpha beta " * 500) + long + " W0  w1 tail " + "jean-luc d'arc a,b x#y"
+    df = spark.createDataFrame([(1, text), (2, long.upper()), (3, None), (4, ""), (2, "beta")], "id long, text string")
+    terms = spark.createDataFrame([("name", long), ("name", "beta"), ("city", "beta"), ("name", "w0 W1"), ("name", "a,b"), ("name", "#y"), ("name", " "),
+                                   ("name", "jean-luc d'arc"), ("name", "beta")], "label string, term string")
+    grams = candidate_grams(df, "id", "text", term_table(terms)).count()
+    assert grams <= 500 + 2 + 2 * 3 + 8
+    got = dictionary_spans(df, "id", "text", terms).collect()
+    assert all(text[r.start:r.end] == r.value for r in got if r.id == 1)
+    kinds = sorted((r.id, r.label, r.value.lower()) for r in got if r.value.lower() != "beta")
+    assert kinds == [(1, "name", "a,b"), (1, "name", "jean-luc d'arc"), (1, "name", "w0  w1"), (1, "name", "w0 w1"), (1, "name", long), (2, "name", long), (2, "name", "w0 w1")]
+    assert sum(r.value == "beta" for r in got) == 2 * 501
+
+
+def test_model_batches_are_planned_by_length():
+    from tableguard.operators.model import plan_batches
+
+    sizes = [1800, 10, 1700, 12, 5, 1800, 0, 90_000]
+    batches = plan_batches(sizes, None, 4000)
+    assert sorted(i for b in batches for i in b) == list(range(8))
+    assert all(len(b) == 1 or max(sizes[i] for i in b) * len(b) <= 4000 for b in batches)
+    assert batches[0] == [6, 4, 1, 3] and batches[-1] == [7]
+    assert max(map(len, plan_batches(sizes, 2, 10**9))) == 2 and plan_batches([]) == []
+
+
+def test_the_predictor_sees_few_and_like_texts_and_nulls_are_left_out(spark):
+    from tableguard.operators.model import Predictor, model_spans
+
+    class Strict(Predictor):
+        def predict_batch(self, texts, labels):
+            assert all(texts) and len(texts) <= 3 and max(map(len, texts)) * len(texts) <= 64 * 1800
+            return [[{"start": 0, "end": len(t), "label": labels[0], "score": 1.0}] for t in texts]
+
+    texts = ["a" * n for n in (5, 900, 3, 7, 1000, 20)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = sorted((r.id, r.end) for r in model_spans(df, "id", "text", Strict, ["x"], "strict", 3).collect())
+    assert got == [(i, len(t)) for i, t in enumerate(texts) if t]
+
+
+def test_values_of_every_label_across_windows(spark):
+    """All labels in windows of several sizes equal the detectors over whole texts."""
+    import random
+
+    from tableguard.functions.pii_patterns import DETECTORS
+    from tableguard.operators.model import DetectorPredictor, model_spans
+
+    rng = random.Random(13)
+    values = ["mail a.b@c.org", "password: hunter2222", "cvv 123", "card 4111 1111 1111 1111", "token=" + "k3y" * 20, "ssn 123-45-6789", "10.0.0.1",
+              "born on 1990-01-02", "imei: 490154203237518", "https://x.org/a?b=c", "passport AB1234567", "iban DE44 5001 0517 5407 3249 31", "at 10:30 pm"]
+    texts = [" ".join(rng.choice(values) if rng.random() < .2 else rng.choice(["word", "é", "and", "漢字"]) for _ in range(rng.randint(1, 400))) for _ in range(20)]
+    labels = sorted({d.label for d in DETECTORS})
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None), (98, "")], "id long, text string")
+    want = sorted((r.id, r.start, r.end, r.label, r.score, r.value) for r in detect_spans(df, "id", "text").collect())
+    for m in (450, 1800):
+        got = sorted((r.id, r.start, r.end, r.label, r.score, r.value) for r in model_spans(df, "id", "text", DetectorPredictor, labels, "all", max_len=m).collect())
+        assert got == want, m
+
+
+def test_rows_share_model_texts_and_keep_their_spans(spark):
+    from tableguard.functions.pii_patterns import DETECTORS
+    from tableguard.operators.model import DetectorPredictor, model_row_spans
+
+    labels = sorted({d.label for d in DETECTORS})
+    texts = [None, "", "a@b.co", "pin", "1234 and token=abcdefgh12345678", "é漢 x@y.zz", "password: secret99", "y " * 2000 + "last@row.org", "10.0.0.1"] * 6
+    df = spark.createDataFrame([(f"r{i:02d}", i, t) for i, t in enumerate(texts)], "id string, n int, text string").repartition(3)
+    want = sorted((r.id, r.start, r.end, r.label, r.score, r.value) for r in detect_spans(df, "id", "text").collect())
+    got = sorted((r.id, r.start, r.end, r.label, r.score, r.value) for r in model_row_spans(df, "id", "text", ["n"], DetectorPredictor, labels, "rows").collect())
+    assert got == want and len(want) >= 36
