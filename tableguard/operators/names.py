@@ -180,23 +180,30 @@ class NearIndex:
         mine = deletion_index(self.strings(targets, "__f"), self.distance).withColumnRenamed("id", "__tk")
         return mine.join(self.index.withColumnRenamed("id", "__sk"), "v").select("__tk", "__sk").distinct()
 
-    def pairs(self, targets: DataFrame) -> DataFrame:
-        """(target row, name row, score) for all within ``distance`` edits by canonical name or leaf, once each.
+    def pairs(self, targets: DataFrame, k: int) -> DataFrame:
+        """(target row, name row, score) within ``distance`` edits by canonical name or leaf, once each.
 
-        ``targets`` has the normalised target in ``__f``.  A pair near by its canonical name
-        comes from the canonical join, one near by its leaf only from the leaf join.
+        ``targets`` has the normalised target in ``__f``.  Of a target string's near strings
+        those farther than its k-th nearest are left out at once, so every target keeps its
+        k best names and few others.  A pair kept by its canonical name comes from the
+        canonical join, one near by its leaf only from the leaf join.
         """
         distance = self.distance
         t = self.strings(targets, "__f").select(F.xxhash64("s").alias("__tk"), F.col("s").alias("__t"))
         n = self.strings(self.names, "__n").select(F.xxhash64("s").alias("__sk"), F.col("s").alias("__s"))
         found = self.candidates(targets).join(t, "__tk").join(n, "__sk").select("__t", "__s", F.levenshtein("__t", "__s", distance).alias("__d"))
-        found = _written(found.where("__d >= 0"), "near-pairs")
+        nearest = found.where("__d >= 0").withColumn("__r", F.rank().over(Window.partitionBy("__t").orderBy("__d"))).where(F.col("__r") <= k)
+        found = _written(nearest.drop("__r"), "near-pairs")
+        # the distance up to which a target string's near strings are all there
+        upto = found.groupBy("__t").agg(F.when(F.count(F.lit(1)) >= k, F.max("__d")).otherwise(distance).alias("__upto"))
         parts = []
         for p, other in (("canonical", "leaf"), ("leaf", "canonical")):
             rows = targets.join(found, F.col(f"__f.{p}") == F.col("__t")).join(self.names, F.col(f"__n.{p}") == F.col("__s"))
             rest = F.levenshtein(F.col(f"__f.{other}"), F.col(f"__n.{other}"), distance)
             if p == "leaf":
-                rows = rows.where(rest < 0)
+                known = upto.withColumnRenamed("__t", "__c")
+                rows = rows.join(known, F.col("__f.canonical") == F.col("__c"), "left")
+                rows = rows.where((rest < 0) | (rest > F.coalesce("__upto", F.lit(distance)))).drop("__c", "__upto")
             score = F.when(rest < 0, F.col("__d")).otherwise(F.least("__d", rest))
             parts.append(rows.withColumn("score", score).drop("__t", "__s", "__d"))
         return parts[0].unionByName(parts[1])
@@ -212,7 +219,7 @@ def near_names_join(names: DataFrame, name_col: str, type_col: str, targets: Dat
     index = NearIndex(names, name_col, type_col, max_distance)
     t = _written(targets.select(F.col(target_col).alias("target"), normalize_name(F.col(target_col)).alias("__f"),
                                 F.monotonically_increasing_id().alias("__tid")), "near-targets")
-    scored = index.pairs(t).select(
+    scored = index.pairs(t, k).select(
         "target", "name", "type", F.col("__n.canonical").alias("normalized_name"), "score", "__tid")
     w = Window.partitionBy("__tid").orderBy("score", "type", "name")
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -272,7 +279,7 @@ def no_match_report(names: DataFrame, name_col: str, type_col: str, filters: Dat
         return _written(rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "report-best")
 
     wanted = unmatched.select("__tid", "__f")
-    top = best(index.pairs(wanted))
+    top = best(index.pairs(wanted, k))
     done = top.groupBy("__tid").count().where(F.col("count") >= k).select("__tid")
     found = [top.join(done, "__tid", "left_semi")]
     pending = _written(wanted.join(done, "__tid", "left_anti"), "report-pending")

@@ -48,7 +48,8 @@ REFLECTION_NAMES = {"java_method", "reflect", "try_reflect"}
 NAME_NODES = {"UnresolvedRelation", "UnresolvedTableOrView", "UnresolvedTable", "UnresolvedView"}
 # leaves of an analysed plan that read nothing but the statement itself or the session's own rows
 OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "LogicalRDD", "CTERelationRef", "ResolvedNamespace", "ResolvedTable",
-              "ResolvedPersistentView", "ResolvedTempView", "CurrentNamespace", "CommandResult"}
+              "ResolvedPersistentView", "ResolvedTempView", "ResolvedPersistentFunc", "ResolvedNonPersistentFunc", "UnionLoopRef",
+              "CurrentNamespace", "CommandResult"}
 PATH_OPTIONS = {"path", "paths"}
 
 

@@ -125,7 +125,7 @@ def test_index_holds_every_near_pair_and_few_others(spark):
     tdf = spark.createDataFrame([(s, (s, s)) for s in targets], "t string, __f struct<canonical:string,leaf:string>")
     for d in (1, 2):
         index = NearIndex(ndf, "name", "type", d)
-        got = {(r.t, r.name) for r in index.pairs(tdf).collect()}
+        got = {(r.t, r.name) for r in index.pairs(tdf, 10**6).collect()}
         near = {(t, s) for t in targets for s in names if abs(len(t) - len(s)) <= d and _distance(t, s) <= d}
         assert got == near
         assert len(near) <= index.candidates(tdf).count() <= 6 * len(near) < len(names) * len(targets) / 3

@@ -234,7 +234,9 @@ def test_sources_outside_the_catalog_are_refused(spark, sql):
     ("SELECT * FROM guard_nested LIMIT 2", 2), ("EXPLAIN SELECT * FROM guard_files LIMIT 1", 1), ("DESCRIBE QUERY SELECT n_name FROM guard_files", 1),
     ("DESCRIBE TABLE guard_table", 3), ("SHOW TABLES", None), ("SHOW COLUMNS FROM default.guard_table", 3), ("VALUES (1), (2)", 2),
     ("SELECT 1 WHERE EXISTS (SELECT 1 FROM default.guard_table)", 1), ("TABLE guard_files", 25),
-    ("SELECT * FROM (SELECT explode(array(1, 2)) AS x) LIMIT 5", 2),
+    ("SELECT * FROM (SELECT explode(array(1, 2)) AS x) LIMIT 5", 2), ("DESCRIBE FUNCTION abs", None), ("SHOW DATABASES", None),
+    ("DESCRIBE DATABASE default", None), ("SELECT * FROM guard_files a JOIN guard_table b ON a.n_nationkey = b.n_nationkey LIMIT 3", 3),
+    ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT * FROM r LIMIT 9", 4),
 ])
 def test_registered_sources_pass(spark, sql, rows):
     spark.read.parquet(NATION).createOrReplaceTempView("guard_files")
