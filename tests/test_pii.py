@@ -265,7 +265,7 @@ def test_long_terms_do_not_multiply_the_rows(spark):
     got = dictionary_spans(df, "id", "text", terms).collect()
     assert all(text[r.start:r.end] == r.value for r in got if r.id == 1)
     kinds = sorted((r.id, r.label, r.value.lower()) for r in got if r.value.lower() != "beta")
-    assert kinds == [(1, "name", "a,b"), (1, "name", "jean-luc d'arc"), (1, "name", "w0  w1"), (1, "name", "w0 w1"), (1, "name", long), (2, "name", long), (2, "name", "w0 w1")]
+    assert kinds == sorted([(1, "name", "a,b"), (1, "name", "jean-luc d'arc"), (1, "name", "w0  w1"), (1, "name", "w0 w1"), (1, "name", long), (2, "name", long), (2, "name", "w0 w1")])
     assert sum(r.value == "beta" for r in got) == 2 * 501
 
 
