@@ -37,8 +37,10 @@ def parse_log(df: DataFrame, id_col: str, line_col: str) -> DataFrame:
     """
     line = F.col(line_col)
     nonblank = df.where(F.btrim(line, F.lit(" \t\n\r\x00\x0b")) != F.lit(""))
-    parsed = nonblank.select(F.col(id_col).alias("id"), F.json_object_keys(line).isNotNull().alias("__object"),
-                             F.json_array_length(line).isNotNull().alias("__list"), F.from_json(line, LOG_SCHEMA).alias("__e"))
+    listed = line.rlike(r"^[ \t\r\n]*\[")      # only such a line is read as a list, and only others as objects
+    parsed = nonblank.select(F.col(id_col).alias("id"), F.json_object_keys(F.when(~listed, line)).isNotNull().alias("__object"),
+                             F.json_array_length(F.when(listed, line)).isNotNull().alias("__list"),
+                             F.from_json(F.when(~listed, line), LOG_SCHEMA).alias("__e"))
     parsed = parsed.withColumn("valid", F.col("__object") | F.col("__list"))
     e = lambda f: F.when(F.col("__object"), F.col(f"__e.{f}"))
     text = lambda f: F.when(F.col("valid"), F.coalesce(e(f), F.lit("")))
