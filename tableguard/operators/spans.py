@@ -10,6 +10,8 @@ works unchanged on a streaming DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,8 +184,12 @@ def resolve_overlaps(spans: Column) -> Column:
     return let(F.array_sort(nonempty), lambda s: F.when(F.size(s) <= FEW, _best_of_few(s)).otherwise(_ranked(_best_by_run(s))))
 
 
-def apply_spans(text: Column, spans: Column) -> Column:
-    """Replace each span by ``[REDACTED_<label>]``: the pieces between spans, joined once.
+def _redacted(span: Column) -> Column:
+    return F.concat(F.lit("[REDACTED_"), span["label"], F.lit("]"))
+
+
+def apply_spans(text: Column, spans: Column, mark: Callable[[Column], Column] = _redacted) -> Column:
+    """Replace each span by its mark: the pieces between spans, joined once.
 
     Spans must not overlap (see :func:`resolve_overlaps`).  Offsets are in
     characters, as produced by :func:`detect_spans`.  A piece of a text with more than
@@ -193,7 +199,7 @@ def apply_spans(text: Column, spans: Column) -> Column:
     def splice(ordered, cut):
         def piece(s, i):
             before = F.when(i > 0, F.get(ordered, F.greatest(i - 1, F.lit(0)))["end"]).otherwise(F.lit(0))
-            return F.concat(cut(before, s["start"]), F.lit("[REDACTED_"), s["label"], F.lit("]"))
+            return F.concat(cut(before, s["start"]), mark(s))
 
         return F.concat(F.array_join(F.transform(ordered, piece), ""), cut(F.element_at(ordered, -1)["end"], F.char_length(text)))
 
