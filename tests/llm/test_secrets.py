@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tableguard.llm import queries, secrets
 from tests.llm.helpers import documents, empty_documents, prose, write_tables
@@ -127,3 +130,53 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     kept = classes[hashlib.sha256(copied.encode()).hexdigest()]
     assert (kept["class"], kept.owners, kept.repositories) == ("example", 5, 5)
     assert all(classes[hashlib.sha256(k.encode()).hexdigest()]["class"] == "live" for k in own)
+
+
+def test_copies_of_a_text_are_one_vote(spark):
+    rng = random.Random(8)
+    text = f"{prose(rng, 20)} password: Zq7Kd93Lmx {prose(rng, 20)}"
+    texts = [(i, text) for i in range(2000)]                                         # one text in every source
+    texts += [(3000 + i, f"{prose(rng, 9)} {i} token=HotSource4455") for i in range(40)]  # many texts of one owner, two quoted elsewhere
+    texts += [(4000 + i, f"{prose(rng, 9)} {i} token=Tutorial8812x") for i in range(40)]  # as many texts of all owners
+    sources = [f"s{i % 50}" for i in range(2000)] + ["hot"] * 38 + ["s1", "s2"] + [f"s{i % 20}" for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for (i, t), s in zip(texts, sources)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    classes = {r.value_hash: r for r in secrets.classify(secrets.candidates(df)).collect()}
+    of = lambda v: classes[hashlib.sha256(v.encode()).hexdigest()]
+    copied, hot, tutorial = of("Zq7Kd93Lmx"), of("HotSource4455"), of("Tutorial8812x")
+    assert (copied["class"], copied.owners, copied.texts, copied.repositories) == ("live", 1, 1, 2000)
+    assert (hot["class"], hot.owners, hot.texts, hot.top) == ("live", 3, 40, 38)
+    assert (tutorial["class"], tutorial.owners, tutorial.texts) == ("example", 20, 40)
+    after = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert len(after) == len(texts)
+    assert not any("Zq7Kd93Lmx" in t or "HotSource4455" in t for t in after.values())
+    assert all(after[4000 + i] == t for i, (_, t) in enumerate(texts[-40:]))
+
+
+def test_frequent_and_rare_values_get_the_same_class_either_way(spark):
+    df = rows(spark)
+    found = secrets.candidates(df).cache()
+    classes = secrets.classify(found).cache()
+    each = found.select("id", "text_hash", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
+    want = sorted(map(str, secrets._with_class(each, classes, hot=0.0).select("id", "value_hash", "class").collect()))
+    for hot in (0.01, 0.2, 2.0):
+        assert sorted(map(str, secrets._with_class(each, classes, hot=hot).select("id", "value_hash", "class").collect())) == want
+    assert len(want) == each.count()
+    classes.unpersist(), found.unpersist()
+
+
+def test_many_matches_in_one_text_are_linear(spark):
+    def took(n):
+        df = documents(spark, [" é ".join(f"token=aB3dE6gH{i:06d}" for i in range(n))])
+        text = df.first().text
+        start = time.time()
+        after = secrets.redact(df).first().text
+        row = secrets.digest(df).first()
+        spent = time.time() - start
+        assert after == " é ".join(["token=[SECRET]"] * n) and row.n_assign == n
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b, *_ in base_by_hand(text)).encode()).hexdigest()
+        assert row.spans.count("live:") == n
+        return spent
+
+    took(100)
+    small, large = took(20_000), took(200_000)
+    assert large < 15 * small + 5, (small, large)
