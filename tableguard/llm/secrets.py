@@ -71,45 +71,48 @@ MIN_DISTINCT = 6
 #: values with at least this share of all spans are joined by broadcast (at most 1 / HOT of them)
 HOT = 0.001
 
-_SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,vstart:bigint,vend:bigint,value:string>>"
+def _matches(text: Column, rank: int, kind: str, pattern: str, group: int, least: int, gate: str) -> Column:
+    """All matches of one pattern: whole, value, what stands after the value, the pieces before them; null without any."""
+    def groups(g: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
 
+    def found(whole: Column) -> Column:
+        tails = groups(group + 1) if kind in TAILED else F.transform(whole, lambda w: F.lit(""))
+        return F.when(F.size(whole) > 0, F.struct(
+            F.lit(rank).alias("rank"), whole.alias("whole"), groups(group).alias("value"), tails.alias("tail"),
+            F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("piece")))
 
-def _kind_spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int, gate: str) -> Column:
-    """Spans of one pattern in ``text``, in order, those with too short a value dropped."""
-    def groups(group: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.when(text.rlike(gate), let(groups(0), found))
 
-    def listed(whole: Column, values: Column, tails: Column | None, sizes: Column, before: Column) -> Column:
+
+def _spans(found: Column) -> Column:
+    """Spans of one pattern's matches, in order, those with too short a value dropped."""
+    rank = found["rank"]
+    kinds, least = F.array(*[F.lit(k[0]) for k in KINDS]), F.array(*[F.lit(k[3]) for k in KINDS])
+
+    def listed(sizes: Column, before: Column) -> Column:
         def span(size: Column, i: Column) -> Column:
-            value, end = F.get(values, i), F.get(before, i) + size
-            vend = end - F.length(F.get(tails, i)) if tails is not None else end
-            hashed = F.regexp_replace(value, r"\\+[rnt]|[^A-Za-z0-9+/=]", "") if kind == "private" else value
-            return F.struct((end - F.length(F.get(whole, i))).cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+            value, end = F.get(found["value"], i), F.get(before, i) + size
+            vend = end - F.length(F.get(found["tail"], i))
+            hashed = F.when(F.get(kinds, rank) == "private", F.regexp_replace(value, r"\\+[rnt]|[^A-Za-z0-9+/=]", "")).otherwise(value)
+            return F.struct((end - F.length(F.get(found["whole"], i))).cast("long").alias("start"), rank.alias("rank"), F.get(kinds, rank).alias("kind"),
                             end.cast("long").alias("end"), (vend - F.length(value)).cast("long").alias("vstart"), vend.cast("long").alias("vend"),
                             hashed.alias("value"))
 
-        return F.filter(F.transform(sizes, span), lambda s: s["vend"] - s["vstart"] >= least)
+        return F.filter(F.transform(sizes, span), lambda s: s["vend"] - s["vstart"] >= F.get(least, s["rank"]))
 
     # a match, with the piece before it, begins where those before it end
-    def placed(whole: Column, values: Column, tails: Column | None) -> Column:
-        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-        sizes = F.zip_with(pieces, whole, lambda p, w: F.length(p) + F.length(w))
-        return let(sizes, lambda z: let(running_sum(z), lambda at: listed(whole, values, tails, z, at)))
-
-    def with_tails(whole: Column, values: Column) -> Column:
-        return let(groups(group + 1), lambda t: placed(whole, values, t)) if kind in TAILED else placed(whole, values, None)
-
-    none = F.expr(f"cast(array() as {_SPAN})")
-    found = let(groups(0), lambda w: F.when(F.size(w) > 0, let(groups(group), lambda v: with_tails(w, v))).otherwise(none))
-    return F.when(text.rlike(gate), found).otherwise(none)
+    sizes = F.zip_with(found["piece"], found["whole"], lambda p, w: F.length(p) + F.length(w))
+    return let(sizes, lambda z: let(running_sum(z), lambda at: listed(z, at)))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """(id, owner, text_hash, spans) per row; ``spans`` sorted by start, then by kind as listed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), text.alias("text"))
-    spans = [_kind_spans(F.col("text"), rank, *spec) for rank, spec in enumerate(KINDS)]
-    return rows.select("id", "owner", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*spans)).alias("spans"))
+    found = F.filter(F.array(*[_matches(F.col("text"), rank, *spec) for rank, spec in enumerate(KINDS)]), lambda x: x.isNotNull())
+    spans = F.array_sort(F.flatten(F.transform(found, _spans)))
+    return rows.select("id", "owner", F.xxhash64("text").alias("text_hash"), spans.alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
