@@ -9,7 +9,10 @@ Defined results
 * Null keys all get the shard of one fixed key value (they are one key).
 * Null texts have no bytes: size ``overhead``, checksum of no bytes (0).
 * Repeated rows get the same shard and different slots.
-* An empty table gives an empty result; extra columns are not read.
+* Texts of any length are read whole, once; only size and checksum are carried on.
+* ``with_slots`` keeps all columns, whatever their names; only one named as the slot
+  column is replaced.  ``document_shards`` reads id and text alone.
+* An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tableguard.llm.common import shuffle_width
+from tableguard.llm.common import shuffle_width, written
 
 NULL_KEY = 0x6A756D70  # fixed key that stands for a null
 
@@ -75,16 +78,18 @@ def with_slots(df: DataFrame, shard_col: str, order: list[str], slot_col: str =
     chunk sizes has ``n_shards x chunks`` rows, however large a shard is.
     """
     chunks = chunks or 4 * shuffle_width(df.sparkSession)
-    part = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    sizes = part.groupBy(shard_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard_col).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col(shard_col).alias("_s"), F.col("_chunk").alias("_c"),
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(shard_col, "_chunk").orderBy(*order)
-    numbered = part.withColumn("_row", F.row_number().over(inside))
-    joined = numbered.join(shift, (F.col(shard_col) == F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    return (joined.withColumn(slot_col, (F.col("_shift") + F.col("_row") - 1).cast("long"))
-            .drop("_chunk", "_row", "_s", "_c", "_shift"))
+    # the row travels as one struct, so no helper column can clash with its columns
+    keys = [f"k{i}" for i in range(len(order))]
+    part = df.select(F.struct("*").alias("row"), F.col(shard_col).alias("s"), *[F.col(c).alias(k) for c, k in zip(order, keys)],
+                     F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int").alias("chunk"))
+    sizes = part.groupBy("s", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("s").alias("of"), F.col("chunk").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("s", "chunk").orderBy(*keys)
+    numbered = part.withColumn("place", F.row_number().over(inside))
+    joined = numbered.join(shift, F.col("s").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at")))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c != slot_col]
+    return joined.select(*kept, (F.col("shift") + F.col("place") - 1).cast("long").alias(slot_col))
 
 
 def document_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
@@ -93,7 +98,8 @@ def document_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     rows = docs.select(F.col(id_col), (F.octet_length(data).cast("long") + overhead).alias("size"),
                        F.crc32(data).alias("text_crc32"))
-    rows = assign_shards(rows, id_col, n_shards, n_shards + 1)
+    # texts are read and hashed once; sizes of chunks and slots both come from this small table
+    rows = written(assign_shards(rows, id_col, n_shards, n_shards + 1), "shards")
     rows = with_slots(rows, "shard", [id_col, "text_crc32", "size"])
     return rows.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

@@ -66,6 +66,18 @@ def test_a_hot_shard_is_numbered_without_gaps(spark):
     assert sorted(r.slot for r in got.collect()) == list(range(5000)) and got.columns == ["shard", "k", "t", "slot"]
 
 
+def test_slots_keep_columns_of_any_name(spark):
+    names = ["_chunk", "_row", "_s", "_c", "_shift", "row", "s", "k0", "chunk", "at", "of", "n", "shift", "place", "shard", "a.b"]
+    rows = spark.range(60).select("id", *[(F.col("id") % (i + 2)).alias(n) for i, n in enumerate(names)], F.lit("old").alias("slot"))
+    got = jump_shards.with_slots(rows, "shard", ["id"], chunks=4)
+    assert got.columns == ["id", *names, "slot"]
+    slots = defaultdict(list)
+    for r in got.collect():
+        assert tuple(r[:-1]) == (r.id, *(r.id % (i + 2) for i in range(len(names))))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shards_on_disk_and_moved_rows(spark, tmp_path):
     rows = spark.range(1000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "id")
     jump_shards.write_shards(rows, str(tmp_path / "s"), "key", 5, max_rows_per_file=100)
