@@ -19,7 +19,7 @@ Defined results
   sketch.  Two empty sketches resemble each other fully (1.0), an empty and another
   one not at all.
 * Repeated rows are sketched alike; repeated ids stand next to each other in the
-  order of their text's hash; null ids come first.
+  order of their text's hash; null ids come first.  Ids must be numbers.
 * An empty table gives no rows; extra columns are not read.
 """
 
@@ -155,7 +155,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Sketch of every text and of its edited text, and the likeness of each to its neighbours.
 
     The edited text is the text with its last half of code points replaced by as many
-    of the next document's first ones (all, if it has fewer).
+    of the next document's first ones (all, if it has fewer).  ``kept_in_edited`` and
+    ``kept_in_next`` estimate the share of the text's shingles that the other text has,
+    ``shingles`` how many different ones it has.
     """
     within = Window.partitionBy("block").orderBy("extra", F.col("id").asc_nulls_first(), "hash")
     rows = with_next_text(docs, id_col, text_col, blocks)
@@ -169,4 +171,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(within)).filter("extra = 0")
     return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "sketch", "edited_sketch",
                        resemblance(F.col("sketch"), F.col("edited_sketch"), size).alias("near_edited"),
-                       resemblance(F.col("sketch"), F.col("next_sketch"), size).alias("near_next"))
+                       resemblance(F.col("sketch"), F.col("next_sketch"), size).alias("near_next"),
+                       containment(F.col("sketch"), F.col("edited_sketch"), size).alias("kept_in_edited"),
+                       containment(F.col("sketch"), F.col("next_sketch"), size).alias("kept_in_next"),
+                       distinct_shingles(F.col("sketch"), size).alias("shingles"))

@@ -119,3 +119,20 @@ def test_estimates_are_near_the_truth(spark):
 def test_no_python_in_the_plan(spark):
     plan = bottom_k.compare_with_next(documents(spark, ["a b", "c"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_containment_and_shingle_counts_of_the_query(spark, tmp_path):
+    rng = random.Random(21)
+    long = prose(rng, 4000)
+    texts = ["a b c d e f g", "a b c d e f g h i", None, "", long, " ".join(long.split()[:2000]), long + " " + prose(rng, 4000)]
+    rows = queries.QUERIES["op3_bottom_k"](spark, write_tables({"documents": documents(spark, texts)}, tmp_path)).collect()
+    got = {r.doc_id - 1: r for r in rows}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+        own, others = all_hashes(text), (all_hashes(edited), all_hashes(after))
+        few = len(own) < bottom_k.SIZE
+        assert abs(got[i].shingles - len(own)) <= (0 if few else 0.3 * len(own))
+        for value, other in zip((got[i].kept_in_edited, got[i].kept_in_next), others):
+            exact = len(own & other) / len(own) if own else 1.0
+            assert 0 <= value <= 1 and abs(value - exact) <= (1e-9 if few and len(own | other) < bottom_k.SIZE else 0.2), (i, value, exact)
