@@ -47,6 +47,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableguard.llm.common import written
+
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -215,7 +217,8 @@ def training_sample(labelled: DataFrame, lang_col: str, text_col: str, per_langu
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE,
           smoothing: float = 0.5) -> Model:
     """Fit the classifiers and their trust on a bounded sample of ``labelled``."""
-    sample = training_sample(labelled, lang_col, text_col, per_language)
+    # written once: the counts, the floor and the trust all read the sample, not the whole table
+    sample = written(training_sample(labelled, lang_col, text_col, per_language), "language-sample")
     spark = sample.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

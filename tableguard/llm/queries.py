@@ -36,7 +36,8 @@ def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketch of every document and of its edited text."""
     rows = bottom_k.compare_with_next(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", "edited_sha256", bottom_k.as_text(F.col("sketch")).alias("fingerprint"),
-                       bottom_k.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+                       bottom_k.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+                       "kept_in_edited", "kept_in_next", "shingles")
 
 
 def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ def op6_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     found = language.identify(docs, language.train(docs.filter(~held_out).select("doc_id", "lang", "text")))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "evidence").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "evidence")
+    found = found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "evidence", "ambiguous")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "evidence", "ambiguous")
 
 
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_held_out_rows_are_recognised(spark, tmp_path):
     held = [r for r in got if r.held_out]
     assert len(got) == 240 and 30 < len(held) < 100
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) >= 0.97
-    assert all(0 <= r.score <= 1 for r in got)
+    assert all(0 <= r.score <= 1 and r.ambiguous == (r.score < language.AMBIGUOUS) for r in got)
 
 
 def test_nulls_letterless_texts_repeats_and_other_columns(spark):
