@@ -206,3 +206,20 @@ def test_filters_meet_names_on_their_rarest_gram(spark):
     assert held[0] <= 20 and held[1] == 500 and keys[2] == "cu" and held[3] == 0
     placed = {r["__fid"]: (r["__k"].g, r["__k"].pos) for r in rarest_keys(names, F.col("n.canonical"), flts, F.col("f"), "prefix").collect()}
     assert placed[0][1] > 9 and placed[2] == ("cu", 1)
+
+
+def test_copies_of_names_and_targets_are_looked_up_once(spark):
+    """Equal names make one pair each with a target, whatever their number; no join sends the names to the driver."""
+    from tableguard.operators.names import NearIndex, near_names_join
+
+    names = spark.createDataFrame([("customer", "t")] * 300 + [("custmers", "t"), ("custom", "v")], "name string, type string")
+    one = spark.createDataFrame([("custmer", ("custmer", "custmer"))], "t string, __f struct<canonical:string,leaf:string>")
+    pairs = NearIndex(names, "name", "type", 2).pairs(one, 4)
+    assert sorted((r.name, r.copies, r.score) for r in pairs.collect()) == [("custmers", 1, 1), ("customer", 300, 1)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    targets = spark.createDataFrame([("custmer",)] * 3, "f string")
+    got = sorted((r["rank"], r.name, r.score) for r in near_names_join(names, "name", "type", targets, "f", 4).collect())
+    assert got == sorted([(1, "custmers", 1), (2, "customer", 1), (3, "customer", 1), (4, "customer", 1)] * 3)
+    rep = no_match_report(names, "name", "type", targets, "f", 4).collect()
+    assert sorted((r["rank"], r.name) for r in rep) == [(1, "custmers"), (2, "customer"), (3, "customer"), (4, "customer")]
