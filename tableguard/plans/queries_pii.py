@@ -90,7 +90,7 @@ def _redact_enabled_sql() -> str:
 @register("redact_enabled_sources", _redact_enabled_sql)
 def q_redact_enabled(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return redact_enabled(docs, "source", _enabled_flags(docs), ["text", "lang"])
+    return redact_enabled(docs, "source", _enabled_flags(table(spark, sf_dir, "documents")), ["text", "lang"])
 
 
 @register("pii_inventory", lambda: _inventory_oracle("documents", ["text", "source"]))
