@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableguard.functions.pii_patterns import DETECTORS
 from tableguard.operators.chunks import COL_SEP, KV_SEP, LOOK_BACK, ROW_SEP, chunk_roundtrip, chunk_text, redact_long_text
 from tableguard.operators.model import DetectorPredictor, PatternPredictor, model_row_spans, model_spans
+from tableguard.plans.layout import dealt_tasks
 from tableguard.plans.oracle import duck_redact_ctes, duck_spans, q
 from tableguard.plans.registry import dealt_table, register, table
 from tableguard.session import scratch_path
@@ -103,8 +104,9 @@ def q_redact_stream(spark, sf_dir):
     """Documents landed as files in a folder, redacted by a streaming query."""
     docs = table(spark, sf_dir, "documents")
     landing = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
-    docs.repartition(6).write.mode("overwrite").parquet(landing)
-    stream = parquet_stream(spark, landing, docs, max_files_per_trigger=2)     # three micro-batches
+    files = max(2, -(-dealt_tasks(docs) // 3))      # of a micro-batch, so that each has work for all cores
+    docs.repartition(3 * files).write.mode("overwrite").parquet(landing)
+    stream = parquet_stream(spark, landing, docs, max_files_per_trigger=files)     # three micro-batches
     name = uuid.uuid4().hex
     return run_available(redact_stream(stream), scratch_path(spark, f"redacted-{name}"), scratch_path(spark, f"ckpt-{name}"))
 
