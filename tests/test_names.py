@@ -223,3 +223,20 @@ def test_copies_of_names_and_targets_are_looked_up_once(spark):
     assert got == sorted([(1, "custmers", 1), (2, "customer", 1), (3, "customer", 1), (4, "customer", 1)] * 3)
     rep = no_match_report(names, "name", "type", targets, "f", 4).collect()
     assert sorted((r["rank"], r.name) for r in rep) == [(1, "custmers"), (2, "customer"), (3, "customer"), (4, "customer")]
+
+
+def test_filters_meet_names_on_their_longest_gram(spark):
+    """A short gram is held by more names the more names there are; the longest that fits by hardly more than match."""
+    from tableguard.operators.names import match_names_join, rarest_keys
+
+    names = spark.range(5000).select(F.struct(F.format_string("customer#%05d", "id").alias("canonical")).alias("n"))
+    flts = spark.createDataFrame([(0, "customer#04321"), (1, "*er#0432[0-4]")], "__fid long, f string")
+    for mode, fid, most in (("contains", 0, 1), ("glob", 1, 10)):
+        keys = {r["__fid"]: r["__k"].g for r in rarest_keys(names, F.col("n.canonical"), flts, F.col("f"), mode).collect()}
+        assert names.where(F.col("n.canonical").contains(keys[fid])).count() <= most, mode
+    rows = names.select(F.col("n.canonical").alias("name"))
+    many = rows.where("name < 'customer#00010'").unionByName(rows.where("name < 'customer#00002'"))
+    flt = spark.createDataFrame([("customer#0000",), ("customer#0000",), ("CUSTOMER#00001",)], "f string")
+    for mode in ("contains", "prefix"):
+        got = sorted((r.name, r.f) for r in match_names_join(many, "name", flt, "f", mode).collect())
+        assert len(got) == 12 * 2 + 2 and got.count(("customer#00001", "customer#0000")) == 4
