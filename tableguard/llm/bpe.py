@@ -46,6 +46,7 @@ MEMO_WORDS = 500_000
 MEMO_PAIRS = 1 << 21
 MEMO_LENGTH = 64
 SCAN_LENGTH = 48
+PART_BYTES = 1 << 20    # text that is cut into words at once
 
 # --- fixed values: where the library's Unicode tables differ from those used here
 # White space of the library's expressions.
@@ -331,9 +332,10 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()   # what this worker kept from earlier stages
         encoder = _encoder(sent.value)
         for batch in batches:
-            for part in batches_by_bytes(batch, "text", 4 << 20):
+            for part in batches_by_bytes(batch, "text", PART_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = [(len(i) // 4, i, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest())
                         for i, d in encoder.encode(texts)]
