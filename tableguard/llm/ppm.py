@@ -241,7 +241,8 @@ def model_scores(dealt: DataFrame, pairs: np.ndarray, depth: int = DEPTH) -> Dat
         lp = np.concatenate([_unpacked(x, np.float64) for x in known.column("lp").to_pylist()])
         order = np.argsort(codes)
         codes, lp = codes[order], lp[order]
-        sums = [float(sum(lp[np.searchsorted(codes, c)].sum() for c in _runs(t.as_py(), depth))) for t in texts.column("text")]
+        # runs are looked up in rising order: neighbours then read the same part of the table
+        sums = [float(sum(lp[np.searchsorted(codes, np.sort(c))].sum() for c in _runs(t.as_py(), depth))) for t in texts.column("text")]
         return pa.table({"key": texts.column("key"), "score": pa.array(sums, pa.float64())})
 
     return (dealt.select("block", "key", "text").groupBy("block").cogroup(known.groupBy("block"))
@@ -385,7 +386,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     floor = 0.5 * (distinct + 1) + all_tokens
     level = hot_level(counts, hot_words)
-    hot = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= level).toLocalIterator()}
+    hot = {bytes(r.word): math.log10((r.c + 0.5) / floor) for r in counts.filter(F.col("c") >= level).toLocalIterator()}
     hot_sent = spark.sparkContext.broadcast(hot)
     kind = rows.schema["id"].dataType.simpleString()
     names = ["key", "id", "training", "n_tokens", "known", "base", "words", "times"]
@@ -401,13 +402,13 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                 base, rare, times = 0.0, [], []
                 for w, k in words.items():
                     n += k
-                    c = known.get(w)
-                    if c is None:
+                    lp = known.get(w)
+                    if lp is None:
                         rare.append(w)
                         times.append(k)
                     else:
                         here += k
-                        base += k * math.log10((c + 0.5) / floor)
+                        base += k * lp
                 for column, value in zip(out, (None, None, None, n, here, base, rare, times)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(i) if i < 3 else pa.array(v, t) for i, (v, t) in enumerate(zip(out, types))], names)
