@@ -6,15 +6,20 @@ BPE encoding exactly when every token is its own encoding and every two neighbou
 are compatible, that is, no merge across their border would have come before the
 merges that built them.  Borders of all proposals are checked at once over the
 distinct pairs, by stepping both sides back through the merge tree (numpy).  Only
-words with a failing border or token are merged exactly, with a heap.
+words with a failing border or token are merged exactly: short ones together, one
+merge of each word at a time (numpy), long ones with a heap.
+
+Texts are cut at white space, across which neither normalisation nor words reach; only
+pieces that a task has not met are normalised and cut into words.
 
 The vocabulary is a ``tokenizers`` JSON file with a BPE model, an optional
 end-of-word suffix, NFC, white-space and lower-case normalisation, a word pattern and
 byte-level symbols.  The driver reads it and broadcasts its tables (a file of fixed
 size, ``MAX_VOCABULARY`` entries at most).
 
-Words already encoded are remembered per task, up to ``MEMO_WORDS``; the memory is
-emptied when full, so results never depend on it.
+Pieces and words already encoded are remembered per task, up to about ``MEMO_WORDS`` of
+both together; when it is full, what was not met in its last half is forgotten.  Results
+never depend on it.
 
 Defined results
 * Null and empty texts have no tokens and decode to the empty text.
@@ -29,6 +34,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -46,6 +52,8 @@ MEMO_WORDS = 500_000
 MEMO_PAIRS = 1 << 21
 MEMO_LENGTH = 64
 SCAN_LENGTH = 48
+PREFIX = 3              # symbols by which the longest possible token is looked up
+BLOCK_SYMBOLS = 1 << 16    # symbols of the words that are merged together
 PART_BYTES = 1 << 20    # text that is cut into words at once
 
 # --- fixed values: where the library's Unicode tables differ from those used here
@@ -98,8 +106,13 @@ class Vocabulary:
         keys = sorted((i * size + j, r) for (i, j), (r, _) in self.merges.items())
         self.pair_keys = np.array([k for k, _ in keys], np.int64)
         self.pair_ranks = np.array([r for _, r in keys], np.int64)
+        self.made = np.full(len(self.merges) + 1, -1, np.int64)
+        self.made[self.rank[self.rank >= 0]] = np.flatnonzero(self.rank >= 0)
         self.size = size
-        self.longest = max(len(self._symbols(t)) for t in self.ids) if self.ids else 1
+        self.reach: dict[str, int] = {}     # symbols of the longest token, by its first ones
+        for symbols in map(self._symbols, self.ids):
+            head = symbols[:PREFIX]
+            self.reach[head] = max(self.reach.get(head, 0), len(symbols))
 
     def _symbols(self, token: str) -> str:
         return token[:-len(self.suffix)] if self.suffix and token.endswith(self.suffix) else token
@@ -115,6 +128,54 @@ class Vocabulary:
         """Apply merges in rank order, the leftmost first."""
         return self._merge_scan(ids) if len(ids) <= SCAN_LENGTH else self._merge_heap(ids)
 
+    def merge_together(self, words: list[list[int]]) -> list[list[int]]:
+        """:meth:`merge_exactly` of many words; the short ones together, in blocks of like length."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        at = 0
+        while at < len(order) and len(words[order[at]]) <= SCAN_LENGTH:
+            stop = at + 1
+            while stop < len(order) and len(words[order[stop]]) <= SCAN_LENGTH and (stop + 1 - at) * len(words[order[stop]]) <= BLOCK_SYMBOLS:
+                stop += 1
+            for k, ids in zip(order[at:stop], self._merge_block([words[k] for k in order[at:stop]]), strict=True):
+                out[k] = ids
+            at = stop
+        for k in order[at:]:
+            out[k] = self._merge_heap(words[k])
+        return out
+
+    def _merge_block(self, words: list[list[int]]) -> list[list[int]]:
+        """One row for each word, -1 after its end; every step makes each row's first merge of the lowest rank."""
+        sizes = np.array([len(w) for w in words])
+        width = max(1, int(sizes.max()))
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < sizes[:, None]] = np.fromiter(itertools.chain.from_iterable(words), np.int64, int(sizes.sum()))
+        ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
+        done, live, never = ids.copy(), np.arange(len(words)), len(self.merges)
+        while len(live):
+            best = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(live)), best]
+            on = rank < never
+            done[live[~on]], sizes[live[on]] = ids[~on], sizes[live[on]] - 1
+            live, ids, ranks, best, rank = live[on], ids[on], ranks[on], best[on], rank[on]
+            row, column = np.arange(len(live)), np.arange(width + 1)
+            # symbols behind the merged pair move up by one place, and so do their borders
+            ids = np.take_along_axis(ids, np.minimum(column + (column > best[:, None]), width), axis=1)
+            ranks = np.take_along_axis(ranks, np.minimum(column[:-1] + (column[:-1] >= best[:, None]), width - 1), axis=1)
+            ids[row, best] = self.made[rank]
+            ranks[row, best] = self.pair_rank(ids[row, best], ids[row, best + 1])
+            left = np.maximum(best - 1, 0)
+            ranks[row, left] = self.pair_rank(ids[row, left], ids[row, left + 1])
+        return [ids[:n] for ids, n in zip(done.tolist(), sizes.tolist(), strict=True)]
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of neighbours, the number of merges if there is none (-1: no symbol)."""
+        if not len(self.pair_keys):
+            return np.zeros(a.shape, np.int64)
+        key = np.where((a < 0) | (b < 0), -1, a * self.size + b)
+        spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[spot] == key, self.pair_ranks[spot], len(self.merges))
+
     def _merge_scan(self, ids: list[int]) -> list[int]:
         """Short words: look for the lowest rank each time."""
         ids, merges, never = list(ids), self.merges, (len(self.merges), -1)
@@ -156,9 +217,10 @@ class Vocabulary:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match from the left; None if a symbol is unknown."""
-        ids, out, at, n, end = self.ids, [], 0, len(word), self.suffix
+        ids, out, at, n, end, reach = self.ids, [], 0, len(word), self.suffix, self.reach
         while at < n:
-            for stop in range(min(n, at + self.longest), at, -1):
+            # tokens of under PREFIX symbols are not in ``reach`` by a longer beginning
+            for stop in range(min(n, at + reach.get(word[at:at + PREFIX], PREFIX - 1)), at, -1):
                 token = ids.get(word[at:] + end if stop == n else word[at:stop])
                 if token is not None:
                     out.append(token)
@@ -201,12 +263,17 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, memo_words: int = MEMO_WORDS):
         self.v, self.memo_words = vocabulary, memo_words
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}    # by piece of a text, and special token
+        self.words_memo: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}      # both, before they last were full
         self.pairs, self.fine = np.empty(0, np.int64), np.empty(0, bool)  # checked borders, sorted
         self.whole: dict[int, bool] = {}
         self.exact = self.seen = 0
         letter, number = rf"[\p{{L}}--[{NEWER_LETTERS}]]", rf"[\p{{N}}--[{NEWER_NUMBERS}]]"
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[[^{SPACE}]--{letter}--{number}]+", regex.V1)
+        words = rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[[^{SPACE}]--{letter}--{number}]+"
+        self.words = regex.compile(words, regex.V1)
+        self.words_and_blanks = regex.compile(f"{words}| ", regex.V1)
+        self.ascii_words_and_blanks = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+| ")     # the same in lower-case ASCII
         self.newer = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
@@ -227,30 +294,75 @@ class Encoder:
         """Words of a text without special tokens."""
         return self.words.findall(self.normalise(text))
 
-    def learn(self, words) -> None:
+    def pieces(self, text: str) -> list[str]:
+        """The text cut at white space and around special tokens."""
+        if self.specials and self.specials.search(text):
+            return [p for k, part in enumerate(self.specials.split(text)) for p in ([part] if k % 2 else self._blocks(part))]
+        return self._blocks(text)
+
+    def _blocks(self, text: str) -> list[str]:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):    # white space for Python only
+            return [p for p in self.spaces.split(text) if p]
+        return text.split()
+
+    def learn(self, fresh: set[str]) -> None:
+        """Encode the distinct pieces ``fresh`` (no special tokens) by their words."""
+        self._recall(fresh, self.memo, self.older[0])
+        plain = [p for p in fresh if p.isascii()]
+        for pieces, pattern in ((plain, self.ascii_words_and_blanks), (list(fresh.difference(plain)), self.words_and_blanks)):
+            if pieces:
+                self._learn_pieces(pieces, pattern.findall(self.normalise(" ".join(pieces))))
+
+    @staticmethod
+    def _recall(fresh: set[str], memo: dict[str, bytes], older: dict[str, bytes]) -> None:
+        """Take from ``fresh`` what ``older`` knows."""
+        again = [x for x in fresh if x in older]
+        memo.update((x, older[x]) for x in again)
+        fresh.difference_update(again)
+
+    def _learn_pieces(self, pieces: list[str], found: list[str]) -> None:
+        """``found``: the words of all pieces, a blank between two pieces."""
+        known = self.words_memo
+        words = set(found).difference(known, " ")
+        self._recall(words, known, self.older[1])
+        if words:
+            self.learn_words(list(words))
+        known[" "] = b" "       # not an encoding: marks where a piece ends
+        ids = [known[w] for w in found]
+        del known[" "]
+        start = 0
+        ends = [k for k, w in enumerate(found) if w == " "] + [len(found)]
+        for piece, end in zip(pieces, ends, strict=True):
+            self.memo[piece] = ids[start] if end == start + 1 else b"".join(ids[start:end])
+            start = end + 1
+        for w in words:
+            if len(w) > MEMO_LENGTH:
+                del known[w]
+
+    def learn_words(self, words: list[str]) -> None:
         """Encode the distinct ``words`` together: propose, verify, merge what fails."""
-        words = list(words)
-        forms = [w.encode("utf-8", "replace").decode("latin-1").translate(self.to_symbols) for w in words]
+        forms = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.to_symbols) for w in words]
         proposed = [self.v.propose(f) for f in forms]
-        flat = np.array([t for p in proposed if p for t in p], np.int64)
         length = np.array([len(p) if p else 0 for p in proposed], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(p for p in proposed if p), np.int64, int(length.sum()))
         owner = np.repeat(np.arange(len(words)), length)
-        wrong = np.zeros(len(words), bool)
+        wrong = np.array([p is None for p in proposed], bool)
         if len(flat):
-            own = np.array([self._is_whole(t) for t in np.unique(flat).tolist()])
-            wrong[owner[~own[np.searchsorted(np.unique(flat), flat)]]] = True
+            distinct, back = np.unique(flat, return_inverse=True)
+            own = np.array([self._is_whole(t) for t in distinct.tolist()])
+            wrong[owner[~own[back]]] = True
             border = owner[1:] == owner[:-1]
             key = flat[:-1][border] * self.v.size + flat[1:][border]
             pairs, back = np.unique(key, return_inverse=True)
             fine = self._check(pairs)
             wrong[owner[1:][border][~fine[back]]] = True
         self.seen += len(words)
-        for k, (word, form) in enumerate(zip(words, forms)):
-            ids = proposed[k]
-            if ids is None or wrong[k]:
-                self.exact += 1
-                ids = self.v.merge_exactly(self.v.base(form))
-            self.memo[word] = struct.pack(f"<{len(ids)}I", *ids)
+        failed = np.flatnonzero(wrong).tolist()
+        self.exact += len(failed)
+        for k, ids in zip(failed, self.v.merge_together([self.v.base(forms[k]) for k in failed]), strict=True):
+            proposed[k] = ids
+        for word, ids in zip(words, proposed):
+            self.words_memo[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def _is_whole(self, token: int) -> bool:
         """Is the token the encoding of its own string?"""
@@ -277,27 +389,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        cut = []
-        fresh: set[str] = set()
         memo = self.memo
-        if len(memo) > self.memo_words:
-            memo.clear()
-        for text in texts:
-            pieces = self.specials.split(text) if self.specials and self.specials.search(text) else [text]
-            words = [self.split(p) if k % 2 == 0 else p for k, p in enumerate(pieces)]
-            cut.append(words)
-            for w in words[::2]:
-                fresh.update(w)
-        fresh.difference_update(memo)
+        if 2 * (len(memo) + len(self.words_memo)) > self.memo_words:
+            self.older = memo, self.words_memo
+            self.memo, self.words_memo = memo, _ = {}, {}
+        memo.update({t: i.to_bytes(4, "little") for t, i in self.v.special.items()})
+        cut = [self.pieces(text) for text in texts]
+        fresh = set(itertools.chain.from_iterable(cut)).difference(memo)
+        long = [p for p in fresh if len(p) > MEMO_LENGTH]
         if fresh:
             self.learn(fresh)
         tokens = self.v.tokens
-        for words in cut:
-            ids = b"".join([self.v.special[part].to_bytes(4, "little") if isinstance(part, str) else b"".join([memo[w] for w in part])
-                            for part in words])
+        for pieces in cut:
+            ids = b"".join([memo[p] for p in pieces])
             yield ids, " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        for w in [w for w in fresh if len(w) > MEMO_LENGTH]:
-            del memo[w]
+        for p in long:
+            del memo[p]
 
     def text_of(self, ids: list[int]) -> str:
         """The normalised words that the ids stand for, one space after each word."""
@@ -342,7 +449,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                 n, ids, h, d = zip(*rows)
                 out = [part.column("id"), pa.array(n, pa.int64()), pa.array(h), pa.array(d)]
                 if with_ids:
-                    out.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *n]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids

@@ -74,6 +74,36 @@ def test_small_memory_changes_nothing():
     assert small.exact < small.seen
 
 
+def test_full_memory_keeps_what_is_in_use():
+    small = bpe.Encoder(VOCABULARY, memo_words=80)
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        check([" ".join(["often", *(f"{a}{c}{c}{c}" for a in "qxzjv")])], small)
+    assert small.seen == 1 + 26 * 5     # every distinct word once, although more of them were met than are kept
+    assert len(small.memo) + len(small.words_memo) + sum(map(len, small.older)) <= 80 + 30
+
+
+def test_merging_together_equals_merging_alone():
+    rng = random.Random(6)
+    words = [VOCABULARY.base("".join(rng.choice("anbiterso") for _ in range(rng.choice([1, 2, 3, 9, 47, 48, 49, 90])))) for _ in range(3000)] + [[]]
+    assert VOCABULARY.merge_together(words) == [VOCABULARY.merge_exactly(w) for w in words]
+    assert VOCABULARY.merge_together([]) == []
+
+
+def test_proposals_are_the_longest_tokens():
+    rng = random.Random(7)
+    for _ in range(300):
+        word, at = "".join(rng.choice("aeinorsthd'1!") for _ in range(rng.randint(1, 30))), 0
+        for token in VOCABULARY.propose(word):
+            fits = [stop for stop in range(at + 1, len(word) + 1) if (word[at:] + VOCABULARY.suffix if stop == len(word) else word[at:stop]) in VOCABULARY.ids]
+            assert VOCABULARY.ids[word[at:] + VOCABULARY.suffix if max(fits) == len(word) else word[at:max(fits)]] == token
+            at = max(fits)
+
+
+def test_pieces_end_where_the_library_has_white_space():
+    check(["a\x1cb\x1d c\x1e\x1fd", "a\x85b\xa0c\u2028d\u3000e\u2000f", "x \u0301y \u0327\u0301z\u00a0\u0301", "J\u030c j\u030c \u01f0",
+           "\u03a3 A\u03a3 \u03a3\u03a3", "a<|endoftext|>\u0301b", "it's'so..'s ''s it'S", "\x00a\x7fb\x01"])
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rng = random.Random(5)
