@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tableguard.llm.common import batches_by_bytes
 
 MAX_VOCABULARY = 1_000_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 MEMO_PAIRS = 1 << 21
 MEMO_LENGTH = 64
 SCAN_LENGTH = 48

@@ -130,3 +130,13 @@ def test_query_as_the_library(spark, frame, tmp_path):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(empty_documents(spark), PATH).count() == 0
+
+
+def test_memory_stays_small_over_many_distinct_words():
+    encoder, letters = bpe.Encoder(VOCABULARY), str.maketrans("0123456789", "ghijklmnop")
+    most = 0
+    for k in range(0, 350_000, 10_000):
+        for _ in encoder.encode([" ".join(f"{i:x}".translate(letters) for i in range(k, k + 10_000))]):
+            pass
+        most = max(most, sum(len(x) for x in (encoder.memo, encoder.words_memo, *encoder.older)))
+    assert 100_000 < most < bpe.MEMO_WORDS + 40_000     # of 350,000 words met
