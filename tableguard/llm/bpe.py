@@ -1,7 +1,8 @@
 """BPE encoding by speculation and verification, and decoding.
 
 Every word that a task has not met is first split greedily: the longest vocabulary
-entry at each place.  The proposals of a batch are verified together: a split is the
+entry at each place, found for all places of a batch together by walking the trie of the
+vocabulary (numpy).  The proposals of a batch are verified together: a split is the
 BPE encoding exactly when every token is its own encoding and every two neighbours
 are compatible, that is, no merge across their border would have come before the
 merges that built them.  Borders of all proposals are checked at once over the
@@ -35,9 +36,8 @@ import heapq
 import itertools
 import json
 import re
-import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,9 @@ MEMO_WORDS = 250_000
 MEMO_PAIRS = 1 << 21
 MEMO_LENGTH = 64
 SCAN_LENGTH = 48
-PREFIX = 3              # symbols by which the longest possible token is looked up
-BLOCK_SYMBOLS = 1 << 16    # symbols of the words that are merged together
+WORDS_TOGETHER = 1 << 13   # words that are proposed and verified together
+BLOCK_SYMBOLS = 1 << 14    # symbols of the words that are merged together
+DECODE_TOKENS = 1 << 15    # tokens that are written out as text together
 PART_BYTES = 1 << 20    # text that is cut into words at once
 
 # --- fixed values: where the library's Unicode tables differ from those used here
@@ -77,6 +78,12 @@ NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0x
 NEWER_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# The byte-level symbol of each byte, and back.
+SYMBOLS = dict(zip(_PRINTABLE, map(chr, _PRINTABLE))) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+BYTES = {s: b for b, s in SYMBOLS.items()}
+
+
 class Vocabulary:
     """Token strings, merges and the merge tree, as plain tables."""
 
@@ -109,10 +116,42 @@ class Vocabulary:
         self.made = np.full(len(self.merges) + 1, -1, np.int64)
         self.made[self.rank[self.rank >= 0]] = np.flatnonzero(self.rank >= 0)
         self.size = size
-        self.reach: dict[str, int] = {}     # symbols of the longest token, by its first ones
-        for symbols in map(self._symbols, self.ids):
-            head = symbols[:PREFIX]
-            self.reach[head] = max(self.reach.get(head, 0), len(symbols))
+        self.base_ids = np.array([[self.ids.get(SYMBOLS[b] + end, -1) for b in range(256)] for end in ("", self.suffix)], np.int32)
+        self._plant()
+        shown = [t.encode("utf-8", "replace") + b" " for t in self.tokens]
+        self.shown_sizes = np.array([len(t) for t in shown], np.int32)
+        self.shown_starts = (np.cumsum(self.shown_sizes) - self.shown_sizes).astype(np.int32)
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+
+    def _plant(self) -> None:
+        """The trie of the tokens' bytes: nodes by depth, then by their bytes, so that a node's
+        children follow one another.  Of each node: 256 bits for its children (four words), the
+        first child of each word, and the tokens that end there, within a word and at its end."""
+        coded, ids, at_end = [], [], []
+        for token, i in self.ids.items():
+            symbols = self._symbols(token)
+            if symbols and all(c in BYTES for c in symbols):
+                coded.append(bytes([BYTES[c] for c in symbols]))
+                ids.append(i)
+                at_end.append(symbols != token)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        text, starts = np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes) - sizes
+        node, nodes, edges = np.zeros(len(coded), np.int64), 1, [np.empty(0, np.int64)]
+        for depth in range(int(sizes.max(initial=0))):
+            live = np.flatnonzero(sizes > depth)
+            made, back = np.unique(256 * node[live] + text[starts[live] + depth], return_inverse=True)
+            node[live] = nodes + back
+            nodes += len(made)
+            edges.append(made)
+        edge = np.concatenate(edges)    # parent and byte of every node but the root
+        self.children = np.zeros(4 * nodes, np.uint64)
+        np.bitwise_or.at(self.children, edge >> 6, np.uint64(1) << (edge & 63).astype(np.uint64))
+        count = np.bincount(edge >> 6, minlength=4 * nodes)
+        self.first_child = (1 + np.cumsum(count) - count).astype(np.int32)
+        self.token_at = np.full((2, nodes), -1, np.int32)
+        self.token_at[np.array(at_end, np.int64), node] = ids
+        if not self.suffix:
+            self.token_at[1] = self.token_at[0]
 
     def _symbols(self, token: str) -> str:
         return token[:-len(self.suffix)] if self.suffix and token.endswith(self.suffix) else token
@@ -129,52 +168,74 @@ class Vocabulary:
         return self._merge_scan(ids) if len(ids) <= SCAN_LENGTH else self._merge_heap(ids)
 
     def merge_together(self, words: list[list[int]]) -> list[list[int]]:
-        """:meth:`merge_exactly` of many words; the short ones together, in blocks of like length."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        at = 0
-        while at < len(order) and len(words[order[at]]) <= SCAN_LENGTH:
-            stop = at + 1
-            while stop < len(order) and len(words[order[stop]]) <= SCAN_LENGTH and (stop + 1 - at) * len(words[order[stop]]) <= BLOCK_SYMBOLS:
-                stop += 1
-            for k, ids in zip(order[at:stop], self._merge_block([words[k] for k in order[at:stop]]), strict=True):
-                out[k] = ids
+        """:meth:`merge_exactly` of many words."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat, sizes = self.merge_flat(np.fromiter(itertools.chain.from_iterable(words), np.int32, int(sizes.sum())), sizes)
+        ends = np.cumsum(sizes).tolist()
+        flat = flat.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def merge_flat(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`merge_exactly` of words that lie one behind the other; the short ones together, in blocks of like length."""
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        by_size = sizes[order]
+        out, made = flat.copy(), sizes.copy()       # every word stays at its place, and gets no longer
+        at, short = int(np.searchsorted(by_size, 0, side="right")), int(np.searchsorted(by_size, SCAN_LENGTH, side="right"))
+        while at < short:
+            # words up to the length that the block's last one has
+            stop = min(short, at + max(1, BLOCK_SYMBOLS // int(by_size[at])))
+            while stop > at + 1 and (stop - at) * int(by_size[stop - 1]) > BLOCK_SYMBOLS:
+                stop = at + max(1, BLOCK_SYMBOLS // int(by_size[stop - 1]))
+            block = order[at:stop]
+            column = np.arange(int(by_size[stop - 1]) + 1)
+            inside = column < sizes[block][:, None]
+            ids = np.full(inside.shape, -1, np.int32)
+            spots = (starts[block][:, None] + column)
+            ids[inside] = flat[spots[inside]]
+            ids, made[block] = self._merge_block(ids, sizes[block])
+            inside = column < made[block][:, None]
+            out[spots[inside]] = ids[inside]
             at = stop
-        for k in order[at:]:
-            out[k] = self._merge_heap(words[k])
-        return out
+        for k in order[short:].tolist():
+            merged = self._merge_heap(flat[starts[k]:starts[k] + sizes[k]].tolist())
+            out[starts[k]:starts[k] + len(merged)], made[k] = merged, len(merged)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        return out[np.arange(len(flat)) - starts[owner] < made[owner]], made
 
-    def _merge_block(self, words: list[list[int]]) -> list[list[int]]:
+    def _merge_block(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One row for each word, -1 after its end; every step makes each row's first merge of the lowest rank."""
-        sizes = np.array([len(w) for w in words])
-        width = max(1, int(sizes.max()))
-        ids = np.full((len(words), width + 1), -1, np.int64)
-        ids[np.arange(width + 1) < sizes[:, None]] = np.fromiter(itertools.chain.from_iterable(words), np.int64, int(sizes.sum()))
+        width = ids.shape[1] - 1
         ranks = self.pair_rank(ids[:, :-1], ids[:, 1:])
-        done, live, never = ids.copy(), np.arange(len(words)), len(self.merges)
+        done, live, never = ids.copy(), np.arange(len(ids)), len(self.merges)
+        column = np.arange(width + 1)
         while len(live):
             best = ranks.argmin(axis=1)
             rank = ranks[np.arange(len(live)), best]
             on = rank < never
-            done[live[~on]], sizes[live[on]] = ids[~on], sizes[live[on]] - 1
-            live, ids, ranks, best, rank = live[on], ids[on], ranks[on], best[on], rank[on]
-            row, column = np.arange(len(live)), np.arange(width + 1)
+            if not on.all():
+                done[live[~on]] = ids[~on]
+                live, ids, ranks, best, rank = live[on], ids[on], ranks[on], best[on], rank[on]
+            sizes[live] -= 1
+            row = np.arange(len(live))
             # symbols behind the merged pair move up by one place, and so do their borders
-            ids = np.take_along_axis(ids, np.minimum(column + (column > best[:, None]), width), axis=1)
-            ranks = np.take_along_axis(ranks, np.minimum(column[:-1] + (column[:-1] >= best[:, None]), width - 1), axis=1)
+            behind = column > best[:, None]
+            ids[:, :-1] = np.where(behind[:, :-1], ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(behind[:, 1:-1], ranks[:, 1:], ranks[:, :-1])
+            ids[:, -1], ranks[:, -1] = -1, never
             ids[row, best] = self.made[rank]
             ranks[row, best] = self.pair_rank(ids[row, best], ids[row, best + 1])
             left = np.maximum(best - 1, 0)
             ranks[row, left] = self.pair_rank(ids[row, left], ids[row, left + 1])
-        return [ids[:n] for ids, n in zip(done.tolist(), sizes.tolist(), strict=True)]
+        return done, sizes
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of neighbours, the number of merges if there is none (-1: no symbol)."""
         if not len(self.pair_keys):
-            return np.zeros(a.shape, np.int64)
-        key = np.where((a < 0) | (b < 0), -1, a * self.size + b)
+            return np.zeros(a.shape, np.int32)
+        key = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) * self.size + b)
         spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[spot] == key, self.pair_ranks[spot], len(self.merges))
+        return np.where(self.pair_keys[spot] == key, self.pair_ranks[spot], len(self.merges)).astype(np.int32)
 
     def _merge_scan(self, ids: list[int]) -> list[int]:
         """Short words: look for the lowest rank each time."""
@@ -217,18 +278,40 @@ class Vocabulary:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match from the left; None if a symbol is unknown."""
-        ids, out, at, n, end, reach = self.ids, [], 0, len(word), self.suffix, self.reach
-        while at < n:
-            # tokens of under PREFIX symbols are not in ``reach`` by a longer beginning
-            for stop in range(min(n, at + reach.get(word[at:at + PREFIX], PREFIX - 1)), at, -1):
-                token = ids.get(word[at:] + end if stop == n else word[at:stop])
-                if token is not None:
-                    out.append(token)
-                    at = stop
-                    break
-            else:
-                return None
-        return out
+        text = bytes([BYTES[c] for c in word])
+        tokens, _ = self.propose_all(text, np.array([len(text)]))
+        return None if (tokens < 0).any() else tokens.tolist()
+
+    def propose_all(self, text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of words that lie one behind the other, of the given numbers of
+        bytes: tokens (-1: none begins there), and the word that each belongs to."""
+        token, length = self.longest(np.frombuffer(text, np.uint8), sizes)
+        after, spots, at, n = (np.arange(len(text)) + length).tolist(), [], 0, len(text)
+        while at < n:       # a match ends with its word at the latest, where the next one begins
+            spots.append(at)
+            at = after[at]
+        spots = np.array(spots, np.int64)
+        return token[spots], np.repeat(np.arange(len(sizes)), sizes)[spots]
+
+    def longest(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token at every place within its word, and its bytes (-1 and one if there is none)."""
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
+        token, length = np.full(len(text), -1, np.int32), np.ones(len(text), np.int32)
+        live, node, depth = np.arange(len(text)), np.zeros(len(text), np.int32), 0
+        while len(live):
+            byte = text[live + depth]
+            word, bit = 4 * node + (byte >> 6), (byte & 63).astype(np.uint64)
+            children = self.children[word]
+            on = (children >> bit) & np.uint64(1) != 0
+            live, word, bit, children = live[on], word[on], bit[on], children[on]
+            node = self.first_child[word] + np.bitwise_count(children & ((np.uint64(1) << bit) - np.uint64(1)))
+            depth += 1
+            ends = left[live] == depth
+            found = np.where(ends, self.token_at[1][node], self.token_at[0][node])
+            hit = found >= 0
+            token[live[hit]], length[live[hit]] = found[hit], depth
+            live, node = live[~ends], node[~ends]
+        return token, length
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For pairs of neighbouring tokens: would BPE leave the border between them alone?
@@ -277,9 +360,6 @@ class Encoder:
         self.newer = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        symbols = dict(zip(printable, map(chr, printable))) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
-        self.to_symbols = {b: symbols[b] for b in range(256)}
 
     def normalise(self, text: str) -> str:
         """NFC, one space for each run of white space, lower case letter by letter (no final sigma)."""
@@ -325,44 +405,47 @@ class Encoder:
         known = self.words_memo
         words = set(found).difference(known, " ")
         self._recall(words, known, self.older[1])
-        if words:
-            self.learn_words(list(words))
-        known[" "] = b" "       # not an encoding: marks where a piece ends
-        ids = [known[w] for w in found]
+        for some in itertools.batched(words, WORDS_TOGETHER):
+            self.learn_words(some)
+        known[" "] = b" "       # not an encoding (those have four bytes for each token): marks where a piece ends
+        ids = list(map(known.__getitem__, found))
         del known[" "]
-        start = 0
-        ends = [k for k, w in enumerate(found) if w == " "] + [len(found)]
-        for piece, end in zip(pieces, ends, strict=True):
-            self.memo[piece] = ids[start] if end == start + 1 else b"".join(ids[start:end])
-            start = end + 1
+        ends = [*np.flatnonzero(np.fromiter(map(len, ids), np.int64, len(ids)) == 1).tolist(), len(ids)]
+        starts = [0, *(k + 1 for k in ends)]
+        self.memo.update(zip(pieces, [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip(starts, ends)], strict=True))
         for w in words:
             if len(w) > MEMO_LENGTH:
                 del known[w]
 
-    def learn_words(self, words: list[str]) -> None:
+    def learn_words(self, words: Sequence[str]) -> None:
         """Encode the distinct ``words`` together: propose, verify, merge what fails."""
-        forms = [w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.to_symbols) for w in words]
-        proposed = [self.v.propose(f) for f in forms]
-        length = np.array([len(p) if p else 0 for p in proposed], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(p for p in proposed if p), np.int64, int(length.sum()))
-        owner = np.repeat(np.arange(len(words)), length)
-        wrong = np.array([p is None for p in proposed], bool)
-        if len(flat):
-            distinct, back = np.unique(flat, return_inverse=True)
-            own = np.array([self._is_whole(t) for t in distinct.tolist()])
-            wrong[owner[~own[back]]] = True
-            border = owner[1:] == owner[:-1]
-            key = flat[:-1][border] * self.v.size + flat[1:][border]
-            pairs, back = np.unique(key, return_inverse=True)
-            fine = self._check(pairs)
-            wrong[owner[1:][border][~fine[back]]] = True
+        coded = [w.encode("utf-8", "replace") for w in words]
+        text, sizes = b"".join(coded), np.fromiter(map(len, coded), np.int64, len(coded))
+        flat, owner = self.v.propose_all(text, sizes)
+        wrong = np.zeros(len(words), bool)
+        wrong[owner[flat < 0]] = True
+        distinct, back = np.unique(flat, return_inverse=True)
+        own = np.array([t < 0 or self._is_whole(t) for t in distinct.tolist()])
+        wrong[owner[~own[back]]] = True
+        border = (owner[1:] == owner[:-1]) & ~wrong[owner[1:]]
+        pairs, back = np.unique(flat[:-1][border].astype(np.int64) * self.v.size + flat[1:][border], return_inverse=True)
+        wrong[owner[1:][border][~self._check(pairs)[back]]] = True
         self.seen += len(words)
-        failed = np.flatnonzero(wrong).tolist()
-        self.exact += len(failed)
-        for k, ids in zip(failed, self.v.merge_together([self.v.base(forms[k]) for k in failed]), strict=True):
-            proposed[k] = ids
-        for word, ids in zip(words, proposed):
-            self.words_memo[word] = struct.pack(f"<{len(ids)}I", *ids)
+        self.exact += int(wrong.sum())
+        right = ~wrong[owner]
+        self._keep(itertools.compress(words, ~wrong), flat[right], np.bincount(owner[right], minlength=len(words))[~wrong])
+        if wrong.any():
+            of = np.repeat(wrong, sizes)
+            last = np.zeros(len(text), np.int64)
+            last[np.cumsum(sizes) - 1] = 1
+            base = self.v.base_ids[last[of], np.frombuffer(text, np.uint8)[of]]
+            owner = np.repeat(np.arange(int(wrong.sum())), sizes[wrong])[base >= 0]
+            self._keep(itertools.compress(words, wrong), *self.v.merge_flat(base[base >= 0], np.bincount(owner, minlength=int(wrong.sum()))))
+
+    def _keep(self, words: Iterator[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the encodings of words, given one behind the other."""
+        ids, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.words_memo.update(zip(words, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
     def _is_whole(self, token: int) -> bool:
         """Is the token the encoding of its own string?"""
@@ -389,6 +472,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
+        for ids, shown in self.encode_bytes(texts):
+            yield ids, shown.decode("utf-8")
+
+    def encode_bytes(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """:meth:`encode` with the decoded texts in UTF-8."""
         memo = self.memo
         if 2 * (len(memo) + len(self.words_memo)) > self.memo_words:
             self.older = memo, self.words_memo
@@ -399,16 +487,30 @@ class Encoder:
         long = [p for p in fresh if len(p) > MEMO_LENGTH]
         if fresh:
             self.learn(fresh)
-        tokens = self.v.tokens
+        waiting, tokens = [], 0
         for pieces in cut:
-            ids = b"".join([memo[p] for p in pieces])
-            yield ids, " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+            ids = b"".join(map(memo.__getitem__, pieces))
+            waiting.append(ids)
+            tokens += len(ids) // 4
+            if tokens >= DECODE_TOKENS:
+                yield from zip(waiting, self.shown(waiting), strict=True)
+                waiting, tokens = [], 0
+        yield from zip(waiting, self.shown(waiting), strict=True)
         for p in long:
             del memo[p]
 
+    def shown(self, encoded: list[bytes]) -> list[bytes]:
+        """The tokens of each encoding, a blank between two tokens."""
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        sizes = self.v.shown_sizes[ids]
+        ends = np.cumsum(sizes)
+        spots = np.repeat(self.v.shown_starts[ids] - (ends - sizes), sizes) + np.arange(sizes.sum())
+        text = self.v.shown[spots].tobytes()
+        stops = np.concatenate([[0], ends])[np.cumsum([len(e) // 4 for e in encoded], dtype=np.int64)].tolist()
+        return [text[a:max(a, b - 1)] for a, b in zip([0, *stops], stops)]
+
     def text_of(self, ids: list[int]) -> str:
         """The normalised words that the ids stand for, one space after each word."""
-        back = {s: b for b, s in self.to_symbols.items()}
         out = []
         for i in ids:
             token = self.v.tokens[i]
@@ -416,7 +518,7 @@ class Encoder:
                 out.append(token.encode())
                 continue
             ended = bool(self.v.suffix) and token.endswith(self.v.suffix)
-            out.append(bytes(back[c] for c in self.v._symbols(token)) + (b" " if ended else b""))
+            out.append(bytes(BYTES[c] for c in self.v._symbols(token)) + (b" " if ended else b""))
         return b"".join(out).decode("utf-8", "replace")
 
 
@@ -444,8 +546,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
         for batch in batches:
             for part in batches_by_bytes(batch, "text", PART_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = [(len(i) // 4, i, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest())
-                        for i, d in encoder.encode(texts)]
+                rows = [(len(i) // 4, i, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in encoder.encode_bytes(texts)]
                 n, ids, h, d = zip(*rows)
                 out = [part.column("id"), pa.array(n, pa.int64()), pa.array(h), pa.array(d)]
                 if with_ids:

@@ -140,3 +140,49 @@ def test_memory_stays_small_over_many_distinct_words():
             pass
         most = max(most, sum(len(x) for x in (encoder.memo, encoder.words_memo, *encoder.older)))
     assert 100_000 < most < bpe.MEMO_WORDS + 40_000     # of 350,000 words met
+
+
+def test_longest_tokens_of_many_words_together():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeinorsthd'1!é漢\x00") for _ in range(rng.randint(1, 60))) for _ in range(500)] + ["a" * 3000]
+    coded = [w.encode() for w in words]
+    tokens, owner = VOCABULARY.propose_all(b"".join(coded), np.array([len(c) for c in coded]))
+    spans = {t: len(VOCABULARY._symbols(VOCABULARY.tokens[t])) for t in set(tokens.tolist())}
+    for k, word in enumerate(coded):
+        at, symbols = 0, "".join(bpe.SYMBOLS[b] for b in word)
+        for token in tokens[owner == k].tolist():
+            fits = [(stop, t) for stop in range(at + 1, len(word) + 1)
+                    if (t := VOCABULARY.ids.get(symbols[at:] + VOCABULARY.suffix if stop == len(word) else symbols[at:stop])) is not None]
+            assert max(fits) == (at + spans[token], token)
+            at += spans[token]
+        assert at == len(word)
+
+
+def test_rare_words_take_few_calls():
+    """Calls of functions for each unmet word: about 16, and 53 when each was proposed on its own."""
+    import sys
+
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abeinorst") for _ in range(12)) for _ in range(100)) for _ in range(30)]
+    encoder, calls = bpe.Encoder(VOCABULARY), [0]
+    check(texts[:2], encoder)
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    before = encoder.exact
+    sys.setprofile(count)
+    try:
+        got = list(encoder.encode(texts[2:]))
+    finally:
+        sys.setprofile(None)
+    words = 100 * len(got)
+    assert encoder.exact > before + words // 5      # many of them need merging too
+    assert calls[0] < 25 * words, calls[0] / words
+    check(texts, encoder)
+
+
+def test_texts_shown_in_many_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 4)
+    check(["", "one two three four five six", "", "a", "", "x<|endoftext|>y z", "", "wörld wörld wörld", ""], bpe.Encoder(VOCABULARY))
+    assert list(bpe.Encoder(VOCABULARY).encode_bytes([])) == []
