@@ -45,7 +45,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableguard.llm.common import batches_by_bytes
+from tableguard.llm.common import batches_by_bytes, map_batches
 
 MAX_VOCABULARY = 1_000_000
 MEMO_WORDS = 250_000
@@ -558,7 +558,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(run, shape).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, shape).withColumnRenamed("id", id_col)
 
 
 def decode_ids(frame: DataFrame, vocabulary_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

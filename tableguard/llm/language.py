@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableguard.llm.common import written
+from tableguard.llm.common import map_batches, written
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -238,7 +238,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", p
             used = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(into[used])], ["lang", "bucket", "n"])
 
-    grams = sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    grams = map_batches(sample, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(grams.column("lang").to_pylist(), object)
     languages = sorted(set(names.tolist()))
     if not languages:
@@ -278,7 +278,7 @@ def _fit_floor(model: Model, sample: DataFrame, spark) -> None:
                     values.append(m.familiar_to_others(codes, place[lang]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["lang", "value"])
 
-    low = sample.mapInArrow(judge, "lang string, value double").groupBy("lang").agg(F.percentile_approx("value", TAIL).alias("low")).collect()
+    low = map_batches(sample, judge, "lang string, value double").groupBy("lang").agg(F.percentile_approx("value", TAIL).alias("low")).collect()
     for r in low:
         model.floor[model.languages.index(r.lang)] = FLOOR * r.low
 
@@ -302,7 +302,7 @@ def _fit_trust(model: Model, sample: DataFrame, spark) -> None:
         i, j = np.indices(m.code.shape)
         yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, np.repeat(n, m.code.shape[1]), right, size)], ["i", "j", "n", "right", "size"])
 
-    judged = (sample.mapInArrow(judge, "i bigint, j bigint, n bigint, right bigint, size double").groupBy("i", "j")
+    judged = (map_batches(sample, judge, "i bigint, j bigint, n bigint, right bigint, size double").groupBy("i", "j")
               .agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.sum("size").alias("size")).collect())
     n, right, size = np.zeros(model.code.shape), np.zeros(model.code.shape), np.zeros(model.code.shape)
     for r in judged:
@@ -327,7 +327,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                                              ["row", "lang_pred", "score", "evidence"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))
+    out = map_batches(rows, run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())]))
     return out.withColumn("ambiguous", F.col("score") < AMBIGUOUS)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableguard.llm.common import shared_path, written
+from tableguard.llm.common import map_batches, shared_path, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SEGMENT_TOKENS = 1 << 18
@@ -110,7 +110,7 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     to = "bigint" if arrow == pa.int64() else "string"
     rows = docs.select(F.col(id_col).cast(to), F.col(text_col).cast("string"))
-    rows.mapInArrow(run, f"segment bigint, ids array<{to}>, starts binary, terms binary, heads binary, positions binary").write.parquet(path)
+    map_batches(rows, run, f"segment bigint, ids array<{to}>, starts binary, terms binary, heads binary, positions binary").write.parquet(path)
 
 
 # ---------------------------------------------------------------------- phrases
@@ -303,9 +303,9 @@ def search(spark: SparkSession, index_path: str, items: DataFrame, id_col: str =
     columns = index.select("segment", "ids", "starts", "terms", "heads", "positions")
     parts = []
     for phrases in phrase_blocks(items, id_col, text_col, size, block_terms):
-        parts.append(columns.mapInArrow(against(spark.sparkContext.broadcast(phrases), not parts), shape))
+        parts.append(map_batches(columns, against(spark.sparkContext.broadcast(phrases), not parts), shape))
     if not parts:
-        parts = [columns.mapInArrow(against(spark.sparkContext.broadcast(Phrases([], [])), True), shape)]
+        parts = [map_batches(columns, against(spark.sparkContext.broadcast(Phrases([], [])), True), shape)]
     found = parts[0]
     if len(parts) == 1:
         return found
@@ -347,6 +347,6 @@ def keep_clean(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int
     key = F.to_json(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")))
     hit = decontaminate(spark, docs.select(key.alias("key"), F.col(text_col).alias("text")), items, size, "key", "text")
     hit = hit.filter("n_hit > 0").select(F.from_json("key", f"i {kind}, h bigint").alias("k")).select("k.*").distinct()
-    hit = written(hit, "phrase-hits")
+    hit = written(hit, "phrase-hits", rows=docs.count())
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     return rows.join(hit, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left_anti").select("row.*")

@@ -159,7 +159,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
          max_owners: int = MAX_OWNERS) -> DataFrame:
     """One row per input row: id, text_hash, spans; each span with its value's class."""
     found = written(candidates(docs, id_col, text_col, owner_col), "secret-candidates")
-    classes = written(classify(found, max_owners), "secret-classes")
+    classes = written(classify(found, max_owners), "secret-classes", rows=found.agg(F.sum(F.size("spans"))).first()[0] or 0)
     with_any = found.filter(F.size("spans") > 0).select("id", "text_hash", "spans").dropDuplicates(["id", "text_hash"])
     each = with_any.select("id", "text_hash", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
     spans = _with_class(each, classes).groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct(
@@ -187,7 +187,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     live = scan(docs, id_col, text_col, owner_col, max_owners).select(
         F.col(id_col).alias("i"), F.col("text_hash").alias("h"),
         F.expr("transform(filter(spans, s -> s.class = 'live'), s -> struct(int(s.vstart) AS start, int(s.vend) AS end))").alias("live"))
-    live = written(live.filter(F.size("live") > 0).dropDuplicates(["i", "h"]), "secret-live")
+    live = written(live.filter(F.size("live") > 0).dropDuplicates(["i", "h"]), "secret-live", rows=docs.count())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     joined = rows.join(live, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")

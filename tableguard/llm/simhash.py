@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableguard.llm.common import written
+from tableguard.llm.common import map_batches, written
 
 PIVOTS = 32
 BUCKET = 512
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, text_hash bigint, fp bigint").withColumnRenamed("_id", id_col)
+    return map_batches(rows, run, f"_id {kind}, text_hash bigint, fp bigint").withColumnRenamed("_id", id_col)
 
 
 # ----------------------------------------------------------------- pivot table
@@ -140,11 +140,12 @@ def near_links(fps: DataFrame, max_bits: int = 4, bucket: int = BUCKET) -> DataF
     Every component of the full link graph is a component of the returned links:
     in buckets up to ``bucket`` all links come back, in larger ones a spanning set.
     """
-    masks = block_masks(fps.count(), max_bits)
+    n_fps = fps.count()
+    masks = block_masks(n_fps, max_bits)
     keyed = fps.select("fp", F.posexplode(F.array(*[
         F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, (m, _) in enumerate(masks)
     ])).alias("k", "key"))
-    loads = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-loads")
+    loads = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-loads", rows=n_fps * len(masks))
     cold = pivot_table(keyed.join(loads.filter(F.col("n") <= bucket).select("key"), "key", "left_semi"))
     first = "CASE a.k " + " ".join(
         f"WHEN {k} THEN " + (" AND ".join(f"((a.fp ^ b.fp) & {_signed(b)}L) <> 0" for b in before) or "true")
@@ -224,7 +225,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, large.u == low.node)
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        pairs = written(small, "components")
+        pairs = written(small, "components", rows=2 * n)    # two for each pair of ``large``, which are as many as ``pairs``
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         n = state[0]
         if state == seen:
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hold only null ids.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    least = written(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "simhash-distinct")
+    least = written(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "simhash-distinct", rows=prints.count())
     roots = components(near_links(least.select("fp"), max_bits, bucket))
     grouped = least.join(roots, least.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
