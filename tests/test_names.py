@@ -240,3 +240,49 @@ def test_filters_meet_names_on_their_longest_gram(spark):
     for mode in ("contains", "prefix"):
         got = sorted((r.name, r.f) for r in match_names_join(many, "name", flt, "f", mode).collect())
         assert len(got) == 12 * 2 + 2 and got.count(("customer#00001", "customer#0000")) == 4
+
+
+def test_targets_keep_k_names_however_many_are_as_near(spark):
+    """Of hundreds of names two edits away only the first k by type and name make a pair, copies of a leaf alike."""
+    from tableguard.operators.names import NearIndex, near_names_join
+
+    names = spark.range(2000).select(F.format_string("[sales].[customer#%05d]", "id").alias("name"), F.lit("procedure").alias("type"))
+    names = names.unionByName(spark.range(300).select(F.format_string("db%d.abcdefgh", "id").alias("name"), F.lit("table").alias("type")))
+    targets = spark.createDataFrame([(f"sales.custmer#{n:05d}",) for n in range(0, 2000, 40)] + [("abcdexgh",)], "f string")
+    normal = targets.select("f", normalize_name(F.col("f")).alias("__f"))
+    assert NearIndex(names, "name", "type", 2).pairs(normal, 4).count() <= 51 * 2 * 4
+    got = {}
+    for r in near_names_join(names, "name", "type", targets, "f", 4).collect():
+        got.setdefault(r.target, []).append((r.rank, r.score, r.name))
+    assert sorted(got["abcdexgh"]) == [(i + 1, 1, f"db{n}.abcdefgh") for i, n in enumerate((0, 1, 10, 100))]
+    for n in range(0, 2000, 40):
+        two = [m for m in range(2000) if sum(a != b for a, b in zip(f"{n:05d}", f"{m:05d}")) == 1][:3]
+        assert sorted(got[f"sales.custmer#{n:05d}"]) == [(i + 1, min(i + 1, 2), f"[sales].[customer#{m:05d}]") for i, m in enumerate([n, *two])], n
+
+
+def test_a_leaf_near_to_a_canonical_name_is_no_near_name(spark):
+    """Strings near in different parts do not count for the k nearest."""
+    from tableguard.operators.names import near_names_join
+
+    names = spark.createDataFrame([("abcdef.hijk", "table"), ("abcdefgh__k", "table")], "name string, type string")
+    targets = spark.createDataFrame([("main.abcdefghijk",)], "f string")
+    assert [(r.name, r.score) for r in near_names_join(names, "name", "type", targets, "f", 1).collect()] == [("abcdefgh__k", 2)]
+    assert near_names_join(names, "name", "type", targets.limit(0), "f", 1).count() == 0
+    assert near_names_join(names.limit(0), "name", "type", targets, "f", 1).count() == 0
+
+
+def test_only_keys_that_targets_have_are_shuffled(spark):
+    """Of a name's deletion keys few are a target's, also where all look alike; none of those is lost."""
+    from tableguard.operators.names import deletion_index, met_keys
+
+    def strings(n, form, step=1):
+        return spark.range(0, n, step).select(F.format_string(form, "id").alias("s"))
+
+    mine = deletion_index(strings(2000, "custmer#%09d", 7), {1: {17}})
+    index = deletion_index(strings(2000, "customer#%09d"), {2: {18}})
+    held = met_keys(index, mine)
+    assert held.join(mine.select("v").distinct(), "v").count() == index.join(mine.select("v").distinct(), "v").count() > 2000
+    assert held.count() < index.count() / 10
+    keys = [r.v for r in deletion_index(spark.createDataFrame([("a.ba",), ("\u00e9",)], "s string"), {2: {4}, 0: {4}, 1: {1}}).collect()]
+    want = ["a.ba", "a.", "ab", "aa", ".b", ".a", "ba", ""]
+    assert sorted(keys) == sorted(r.v for r in spark.createDataFrame([(w,) for w in want], "w string").select(F.xxhash64("w").alias("v")).collect())
